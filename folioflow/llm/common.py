@@ -41,7 +41,14 @@ def partitions(spark: SparkSession) -> int:
 
 
 def arrow_limits(spark: SparkSession) -> None:
-    """Small Arrow batches: a batch of long texts must fit a worker beside its numpy arrays."""
+    """Small Arrow batches: a batch of long texts must fit a worker beside its numpy arrays.
+
+    Python workers also learn where this package lies, for a session that was not started in its folder.
+    """
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if top not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (top, env.get("PYTHONPATH", "")) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 

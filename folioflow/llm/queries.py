@@ -34,10 +34,31 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs_of(spark, sf_dir)).drop("failed_rules")
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm.packing import pack
+
+    return pack(docs_of(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm.token_files import round_trip
+
+    return round_trip(docs_of(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
+def op9_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm.minhash_forest import near_duplicates
+
+    return near_duplicates(docs_of(spark, sf_dir), shingle=3, num=85, den=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_line_dedup": op3_line_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_token_files": op8_token_files,
+    "op9_minhash_forest": op9_minhash_forest,
 }
 
 SQL: dict[str, str] = {}
