@@ -28,6 +28,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(docs_of(spark, sf_dir))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(docs_of(spark, sf_dir), keep_bytes=False)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflow.llm.quality_rules import judge
 
@@ -55,6 +61,7 @@ def op9_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_line_dedup": op3_line_dedup,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_token_files": op8_token_files,
