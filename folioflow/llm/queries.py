@@ -58,6 +58,12 @@ def op9_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs_of(spark, sf_dir), shingle=3, num=85, den=100)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm.decontamination import contamination
+
+    return contamination(docs_of(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_line_dedup": op3_line_dedup,
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_token_files": op8_token_files,
     "op9_minhash_forest": op9_minhash_forest,
+    "op10_decontamination": op10_decontamination,
 }
 
 SQL: dict[str, str] = {}
