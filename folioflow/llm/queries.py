@@ -28,6 +28,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(docs_of(spark, sf_dir))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm.personal_data import personal_data
+
+    return personal_data(docs_of(spark, sf_dir))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflow.llm.suffix_dedup import remove_repeats
 
@@ -67,6 +73,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_line_dedup": op3_line_dedup,
+    "op4_personal_data": op4_personal_data,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_best_fit_packing": op7_best_fit_packing,
