@@ -16,6 +16,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.llm.ngram_trie import score
+
+    return score(docs_of(spark, sf_dir))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflow.llm.token_counts import count_tokens
 
@@ -71,6 +77,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_trie": op1_ngram_trie,
     "op2_token_counts": op2_token_counts,
     "op3_line_dedup": op3_line_dedup,
     "op4_personal_data": op4_personal_data,
