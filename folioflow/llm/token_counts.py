@@ -34,7 +34,7 @@ REMEMBERED = 300_000
 
 _RUN = re.compile(r" ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
 #: Characters that some engine counts as white space beyond these four.
-_ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
+_ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]")
 
 
 @cache
@@ -67,10 +67,11 @@ class ByteRuns:
         return self.pattern.findall(text)
 
     def learn(self, runs: list[str]) -> None:
-        if new := list(set(runs) - self.known.keys()):
+        distinct = set(runs)
+        if new := [x for x in distinct if x not in self.known]:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-                new = list(set(runs))
+                new = list(distinct)
             for run, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
                 self.known[run] = self.value(e.ids)
 
