@@ -4,17 +4,50 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioflow.llm import decontamination, line_dedup, minhash_forest, packing, quality_rules
 from folioflow.llm.common import arrow_limits, stored
-from folioflow.llm import line_dedup, quality_rules
+from folioflow.llm.queries import vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality rules: rejected documents go."""
+    """Quality rules: documents that fail one go."""
+    arrow_limits(spark)
     return quality_rules.keep(docs)
 
 
-STAGES = [("quality rules", quality)]
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line dedup: long lines that many documents share stay in one; text and n_chars change."""
+    arrow_limits(spark)
+    return line_dedup.dedup_table(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup: of each class (five-word shingles, similarity 0.8) the smallest doc_id stays."""
+    arrow_limits(spark)
+    return minhash_forest.one_of_each(docs)
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that hold a benchmark passage go."""
+    arrow_limits(spark)
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Best-fit packing: one row for each piece and its place in a sequence."""
+    arrow_limits(spark)
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("near-duplicates", near_duplicates),
+    ("decontamination", leaks),
+    ("packing", packed),
+]
 
+#: Banded alignment and tokenizers have no SQL; tests/llm holds the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 

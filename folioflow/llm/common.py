@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; bounds a Python worker's memory.
@@ -57,9 +57,19 @@ def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def texts(df: DataFrame, *more: str) -> DataFrame:
-    """doc_id and text (null: empty), and no other column but those named."""
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+def doc_id(column: str = "doc_id") -> Column:
+    """The id of a row; rows without one share the id -1."""
+    return F.coalesce(F.col(column).cast("long"), F.lit(-1)).alias(column)
+
+
+def texts(df: DataFrame, *more: Column) -> DataFrame:
+    """doc_id and text (null: empty), and no other column but those given."""
+    return df.select(doc_id(), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+
+
+def carried(df: DataFrame) -> DataFrame:
+    """doc_id, text and all of df's columns in one struct _row, so that no other name can clash with them."""
+    return texts(df, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
 
 
 def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

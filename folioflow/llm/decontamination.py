@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import mixed, slices, stored, texts
+from folioflow.llm.common import carried, doc_id, mixed, slices, stored, texts
 
 Q = 8
 PIECE = 120
@@ -144,7 +144,7 @@ def matches(df: DataFrame, items: DataFrame, q: int = Q, block_chars: int = BLOC
     """doc_id, item_id, start, end (code points in the text), edits: a row for each piece found, in any document."""
     spark = df.sparkSession
     schema = "doc_id long, item_id long, start long, end long, edits long"
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL")
+    items = items.select(doc_id("item_id"), "text").filter("text IS NOT NULL")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-total // block_chars)
 
@@ -179,7 +179,7 @@ def contamination(df: DataFrame, items: DataFrame, q: int = Q) -> DataFrame:
     """doc_id, contaminated, n_items, n_spans, item_ids (ascending) for each row of df."""
     found = stored(matches(df, items, q), "leaks")
     per_doc = found.groupBy("doc_id").agg(F.count("*").alias("n_spans"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-    out = df.select(F.col("doc_id").cast("long").alias("doc_id")).join(per_doc, "doc_id", "left")
+    out = df.select(doc_id()).join(per_doc, "doc_id", "left")
     return out.select(
         "doc_id",
         F.col("item_ids").isNotNull().alias("contaminated"),
@@ -192,4 +192,4 @@ def contamination(df: DataFrame, items: DataFrame, q: int = Q) -> DataFrame:
 def clean(df: DataFrame, items: DataFrame, q: int = Q) -> DataFrame:
     """The rows of df, with df's columns, in which no item was found."""
     found = stored(matches(df, items, q).select("doc_id").distinct(), "leaks")
-    return df.join(found.withColumnRenamed("doc_id", "_leak"), F.col("doc_id") == F.col("_leak"), "left_anti")
+    return carried(df).join(found.hint("merge"), "doc_id", "left_anti").select("_row.*")

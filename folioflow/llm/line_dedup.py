@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import stored, texts
+from folioflow.llm.common import carried, stored, texts
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -62,7 +62,18 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup_lines(df: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, text (the kept lines joined by \\n), n_lines, n_dropped for each row of df."""
     gone = dropped_lines(df, min_chars, min_docs)
-    return texts(df).join(gone, "doc_id", "left").mapInArrow(_cut, "doc_id long, text string, n_lines long, n_dropped long")
+    # a merge join at every size: whether one side could be broadcast would depend on the corpus
+    return texts(df).join(gone.hint("merge"), "doc_id", "left").mapInArrow(_cut, "doc_id long, text string, n_lines long, n_dropped long")
+
+
+def dedup_table(df: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """df with the kept lines as text and their length as n_chars, if it has that column."""
+    gone = dropped_lines(df, min_chars, min_docs)
+    rows = carried(df).join(gone.hint("merge"), "doc_id", "left")
+    row = rows.schema["_row"].dataType.simpleString()
+    out = rows.mapInArrow(_cut, f"doc_id long, _row {row}, text string, n_lines long, n_dropped long")
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast(df.schema["n_chars"].dataType) if "n_chars" in df.columns else None}
+    return out.select(*[new[c].alias(c) if c in new else F.col(f"_row.`{c}`") for c in df.columns])
 
 
 def digest(df: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.llm.common import carried, texts
+
 # Common function words of English, French, German and Spanish.
 STOP_WORDS = (
     "a an and are as at be by for from in is it of on or that the this to was with "
@@ -96,10 +98,14 @@ def compiled(rules: list[tuple] = RULES) -> Column:
     return F.array_compact(F.array(*tests))
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
+
 def judge(df: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
     """doc_id, n_words, the four counts, base_failed, kept and the failed rules' names, one row for each row of df."""
-    seen = features(df.select("doc_id", "text"))
-    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    seen = features(texts(df))
+    base = base_failed()
     failed = compiled(rules)
     return seen.select(
         "doc_id",
@@ -116,6 +122,6 @@ def judge(df: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
 
 def keep(df: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
     """The rows of df that pass, with df's columns."""
-    names = df.columns
-    inner = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("text"))
-    return features(inner).filter(F.size(compiled(rules)) == 0).select("_row.*")
+    # a row number keeps the optimizer from moving the filter below the features, which would compute them many times
+    seen = features(carried(df)).select("_row", (~base_failed() & (F.size(compiled(rules)) == 0)).alias("_ok"), F.monotonically_increasing_id().alias("_n"))
+    return seen.filter(F.col("_ok") & (F.col("_n") >= 0)).select("_row.*")
