@@ -7,6 +7,9 @@ space a word. Texts for which that is not certain (other white space, strings of
 
 from __future__ import annotations
 
+import itertools
+from array import array
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -15,28 +18,52 @@ from folioflow.llm.token_counts import ByteRuns
 
 
 class ByteIds(ByteRuns):
-    """text -> ids as little-endian unsigned 32-bit numbers."""
+    """text -> ids as unsigned 32-bit numbers in the machine's order, which is little-endian wherever Spark runs."""
 
     @staticmethod
     def value(ids: list[int]) -> bytes:
-        return np.asarray(ids, "<u4").tobytes()
+        return array("I", ids).tobytes()
 
-    def ids(self, text: str) -> bytes:
-        if not self.plain(text):
-            return self.value(self.tok.encode(text, add_special_tokens=False).ids)
-        runs = self.runs(text)
-        try:
-            return b"".join(map(self.known.__getitem__, runs))
-        except KeyError:
-            self.learn(runs)
-            return b"".join(map(self.known.__getitem__, runs))
+    @staticmethod
+    def total(values: Iterator[bytes]) -> bytes:
+        return b"".join(values)
+
+    @staticmethod
+    def cut(ids: np.ndarray, at: np.ndarray) -> list[bytes]:
+        raw, places = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+        return [raw[a:b] for a, b in itertools.pairwise(places)]
+
+    def ids(self, some: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        return [v if v is not None else self.value(self.tok.encode(x, add_special_tokens=False).ids) for x, v in zip(some, self.values(some), strict=True)]
 
 
 class WordIds(ByteIds):
-    """For a vocabulary whose splitting drops white space."""
+    """For a vocabulary that drops white space and case and marks the ends of words."""
+
+    glue = " "
+
+    @staticmethod
+    def marks(token: str) -> bool:
+        return token.endswith("</w>")
+
+    @staticmethod
+    def is_word(part: str) -> bool:
+        return part.isalpha()
+
+    def edges(self, ids: np.ndarray) -> np.ndarray:
+        last = np.flatnonzero(self.marked[ids])
+        return np.append(0, last[:-1] + 1) if len(last) and last[-1] == len(ids) - 1 else last[:0]
 
     def runs(self, text: str) -> list[str]:
-        return text.split()
+        """Words, and signs from a full stop or comma on, in lower case where the text's characters leave no doubt of it."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            pass
+        else:
+            text = text.lower()
+        return text.replace(".", " .").replace(",", " ,").split()
 
 
 @cache

@@ -37,8 +37,8 @@ def pieces(df: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPA
         coder, end, step = word_ids(vocabulary), np.asarray([end_id], "<u4").tobytes(), 4 * capacity
         for b in batches:
             doc, piece, start, length, crc, kept = [], [], [], [], [], []
-            for d, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = coder.ids(text) + end
+            for d, ids in zip(b.column("doc_id").to_pylist(), coder.ids(b.column("text").to_pylist()), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     doc.append(d)

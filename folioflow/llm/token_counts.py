@@ -7,18 +7,20 @@ splitting pattern reads on from a pre-token's start without looking back, so fro
 with that of the whole text; MARGIN exceeds what the pattern or an added token looks ahead. If the overlap has no such
 place, it is doubled, up to the rest of the text, which is then encoded whole.
 
-Short texts are encoded by distinct words: a space with the non-space run after it is a whole number of pre-tokens, so the
-counts of distinct runs are kept and summed. Texts with white space other than ASCII, or with an added token's string, go
-to the library whole. Defined results: null counts as empty, with 0 tokens; repeated rows are counted alike.
+Short texts are encoded by distinct words: a space with the non-space run after it, up to a full stop or comma, is a whole
+number of pre-tokens, so the counts of distinct runs are kept and summed. Texts with white space other than ASCII, with an
+added token's string or with a sign right before a full stop or comma go to the library whole. Defined results: null counts as empty, with 0 tokens; repeated rows are counted alike.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
@@ -29,10 +31,12 @@ CHUNK = 1 << 16
 OVERLAP = 512
 MARGIN = 32
 LIMIT = 1024
-#: Distinct runs that one worker remembers; beyond, it starts anew (memory bound, no effect on results).
-REMEMBERED = 300_000
+#: Distinct runs that one worker remembers (memory bound, no effect on results).
+REMEMBERED = 600_000
 
-_RUN = re.compile(r" ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
+_RUN = re.compile(r" ?[^ \t\n\r.,]+| ?[.,][^ \t\n\r]*|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
+#: A full stop or comma in one pre-token with the sign before it: not a place to cut.
+_SIGNS = re.compile(r"[^\w\s][.,]|_[.,]")
 #: Characters that some engine counts as white space beyond these four.
 _ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]")
 
@@ -55,25 +59,70 @@ def added_tokens(path: str) -> re.Pattern:
 class ByteRuns:
     """Token ids of texts by remembered runs, for a byte-level vocabulary that keeps white space."""
 
-    pattern = _RUN
+    pattern, glue = _RUN, ""
 
     def __init__(self, path: str):
         self.tok, self.added, self.known = tokenizer(path), added_tokens(path), {}
+        self.marked = np.zeros(self.tok.get_vocab_size(), bool)
+        self.marked[[i for x, i in self.tok.get_vocab().items() if self.marks(x)]] = True
+
+    @staticmethod
+    def marks(token: str) -> bool:
+        return token.startswith("\u0120")  # a space's sign in byte-level vocabularies
 
     def plain(self, text: str) -> bool:
-        return not (_ODD_SPACE.search(text) or self.added.search(text))
+        return not (_ODD_SPACE.search(text) or self.added.search(text) or _SIGNS.search(text))
 
     def runs(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
-    def learn(self, runs: list[str]) -> None:
-        distinct = set(runs)
-        if new := [x for x in distinct if x not in self.known]:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-                new = list(distinct)
-            for run, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[run] = self.value(e.ids)
+    def learn(self, runs: set[str]) -> None:
+        """Encodes those of runs that are not known, all at once."""
+        new = runs.difference(self.known) if len(runs) > len(self.known) else [x for x in runs if x not in self.known]
+        words = [x for x in new if self.is_word(x)]
+        for lo in range(0, len(words), 1000):
+            self.known.update(zip(words[lo : lo + 1000], self.words(words[lo : lo + 1000]), strict=True))
+        rest = [x for x in new if x not in self.known]
+        for x, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.known[x] = self.value(e.ids)
+
+    def forget(self) -> None:
+        """Keeps the runs that were met first, among which are the common ones."""
+        if len(self.known) > REMEMBERED:
+            for run in list(itertools.islice(self.known, REMEMBERED, None)):
+                del self.known[run]
+
+    @staticmethod
+    def is_word(part: str) -> bool:
+        """A space and letters: one pre-token, whose first token alone begins with the space's sign."""
+        return part[:1] == " " and part[1:].isalpha()
+
+    def edges(self, ids: np.ndarray) -> np.ndarray:
+        """Where the words begin in the ids of words in a row."""
+        return np.flatnonzero(self.marked[ids])
+
+    def words(self, words: list[str]) -> list:
+        """The values of words, read in a row; one by one should the edges not tell them apart."""
+        ids = np.asarray(self.tok.encode_batch_fast([self.glue.join(words)], add_special_tokens=False)[0].ids, "<u4")
+        at = self.edges(ids)
+        if len(at) != len(words) or at[0]:
+            return [self.value(e.ids) for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+        return self.cut(ids, at)
+
+    @staticmethod
+    def cut(ids: np.ndarray, at: np.ndarray) -> list:
+        return np.diff(at, append=len(ids)).tolist()
+
+    def values(self, some: list[str]) -> list:
+        """For each text the sum of its runs' values; None where the library has to read the whole text."""
+        runs = [self.runs(x) if self.plain(x) else None for x in some]
+        self.learn(set(itertools.chain.from_iterable(x for x in runs if x is not None)))
+        known = self.known.__getitem__
+        out = [None if x is None else self.total(map(known, x)) for x in runs]
+        self.forget()
+        return out
+
+    total = staticmethod(sum)
 
     @staticmethod
     def value(ids: list[int]):
@@ -127,19 +176,9 @@ def count_tokens(df: DataFrame, vocabulary: str, limit: int = LIMIT, chunk: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = byte_counts(vocabulary)
         for b in batches:
-            found = []
-            for text in b.column("text").to_pylist():
-                if len(text) > chunk:
-                    found.append(spliced_count(coder.tok, text, chunk, overlap))
-                elif coder.plain(text):
-                    runs = coder.runs(text)
-                    try:
-                        found.append(sum(map(coder.known.__getitem__, runs)))
-                    except KeyError:
-                        coder.learn(runs)
-                        found.append(sum(map(coder.known.__getitem__, runs)))
-                else:
-                    found.append(len(coder.tok.encode(text, add_special_tokens=False).ids))
+            some = b.column("text").to_pylist()
+            short = coder.values([x if len(x) <= chunk else "" for x in some])
+            found = [spliced_count(coder.tok, x, chunk, overlap) if len(x) > chunk else v if v is not None else len(coder.tok.encode(x, add_special_tokens=False).ids) for x, v in zip(some, short, strict=True)]
             size = pa.compute.binary_length(b.column("text")).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), size, pa.array(found, pa.int64()), pa.array([n > limit for n in found])], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
