@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.coding import byte_ids
 from folioflow.llm.common import fresh_dir, partitions, read_file, stored, texts, write_file
+from folioflow.llm.token_counts import tokenizer
 
 MAGIC = b"FVB1"
 BLOCK = 1 << 20
@@ -69,26 +70,32 @@ def decode_block(blob: memoryview | bytes, at: int = 0) -> tuple[np.ndarray, np.
     return docs, lengths, ranks, at + n_data
 
 
+def _kind(vocabulary: str) -> str:
+    """Two bytes for an id where the vocabulary allows, else four."""
+    return "<u2" if tokenizer(vocabulary).get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def coded(df: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
-    """doc_id and ids (u32 little-endian, with the end id) of each row of df."""
+    """doc_id and ids (with the end id, as _kind(vocabulary) says) of each row of df."""
+    kind = _kind(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = byte_ids(vocabulary), np.asarray([end_id], "<u4").tobytes()
         for b in batches:
-            ids = [coder.ids(x) + end for x in b.column("text").to_pylist()]
+            ids = [np.frombuffer(x + end, "<u4").astype(kind).tobytes() for x in coder.ids(b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return texts(df).mapInArrow(run, "doc_id long, ids binary")
 
 
-def ranking(ids: DataFrame) -> np.ndarray:
+def ranking(ids: DataFrame, kind: str) -> np.ndarray:
     """The ids of the corpus by falling frequency (ties: by id); at most one entry for each id of the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
             for x in b.column("ids"):
-                seen = np.bincount(np.frombuffer(x.as_buffer(), "<u4"), minlength=len(total))
+                seen = np.bincount(np.frombuffer(x.as_buffer(), kind), minlength=len(total))
                 seen[: len(total)] += total
                 total = seen
         used = np.flatnonzero(total)
@@ -98,7 +105,7 @@ def ranking(ids: DataFrame) -> np.ndarray:
     return found.sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy(np.uint32)
 
 
-def write_files(ids: DataFrame, by_rank: np.ndarray, folder: str, block: int = BLOCK) -> list[dict]:
+def write_files(ids: DataFrame, kind: str, by_rank: np.ndarray, folder: str, block: int = BLOCK) -> list[dict]:
     """Writes doc_id, ids in ascending doc_id order; a dict for each file, in order, with the ids before it as start."""
     rank = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
     rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
@@ -115,7 +122,7 @@ def write_files(ids: DataFrame, by_rank: np.ndarray, folder: str, block: int = B
         for b in batches:
             for d, x in zip(b.column("doc_id").to_pylist(), b.column("ids"), strict=True):
                 docs.append(d)
-                parts.append(rank[np.frombuffer(x.as_buffer(), "<u4")])
+                parts.append(rank[np.frombuffer(x.as_buffer(), kind)])
                 held += len(parts[-1])
                 n_docs, n_ids = n_docs + 1, n_ids + len(parts[-1])
                 if held >= block:
@@ -165,6 +172,6 @@ def read_files(spark: SparkSession, files: list[dict], by_rank: np.ndarray, keep
 def round_trip(df: DataFrame, vocabulary: str, end_id: int = 2, keep_ids: bool = False) -> DataFrame:
     """Writes df's texts as files in the shared folder and reads them back."""
     ids = stored(coded(df, vocabulary, end_id), "token-ids")
-    by_rank = ranking(ids)
-    files = write_files(ids, by_rank, fresh_dir(df.sparkSession, "token-files"))
+    by_rank = ranking(ids, _kind(vocabulary))
+    files = write_files(ids, _kind(vocabulary), by_rank, fresh_dir(df.sparkSession, "token-files"))
     return read_files(df.sparkSession, files, by_rank, keep_ids)
