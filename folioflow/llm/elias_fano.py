@@ -113,12 +113,18 @@ class EliasFano:
         at = np.zeros(len(live), np.int64)
         some = h > 0
         at[some] = self._select(h[some] - 1, False) + 1
-        while len(live):
-            on = self.high[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
-            live, low, h, at = live[on], low[on], h[on], at[on]
-            got = self._lows(at - h)
-            same = got == low
-            out[live[same]] = (at - h)[same]
-            on = got < low
-            live, low, h, at = live[on], low[on], h[on], at[on] + 1
+        on = self.high[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0  # else the bucket is empty
+        live, low, h, at = live[on], low[on], h[on], at[on]
+        end = self._select(h, False) - h
+        lo, hi = at - h, end.copy()
+        open_ = np.arange(len(live))
+        while len(open_):
+            mid = (lo[open_] + hi[open_]) >> 1
+            less = self._lows(mid) < low[open_]
+            lo[open_[less]] = mid[less] + 1
+            hi[open_[~less]] = mid[~less]
+            open_ = open_[lo[open_] < hi[open_]]
+        ok = np.flatnonzero(lo < end)
+        ok = ok[self._lows(lo[ok]) == low[ok]]
+        out[live[ok]] = lo[ok]
         return out
