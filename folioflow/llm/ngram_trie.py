@@ -143,6 +143,8 @@ class Level:
 
     def split(self, slot: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(number of a file, indices of the queries that go to it)."""
+        if not len(slot):
+            return
         order = np.argsort(slot.astype(np.int16 if len(self.files) < 32000 else np.int64), kind="stable")
         sorted_slot = slot[order]
         cuts = np.flatnonzero(np.diff(sorted_slot, prepend=-2))
