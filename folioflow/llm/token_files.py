@@ -94,10 +94,9 @@ def ranking(ids: DataFrame, kind: str) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            for x in b.column("ids"):
-                seen = np.bincount(np.frombuffer(x.as_buffer(), kind), minlength=len(total))
-                seen[: len(total)] += total
-                total = seen
+            seen = np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), kind), minlength=len(total))
+            seen[: len(total)] += total
+            total = seen
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
@@ -171,7 +170,7 @@ def read_files(spark: SparkSession, files: list[dict], by_rank: np.ndarray, keep
 
 def round_trip(df: DataFrame, vocabulary: str, end_id: int = 2, keep_ids: bool = False) -> DataFrame:
     """Writes df's texts as files in the shared folder and reads them back."""
-    ids = stored(coded(df, vocabulary, end_id), "token-ids")
+    ids = stored(coded(df, vocabulary, end_id), "token-ids", "zstd")
     by_rank = ranking(ids, _kind(vocabulary))
     files = write_files(ids, _kind(vocabulary), by_rank, fresh_dir(df.sparkSession, "token-files"))
     return read_files(df.sparkSession, files, by_rank, keep_ids)
