@@ -9,7 +9,14 @@ common prefixes and the depth adapts to the crowd; runs of CHUNK neighbours are
 row gets the NEAREST that agree best. All of this happens in every order anew. Candidates are confirmed on full sets: rows of the sorted order are cut into blocks, and a block's texts
 meet in one task once, whatever the number of its pairs. Confirmed links are joined to components.
 
-A pair at the threshold 0.85 shares a region in one of 20 orders with a probability of 1 - 4e-7, at 0.8 with 1 - 3e-5.
+Then the rest of the crowded regions follows: their rows are sorted by component and cut into chunks, every two chunks of a
+region meet unless all their rows are of one component already, and every pair of two components whose signatures agree in
+the threshold less SLACK or more is a candidate. What is confirmed of these joins the components. So the only pairs of a
+region that nothing looks at are those that confirmed links already join. The work grows with the product of the
+sizes of the components in a region, not with the square of the region.
+
+A pair at the threshold 0.85 shares a region in one of 20 orders with a probability of 1 - 4e-7, at 0.8 with 1 - 3e-5. In a
+crowded region its 120 values must also agree in the threshold less SLACK: at 0.85 all but 2e-8, at 0.8 all but 1e-7 do.
 
 Defined results: null, empty or wordless texts have no shingles, link with nothing and are kept; texts with fewer words
 than a shingle have their whole sequence as one; repeated rows of one doc_id are one node, and each gets its row.
@@ -33,7 +40,7 @@ DEPTH = 6
 MIN_DEPTH = 4
 WINDOW = 4
 BLOCK = 256
-#: Rows of crowded regions that are compared by their signatures at once, and partners that each row gets of them.
+#: Rows of crowded regions that are compared by their signatures at once, and partners that each row gets of them at first.
 CHUNK = 512
 NEAREST = 2
 #: A candidate of a crowded region agrees in at least the threshold less this; six times the estimate's deviation.
@@ -128,8 +135,8 @@ def _neighbours(tree: np.ndarray, k1: np.ndarray, window: int, fresh: int) -> tu
     return np.concatenate(left), np.concatenate(right), crowded
 
 
-def candidates(rows: DataFrame, reps: DataFrame, trees: int, window: int, least: float) -> DataFrame:
-    """a < b and the block in which both stand: each pair once."""
+def candidates(rows: DataFrame, reps: DataFrame, window: int, least: float, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """a < b and the block in which both stand, each pair once; and tree, k1, rep of the rows of crowded regions (some twice)."""
     spark, names = rows.sparkSession, ["tree", "k1", "k2", "rep"]
     n = partitions(spark)
 
@@ -140,22 +147,23 @@ def candidates(rows: DataFrame, reps: DataFrame, trees: int, window: int, least:
             new = [b.column(x).to_numpy() for x in names]
             if not len(new[0]):
                 continue
-            if seen < window:
-                yield _rows(1, part, **dict(zip(("tree", "k1", "k2", "a"), (x[: window - seen] for x in new), strict=True)))
+            if seen <= window:
+                yield _rows(1, part, **dict(zip(("tree", "k1", "k2", "a"), (x[: window + 1 - seen] for x in new), strict=True)))
             table = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
             old = len(table[0]) - len(new[0])
             i, j, crowded = _neighbours(table[0], table[1], window, old)
             x, y = table[3][i], table[3][j]
             real = x != y
             yield _rows(0, part, a=np.minimum(x, y)[real], b=np.maximum(x, y)[real], block=((part << 32) + (seen + j - old) // BLOCK)[real])
-            yield _rows(2, part, a=table[3][crowded], block=(part << 32) + (1 << 31) + (seen + crowded - old) // CHUNK, tree=table[0][crowded], k1=table[1][crowded])
+            yield _rows(2, part, a=table[3][crowded], block=(part << 32) + (1 << 31) + (seen + crowded - old) // chunk, tree=table[0][crowded], k1=table[1][crowded])
             seen += len(new[0])
             held = [x[-(window + 2) :] for x in table]
-        if seen > window:
-            yield _rows(1, part, **dict(zip(("tree", "k1", "k2", "a"), (x[-min(window, seen - window) :] for x in held), strict=True)))
+        if seen > window + 1:
+            yield _rows(1, part, **dict(zip(("tree", "k1", "k2", "a"), (x[-min(window + 1, seen - window - 1) :] for x in held), strict=True)))
 
     def joints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The ends of all partitions, sorted: pairs across their borders. A few rows for each partition."""
+        """The ends of all partitions, sorted: pairs across their borders (kind 0), and rows of crowded regions that lie
+        across a border (kind 2). A few rows for each partition."""
         held = list(batches)
         batch = pa.Table.from_batches(held).combine_chunks() if held else None
         if batch and batch.num_rows:
@@ -164,7 +172,12 @@ def candidates(rows: DataFrame, reps: DataFrame, trees: int, window: int, least:
             i = j - np.repeat(np.arange(1, window + 1), [max(0, len(tree) - d) for d in range(1, window + 1)])
             keep = (part[i] != part[j]) & (rep[i] != rep[j]) & (tree[i] == tree[j]) & (k1[i] == k1[j])
             x, y = rep[i][keep], rep[j][keep]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array((part[j][keep] << 32) + (1 << 30))], names=["a", "b", "block"])
+            yield _rows(0, -1, a=np.minimum(x, y), b=np.maximum(x, y), block=(part[j][keep] << 32) + (1 << 30))
+            region = np.cumsum((np.diff(tree, prepend=tree[0]) != 0) | (np.diff(k1, prepend=k1[0]) != 0))
+            first = np.flatnonzero(np.diff(region, prepend=-1))
+            wide = (np.bincount(region) > window + 1) & (np.minimum.reduceat(part, first) != np.maximum.reduceat(part, first))
+            rows_ = np.flatnonzero(wide[region])
+            yield _rows(2, -1, a=rep[rows_], tree=tree[rows_], k1=k1[rows_])
 
     def closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """In chunks of crowded regions, the NEAREST rows whose whole signatures agree best with each row's."""
@@ -201,12 +214,68 @@ def candidates(rows: DataFrame, reps: DataFrame, trees: int, window: int, least:
     ordered = rows.repartitionByRange(n, "tree", "k1", "k2", "rep").sortWithinPartitions("tree", "k1", "k2", "rep")
     found = stored(ordered.mapInArrow(run, _PAIRS), "forest")
     ends = found.filter("kind = 1").select("tree", "k1", "k2", F.col("a").alias("rep"), "part")
-    across = ends.coalesce(1).sortWithinPartitions("tree", "k1", "k2", "rep").mapInArrow(joints, "a long, b long, block long")
+    across = stored(ends.coalesce(1).sortWithinPartitions("tree", "k1", "k2", "rep").mapInArrow(joints, _PAIRS), "forest-joints")
     crowded = found.filter("kind = 2").select("a", "block", "tree", "k1")
     crowded = crowded.join(reps.select(F.col("rep").alias("a"), "sig").hint("merge"), "a")
     crowded = crowded.repartition(n, "block").sortWithinPartitions("block")
     close = crowded.mapInArrow(closest, "a long, b long, block long")
-    pairs = found.filter("kind = 0").select("a", "b", "block").unionByName(across).unionByName(close)
+    both = found.unionByName(across)
+    pairs = both.filter("kind = 0").select("a", "b", "block").unionByName(close)
+    return pairs.groupBy("a", "b").agg(F.min("block").alias("block")), both.filter("kind = 2").select("tree", "k1", F.col("a").alias("rep"))
+
+
+def across_components(crowded: DataFrame, roots: DataFrame, reps: DataFrame, least: float, chunk: int) -> DataFrame:
+    """a < b and the block in which both stand: all pairs of rows of one crowded region (tree, k1, rep) that roots (node,
+    root) doesn't join and whose signatures agree in the part least or more, each pair once."""
+    n, names = partitions(crowded.sparkSession), ["tree", "k1", "root", "rep"]
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, part = 0, TaskContext.get().partitionId()
+        for b in batches:
+            at = (part << 32) + (seen + np.arange(b.num_rows)) // chunk
+            seen += b.num_rows
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), pa.array(at)], names=[*names, "chunk"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(key: tuple, at: np.ndarray, root: np.ndarray, rep: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
+            _, k1, one, two = key
+            left, right = np.flatnonzero(at == one), np.flatnonzero(at == two)
+            block = int(mixed(np.array([k1, one, two]).view(np.uint64) * _ODD[:3]).sum().view(np.int64))
+            for lo in range(0, len(left), 64):
+                i = left[lo : lo + 64]
+                x, y = np.nonzero(root[i][:, None] != root[right][None, :])
+                near = (sig[i][x] == sig[right][y]).sum(1) >= least * sig.shape[1]
+                a, b = rep[i][x[near]], rep[right][y[near]]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), block))], names=["a", "b", "block"])
+
+        key, held = None, []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = np.stack([b.column(x).to_numpy().astype(np.int64) for x in ("tree", "k1", "one", "two")])
+            cuts = np.append(np.flatnonzero(np.append(True, (np.diff(keys) != 0).any(0))), b.num_rows)
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if (new := tuple(keys[:, lo].tolist())) != key:
+                    if held:
+                        yield from done(key, *(np.concatenate(x) for x in zip(*held, strict=True)))
+                    key, held = new, []
+                sig = np.frombuffer(b"".join(b.column("sig").slice(lo, hi - lo).to_pylist()), np.uint16).reshape(hi - lo, -1)
+                held.append((*(b.column(x).to_numpy()[lo:hi] for x in ("chunk", "root", "rep")), sig))
+        if held:
+            yield from done(key, *(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    rows = crowded.join(roots.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("tree", "k1", F.coalesce("root", "rep").alias("root"), "rep")
+    rows = rows.repartitionByRange(n, *names).sortWithinPartitions(*names).mapInArrow(numbered, "tree int, k1 long, root long, rep long, chunk long")
+    rows = stored(rows, "crowded")
+    spans = stored(rows.groupBy("tree", "k1", "chunk").agg(F.min("root").alias("lo"), F.max("root").alias("hi")), "chunks")
+    one, two = (spans.select("tree", "k1", *(F.col(x).alias(f"{x}{i}") for x in ("chunk", "lo", "hi"))) for i in (1, 2))
+    meet = one.hint("merge").join(two, ["tree", "k1"]).filter("chunk1 <= chunk2 AND least(lo1, lo2) <> greatest(hi1, hi2)")
+    meet = stored(meet.select("tree", "k1", F.col("chunk1").alias("one"), F.col("chunk2").alias("two")), "chunk-pairs")
+    sides = meet.withColumn("chunk", F.explode(F.array_distinct(F.array("one", "two"))))
+    rows = sides.hint("merge").join(rows, ["tree", "k1", "chunk"]).join(reps.select("rep", "sig").hint("merge"), "rep")
+    rows = rows.repartition(n, "tree", "k1", "one", "two").sortWithinPartitions("tree", "k1", "one", "two")
+    pairs = rows.select("tree", "k1", "one", "two", "chunk", "root", "rep", "sig").mapInArrow(compared, "a long, b long, block long")
     return pairs.groupBy("a", "b").agg(F.min("block").alias("block"))
 
 
@@ -259,14 +328,22 @@ def confirmed(pairs: DataFrame, df: DataFrame, shingle: int, num: int, den: int)
     return ordered.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, trees: int = TREES, window: int = WINDOW) -> DataFrame:
+def near_duplicates(df: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, trees: int = TREES, window: int = WINDOW, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id), one row for each row."""
     seen = stored(profiles(df, shingle, trees * DEPTH), "profiles")
     classes = seen.filter("n_shingles > 0").groupBy("fp1", "fp2").agg(F.min(F.struct("doc_id", "sig")).alias("x"))
     classes = stored(classes.select("fp1", "fp2", F.col("x.doc_id").alias("rep"), F.col("x.sig").alias("sig")), "classes")
-    pairs = stored(candidates(orders(classes, trees), classes, trees, window, num / den - SLACK), "candidates")
+    least = num / den - SLACK
+    pairs, crowded = candidates(orders(classes, trees), classes, window, least, chunk)
+    pairs = stored(pairs, "candidates")
     links = stored(confirmed(pairs, df, shingle, num, den), "links")
-    roots = components(links)
+    roots = stored(components(links), "roots")
+    # two chunks of half the size meet, so that as many texts are confirmed at once as before
+    rest = across_components(crowded, roots, classes, least, max(1, chunk // 2)).join(pairs.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+    rest = stored(rest, "rest")
+    if not rest.isEmpty():
+        more = stored(confirmed(rest, df, shingle, num, den), "more-links")
+        roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     named = classes.select("fp1", "fp2", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     named = stored(named.select("fp1", "fp2", F.coalesce("root", "rep").alias("component_id")), "named")
     out = seen.select("doc_id", "n_shingles", "fp1", "fp2").join(named, ["fp1", "fp2"], "left")

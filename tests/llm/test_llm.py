@@ -273,6 +273,25 @@ def test_op9_crowded_region(spark):
     assert by_id(minhash_forest.near_duplicates(df, 3, 85, 100), "n_shingles", "component_id") == brute.near_classes(rows, 3, 85, 100)
 
 
+@pytest.mark.parametrize("how", [{}, {"chunk": 4}])
+def test_op9_two_families(spark, how):
+    """Families of near copies whose members agree better with each other than with the other family, above the threshold."""
+    r, rows = random.Random(3), []
+    for f in range(8):
+        base = [f"b{f}_{i}" for i in range(500)]
+        for side in range(2):
+            for m in range(8):
+                w = list(base)
+                for i in range(10 * side):
+                    w[20 + 40 * i] = f"o{f}_{i}"
+                w[r.randrange(450, 490)] = f"m{f}_{side}_{m}"
+                rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.near_classes(rows, 3, 85, 100)
+    assert len({root for _, root in want.values()}) == 8
+    assert by_id(minhash_forest.near_duplicates(df, 3, 85, 100, **how), "n_shingles", "component_id") == want
+
+
 def test_op10(spark):
     r = random.Random(6)
     word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 9)))
