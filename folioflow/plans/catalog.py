@@ -130,13 +130,22 @@ add("J10_contained_phrases", lambda s, d: _contained(B(s, d, "documents"), B(s,
 def _contained(documents: DataFrame, phrases: DataFrame, size: int = 24) -> DataFrame:
     """doc_id, item_id where a document holds a phrase: an equi-join on the phrase's first characters, then the whole test.
 
-    Positions of a document that start no phrase end at the join; the phrases' heads are what is matched, not all pairs.
+    Positions of a document that start no phrase end at the join; the phrases' heads are what is matched, not all pairs. A
+    phrase of fewer than size characters is its own head. The driver gets the heads' lengths and first characters. Rows
+    without a doc_id and repeated ids are told apart by their texts; the empty phrase is in every text.
     """
-    heads = phrases.filter(F.length("text") >= size).select("item_id", F.col("text").alias("phrase"), F.substring("text", 1, size).alias("head"))
-    spots = documents.filter(F.length("text") >= size).select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.length("text") - size + 1)).alias("at"))
-    spots = spots.select("doc_id", F.substring("text", F.col("at"), F.lit(size)).alias("head"), F.substring("text", F.col("at"), F.lit(1)).alias("c"), "at")
-    hits = spots.filter(F.col("c").rlike("[A-ZÀ-Þ]")).join(F.broadcast(heads.select("head").distinct()), "head", "left_semi").select("doc_id", "head").distinct()
-    return hits.join(heads, "head").join(documents.select("doc_id", "text"), "doc_id").filter(F.col("text").contains(F.col("phrase"))).select("doc_id", "item_id")
+    heads = phrases.filter("text <> ''").select("item_id", F.col("text").alias("phrase"), F.substring("text", 1, size).alias("head"))
+    sizes = sorted(r[0] for r in heads.select(F.length("head")).distinct().collect()) or [size]
+    first = [r[0] for r in heads.select(F.substring("head", 1, 1)).distinct().collect()]
+    rows = documents.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    spots = rows.filter("text <> ''").select("doc_id", "h", "text", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("at"))
+    spots = spots.filter(F.substring("text", F.col("at"), F.lit(1)).isin(first))
+    spots = spots.select("doc_id", "h", F.explode(F.array(*[F.substring("text", F.col("at"), F.lit(n)) for n in sizes])).alias("head"))
+    hits = spots.join(F.broadcast(heads.select("head").distinct()), "head", "left_semi").distinct().join(heads, "head").alias("x")
+    rows = rows.alias("d")
+    found = hits.join(rows, (F.col("x.h") == F.col("d.h")) & F.col("x.doc_id").eqNullSafe(F.col("d.doc_id"))).filter(F.col("d.text").contains(F.col("phrase")))
+    everywhere = documents.filter("text IS NOT NULL").select("doc_id").crossJoin(phrases.filter("text = ''").select("item_id"))
+    return found.select("d.doc_id", "item_id").unionByName(everywhere)
 
 
 _TERMS = ["the", "tion", "there", "her", "ou", "and the"]

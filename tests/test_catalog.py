@@ -1,7 +1,7 @@
 import pytest
 from compare import connection, difference
 
-from folioflow.plans import registry
+from folioflow.plans import catalog, registry
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
@@ -23,3 +23,13 @@ def test_has_rows(spark, sf, name):
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
+
+
+def test_contained_phrases_of_any_kind(spark):
+    texts = ["and so the lower-case phrase of many words goes on", "see 12 \"quoted things that are long enough here\"", "Žluťoučký kůň pěl ďábelské ódy, all day long", "ab", "", None, "x ab"]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (None, "Other"), (2, "end ab"), (2, "end ab")]
+    phrases = ["the lower-case phrase of many words", "12 \"quoted things that are long", "\"quoted things that are long enough", "Žluťoučký kůň pěl ďábelské ódy", "ab", "b", "12", "Ž", "", None, "the lower-case phrase of many worlds", "ab"]
+    items = list(enumerate(phrases))
+    got = catalog._contained(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = [(d, i) for d, t in docs for i, p in items if t is not None and p is not None and p in t]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
