@@ -9,8 +9,9 @@ representatives a shard.
 
 The levels are built by three counting passes. Each task counts its documents in numpy and deals packed (n-gram, count)
 tables by ranges of the first id; each range is merged, smoothed and written by one task as a file in the shared folder.
-N-grams of order two and three seen fewer than MIN_COUNT (2) times are left out of the levels, but count in the totals; a
-trigram can only reach it if both of its bigrams do, which spares the others the shuffle. Smoothing: interpolated absolute
+N-grams of order two and three seen fewer than min_count times are left out of the levels, but count in the totals (1, as
+in the registered query, keeps all; MIN_COUNT is the functions' default); a trigram can only reach it if both of its bigrams
+do, which spares the others the shuffle. Smoothing: interpolated absolute
 discounting; what is discounted or left out is the context's back-off weight to the next shorter context, and the last is
 the add-one unigram over the vocabulary and one unknown word, so probabilities of a context sum to 1 (but for rounding).
 
@@ -255,7 +256,7 @@ def sequences(model: Model, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray,
     return model.word_ids(full), begin, scored
 
 
-def _level(level: int, order_shards: int, model: Model):
+def _level(level: int, order_shards: int, model: Model, min_count: int):
     """build() for level 2 or 3."""
 
     def build(s: int, keys: np.ndarray, counts: np.ndarray) -> tuple[dict[str, np.ndarray], int, int]:
@@ -269,7 +270,7 @@ def _level(level: int, order_shards: int, model: Model):
             at = np.arange(first, first + n_contexts)
             for f, q in model.levels[2].split(model.levels[2].of_place(at)):
                 total[q] = shard(model.levels[2].files[f]["uri"]).arrays["counts"][at[q] - model.levels[2].start[f]]
-        keep = counts >= MIN_COUNT
+        keep = counts >= min_count
         context, follower, counts = context[keep], follower[keep], counts[keep]
         part = (counts - DISCOUNT) / total[context]
         weight = np.maximum(1 - np.bincount(context, part, n_contexts), 1e-12)
@@ -301,7 +302,7 @@ def _last_words(model: Model, place: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(df: DataFrame, folder: str) -> Model:
+def train(df: DataFrame, folder: str, min_count: int = MIN_COUNT) -> Model:
     """The model of the rows of df (doc_id, text, held_out) that are not held out."""
     model = Model(partitions(df.sparkSession))
 
@@ -322,7 +323,7 @@ def train(df: DataFrame, folder: str) -> Model:
         return ids[at - 1].astype(np.uint64) << np.uint64(32) | ids[at].astype(np.uint64)
 
     by_context = lambda order: lambda k: model.context_shard(order, (k >> np.uint64(32)).astype(np.int64))
-    model.levels[2] = Level(_built(_counted(df, bigrams, by_context(2)), folder, 2, _level(2, model.shards, model)), model.shards)
+    model.levels[2] = Level(_built(_counted(df, bigrams, by_context(2)), folder, 2, _level(2, model.shards, model, min_count)), model.shards)
     if model.levels[2].n >= 1 << 32:
         raise ValueError("bigram places need more than 32 bits")
 
@@ -334,7 +335,7 @@ def train(df: DataFrame, folder: str) -> Model:
         need = at[(place[at] >= 0) & (place[at - 1] >= 0)]
         return place[need - 1].astype(np.uint64) << np.uint64(32) | model.relative(ids, place, need)[need].astype(np.uint64)
 
-    model.levels[3] = Level(_built(_counted(df, trigrams, by_context(3)), folder, 3, _level(3, model.shards, model)), model.shards)
+    model.levels[3] = Level(_built(_counted(df, trigrams, by_context(3)), folder, 3, _level(3, model.shards, model, min_count)), model.shards)
     return model
 
 
@@ -364,8 +365,8 @@ def scores(df: DataFrame, model: Model) -> DataFrame:
     return df.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def score(df: DataFrame) -> DataFrame:
+def score(df: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     """Trains on the rows of df whose crc32(doc_id as text) mod 7 is not 2, and scores all."""
     arrow_limits(df.sparkSession)
     rows = texts(df, (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2).alias("held_out"))
-    return scores(rows, train(rows, fresh_dir(df.sparkSession, "ngram-trie")))
+    return scores(rows, train(rows, fresh_dir(df.sparkSession, "ngram-trie"), min_count))

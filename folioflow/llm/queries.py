@@ -19,7 +19,7 @@ def vocabulary(name: str) -> str:
 def op1_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflow.llm.ngram_trie import score
 
-    return score(docs_of(spark, sf_dir))
+    return score(docs_of(spark, sf_dir), min_count=1)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

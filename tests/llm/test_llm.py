@@ -123,6 +123,30 @@ def test_op1_against_plain_model(docs):
     assert sum(p2("the", c) for c in one) + w2.get("the", 1) / (n + v + 1) == pytest.approx(1)
 
 
+def test_op1_query_keeps_ngrams_seen_once(docs, spark, tmp_path):
+    end, cut = "<end>", ngram_trie.DISCOUNT
+    one, two, three, follows = {}, {}, {}, {}
+    rows = [(d, [end, *brute.words(t), end], zlib.crc32(str(d).encode()) % 7 == 2) for d, t in corpus()]
+    for _, w, held in rows:
+        for i in range(1, len(w) if not held else 0):
+            for x, g in ((one, w[i]), (two, (w[i - 1], w[i])), (follows, w[i - 1]), *([(three, (w[i - 2], w[i - 1], w[i]))] if i > 1 else [])):
+                x[g] = x.get(g, 0) + 1
+    n, v = sum(one.values()), len(one)
+    w2, w3 = {}, {}
+    for (a, _), c in two.items():
+        w2[a] = w2.get(a, 1) - (c - cut) / follows[a]
+    for (a, b, _), c in three.items():
+        w3[a, b] = w3.get((a, b), 1) - (c - cut) / two[a, b]
+    p1 = lambda c: (one.get(c, 0) + 1) / (n + v + 1)
+    p2 = lambda b, c: ((two[b, c] - cut) / follows[b] if (b, c) in two else 0) + w2.get(b, 1) * p1(c)
+    p3 = lambda a, b, c: ((three[a, b, c] - cut) / two[a, b] if (a, b, c) in three else 0) + w3.get((a, b), 1) * p2(b, c)
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = by_id(QUERIES["op1_ngram_trie"](spark, f"file://{tmp_path}"), "score")
+    for d, w, _ in rows:
+        exact = sum(math.log10(p3(w[i - 2] if i > 1 else None, w[i - 1], w[i])) for i in range(1, len(w)))
+        assert got[d] == pytest.approx(exact, abs=0.03 * len(w))
+
+
 def test_elias_fano():
     r = np.random.default_rng(1)
     for values in (np.sort(r.choice(10**6, 5000, False)), np.arange(3), np.array([7]), np.concatenate([np.arange(1000), [1 << 60]]), np.sort(r.integers(0, 1 << 63, 3000, np.uint64))):
