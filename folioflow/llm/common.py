@@ -17,9 +17,12 @@ SLICE_BYTES = 1 << 21
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a new local one only where the setting is absent (tests, one machine)."""
+    """The folder in spark.checkpoint.dir; a new local one only where the setting is absent and all runs on one machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -50,6 +53,7 @@ def arrow_limits(spark: SparkSession) -> None:
     if top not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (top, env.get("PYTHONPATH", "")) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * SLICE_BYTES))
 
 
 def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,14 +71,39 @@ def texts(df: DataFrame, *more: Column) -> DataFrame:
     return df.select(doc_id(), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All of df's columns in one struct _row, so that no other name can clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+
+
 def carried(df: DataFrame) -> DataFrame:
-    """doc_id, text and all of df's columns in one struct _row, so that no other name can clash with them."""
-    return texts(df, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+    """doc_id, text and df's row as the struct _row."""
+    return texts(df, whole_row(df))
+
+
+def keyed(df: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, twin, text (null: empty) and the columns given; doc_id and twin together name a document.
+
+    twin is 0 for a row whose doc_id has one text only. Rows that share a doc_id with different texts, and rows without
+    a doc_id, have a hash of the text there, so that no row's lines or bytes are taken for another's; equal rows are one
+    document.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = df.select(F.col("doc_id").cast("long").alias("_id"), text.alias("text"), *more)
+    names = df.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_h")).filter("_id IS NOT NULL")
+    shared = names.groupBy("_id").agg(F.min("_h").alias("lo"), F.max("_h").alias("hi")).filter("lo <> hi").select("_id", F.lit(True).alias("_shared"))
+    shared = stored(shared, "shared-ids")
+    rows = rows.withColumn("_shared", F.when(F.col("_id").isNull(), F.lit(True)))
+    if not shared.isEmpty():
+        named = rows.filter("_id IS NOT NULL").drop("_shared").join(shared.hint("merge"), "_id", "left").select(rows.columns)
+        rows = named.unionByName(rows.filter("_id IS NULL"))
+    twin = F.when(F.col("_shared"), F.xxhash64("text")).otherwise(F.lit(0)).cast("long").alias("twin")
+    return rows.select(F.coalesce("_id", F.lit(-1).cast("long")).alias("doc_id"), twin, "text", *[c for c in rows.columns if c not in ("_id", "text", "_shared")])
 
 
 def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """An Arrow string column without nulls as one byte array and n + 1 offsets into it."""
-    column = column.cast(pa.large_string())
+    """An Arrow column of strings or bytes without nulls as one byte array and n + 1 offsets into it."""
+    column = column.cast(pa.large_binary())
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()

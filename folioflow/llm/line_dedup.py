@@ -4,8 +4,11 @@ Only hashes of long lines are shuffled to be counted, each once per document and
 threshold are written to the shared folder, so that the join back knows their size (broadcast when small, otherwise a
 sort-merge join whose hot keys adaptive execution splits). What goes to the texts is positions, not lines.
 
-Defined results: a null text counts as empty (one empty line); repeated rows of one doc_id count as one document and are
-treated alike; equal lines within the surviving document all stay.
+Defined results: a null text counts as empty (one empty line); repeated rows (of one doc_id and one text) count as one
+document and are treated alike; rows without a doc_id, or that share one, with different texts are documents of their own,
+and of those with the largest doc_id the one with the largest hash of its text keeps the line; equal lines within the
+surviving document all stay; a very long text is split and joined in one row and needs some times its size; other columns
+are carried in a struct, so their names can't clash; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -16,31 +19,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import carried, stored, texts
+from folioflow.llm.common import keyed, stored, whole_row
 
 MIN_CHARS = 40
 MIN_DOCS = 5
 
 
-def line_keys(df: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, pos and a 128-bit hash (h1, h2) of each line whose key has min_chars code points or more."""
-    rows = texts(df).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """doc_id, twin, pos and a 128-bit hash (h1, h2) of each line of keyed rows whose key has min_chars code points or more."""
+    rows = docs.select("doc_id", "twin", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     # a line shorter than min_chars has no longer key: most lines end here, before any work on them
     rows = rows.filter(F.length("line") >= min_chars)
     key = F.regexp_replace("line", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    rows = rows.select("doc_id", "pos", key.alias("key")).filter(F.length("key") >= min_chars)
+    rows = rows.select("doc_id", "twin", "pos", key.alias("key")).filter(F.length("key") >= min_chars)
     key = F.translate("key", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return rows.select("doc_id", "pos", key.alias("key")).select("doc_id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
+    return rows.select("doc_id", "twin", "pos", key.alias("key")).select("doc_id", "twin", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
 
 
-def dropped_lines(df: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id and the array of line positions that go."""
-    keys = stored(line_keys(df, min_chars), "line-keys")
-    per_doc = keys.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
-    common = per_doc.groupBy("h1", "h2").agg(F.count("one").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """doc_id, twin and the array of line positions that go, from keyed rows."""
+    keys = stored(line_keys(docs, min_chars), "line-keys")
+    per_doc = keys.groupBy("h1", "h2", "doc_id", "twin").agg(F.lit(1).alias("one"))
+    common = per_doc.groupBy("h1", "h2").agg(F.count("one").alias("n_docs"), F.max(F.struct("doc_id", "twin")).alias("last"))
     common = stored(common.filter(F.col("n_docs") >= min_docs), "line-common")
-    gone = keys.join(common, ["h1", "h2"]).filter(F.col("doc_id") != F.col("last_doc"))
-    return gone.groupBy("doc_id").agg(F.collect_set("pos").alias("drop_at"))
+    gone = keys.join(common, ["h1", "h2"]).filter((F.col("doc_id") != F.col("last.doc_id")) | (F.col("twin") != F.col("last.twin")))
+    return gone.groupBy("doc_id", "twin").agg(F.collect_set("pos").alias("drop_at"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,15 +64,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup_lines(df: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, text (the kept lines joined by \\n), n_lines, n_dropped for each row of df."""
-    gone = dropped_lines(df, min_chars, min_docs)
+    docs = keyed(df)
+    gone = dropped_lines(docs, min_chars, min_docs)
     # a merge join at every size: whether one side could be broadcast would depend on the corpus
-    return texts(df).join(gone.hint("merge"), "doc_id", "left").mapInArrow(_cut, "doc_id long, text string, n_lines long, n_dropped long")
+    return docs.join(gone.hint("merge"), ["doc_id", "twin"], "left").drop("twin").mapInArrow(_cut, "doc_id long, text string, n_lines long, n_dropped long")
 
 
 def dedup_table(df: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """df with the kept lines as text and their length as n_chars, if it has that column."""
-    gone = dropped_lines(df, min_chars, min_docs)
-    rows = carried(df).join(gone.hint("merge"), "doc_id", "left")
+    docs = keyed(df, whole_row(df))
+    rows = docs.join(dropped_lines(docs, min_chars, min_docs).hint("merge"), ["doc_id", "twin"], "left").drop("twin")
     row = rows.schema["_row"].dataType.simpleString()
     out = rows.mapInArrow(_cut, f"doc_id long, _row {row}, text string, n_lines long, n_dropped long")
     new = {"text": F.col("text"), "n_chars": F.length("text").cast(df.schema["n_chars"].dataType) if "n_chars" in df.columns else None}

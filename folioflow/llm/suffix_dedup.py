@@ -1,22 +1,28 @@
-"""Removal of byte strings that occur earlier, by distributed doubling over synchronised positions.
+"""Removal of byte strings that occur earlier, by distributed prefix doubling over synchronised positions.
 
 A byte goes when a SPAN-byte string (100) that covers it also starts earlier. Sorting every position of the corpus at every
-round would shuffle some twenty times the input, so doubling runs on positions that equal strings must share:
-
-1. Rank at offset K (40): in each SPAN-byte window the positions with the least K-gram hash are anchors (about 3 in 100
-   positions). Equal windows have equal anchors at equal places. Anchors are named by their K-gram.
-2. Rank pairs at the next offsets: an anchor's block is all that windows around it reach, SPAN - K bytes to its left and
-   SPAN to its right. Spark deals (K-gram name, block name, doc, position) by K-gram name and each task sorts them. Names
-   that are unique end here. A block that is not the first of its name makes all its windows repeats. Of blocks with
-   equal K-grams but different names (the edges of repeats) the first ones go on.
-3. Past the threshold: windows around those anchors are compared by their own SPAN-byte names; all but the first repeat.
-
-Blocks that repeat within a slice of documents are settled where they are read, so a passage that stands in a third of all
-documents is dealt once a slice. K-gram names with more than `crowd` different blocks do not meet in one task: their
-windows are counted and joined back as rows. Names are 64 (K-grams) and 48 bits (blocks of one K-gram).
-
-Defined results: null, empty and shorter texts lose nothing; strings never cross documents; repeated rows of one doc_id
-are the same document at the same places and do not remove each other; a text longer than a slice is read in slices.
+round would shuffle some twenty times the input, so ranks are kept for positions that equal strings must share:
+
+1. Anchors. In each SPAN-byte window the positions with the least K-gram hash (K is 40) are anchors, about 3 in 100. Equal
+   windows have equal anchors at equal places, so a window repeats only if an anchor in it has the K-gram of another.
+2. Rank at offset K. (K-gram, hull, document, position) of all anchors is sorted; the hull is all that windows around the
+   anchor reach, SPAN - K bytes to its left and SPAN to its right. Anchors whose K-gram is unique end here. An anchor whose
+   hull is not the first of its name makes all windows around it repeats. First hulls that share their K-gram go on.
+3. Doubling. The windows of such an anchor start at offsets 0 to SPAN - K before it. Each round halves the range of
+   offsets, so that what its windows have in common, the core, grows: 40, 70, 85, 93, ... bytes, to SPAN when one offset is
+   left. Spark sorts the pairs (core, hull) with their positions; a range whose core is unique ends, one whose hull is not
+   the first of its name is a repeat as a whole, the others go to the next round.
+
+Step 2 moves most rows, so tasks pack what they gathered by ranges of the K-gram's name, and each range is sorted where it
+arrives; steps 3 are plain rows, range partitioned by (core, hull), so that a core that a third of all documents hold is
+spread over tasks. Equal hulls met in one task are settled there, so a passage that stands in a third of all documents is
+sent once a task and not once a document; of a K-gram with more than HOT different hulls in one task two are sent to step
+2 as witnesses, as all its anchors are known to go on. Names are 64 (K-grams, cores, hulls) and 48 bits (first hulls).
+
+Defined results: null, empty and shorter texts lose nothing; strings never cross documents; repeated rows (of one doc_id
+and one text) are the same document at the same places and do not remove each other; rows without a doc_id, or that share
+one, with different texts are documents of their own, in the order of their texts' hashes; a text longer than a slice is
+read in slices, and held whole only where its bytes are cut out; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -31,11 +37,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import _BYTE, SLICE_BYTES, mixed, partitions, stored, string_bytes, texts
+from folioflow.llm.common import _BYTE, keyed, mixed, partitions, stored, string_bytes
 
 SPAN = 100
 K = 40
-CROWD = 50_000
+#: Different hulls of one K-gram that a task sends to be compared before it takes the K-gram for common.
+HOT = 16
+#: Bytes of text read in one step.
+SLICE_BYTES = 1 << 20
+#: Anchors that a task gathers before it deals them out.
+GATHERED = 600_000
 
 _MUL = 0x9E3779B97F4A7C15
 _INV = pow(_MUL, -1, 1 << 64)
@@ -78,7 +89,7 @@ def _sliding(x: np.ndarray, w: int, best) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, at: np.ndarray, span: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """doc index, position, K-gram name, block name and reach to the left of the anchors of texts data[at[i]:at[i+1]]."""
+    """doc index, position, K-gram name, hull name and reach to the left of the anchors of texts data[at[i]:at[i+1]]."""
     w = span - k + 1
     if len(data) < span:
         return (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -94,29 +105,13 @@ def anchors(data: np.ndarray, at: np.ndarray, span: int, k: int) -> tuple[np.nda
     doc = np.searchsorted(at, p, "right") - 1
     left = np.minimum(p - at[doc], span - k)
     right = np.minimum(at[doc + 1] - p, span)
-    block = names.of(p - left, p + right) ^ mixed((left << 32 | right).astype(np.uint64))
-    return doc, p - at[doc], grams[p], block >> np.uint64(16), left
-
-
-def _merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ranges lo .. hi (both included) of each doc, joined where they touch."""
-    if not len(doc):
-        return doc, lo, hi
-    order = np.lexsort((lo, doc))
-    doc, lo, hi = doc[order], lo[order], hi[order]
-    _, dense = np.unique(doc, return_inverse=True)
-    base = dense.astype(np.int64) * (int(hi.max()) + 2)
-    reach = np.maximum.accumulate(hi + base)
-    new = np.ones(len(doc), bool)
-    new[1:] = lo[1:] + base[1:] > reach[:-1] + 1
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(doc)) - 1
-    return doc[first], lo[first], reach[last] - base[last]
-
-
-def _packed(key: np.ndarray, block: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> bytes:
+    hull = names.of(p - left, p + right) ^ mixed((left << 32 | right).astype(np.uint64))
+    return doc, p - at[doc], grams[p], hull >> np.uint64(16), left
+
+
+def _packed(key: np.ndarray, hull: np.ndarray, doc: np.ndarray, twin: np.ndarray, pos: np.ndarray) -> bytes:
     """Rows sorted by key: differences of the keys, the other columns as they are, by byte planes."""
-    parts = [np.diff(key, prepend=np.uint64(0)), block, doc.astype(np.uint64), pos.astype(np.uint64)]
+    parts = [np.diff(key, prepend=np.uint64(0)), hull, doc.view(np.uint64), twin.view(np.uint64), pos.astype(np.uint64)]
     planes = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, : 6 if i == 1 else 8].T).tobytes() for i, x in enumerate(parts)]
     return len(key).to_bytes(4, "little") + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
@@ -125,20 +120,20 @@ def _unpacked(blob: bytes) -> list[np.ndarray]:
     n = int.from_bytes(blob[:4], "little")
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[4:]), np.uint8)
     out, at = [], 0
-    for width in (8, 6, 8, 8):
+    for width in (8, 6, 8, 8, 8):
         full = np.zeros((n, 8), np.uint8)
         full[:, :width] = raw[at : at + n * width].reshape(width, n).T
         out.append(full.view(np.uint64).ravel())
         at += n * width
-    return [np.cumsum(out[0], dtype=np.uint64), out[1], out[2].view(np.int64), out[3].view(np.int64)]
+    return [np.cumsum(out[0], dtype=np.uint64), out[1], *(x.view(np.int64) for x in out[2:])]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], span: int, k: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """doc ids, offsets of the texts in data, place of each in its document, length of its document, and data."""
+def _pieces(batches: Iterator[pa.RecordBatch], span: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """doc ids and twins, offsets of the texts in data, place of each in its document, length of its document, and data."""
     reach = 2 * span
     for b in batches:
         data, at = string_bytes(b.column("text"))
-        docs = b.column("doc_id").to_numpy()
+        docs, twins = b.column("doc_id").to_numpy(), b.column("twin").to_numpy()
         lo = 0
         while lo < len(docs):
             hi = max(lo + 1, int(np.searchsorted(at, at[lo] + size, "right")) - 1)
@@ -146,73 +141,89 @@ def _pieces(batches: Iterator[pa.RecordBatch], span: int, k: int, size: int) ->
             if hi == lo + 1 and n > size:
                 for c in range(0, n, size):
                     s, e = max(0, c - reach), min(n, c + size + reach)
-                    yield docs[lo:hi], np.asarray([0, e - s]), np.asarray([s]), np.asarray([n]), data[at[lo] + s : at[lo] + e]
+                    yield docs[lo:hi], twins[lo:hi], np.asarray([0, e - s]), np.asarray([s]), np.asarray([n]), data[at[lo] + s : at[lo] + e]
             else:
-                yield docs[lo:hi], at[lo : hi + 1] - at[lo], np.zeros(hi - lo, np.int64), np.diff(at[lo : hi + 1]), data[at[lo] : at[hi]]
+                yield docs[lo:hi], twins[lo:hi], at[lo : hi + 1] - at[lo], np.zeros(hi - lo, np.int64), np.diff(at[lo : hi + 1]), data[at[lo] : at[hi]]
             lo = hi
 
 
-def _found(df: DataFrame, span: int, k: int, size: int) -> DataFrame:
-    """doc_id, kind, a, b: ranges a .. b of repeated window starts (kind 0); anchors at a of K-gram name b to compare (1)."""
-    n = partitions(df.sparkSession)
+def _firsts(key: np.ndarray, hull: np.ndarray, doc: np.ndarray, twin: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows' order by (key, hull, document, position); in it, which are the first of their key and hull, and which of
+    the others are not that same place again."""
+    order = np.lexsort((pos, twin, doc, hull, key))
+    key, hull, doc, twin, pos = (x[order] for x in (key, hull, doc, twin, pos))
+    first = np.ones(len(key), bool)
+    first[1:] = (key[1:] != key[:-1]) | (hull[1:] != hull[:-1])
+    lead = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
+    return order, first, (doc != doc[lead]) | (twin != twin[lead]) | (pos != pos[lead])
+
+
+_RANGES = "kind int, doc_id long, twin long, a long, b long"
+
+
+def _rows(kind: int, doc: np.ndarray, twin: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int32)), *map(pa.array, (doc, twin, a, b))], names=["kind", "doc_id", "twin", "a", "b"])
+
+
+def _ranked(docs: DataFrame, span: int, k: int, size: int, gathered: int, hot: int) -> DataFrame:
+    """Steps 1 and 2: ranges a .. b of repeated window starts (kind 0) and the anchors, at a, that go on (kind 1)."""
+    n = partitions(docs.sparkSession)
+
+    def dealt(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        key, hull, doc, twin, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order, first, again = _firsts(key, hull, doc, twin, pos)
+        key, hull, doc, twin, pos = (x[order] for x in (key, hull, doc, twin, pos))
+        lo = np.maximum(pos - (span - k), 0)
+        out = [_rows(0, doc[again], twin[again], lo[again], pos[again])]
+        key, hull, doc, twin, pos = (x[first] for x in (key, hull, doc, twin, pos))
+        group = np.flatnonzero(np.diff(key, prepend=key[:1] + np.uint64(1))) if len(key) else np.zeros(0, np.int64)
+        nth = np.arange(len(key)) - np.repeat(group, np.diff(np.append(group, len(key))))
+        crowd = np.repeat(np.diff(np.append(group, len(key))) > hot, np.diff(np.append(group, len(key)))) & (nth >= 2)
+        out.append(_rows(1, doc[crowd], twin[crowd], pos[crowd], pos[crowd]))
+        key, hull, doc, twin, pos = (x[~crowd] for x in (key, hull, doc, twin, pos))
+        for rows in out:
+            yield pa.RecordBatch.from_arrays([pa.array((rows.column("doc_id").to_numpy() % n).astype(np.int32)), pa.nulls(rows.num_rows, pa.binary()), *rows.columns], names=["shard", "blob", *rows.schema.names])
+        ends = np.searchsorted((key >> np.uint64(32)) * np.uint64(n) >> np.uint64(32), np.arange(n + 1, dtype=np.uint64))
+        has = np.flatnonzero(np.diff(ends))
+        blobs = [_packed(*(x[ends[i] : ends[i + 1]] for x in (key, hull, doc, twin, pos))) for i in has]
+        none = np.zeros(len(has), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(has.astype(np.int32)), pa.array(blobs, pa.binary()), *_rows(2, none, none, none, none).columns], names=["shard", "blob", "kind", "doc_id", "twin", "a", "b"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for docs, at, place, length, data in _pieces(batches, span, k, size):
-            doc, pos, key, block, left = anchors(data, at, span, k)
-            # reach cut off by a slice of a long text: that anchor stands in the next slice with its full block
+        held, many = [], 0
+        for docs_, twins, at, place, length, data in _pieces(batches, span, size):
+            doc, pos, key, hull, left = anchors(data, at, span, k)
+            # reach cut off by a slice of a long text: that anchor stands in the next slice with its full hull
             ends = np.diff(at)[doc]
             cut = (place[doc] > 0) & (left < span - k) | (place[doc] + ends < length[doc]) & (ends - pos < span)
-            doc, pos, key, block = (x[~cut] for x in (doc, pos + place[doc], key, block))
-            doc = docs[doc]
-            order = np.lexsort((pos, doc, block, key))
-            key, block, doc, pos = (x[order] for x in (key, block, doc, pos))
-            first = np.ones(len(key), bool)
-            first[1:] = (key[1:] != key[:-1]) | (block[1:] != block[:-1])
-            lead = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
-            again = (doc != doc[lead]) | (pos != pos[lead])
-            r_doc, r_lo, r_hi = _merged(doc[again], np.maximum(pos[again] - (span - k), 0), pos[again])
-            key, block, doc, pos = (x[first] for x in (key, block, doc, pos))
-            shard = (key >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
-            ends = np.searchsorted(shard, np.arange(n + 1, dtype=np.uint64))
-            has = np.flatnonzero(np.diff(ends))
-            blobs = [_packed(*(x[ends[i] : ends[i + 1]] for x in (key, block, doc, pos))) for i in has]
-            none = len(r_doc)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([has, r_doc % n]).astype(np.int32)),
-                    pa.array(blobs + [None] * none, pa.binary()),
-                    *(pa.array(np.concatenate([np.zeros(len(has), np.int64), x])) for x in (r_doc, r_lo, r_hi)),
-                ],
-                names=["shard", "blob", "doc", "a", "b"],
-            )
-
-    def rows(doc: np.ndarray, kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(np.full(len(doc), kind, np.int32)), pa.array(a), pa.array(b)], names=["doc_id", "kind", "a", "b"])
+            doc, pos, key, hull = (x[~cut] for x in (doc, pos + place[doc], key, hull))
+            held.append([key, hull, docs_[doc], twins[doc], pos])
+            many += len(doc)
+            if many > gathered:
+                yield from dealt(held)
+                held, many = [], 0
+        if held:
+            yield from dealt(held)
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[bytes] = []
+        blobs: list[bytes] = []
         for batch in batches:
             blob = batch.column("blob")
-            ready = batch.filter(blob.is_null())
-            yield rows(*(x if isinstance(x, int) else ready.column(x).to_numpy() for x in ("doc", 0, "a", "b")))
-            parts += [x for x in blob.to_pylist() if x is not None]
-        if not parts:
+            yield batch.filter(blob.is_null()).select(["kind", "doc_id", "twin", "a", "b"])
+            blobs += [x for x in blob.to_pylist() if x is not None]
+        if not blobs:
             return
-        key, block, doc, pos = (np.concatenate(x) for x in zip(*map(_unpacked, parts), strict=True))
-        order = np.lexsort((pos, doc, block, key))
-        key, block, doc, pos = (x[order] for x in (key, block, doc, pos))
-        first = np.ones(len(key), bool)
-        first[1:] = (key[1:] != key[:-1]) | (block[1:] != block[:-1])
-        lead = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
-        again = (doc != doc[lead]) | (pos != pos[lead])
-        yield rows(doc[again], 0, np.maximum(pos[again] - (span - k), 0), pos[again])
-        key, doc, pos = (x[first] for x in (key, doc, pos))
+        key, hull, doc, twin, pos = (np.concatenate(x) for x in zip(*map(_unpacked, blobs), strict=True))
+        order, first, again = _firsts(key, hull, doc, twin, pos)
+        key, doc, twin, pos = (x[order] for x in (key, doc, twin, pos))
+        yield _rows(0, doc[again], twin[again], np.maximum(pos[again] - (span - k), 0), pos[again])
+        key, doc, twin, pos = (x[first] for x in (key, doc, twin, pos))
         same = key[1:] == key[:-1]
-        edge = np.append(same, False) | np.append(False, same)
-        yield rows(doc[edge], 1, pos[edge], key[edge].view(np.int64))
+        more = np.append(same, False) | np.append(False, same)
+        yield _rows(1, doc[more], twin[more], pos[more], pos[more])
 
-    dealt = texts(df).mapInArrow(read, "shard int, blob binary, doc long, a long, b long").repartitionById(n, "shard")
-    return dealt.mapInArrow(rank, "doc_id long, kind int, a long, b long")
+    rows = docs.mapInArrow(read, "shard int, blob binary, " + _RANGES).repartitionById(n, "shard")
+    return rows.mapInArrow(rank, _RANGES)
 
 
 def _cover(n: int, lo: np.ndarray, hi: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -230,133 +241,165 @@ def _cover(n: int, lo: np.ndarray, hi: np.ndarray, span: int) -> tuple[np.ndarra
     return starts, np.cumsum(cover[:n]) > 0
 
 
-_OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-
+_NODES = _RANGES + ", core long, hull long, lo int, hi int, before int, bytes binary"
+
+
+class Nodes:
+    """Ranges lo .. hi of offsets before anchors, each with the bytes from `before` ahead of its anchor on."""
+
+    def __init__(self, doc, twin, at, lo, hi, before, size, data):
+        self.doc, self.twin, self.at, self.lo, self.hi, self.before, self.size, self.data = doc, twin, at, lo, hi, before, size, data
+
+    @classmethod
+    def of(cls, b: pa.RecordBatch) -> Nodes:
+        cols = [b.column(x).to_numpy().astype(np.int64) for x in ("doc_id", "twin", "a", "lo", "hi", "before")]
+        data, at = string_bytes(b.column("bytes"))
+        return cls(*cols, np.diff(at), data)
+
+    def reach(self, span: int) -> tuple[np.ndarray, np.ndarray]:
+        """The least and the greatest offset at which a window lies in the document."""
+        return np.maximum(self.lo, span - (self.size - self.before)), np.minimum(self.hi, self.before)
+
+    def halves(self, span: int, which: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The halves of the nodes in `which`, with their names; those of one name are settled here, but for the first."""
+        begin = np.cumsum(self.size) - self.size
+        names = Names(self.data)
+        parts = []
+        for half in (0, 1):
+            i = which[self.hi[which] > self.lo[which]]
+            middle = (self.lo[i] + self.hi[i]) >> 1
+            lo, hi = (self.lo[i], middle) if half == 0 else (middle + 1, self.hi[i])
+            first, last = np.maximum(lo, span - (self.size[i] - self.before[i])), np.minimum(hi, self.before[i])
+            ok = first <= last
+            i, lo, hi, first, last = (x[ok] for x in (i, lo, hi, first, last))
+            anchor = begin[i] + self.before[i]
+            core = names.of(anchor - lo, anchor + span - hi) ^ mixed((lo << 16 | hi).astype(np.uint64))
+            hull = names.of(anchor - last, anchor + span - first) ^ mixed((last << 16 | first).astype(np.uint64))
+            parts.append((core, hull, self.doc[i], self.twin[i], self.at[i], lo, hi, first, last, anchor))
+        cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        order, is_first, again = _firsts(*cols[:5])
+        core, hull, doc, twin, at, lo, hi, first, last, anchor = (x[order] for x in cols)
+        yield _node_rows(_rows(0, doc[again], twin[again], at[again] - last[again], at[again] - first[again]))
+        core, hull, doc, twin, at, lo, hi, first, last, anchor = (x[is_first] for x in (core, hull, doc, twin, at, lo, hi, first, last, anchor))
+        data = self.data.tobytes()
+        cut = [data[s:e] for s, e in zip((anchor - last).tolist(), (anchor + span - first).tolist(), strict=True)]
+        yield _node_rows(_rows(1, doc, twin, at, at), core.view(np.int64), hull.view(np.int64), lo.astype(np.int32), hi.astype(np.int32), last.astype(np.int32), cut)
+
+
+def _node_rows(ranges: pa.RecordBatch, *more) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    cols = [pa.array(x, t) for x, t in zip(more, types, strict=True)] if more else [pa.nulls(ranges.num_rows, t) for t in types]
+    return pa.RecordBatch.from_arrays([*ranges.columns, *cols], names=[*ranges.schema.names, "core", "hull", "lo", "hi", "before", "bytes"])
+
+
+def _cut_out(docs: DataFrame, found: DataFrame, span: int, k: int) -> DataFrame:
+    """The first halves of all anchors of found that go on and have windows that are not known as repeats yet."""
+    per_doc = found.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("kind", "a", "b")).alias("found"), F.max("kind").alias("any")).filter("any = 1")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = string_bytes(batch.column("text"))
+            lists = batch.column("found")
+            flat, ends = lists.values, lists.offsets.to_numpy()
+            kinds, av, bv = (flat.field(i).to_numpy() for i in range(3))
+            rows = []
+            for i in range(batch.num_rows):
+                n, mine = int(at[i + 1] - at[i]), slice(ends[i], ends[i + 1])
+                kind, a, b = kinds[mine], av[mine], bv[mine]
+                before = np.concatenate([[0], np.cumsum(_cover(n, a[kind == 0], b[kind == 0], span)[0])])
+                p = a[kind == 1]
+                lo, hi = np.maximum(p - (span - k), 0), np.minimum(p, n - span)
+                p = p[(before[np.maximum(hi + 1, 0)] - before[lo] < hi - lo + 1) & (hi >= lo)]
+                rows.append((np.full(len(p), i), p, np.minimum(p, span - k), np.minimum(n - p, span)))
+            i, p, left, right = (np.concatenate(x) for x in zip(*rows, strict=True)) if rows else [np.zeros(0, np.int64)] * 4
+            for s in range(0, len(i), 4096):
+                x, q, l, r = (v[s : s + 4096] for v in (i, p, left, right))
+                size = l + r
+                begin = np.cumsum(size) - size
+                where = np.repeat(at[x] + q - l - begin, size) + np.arange(size.sum())
+                docs_, twins = batch.column("doc_id").to_numpy()[x], batch.column("twin").to_numpy()[x]
+                nodes = Nodes(docs_, twins, q, np.zeros(len(q), np.int64), np.full(len(q), span - k), l, size, data[where])
+                yield from nodes.halves(span, np.arange(len(q)))
+
+    return docs.join(per_doc.hint("merge"), ["doc_id", "twin"]).mapInArrow(run, _NODES)
+
+
+def _doubled(nodes: DataFrame, span: int) -> DataFrame:
+    """A round: of the nodes' (core, hull) pairs, sorted, the repeats as ranges and the halves of what goes on as nodes."""
+    cols = ["core", "hull", "doc_id", "twin", "a"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, joined = None, True  # the last first row, and whether the rows before it had its core
+        for b in batches:
+            if not b.num_rows:
+                continue
+            b = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+            yield from step(b, joined)
+            core, hull = b.column("core").to_numpy(), b.column("hull").to_numpy()
+            new = np.append(True, (core[1:] != core[:-1]) | (hull[1:] != hull[:-1]))
+            lead = np.flatnonzero(new)
+            last = int(lead[-1])
+            joined = bool(core[last] == core[lead[-2]]) if len(lead) > 1 else joined
+            held = b.slice(last, 1)
+        if held is not None:
+            nodes = Nodes.of(held)
+            yield from nodes.halves(span, np.arange(1))
+
+    def step(b: pa.RecordBatch, joined: bool) -> Iterator[pa.RecordBatch]:
+        """What is certain in b: all but its last first row, which is held back."""
+        core, hull, doc, twin, at = (b.column(x).to_numpy() for x in cols)
+        new = np.append(True, (core[1:] != core[:-1]) | (hull[1:] != hull[:-1]))
+        nodes, lead = Nodes.of(b), np.flatnonzero(new)
+        of = lead[np.cumsum(new) - 1]
+        again = (doc != doc[of]) | (twin != twin[of]) | (at != at[of])
+        low, high = nodes.reach(span)
+        yield _node_rows(_rows(0, doc[again], twin[again], at[again] - high[again], at[again] - low[again]))
+        same = core[lead[1:]] == core[lead[:-1]]
+        more = (np.append(joined, same) | np.append(same, False))[:-1]
+        yield from nodes.halves(span, lead[:-1][more])
+
+    n = partitions(nodes.sparkSession)
+    # rows of one core may lie in two partitions, rows of one pair may not; what stands at a border goes on
+    return nodes.repartitionByRange(n, "core", "hull").sortWithinPartitions(*cols).mapInArrow(run, _NODES)
 
-def _result(doc: int, data: np.ndarray, gone: np.ndarray) -> tuple:
-    kept = data[~gone].tobytes()
-    spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
-    return doc, len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept
 
+_OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
+def _removed(docs: DataFrame, ranges: DataFrame, span: int, keep_bytes: bool) -> DataFrame:
+    """The results, from all ranges of repeated window starts."""
+    per_doc = ranges.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("a", "b")).alias("found"))
 
-def remove_repeats(df: DataFrame, span: int = SPAN, k: int = K, keep_bytes: bool = True, crowd: int = CROWD, size: int = SLICE_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept: the bytes that stay) for each row of df."""
-    spark = df.sparkSession
-    found = stored(_found(df, span, k, size), "repeats")
-    crowded = stored(found.filter("kind = 1").groupBy("b").count().filter(F.col("count") > crowd).select("b", F.lit(1).alias("hot")), "crowded")
-    marked = found.filter("kind = 1").join(crowded, "b", "left").select("doc_id", F.coalesce(F.col("hot") + 1, F.lit(1)).cast("int").alias("kind"), "a", "b")
-    per_doc = found.filter("kind = 0").unionByName(marked).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "a", "b")).alias("found"))
-    middle = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("pos", pa.int64()), ("left", pa.int64()), ("block", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """kind 0: a result; 1: a text to be settled, with its ranges; 2: a block to compare; 3: a window's name."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = string_bytes(batch.column("text"))
-            lists, out, held = batch.column("found"), [], 0
+            lists, out = batch.column("found"), []
             flat, ends = lists.values, lists.offsets.to_numpy()
-            kinds, av, bv = (flat.field(i).to_numpy() for i in range(3))
+            av, bv = (flat.field(i).to_numpy() for i in range(2))
             for i, doc in enumerate(batch.column("doc_id").to_pylist()):
                 text = data[at[i] : at[i + 1]]
-                n = len(text)
                 mine = slice(ends[i], ends[i + 1])
-                kind, a, b = kinds[mine], av[mine], bv[mine]
-                if not lists[i].is_valid or n < span:
-                    kind, a, b = kind[:0], a[:0], b[:0]
-                starts, gone = _cover(n, a[kind == 0], b[kind == 0], span)
-                before = np.concatenate([[0], np.cumsum(starts)])
-                lo, hi = np.maximum(a - (span - k), 0), np.minimum(a, n - span)
-                ask = (kind > 0) & (hi >= lo)
-                ask[ask] &= (before[hi[ask] + 1] - before[lo[ask]]) < hi[ask] - lo[ask] + 1
-                if not ask.any():
-                    r = _result(doc, text, gone)
-                    out.append((0, doc, None, None, None, None, *r[1:5], r[5] if keep_bytes else None))
-                else:
-                    change = np.flatnonzero(np.diff(np.concatenate([[False], starts, [False]]).astype(np.int8)))
-                    out.append((1, doc, None, None, None, change.astype("<i8").tobytes(), n, None, None, None, text.tobytes()))
-                    names = Names(text) if (kind[ask] == 2).any() else None
-                    for p, key, x, y, crowd_of in zip(a[ask].tolist(), b[ask].tolist(), lo[ask].tolist(), hi[ask].tolist(), (kind[ask] == 2).tolist(), strict=True):
-                        if crowd_of:
-                            at_x = np.arange(x, y + 1)
-                            out += [(3, doc, int(h), int(v), None, None, None, None, None, None, None) for v, h in zip(at_x, names.of(at_x, at_x + span).view(np.int64), strict=True)]
-                        else:
-                            out.append((2, doc, key, p, p - x, text[x : y + span].tobytes(), None, None, None, None, None))
-                held += n
-                if held > size:
-                    yield _batch(out, middle)
-                    out, held = [], 0
-            yield _batch(out, middle)
-
-    whole = texts(df).join(per_doc, "doc_id", "left")
-    state = stored(whole.mapInArrow(settle, "kind int, doc_id long, key long, pos long, left long, block binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"), "settled")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Windows around anchors of equal K-grams; rows come sorted by key and are taken some whole keys at a time."""
-
-        def done(rows: list[tuple]) -> pa.RecordBatch:
-            doc = np.asarray([r[1] for r in rows], np.int64)
-            pos = np.asarray([r[2] for r in rows], np.int64)
-            left = np.asarray([r[3] for r in rows], np.int64)
-            size_of = np.asarray([len(r[4]) for r in rows], np.int64)
-            data = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
-            base = np.cumsum(size_of) - size_of
-            names = Names(data)
-            out_doc, out_x = [], []
-            for back in range(span - k + 1):
-                i = np.flatnonzero((left >= back) & (left - back + span <= size_of))
-                if not len(i):
-                    continue
-                lo = base[i] + left[i] - back
-                h = names.of(lo, lo + span)
-                order = np.lexsort((pos[i], doc[i], h))
-                i, h = i[order], h[order]
-                first = np.ones(len(i), bool)
-                first[1:] = h[1:] != h[:-1]
-                lead = i[np.maximum.accumulate(np.where(first, np.arange(len(i)), 0))]
-                again = (doc[i] != doc[lead]) | (pos[i] != pos[lead])
-                out_doc.append(doc[i][again])
-                out_x.append(pos[i][again] - back)
-            d, x = np.concatenate(out_doc or [np.zeros(0, np.int64)]), np.concatenate(out_x or [np.zeros(0, np.int64)])
-            d, lo, hi = _merged(d, x, x)
-            return pa.RecordBatch.from_arrays([pa.array(d), pa.array(lo), pa.array(hi)], names=["doc_id", "a", "b"])
-
-        held: list[tuple] = []
-        for batch in batches:
-            new = list(zip(*(batch.column(n).to_pylist() for n in ("key", "doc_id", "pos", "left", "block")), strict=True))
-            if held and len(held) > 4096:
-                cut = next((i for i, r in enumerate(new) if r[0] != held[-1][0]), None)
-                if cut is not None:
-                    yield done(held + new[:cut])
-                    held, new = [], new[cut:]
-            held += new
-        if held:
-            yield done(held)
-
-    blocks = state.filter("kind = 2").select("key", "doc_id", "pos", "left", "block").repartition(partitions(spark), "key").sortWithinPartitions("key")
-    more = blocks.mapInArrow(compare, "doc_id long, a long, b long")
-    windows = state.filter("kind = 3").select(F.col("key"), "doc_id", F.col("pos").alias("a"))
-    firsts = windows.groupBy("key").agg(F.min(F.struct("doc_id", "a")).alias("x"), F.count("*").alias("n")).filter("n > 1")
-    firsts = stored(firsts.select("key", F.col("x.doc_id").alias("first_doc"), F.col("x.a").alias("first_a")), "windows")
-    again = windows.join(firsts, "key").filter("doc_id <> first_doc OR a <> first_a").select("doc_id", "a", F.col("a").alias("b"))
-    extra = more.unionByName(again).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("more"))
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
-        for batch in batches:
-            out = []
-            for doc, text, ranges, more_of in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "kept", "block", "more")), strict=True):
-                data = np.frombuffer(text, np.uint8)
-                edges = np.frombuffer(ranges, "<i8").reshape(-1, 2)
-                lo = np.concatenate([edges[:, 0], np.asarray([r["a"] for r in more_of or ()], np.int64)]).astype(np.int64)
-                hi = np.concatenate([edges[:, 1] - 1, np.asarray([r["b"] for r in more_of or ()], np.int64)]).astype(np.int64)
-                r = _result(doc, data, _cover(len(data), lo, hi, span)[1])
-                out.append((*r[:5], r[5] if keep_bytes else None))
-            yield _batch(out, schema)
-
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    late = state.filter("kind = 1").select("doc_id", "kept", "block").join(extra, "doc_id", "left").mapInArrow(finish, _OUT)
-    out = state.filter("kind = 0").select(*names).unionByName(late)
+                gone = _cover(len(text), av[mine], bv[mine], span)[1] if lists[i].is_valid else np.zeros(len(text), bool)
+                kept = text[~gone].tobytes()
+                spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
+                out.append((doc, len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if keep_bytes else None))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate([pa.int64()] * 4 + [pa.string(), pa.binary()])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+    # a merge join at every size: whether one side could be broadcast would depend on the corpus
+    return docs.join(per_doc.hint("merge"), ["doc_id", "twin"], "left").drop("twin").mapInArrow(run, _OUT)
+
+
+def remove_repeats(df: DataFrame, span: int = SPAN, k: int = K, keep_bytes: bool = True, size: int = SLICE_BYTES, gathered: int = GATHERED, hot: int = HOT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept: the bytes that stay) for each row of df."""
+    docs = keyed(df)
+    found = stored(_ranked(docs, span, k, size, gathered, hot), "ranked", "zstd")
+    state = stored(_cut_out(docs, found, span, k), "round-0", "zstd")
+    names = ["doc_id", "twin", "a", "b"]
+    ranges = found.filter("kind = 0").select(names).unionByName(state.filter("kind = 0").select(names))
+    left, number = span - k + 1, 0
+    while left > 1:  # the last round has one offset for each node, so that none goes on
+        left, number = -(-left // 2), number + 1
+        state = stored(_doubled(state.filter("kind = 1"), span), f"round-{number}", "zstd")
+        ranges = ranges.unionByName(state.filter("kind = 0").select(names))
+    out = _removed(docs, ranges, span, keep_bytes)
     return out if keep_bytes else out.drop("kept")

@@ -214,7 +214,7 @@ def test_op4_held_out(spark):
     assert more == [[], [], [(23, 39)], [(5, 22)]]
 
 
-@pytest.mark.parametrize("how", [{}, {"size": 700}, {"crowd": 1}, {"size": 1500, "crowd": 2}, {"k": 20}])
+@pytest.mark.parametrize("how", [{}, {"size": 700}, {"hot": 2, "gathered": 100}, {"size": 1500, "hot": 2, "gathered": 1}, {"k": 20}])
 def test_op5(docs, how):
     assert by_id(suffix_dedup.remove_repeats(docs, keep_bytes=False, **how), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.repeats(corpus())
 
