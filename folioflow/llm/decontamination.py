@@ -1,27 +1,32 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
-Texts and items are lower-cased and runs of white space read as one space. An item is cut into pieces of at most PIECE
-characters; a text that holds the item with edits in at most a tenth of its characters holds one of the pieces so, as the
-pieces' budgets add up. A piece of m characters with k edits shares at least m - q + 1 - k * q of its q-grams with the
-place where it stands, on at most k + 1 neighbouring diagonals (text position less piece position). So the shared q-grams
-are counted in diagonal bands; two neighbouring bands, which overlap the next two, together hold any such place. Regions
-that reach the bound are kept and each is verified by an alignment within its band, all regions of a slice at once.
+Texts and items are lower-cased, character by character, and runs of white space read as one space. An item is cut into
+passages of at most PIECE characters. A document is contaminated when it holds one of them with edits in at most a tenth
+of its characters; so it is in particular when it holds the whole item so, as the passages' budgets add up, but a part of
+an item is enough. A passage of m characters with k edits shares at least m - q + 1 - k * q of its q-grams with the place
+where it stands, on at most k + 1 neighbouring diagonals (text position less passage position). So the shared q-grams are
+counted in diagonal bands; two neighbouring bands, which overlap the next two, together hold any such place. Regions that
+reach the bound are kept and each is verified by an alignment within its band, all regions of a slice at once. q is Q, and
+less for a passage so short that the bound would be below one.
 
 The items are the query set: they go to all tasks in blocks of at most BLOCK_CHARS characters, one pass over the texts for
-each block. Defined results: null and empty texts are clean; null items and items below q characters are not looked for;
-repeated items count each by its item_id, repeated rows of a document are judged alike.
+each block. Defined results: null and empty texts are clean; null and blank items are not looked for, items of any other
+length are, those below 10 characters without edits; repeated items count each by its item_id, those without one as -1;
+repeated rows of a document are judged alike, rows that share a doc_id, or have none, each by its own text; very long texts
+are read in stretches that overlap by more than a passage; other columns are carried in a struct.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import carried, doc_id, mixed, slices, stored, texts
+from folioflow.llm.common import SLICE_BYTES, doc_id, keyed, mixed, slices, stored, whole_row
 
 Q = 8
 PIECE = 120
@@ -34,15 +39,28 @@ ALIGNED = 2048
 _END = 0x110000  # beyond all characters
 
 
+@cache
+def _lower() -> np.ndarray:
+    """The lower case of each character (itself, if that takes more than one); all white space is one character."""
+    out = np.arange(_END + 1, dtype=np.int32)
+    for c in range(_END):
+        if 0xD800 <= c < 0xE000:
+            continue
+        low = chr(c).lower()
+        if len(low) == 1:
+            out[c] = ord(low)
+    out[ord("\u03c2")] = ord("\u03c3")  # the two small sigmas have one capital
+    out[[9, 10, 11, 12, 13, 0xA0]] = 32
+    return out
+
+
 def folded(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The parts' folded characters, each part closed by _END; their places in the joined parts; where each part begins."""
-    parts = [x.lower() if len(x.lower()) == len(x) else x for x in parts]
-    raw = np.frombuffer("\0".join([*parts, ""]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    raw = _lower()[np.frombuffer("\0".join([*parts, ""]).encode("utf-32-le", "surrogatepass"), "<u4")]
     size = np.asarray([len(x) for x in parts], np.int64) + 1
     ends = np.cumsum(size) - 1
     raw[ends] = _END
-    space = (raw == 32) | (raw >= 9) & (raw <= 13) | (raw == 0xA0)
-    raw[space] = 32
+    space = raw == 32
     keep = np.ones(len(raw), bool)
     keep[1:] = ~(space[1:] & space[:-1])
     place = np.flatnonzero(keep)
@@ -50,6 +68,18 @@ def folded(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw[keep], place, np.append(begins, len(place))
 
 
+def stretches(text: str, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A long text's folded characters and their places, in stretches of about size that overlap by 4 * PIECE characters."""
+    chars, place = np.zeros(0, np.int32), np.zeros(0, np.int64)
+    for lo in range(0, len(text), size):
+        new, at, _ = folded([text[lo : lo + size]])
+        new, at = new[:-1], at[:-1] + lo
+        if len(chars) and len(new) and chars[-1] == new[0] == 32:
+            new, at = new[1:], at[1:]
+        chars, place = np.concatenate([chars[-4 * PIECE :], new]), np.concatenate([place[-4 * PIECE :], at])
+        yield np.append(chars, np.int32(_END)), np.append(place, len(text))
+
+
 def grams(chars: np.ndarray, q: int) -> np.ndarray:
     """Names of the q characters from each position on (those that would pass the end are left out)."""
     n = len(chars) - q + 1
@@ -62,22 +92,23 @@ def grams(chars: np.ndarray, q: int) -> np.ndarray:
     return mixed(h)
 
 
+def passages(items: list[tuple[int, str]], q: int = Q) -> dict[int, list[tuple[int, np.ndarray]]]:
+    """(item, characters) of all passages by the q that their bounds allow."""
+    out: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for item, text in items:
+        body = folded([text.strip()])[0][:-1]
+        for part in np.array_split(body, -(-len(body) // PIECE)) if len(body) else []:
+            out.setdefault(min(q, len(part) // (len(part) // PER_EDIT + 1)), []).append((item, part))
+    return out
+
+
 class Pieces:
-    """The pieces of a block of items, with an index of their q-grams."""
-
-    def __init__(self, items: list[tuple[int, str]], q: int = Q):
-        self.q, self.item, chars, sizes = q, [], [], []
-        for item, text in items:
-            body = folded([text.strip()])[0][:-1]
-            if len(body) < q:
-                continue
-            for part in np.array_split(body, -(-len(body) // PIECE)):
-                if len(part) >= q:
-                    self.item.append(item)
-                    chars.append(part)
-                    sizes.append(len(part))
-        self.size = np.asarray(sizes, np.int64)
-        self.edits = np.minimum(self.size // PER_EDIT, (self.size - q) // q)
+    """Passages with an index of their q-grams."""
+
+    def __init__(self, parts: list[tuple[int, np.ndarray]], q: int):
+        self.q, self.item, chars = q, [i for i, _ in parts], [x for _, x in parts]
+        self.size = np.asarray([len(x) for x in chars], np.int64)
+        self.edits = self.size // PER_EDIT
         self.least = self.size - q + 1 - self.edits * q
         self.band = int(self.edits.max(initial=0)) + 1
         self.chars = np.full((len(chars), int(self.size.max(initial=1))), -1, np.int64)
@@ -124,14 +155,17 @@ class Pieces:
         low = diagonal - k  # the band's first diagonal
         step, d = 1 << 32, np.arange(width, dtype=np.int64)
         padded = np.concatenate([np.full(PIECE + width, -2), chars, np.full(PIECE + 2 * width, -2)])
+        weight = np.where((padded == _END) | (padded == -2), 1000, 1) * step  # no passage goes on behind a text's end
+        upto = np.cumsum(weight)
         base = low[:, None] + d + PIECE + width
         cost = np.where((low[:, None] + d >= 0) & (low[:, None] + d <= len(chars)), low[:, None] + d, np.int64(1) << 60)  # the start is carried in the low bits
         best = np.full(len(piece), np.int64(1) << 60)
         end = np.zeros(len(piece), np.int64)
         for j in range(self.chars.shape[1]):
-            went = cost + step * (padded[np.minimum(base + j, len(padded) - 1)] != self.chars[piece, j][:, None])
+            at = np.minimum(base + j, len(padded) - 1)
+            went = cost + weight[at] * (padded[at] != self.chars[piece, j][:, None])
             went[:, :-1] = np.minimum(went[:, :-1], cost[:, 1:] + step)
-            cost = np.minimum.accumulate(went - step * d, axis=1) + step * d
+            cost = np.minimum.accumulate(went - upto[at], axis=1) + upto[at]
             last = np.flatnonzero(self.size[piece] == j + 1)
             if len(last):
                 x = cost[last].argmin(1)
@@ -140,33 +174,47 @@ class Pieces:
         return best >> 32, best & (step - 1), np.minimum(end, len(chars))
 
 
-def matches(df: DataFrame, items: DataFrame, q: int = Q, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, item_id, start, end (code points in the text), edits: a row for each piece found, in any document."""
-    spark = df.sparkSession
-    schema = "doc_id long, item_id long, start long, end long, edits long"
+    def found(self, chars: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(item, start, end, edits) of the passages that stand in chars within their budgets."""
+        piece, diagonal = self.regions(chars)
+        for lo in range(0, len(piece), ALIGNED):
+            p = piece[lo : lo + ALIGNED]
+            edits, start, end = self.align(chars, p, diagonal[lo : lo + ALIGNED])
+            for i in np.flatnonzero((edits <= self.edits[p]) & (end > start)):
+                yield self.item[p[i]], int(start[i]), int(end[i]), int(edits[i])
+
+
+def _matches(docs: DataFrame, items: DataFrame, q: int = Q, block_chars: int = BLOCK_CHARS, size: int = SLICE_BYTES) -> DataFrame:
+    """doc_id, twin, item_id, start, end (code points in the text), edits: a row for each passage found in keyed rows."""
+    spark = docs.sparkSession
+    names = ["doc_id", "twin", "item_id", "start", "end", "edits"]
+    schema = ", ".join(f"{x} long" for x in names)
     items = items.select(doc_id("item_id"), "text").filter("text IS NOT NULL")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-total // block_chars)
 
     def searched(block: list[tuple[int, str]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Pieces(block, q)
-            for b in slices(batches):
-                chars, place, begins = folded(b.column("text").to_pylist())
-                piece, diagonal = index.regions(chars)
-                docs, found = b.column("doc_id").to_numpy(), set()
-                for lo in range(0, len(piece), ALIGNED):
-                    p = piece[lo : lo + ALIGNED]
-                    edits, start, end = index.align(chars, p, diagonal[lo : lo + ALIGNED])
-                    for i in np.flatnonzero(edits <= index.edits[p]):
-                        d = int(np.searchsorted(begins, start[i], "right")) - 1
-                        if d < len(docs) and end[i] > start[i]:
-                            zero = place[begins[d]]
-                            found.add((d, int(docs[d]), index.item[p[i]], int(place[start[i]] - zero), int(place[end[i] - 1] + 1 - zero), int(edits[i])))
+            indexes = [Pieces(parts, n) for n, parts in passages(block, q).items()]
+            for b in slices(batches, size):
+                docs_, twins, found = b.column("doc_id").to_numpy(), b.column("twin").to_numpy(), set()
+                some = b.column("text").to_pylist()
+                if len(some) == 1 and len(some[0]) > size:
+                    for chars, place in stretches(some[0], size):
+                        found.update((0, i, int(place[s]), int(place[e - 1] + 1), n) for x in indexes for i, s, e, n in x.found(chars))
+                else:
+                    chars, place, begins = folded(some)
+                    for x in indexes:
+                        for i, s, e, n in x.found(chars):
+                            d = int(np.searchsorted(begins, s, "right")) - 1
+                            if d < len(docs_):
+                                zero = place[begins[d]]
+                                found.add((d, i, int(place[s] - zero), int(place[e - 1] + 1 - zero), n))
                 rows = sorted(found)
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(1, 6)], names=["doc_id", "item_id", "start", "end", "edits"])
+                d = np.asarray([r[0] for r in rows], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(docs_[d]), pa.array(twins[d]), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(1, 5))], names=names)
 
-        return texts(df).mapInArrow(run, schema)
+        return docs.select("doc_id", "twin", "text").mapInArrow(run, schema)
 
     out = spark.createDataFrame([], schema)
     for i in range(blocks):
@@ -175,11 +223,17 @@ def matches(df: DataFrame, items: DataFrame, q: int = Q, block_chars: int = BLOC
     return out
 
 
-def contamination(df: DataFrame, items: DataFrame, q: int = Q) -> DataFrame:
+def matches(df: DataFrame, items: DataFrame, q: int = Q, block_chars: int = BLOCK_CHARS, size: int = SLICE_BYTES) -> DataFrame:
+    """doc_id, item_id, start, end (code points in the text), edits: a row for each passage found, in any document."""
+    return _matches(keyed(df), items, q, block_chars, size).drop("twin")
+
+
+def contamination(df: DataFrame, items: DataFrame, q: int = Q, size: int = SLICE_BYTES) -> DataFrame:
     """doc_id, contaminated, n_items, n_spans, item_ids (ascending) for each row of df."""
-    found = stored(matches(df, items, q), "leaks")
-    per_doc = found.groupBy("doc_id").agg(F.count("*").alias("n_spans"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-    out = df.select(doc_id()).join(per_doc, "doc_id", "left")
+    docs = keyed(df)
+    found = stored(_matches(docs, items, q, size=size), "leaks")
+    per_doc = found.groupBy("doc_id", "twin").agg(F.count("*").alias("n_spans"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    out = docs.select("doc_id", "twin").join(per_doc, ["doc_id", "twin"], "left")
     return out.select(
         "doc_id",
         F.col("item_ids").isNotNull().alias("contaminated"),
@@ -191,5 +245,6 @@ def contamination(df: DataFrame, items: DataFrame, q: int = Q) -> DataFrame:
 
 def clean(df: DataFrame, items: DataFrame, q: int = Q) -> DataFrame:
     """The rows of df, with df's columns, in which no item was found."""
-    found = stored(matches(df, items, q).select("doc_id").distinct(), "leaks")
-    return carried(df).join(found.hint("merge"), "doc_id", "left_anti").select("_row.*")
+    docs = keyed(df, whole_row(df))
+    found = stored(_matches(docs, items, q).select("doc_id", "twin").distinct(), "leaks")
+    return docs.drop("text").join(found.hint("merge"), ["doc_id", "twin"], "left_anti").select("_row.*")

@@ -1,13 +1,15 @@
 """Personal data: patterns with checks, and a linear-chain conditional random field that adds what the patterns drop.
 
-The field labels words ([^\\x20\\x09-\\x0D]+) by their shapes and those of their neighbours. A word without a digit or an @
-is outside by construction, so the chain falls into runs of words that have one; Viterbi decodes all runs of a batch of
-documents together, and a text without such a word costs one search. It learns from a small labelled table (rows of words
+The field labels words ([^\\x20\\x09-\\x0D]+) by their shapes and those of their neighbours. The four kinds are written with
+digits or an @ in every word, so a word without either is outside, and the chain falls into runs of words that have one;
+Viterbi decodes all runs of a batch of documents together, and a text without such a word costs one search. It learns from a small labelled table (rows of words
 with labels, see `labelled_rows`), on the driver, in seconds. A span that it finds is trimmed of punctuation, must pass
 the check of its kind and must not overlap a pattern's span.
 
-Defined results: null and empty texts have no spans; repeated rows are treated alike; the counts n_* are those of the
-patterns (base), n_added those of the field.
+Defined results: null and empty texts have no spans; repeated rows, and rows without a doc_id (-1), are treated one by
+one; only the digits 0-9 count, whatever other signs a text holds; equal scores go to the label that stands first; a very
+long text is read whole, its runs are decoded some at a time; other columns are not looked at; an empty table gives an
+empty one. The counts n_* are those of the patterns (base), n_added those of the field.
 """
 
 from __future__ import annotations
@@ -51,7 +53,7 @@ def luhn(digits: str) -> bool:
 
 def is_ip(text: str) -> bool:
     parts = text.split(".")
-    return len(parts) == 4 and all(p.isdigit() and len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in parts)
+    return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in parts)
 
 
 def is_card(text: str) -> bool:

@@ -88,3 +88,49 @@ PII = {
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+
+
+def fold(text: str) -> str:
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text).replace("\u03c2", "\u03c3")
+    return re.sub("[\t-\r \xa0]+", " ", low)
+
+
+def least_edits(passage: str, text: str) -> int:
+    """Of passage against any part of text."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(passage, 1):
+        before, row[0] = row[0], i
+        for j, t in enumerate(text, 1):
+            before, row[j] = row[j], min(before + (c != t), row[j] + 1, row[j - 1] + 1)
+    return min(row)
+
+
+def leaks(docs: list[tuple], items: list[tuple[int | None, str | None]], passage: int = 120, per_edit: int = 10) -> list[tuple]:
+    """For each document the ascending ids of the items of which it holds a passage."""
+    out = []
+    for _, text in docs:
+        found = set()
+        for item, body in items:
+            body = fold((body or "").strip())
+            parts = -(-len(body) // passage)
+            size, more = divmod(len(body), parts or 1)
+            at = 0
+            for k in range(parts):
+                n = size + (k < more)
+                if least_edits(body[at : at + n], fold(text or "")) <= n // per_edit:
+                    found.add(-1 if item is None else item)
+                at += n
+        out.append(tuple(sorted(found)))
+    return out
+
+
+def private(text: str | None) -> list[list[tuple[int, int]]]:
+    """The spans of the patterns, by kind."""
+    digits = lambda x: [int(c) for c in x if c in "0123456789"]
+
+    def luhn(x: str) -> bool:
+        doubled = [d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits(x)))]
+        return 16 <= len(doubled) <= 19 and sum(doubled) % 10 == 0
+
+    checks = {"email": lambda x: True, "ip": lambda x: all(int(p) <= 255 for p in x.split(".")), "card": luhn, "phone": lambda x: 8 <= len(digits(x)) <= 15}
+    return [[m.span() for m in re.finditer(p, text or "") if checks[k](m[0])] for k, p in PII.items()]

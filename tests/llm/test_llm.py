@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import re
@@ -340,6 +341,116 @@ def test_op10(spark):
     assert {x.doc_id for x in decontamination.clean(df, bench).collect()} == {d for d, x in want.items() if not x}
 
 
+def test_op10_against_brute(spark):
+    r = random.Random(16)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9)))
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate((1, 2, 3, 4, 5, 6, 9, 16, 40))]
+    items += [(20, "xyz"), (21, "Qq"), (22, "İstanbul UND die STRASSE des Ortes"), (23, "ΟΔΟΣ ΤΗΣ ΠΟΛΗΣ"), (None, "no id but a text of its own"), (24, ""), (25, None), (26, "  ")]
+    docs: list[tuple] = [(0, None), (1, ""), (2, "see İSTANBUL und DIE strasse DES ortes there"), (3, "İ NO ID\t but a Text of its own"), (4, "οδος της πολης"), (5, "ab xyz"), (6, "QQ")]
+    for d in range(7, 60):
+        body = list(items[d % 9][1])
+        budget = len(body) // 10
+        for _ in range(r.randint(0, budget + 2) if len(body) > 3 else 0):
+            at, kind = r.randrange(len(body)), r.randrange(3)
+            body[at : at + 1] = [] if kind == 0 else [r.choice("qrs")] if kind == 1 else [body[at], r.choice("qrs")]
+        cut = r.choice([0, 0, len(body) // 2])
+        docs.append((d, " ".join(word() for _ in range(r.randint(0, 12))) + " " * r.randint(0, 2) + "".join(body[cut:]).upper() + "  " + word()))
+    # the halves of a passage at the end of one text and at the start of the next are no passage
+    docs += [(60, "w " + items[7][1][:60]), (61, items[7][1][60:] + " w"), (None, items[7][1]), (None, "clean"), (5, "other " + items[8][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted((-1 if d is None else d, x) for (d, _), x in zip(docs, brute.leaks(docs, items), strict=True))
+    for size in (common.SLICE_BYTES, 150):
+        got = decontamination.contamination(df, bench, size=size).collect()
+        assert sorted((x.doc_id, tuple(x.item_ids)) for x in got) == want
+        assert all(x.contaminated == bool(x.item_ids) and x.n_items == len(x.item_ids) for x in got)
+    left = {x.text for x in decontamination.clean(df, bench).collect()}
+    assert left == {t for (_, t), x in zip(docs, brute.leaks(docs, items), strict=True) if not x}
+
+
+def test_op10_long_text(spark):
+    passage = "these are the words of a question that nobody should have seen before the test " * 2
+    long = ("filler text of no importance. " * 9000)[: (1 << 17) - 40] + passage.replace(" ", " " * 700, 1) + "end of it all. " * 30000
+    df = spark.createDataFrame([(1, long), (2, long.replace("nobody", "everyone and his dog"))], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, passage)], "item_id long, text string")
+    got = decontamination.matches(df, bench, size=1 << 16).collect()
+    assert {(x.doc_id, x.item_id) for x in got} >= {(1, 7)}
+    assert all(passage[:20] in re.sub(" +", " ", long[x.start : x.end]) or passage.strip()[-20:] in long[x.start : x.end] for x in got if x.doc_id == 1 and x.edits == 0)
+
+
+NO_ID = [(None, "one line that is long enough to be a key of its own, surely\nmine alone"), (None, "another\none line that is long enough to be a key of its own, surely"), (None, "z"), (3, "short"), (3, "one line that is long enough to be a key of its own, surely\nthree"), (4, "one line that is long enough to be a key of its own, surely"), (5, "one line that is long enough to be a key of its own, surely"), (5, "one line that is long enough to be a key of its own, surely")]
+
+
+def test_op3_rows_without_an_id_and_shared_ids(spark):
+    df = spark.createDataFrame(NO_ID, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(df).collect())
+    line = NO_ID[5][1]
+    assert got == sorted([(-1, "mine alone"), (-1, "another"), (-1, "z"), (3, "short"), (3, "three"), (4, ""), (5, line), (5, line)])
+
+
+def test_op5_rows_without_an_id_and_shared_ids(spark):
+    r = random.Random(1)
+    a, b, c = ("".join(r.choice("abcdefghij ") for _ in range(900)) for _ in range(3))
+    rows = [(None, a + b[:300]), (None, c), (2, a), (2, b), (2, c), (3, a + c), (3, a + c)]
+    got = sorted((x.doc_id, x.n_bytes, x.n_removed) for x in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == sorted([(-1, 1200, 0), (-1, 900, 0), (2, 900, 900), (2, 900, 300), (2, 900, 900), (3, 1800, 1800), (3, 1800, 1800)])
+
+
+def test_op5_common_passage(spark):
+    """A passage in all texts, whose edges have as many contexts as there are texts."""
+    r = random.Random(2)
+    passage = "".join(r.choice("abcdefghij ") for _ in range(260))
+    rows = [(d, "".join(r.choice("klmnopq ") for _ in range(r.randint(0, 160))) + passage[r.choice([0, 0, 3]) : 240 + r.randint(0, 20)] + "".join(r.choice("klmnopq ") for _ in range(r.randint(0, 160)))) for d in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for how in ({}, {"hot": 3, "gathered": 300}):
+        assert by_id(suffix_dedup.remove_repeats(df, keep_bytes=False, **how), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.repeats(rows)
+
+
+def test_op4_whole_output(spark):
+    """Every column against regular expressions and a plain Viterbi search, one sequence at a time."""
+    texts = [*PRIVATE, None, "see 1.2.3.\u00b2 now, or \u0661.2.3.4 and 5.6.7.\u0968", "\u00b2" * 16 + " 4444 4444 4444 4448.", "mail a.b@c.de, +49 30 1234567; 10.0.0.1 is 999.1.1.1"]
+    texts += [" ".join(w) for w, _ in personal_data.labelled_rows(150, seed=77)]
+    model = personal_data.trained(personal_data.labelled_table(spark))
+    t = np.where(model.allowed, model.move, -1e9)
+    checks = {"email": lambda x: re.fullmatch(brute.PII["email"], x), "ip": lambda x: re.fullmatch(brute.PII["ip"], x) and brute.private(x)[1], "card": lambda x: brute.private("".join(c for c in x if c in "0123456789"))[2], "phone": lambda x: 8 <= sum(c in "0123456789" for c in x) <= 15}
+    want = []
+    for n, text in enumerate(texts):
+        text = text or ""
+        base, added = brute.private(text), [[], [], [], []]
+        at = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+        words = [text[s:e] for s, e in at]
+        marked = [bool(re.search("[0-9@]", w)) for w in words]
+        for lo in (i for i in range(len(words)) if marked[i] and (i == 0 or not marked[i - 1])):
+            hi = next((i for i in range(lo, len(words)) if not marked[i]), len(words))
+            emit = [sum((model.emit[model.features[f]] for f in personal_data.features(words, i) if f in model.features), np.zeros(len(personal_data.LABELS))) for i in range(lo, hi)]
+            best, back = emit[0] + t[0], []
+            for e in emit[1:]:
+                back.append((best[:, None] + t).argmax(0))
+                best = (best[:, None] + t).max(0) + e
+            path = [int(best.argmax())]
+            for x in reversed(back):
+                path.append(int(x[path[-1]]))
+            labels, i = [personal_data.LABELS[k] for k in reversed(path)], 0
+            while i < len(labels):
+                j = i + 1
+                if labels[i][0] == "B":
+                    kind = labels[i][2:]
+                    while j < len(labels) and labels[j] == "I-" + kind:
+                        j += 1
+                    s, e = at[lo + i][0], at[lo + j - 1][1]
+                    lead, tail = "\"'<[{:;,=" + "(" * (kind != "phone"), ".,;:!?\"'>]})"
+                    s += len(text[s:e]) - len(text[s:e].lstrip(lead))
+                    e -= len(text[s:e]) - len(text[s:e].rstrip(tail))
+                    if e > s and checks[kind](text[s:e]) and not any(s < y and x < e for some in base for x, y in some):
+                        added[personal_data.KINDS.index(kind)].append((s, e))
+                i = j
+        listed = lambda some: ",".join(f"{k}:{s}:{e}" for k, one in zip(brute.PII, some, strict=True) for s, e in sorted(one))
+        want.append((n, *map(len, base), hashlib.sha256(listed(base).encode()).hexdigest(), listed([x + y for x, y in zip(base, added, strict=True)]), sum(map(len, added))))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(map(tuple, personal_data.personal_data(df).collect())) == want
+    assert sum(x[-1] for x in want) > 20
+
+
 def test_pipeline(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     rows = out.collect()
