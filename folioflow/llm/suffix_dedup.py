@@ -11,7 +11,8 @@ round would shuffle some twenty times the input, so ranks are kept for positions
 3. Doubling. The windows of such an anchor start at offsets 0 to SPAN - K before it. Each round halves the range of
    offsets, so that what its windows have in common, the core, grows: 40, 70, 85, 93, ... bytes, to SPAN when one offset is
    left. Spark sorts the pairs (core, hull) with their positions; a range whose core is unique ends, one whose hull is not
-   the first of its name is a repeat as a whole, the others go to the next round.
+   the first of its name is a repeat as a whole. The others go to the next round, or, if the rows of their core are few and
+   have come together, have their remaining offsets ranked at once where they are.
 
 Step 2 moves most rows, so tasks pack what they gathered by ranges of the K-gram's name, and each range is sorted where it
 arrives; steps 3 are plain rows, range partitioned by (core, hull), so that a core that a third of all documents hold is
@@ -28,6 +29,7 @@ read in slices, and held whole only where its bytes are cut out; other columns a
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 from functools import cache
 
@@ -43,6 +45,8 @@ SPAN = 100
 K = 40
 #: Different hulls of one K-gram that a task sends to be compared before it takes the K-gram for common.
 HOT = 16
+#: Rows of one core that are settled in the task where they meet.
+WHOLE = 4000
 #: Bytes of text read in one step.
 SLICE_BYTES = 1 << 20
 #: Anchors that a task gathers before it deals them out.
@@ -106,7 +110,8 @@ def anchors(data: np.ndarray, at: np.ndarray, span: int, k: int) -> tuple[np.nda
     left = np.minimum(p - at[doc], span - k)
     right = np.minimum(at[doc + 1] - p, span)
     hull = names.of(p - left, p + right) ^ mixed((left << 32 | right).astype(np.uint64))
-    return doc, p - at[doc], grams[p], hull >> np.uint64(16), left
+    # anchors are least hashes: mixed again, their names spread evenly over the ranges
+    return doc, p - at[doc], mixed(grams[p] + np.uint64(1)), hull >> np.uint64(16), left
 
 
 def _packed(key: np.ndarray, hull: np.ndarray, doc: np.ndarray, twin: np.ndarray, pos: np.ndarray) -> bytes:
@@ -158,10 +163,25 @@ def _firsts(key: np.ndarray, hull: np.ndarray, doc: np.ndarray, twin: np.ndarray
     return order, first, (doc != doc[lead]) | (twin != twin[lead]) | (pos != pos[lead])
 
 
+def _merged(doc: np.ndarray, twin: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges lo .. hi (both included) of each document, joined where they touch."""
+    if not len(doc):
+        return doc, twin, lo, hi
+    order = np.lexsort((lo, twin, doc))
+    doc, twin, lo, hi = (x[order] for x in (doc, twin, lo, hi))
+    base = np.cumsum(np.append(False, (doc[1:] != doc[:-1]) | (twin[1:] != twin[:-1]))) * (int(hi.max()) + 2)
+    reach = np.maximum.accumulate(hi + base)
+    first = np.flatnonzero(np.append(True, lo[1:] + base[1:] > reach[:-1] + 1))
+    last = np.append(first[1:], len(doc)) - 1
+    return doc[first], twin[first], lo[first], reach[last] - base[last]
+
+
 _RANGES = "kind int, doc_id long, twin long, a long, b long"
 
 
 def _rows(kind: int, doc: np.ndarray, twin: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    if kind == 0:
+        doc, twin, a, b = _merged(doc, twin, a, b)
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int32)), *map(pa.array, (doc, twin, a, b))], names=["kind", "doc_id", "twin", "a", "b"])
 
 
@@ -324,43 +344,89 @@ def _cut_out(docs: DataFrame, found: DataFrame, span: int, k: int) -> DataFrame:
     return docs.join(per_doc.hint("merge"), ["doc_id", "twin"]).mapInArrow(run, _NODES)
 
 
-def _doubled(nodes: DataFrame, span: int) -> DataFrame:
-    """A round: of the nodes' (core, hull) pairs, sorted, the repeats as ranges and the halves of what goes on as nodes."""
-    cols = ["core", "hull", "doc_id", "twin", "a"]
+def _classes(b: pa.RecordBatch, nodes: Nodes, span: int) -> tuple[np.ndarray, pa.RecordBatch]:
+    """The first rows of each (core, hull) of sorted rows, and the others as ranges: all their windows are repeats."""
+    core, hull = b.column("core").to_numpy(), b.column("hull").to_numpy()
+    new = np.append(True, (core[1:] != core[:-1]) | (hull[1:] != hull[:-1]))
+    lead = np.flatnonzero(new)
+    of = lead[np.cumsum(new) - 1]
+    again = (nodes.doc != nodes.doc[of]) | (nodes.twin != nodes.twin[of]) | (nodes.at != nodes.at[of])
+    low, high = nodes.reach(span)
+    return lead, _node_rows(_rows(0, nodes.doc[again], nodes.twin[again], nodes.at[again] - high[again], nodes.at[again] - low[again]))
+
+
+def _sent_on(b: pa.RecordBatch, span: int) -> Iterator[pa.RecordBatch]:
+    """Of sorted rows: the repeats as ranges, the halves of the others."""
+    nodes = Nodes.of(b)
+    lead, ranges = _classes(b, nodes, span)
+    yield ranges
+    yield from nodes.halves(span, lead)
+
+
+def _settled(b: pa.RecordBatch, span: int) -> Iterator[pa.RecordBatch]:
+    """All repeats among sorted rows that hold all rows of their cores."""
+    nodes = Nodes.of(b)
+    lead, ranges = _classes(b, nodes, span)
+    yield ranges
+    core = b.column("core").to_numpy()[lead]
+    same = core[1:] == core[:-1]
+    i = lead[np.append(same, False) | np.append(False, same)]
+    if not len(i):
+        return
+    names, begin = Names(nodes.data), np.cumsum(nodes.size) - nodes.size
+    low, high = nodes.reach(span)
+    out = []
+    for offset in range(int(low[i].min()), int(high[i].max()) + 1):
+        x = i[(low[i] <= offset) & (offset <= high[i])]
+        start = begin[x] + nodes.before[x] - offset
+        window = names.of(start, start + span)
+        order, _, again = _firsts(window, window, nodes.doc[x], nodes.twin[x], nodes.at[x])
+        x = x[order][again]
+        out.append((nodes.doc[x], nodes.twin[x], nodes.at[x] - offset))
+    doc, twin, start = (np.concatenate(x) for x in zip(*out, strict=True))
+    yield _node_rows(_rows(0, doc, twin, start, start))
+
+
+def _joined(*some: pa.RecordBatch | None) -> pa.RecordBatch:
+    return pa.Table.from_batches([x for x in some if x is not None]).combine_chunks().to_batches()[0]
+
+
+def _doubled(nodes: DataFrame, span: int, whole: int) -> DataFrame:
+    """A round: the pairs (core, hull) of nodes, sorted with their positions. A core's rows that come together, at most
+    `whole`, are settled where they are; the repeats of the others leave as ranges, their firsts go on as halves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, joined = None, True  # the last first row, and whether the rows before it had its core
+        held, ready, many = None, [], 0  # rows of the last core; rows of whole cores that wait
+        on = True  # the last core's rows are sent on: it is the first of the partition, or has too many
         for b in batches:
             if not b.num_rows:
                 continue
-            b = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
-            yield from step(b, joined)
-            core, hull = b.column("core").to_numpy(), b.column("hull").to_numpy()
-            new = np.append(True, (core[1:] != core[:-1]) | (hull[1:] != hull[:-1]))
-            lead = np.flatnonzero(new)
-            last = int(lead[-1])
-            joined = bool(core[last] == core[lead[-2]]) if len(lead) > 1 else joined
-            held = b.slice(last, 1)
-        if held is not None:
-            nodes = Nodes.of(held)
-            yield from nodes.halves(span, np.arange(1))
-
-    def step(b: pa.RecordBatch, joined: bool) -> Iterator[pa.RecordBatch]:
-        """What is certain in b: all but its last first row, which is held back."""
-        core, hull, doc, twin, at = (b.column(x).to_numpy() for x in cols)
-        new = np.append(True, (core[1:] != core[:-1]) | (hull[1:] != hull[:-1]))
-        nodes, lead = Nodes.of(b), np.flatnonzero(new)
-        of = lead[np.cumsum(new) - 1]
-        again = (doc != doc[of]) | (twin != twin[of]) | (at != at[of])
-        low, high = nodes.reach(span)
-        yield _node_rows(_rows(0, doc[again], twin[again], at[again] - high[again], at[again] - low[again]))
-        same = core[lead[1:]] == core[lead[:-1]]
-        more = (np.append(joined, same) | np.append(same, False))[:-1]
-        yield from nodes.halves(span, lead[:-1][more])
-
-    n = partitions(nodes.sparkSession)
-    # rows of one core may lie in two partitions, rows of one pair may not; what stands at a border goes on
-    return nodes.repartitionByRange(n, "core", "hull").sortWithinPartitions(*cols).mapInArrow(run, _NODES)
+            b = _joined(held, b)
+            core = b.column("core").to_numpy()
+            cuts = np.flatnonzero(np.append(True, core[1:] != core[:-1])).tolist()
+            for lo, hi in itertools.pairwise(cuts):
+                if on or hi - lo > whole:
+                    yield from _sent_on(b.slice(lo, hi - lo), span)
+                else:
+                    ready.append(b.slice(lo, hi - lo))
+                    many += hi - lo
+                on = False
+            held = b.slice(cuts[-1])
+            if held.num_rows > whole:
+                yield from _sent_on(held, span)
+                hull, on = held.column("hull").to_numpy(), True
+                held = held.slice(int(np.flatnonzero(hull == hull[-1])[0]), 1)  # the first of its name stands for it
+            if many > whole:
+                yield from _settled(_joined(*ready), span)
+                ready, many = [], 0
+        if ready:
+            yield from _settled(_joined(*ready), span)
+        if held is not None:  # the core may go on in the next partition
+            yield from _sent_on(held, span)
+
+    cols = ["core", "hull", "doc_id", "twin", "a"]
+    # rows of one core may lie in two partitions, rows of one pair may not
+    return nodes.repartitionByRange(partitions(nodes.sparkSession), "core", "hull").sortWithinPartitions(*cols).mapInArrow(run, _NODES)
 
 
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -389,7 +455,7 @@ def _removed(docs: DataFrame, ranges: DataFrame, span: int, keep_bytes: bool) ->
     return docs.join(per_doc.hint("merge"), ["doc_id", "twin"], "left").drop("twin").mapInArrow(run, _OUT)
 
 
-def remove_repeats(df: DataFrame, span: int = SPAN, k: int = K, keep_bytes: bool = True, size: int = SLICE_BYTES, gathered: int = GATHERED, hot: int = HOT) -> DataFrame:
+def remove_repeats(df: DataFrame, span: int = SPAN, k: int = K, keep_bytes: bool = True, size: int = SLICE_BYTES, gathered: int = GATHERED, hot: int = HOT, whole: int = WHOLE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept: the bytes that stay) for each row of df."""
     docs = keyed(df)
     found = stored(_ranked(docs, span, k, size, gathered, hot), "ranked", "zstd")
@@ -399,7 +465,7 @@ def remove_repeats(df: DataFrame, span: int = SPAN, k: int = K, keep_bytes: bool
     left, number = span - k + 1, 0
     while left > 1:  # the last round has one offset for each node, so that none goes on
         left, number = -(-left // 2), number + 1
-        state = stored(_doubled(state.filter("kind = 1"), span), f"round-{number}", "zstd")
+        state = stored(_doubled(state.filter("kind = 1"), span, whole), f"round-{number}", "zstd")
         ranges = ranges.unionByName(state.filter("kind = 0").select(names))
     out = _removed(docs, ranges, span, keep_bytes)
     return out if keep_bytes else out.drop("kept")

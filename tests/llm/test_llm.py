@@ -8,6 +8,7 @@ import brute
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -215,7 +216,7 @@ def test_op4_held_out(spark):
     assert more == [[], [], [(23, 39)], [(5, 22)]]
 
 
-@pytest.mark.parametrize("how", [{}, {"size": 700}, {"hot": 2, "gathered": 100}, {"size": 1500, "hot": 2, "gathered": 1}, {"k": 20}])
+@pytest.mark.parametrize("how", [{}, {"size": 700}, {"hot": 2, "gathered": 100}, {"size": 1500, "hot": 2, "gathered": 1, "whole": 2}, {"k": 20, "whole": 0}])
 def test_op5(docs, how):
     assert by_id(suffix_dedup.remove_repeats(docs, keep_bytes=False, **how), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.repeats(corpus())
 
@@ -317,6 +318,44 @@ def test_op9_two_families(spark, how):
     assert by_id(minhash_forest.near_duplicates(df, 3, 85, 100, **how), "n_shingles", "component_id") == want
 
 
+def test_op9_pages_of_one_template(spark):
+    """600 texts, 300 pairs of which are just above the threshold and all others just below: one region of over 512 rows."""
+    template, rows = [f"t{i}" for i in range(400)], []
+    for pair in range(300):
+        for side in range(2):
+            rows.append((len(rows), " ".join(template + [f"p{pair}_{i}" for i in range(14)] + [f"u{pair}_{side}_{i}" for i in range(31)])))
+    random.Random(5).shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.near_classes(rows, 3, 85, 100)
+    assert len({root for _, root in want.values()}) == 300
+    assert by_id(minhash_forest.near_duplicates(df, 3, 85, 100), "n_shingles", "component_id") == want
+
+
+def test_op9_link_recall(spark, sf):
+    """Queries against all rows: every hundredth row and all rows of the small table."""
+    df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in df.collect()]
+    got = by_id(minhash_forest.near_duplicates(df, 3, 85, 100), "component_id")
+    sets = {d: brute.shingles(t, 3) for d, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    assert links
+    assert sum(got[a] == got[b] for a, b in links) == len(links)
+
+
+def test_op9_rows_without_an_id_and_shared_ids(spark):
+    text = [" ".join(f"w{k}_{i}" for i in range(80)) for k in range(4)]
+    rows = [(None, text[0]), (None, text[0]), (None, text[1]), (7, text[0] + " more"), (9, text[1]), (5, text[2]), (5, text[3]), (6, text[3] + " x"), (None, ""), (None, None), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash_forest.near_duplicates(df, 3, 85, 100).collect())
+    assert got == sorted([(-1, 78, -1, True)] * 3 + [(7, 79, -1, False), (9, 78, -1, False)] + [(5, 78, 5, True)] * 2 + [(6, 79, 5, False), (-1, 0, -1, True), (-1, 0, -1, True), (8, 0, 8, True)])
+    kept = sorted(minhash_forest.one_of_each(df, 3, 85).collect(), key=repr)
+    assert [tuple(r) for r in kept] == sorted([(None, text[0]), (None, text[1]), (5, text[2]), (5, text[3]), (None, ""), (None, None), (8, None)], key=lambda x: repr(spark_row(x)))
+
+
+def spark_row(x):
+    return Row(doc_id=x[0], text=x[1])
+
+
 def test_op10(spark):
     r = random.Random(6)
     word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 9)))
@@ -402,7 +441,7 @@ def test_op5_common_passage(spark):
     passage = "".join(r.choice("abcdefghij ") for _ in range(260))
     rows = [(d, "".join(r.choice("klmnopq ") for _ in range(r.randint(0, 160))) + passage[r.choice([0, 0, 3]) : 240 + r.randint(0, 20)] + "".join(r.choice("klmnopq ") for _ in range(r.randint(0, 160)))) for d in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
-    for how in ({}, {"hot": 3, "gathered": 300}):
+    for how in ({}, {"hot": 3, "gathered": 300}, {"whole": 3}):
         assert by_id(suffix_dedup.remove_repeats(df, keep_bytes=False, **how), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.repeats(rows)
 
 
