@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folioflow.llm.common import docs_of
+from folioflow.llm.quality_rules import STOP_WORDS
 
 
 def vocabulary(name: str) -> str:
@@ -89,4 +90,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
 }
 
-SQL: dict[str, str] = {}
+#: Fixed values of the contract: what is stripped from a line's ends, and upper-case letters that count as lower-case.
+_SPACE, _UPPER, _LOWER = r"[\x20\x09-\x0D]", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: The others need a tokenizer, bytes, a trained model or similarity of all pairs; tests/llm holds them against plain versions.
+SQL: dict[str, str] = {
+    "op3_line_dedup": f"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+keyed AS (
+  SELECT *, translate(regexp_replace(line, '^{_SPACE}+|{_SPACE}+$', '', 'g'), '{_UPPER}', '{_LOWER}') AS key FROM lines),
+common AS (
+  SELECT key, max(doc_id) AS last_doc FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+judged AS (
+  SELECT k.*, c.key IS NOT NULL AND k.doc_id <> c.last_doc AS gone FROM keyed k LEFT JOIN common c ON k.key = c.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id""",
+    "op6_quality_rules": f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, [x FOR x IN regexp_split_to_array(coalesce(text, ''), '{_SPACE}+') IF x <> ''] AS w,
+    [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS l FROM documents),
+words AS (
+  SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+windows AS (
+  SELECT doc_id, i, concat_ws(' ', x, {", ".join(f"lead(x, {k}) OVER o" for k in range(1, 8))}) AS g, lead(x, 7) OVER o IS NOT NULL AS whole
+  FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+twice AS (
+  SELECT doc_id, unnest(list(i)) AS i FROM windows WHERE whole GROUP BY doc_id, g HAVING count(*) > 1),
+covered AS (
+  SELECT doc_id, sum(least(8, i - before)) AS n
+  FROM (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), i - 8) AS before FROM twice) GROUP BY doc_id),
+f AS (
+  SELECT d.doc_id, len(w) AS n_words, coalesce(list_sum([length(x) FOR x IN w]), 0) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(l) AS n_lines, len(regexp_extract_all(t, '!!')) AS marks,
+    len([x FOR x IN w IF lower(x) IN ({", ".join(f"'{x}'" for x in STOP_WORDS)})]) AS stops, len([x FOR x IN l IF regexp_matches(x, '^[\\t\\n\\f\\r\\x0B ]*[-*•]')]) AS bullets,
+    len([x FOR x IN l IF regexp_matches(x, '([.][.][.]|…)[\\t\\n\\f\\r\\x0B ]*$')]) AS ellipses
+  FROM d LEFT JOIN covered c ON c.doc_id = d.doc_id),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND word_chars / n_words BETWEEN 2.0 AND 12.0 AND n_symbols / n_words <= 0.3 AND marks / n_words <= 0.3
+  AND stops / n_words >= 0.02 AND n_repeat_words / n_words <= 0.3 AND n_dup_lines / n_lines <= 0.5 AND bullets / n_lines <= 0.9 AND ellipses / n_lines <= 0.3 AS kept
+FROM b""",
+}

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import brute
+import compare
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from folioflow.llm import coding, common, decontamination, elias_fano, line_dedup, minhash_forest, ngram_trie, packing, personal_data, quality_rules, suffix_dedup, token_counts, token_files
-from folioflow.llm.queries import QUERIES, vocabulary
+from folioflow.llm.queries import QUERIES, SQL, vocabulary
 
 BYTE, WORD = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, found string, block long, _row string, text_1 string"
@@ -509,5 +510,10 @@ def test_pipeline(spark, sf):
         assert stage(spark, frame, sf).columns == frame.columns, name
 
 
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_matches_sql(spark, sf, name):
+    assert compare.difference(spark, name, QUERIES[name], SQL[name], sf, compare.connection(sf)) == ""
+
+
 def test_queries_cover_all_ten():
     assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 11))
