@@ -30,8 +30,13 @@ REFERENCES = {
     "section": r"Section\s+({P}\.\d+)",
     "subsection": r"Subsection\s+({P}\.\d+\.\d+[A-Z]?)",
 }
+# Headings and the level of each; an article's heading with its id and title.
+LEVELS = [(r"^#+\s*{P}\.\d+\.\d+[A-Z]?\.\d+", "####"), (r"^#+\s*{P}\.\d+\.\d+[A-Z]?\.(?!\d)", "###"), (r"^#+\s*(?:Section\s+)?{P}\.\d+\.(?!\d)", "##")]
+ARTICLE_HEADING = r"^#{1,4}\s*({P}\.\d+\.\d+[A-Z]?\.\d+[A-Z]?)\.\s*(.+)$"
 # Superscript characters.
 SUPERSCRIPT = ("0123456789+-", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻")
+# Signs of an equation, whatever their case.
+EQUATION_SIGNS = [r"[=<>≤≥±]", r"\d+\s*/\s*\d+", "[²³√∑∫∏]", r"\d+\s*[×x]\s*10", r"\bsqrt\s*\(", "m²|m³|ft²|ft³", r"°\s*[CF]"]
 # Formula phrases that are typeset, in order.
 LATEX = [(r"\bsqrt\(([^)]+)\)", r"\\sqrt{$1}"), (r"<=", r"\\leq "), (r">=", r"\\geq "), (r"\*", r"\\times "), (r"m\^2", "m^{2}")]
 
@@ -76,9 +81,12 @@ def node_type(id_: Column) -> Column:
 
 
 def article_type(id_: Column) -> Column:
-    last = F.element_at(F.split(id_, r"\."), -1)
-    third = F.try_element_at(F.split(id_, r"\."), F.lit(3))
-    return F.when(last == "0A", "article_0a").when(third.rlike("[A-Z]$"), "sub_article").when(last.rlike("[A-Z]$"), "article_suffix").otherwise("article")
+    """An article's type; ids of fewer than four parts, null and empty ones are plain articles."""
+    parts = F.split(id_, r"\.")
+    last, third = F.element_at(parts, -1), F.try_element_at(parts, F.lit(3))
+    letter = "^[0-9]+[A-Za-z]$"
+    deep = F.when(last == "0A", "article_0a").when(third.rlike(letter) & last.rlike("^[0-9]+$"), "sub_article").when(last.rlike(letter), "article_suffix")
+    return F.coalesce(F.when(F.size(parts) >= 4, deep), F.lit("article"))
 
 
 def references(text: Column, part: str = "9") -> Column:
@@ -97,13 +105,15 @@ def table_id(id_: Column) -> Column:
 
 
 def table_parent(id_: Column) -> Column:
-    """The article that a table's id names, without letter suffixes after a dash or a last dot."""
-    return F.nullif(F.regexp_replace(F.regexp_extract(id_, r"Table\s+([\d.]+)", 1), r"\.$", ""), F.lit(""))
+    """The article that a table's id names, with its letter, without a suffix after a dash or a last dot."""
+    return F.nullif(F.regexp_replace(F.regexp_extract(id_, r"^Table\s+([\d.]+[A-Z]?)", 1), r"\.$", ""), F.lit(""))
 
 
-def reference_path(id_: Column) -> Column:
-    """/code/ with at most three levels of the id."""
-    return F.concat(F.lit("/code/"), F.array_join(F.slice(F.split(id_, r"\."), 1, 3), "-"))
+def reference_path(ref: Column, kind: Column | None = None) -> Column:
+    """The page of a reference: its subsection, for part 9 alone; the part itself is the start page; else null."""
+    parts = F.split(F.trim(F.regexp_replace(ref, r"\.$", "")), r"\.")
+    page = F.when((F.size(parts) >= 3) & (parts[0] == "9"), F.concat(F.lit("/code/"), F.array_join(F.slice(parts, 1, 3), ".")))
+    return page if kind is None else F.when((kind == "part") & (ref == "9"), F.lit("/")).otherwise(page)
 
 
 def article_markers(content: Column) -> Column:
@@ -119,7 +129,7 @@ def terms_in(text: Column, terms: list[str]) -> Column:
 
 
 def has_equation(text: Column) -> Column:
-    return text.rlike(r"[A-Za-z]\s*=\s*[A-Za-z0-9(]") | text.rlike("[√≤≥]") | text.rlike(r"<sup>")
+    return text.rlike("(?i)" + "|".join(EQUATION_SIGNS))
 
 
 # normalisers
@@ -137,7 +147,8 @@ def see_notes_joined(text: Column) -> Column:
 
 
 def emphasis_removed(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"\*\*([^*\n]+)\*\*", "$1"), r"\*([^*\n]+)\*", "$1")
+    """Bold, which may run over lines, and italic, which may not."""
+    return F.regexp_replace(F.regexp_replace(text, r"\*\*([^*]+)\*\*", "$1"), r"\*([^*\n]+)\*", "$1")
 
 
 def superscripts(text: Column) -> Column:
@@ -163,22 +174,28 @@ def tags_removed(html: Column) -> Column:
     return F.regexp_replace(html, r"<[^>]*>", "")
 
 
-def headings_leveled(line: Column) -> Column:
-    """A dotted id at the start of a line gets ##, ### or #### by its depth."""
-    return (
-        F.when(line.rlike(r"^\d+\.\d+\.\d+\.\d+[A-Z]?\. "), F.concat(F.lit("#### "), line)).when(line.rlike(r"^\d+\.\d+\.\d+[A-Z]?\. "), F.concat(F.lit("### "), line))
-        .when(line.rlike(r"^\d+\.\d+\. "), F.concat(F.lit("## "), line)).otherwise(line)
-    )
+def headings_leveled(line: Column, parts: str = "9|10|11|12") -> Column:
+    """A heading (a line with #) gets the level of its dotted id: #### article, ### subsection, ## section; tags don't count."""
+    bare, out = tags_removed(line), F.when(F.lit(False), line)
+    for pattern, level in LEVELS:
+        out = out.when(bare.rlike(_at(pattern, f"(?:{parts})")), F.regexp_replace(line, "^#+", level))
+    return out.otherwise(line)
 
 
-def marked_articles(line: Column) -> Column:
-    """An article's heading line as a marker."""
-    return F.regexp_replace(line, r"^(\d+\.\d+\.\d+\.\d+[A-Z]?)\.\s+(.+)$", "[ARTICLE:$1:$2]")
+def marked_articles(line: Column, part: str = r"\d+") -> Column:
+    """An article's heading (a line with 1 to 4 #) as a marker on a line of its own; emphasis, notes and revision marks go."""
+    pattern = _at(ARTICLE_HEADING, part)
+    title = F.trim(F.regexp_extract(line, pattern, 2))
+    for gone in (r"\*{1,2}", r"\s*\(See Note[^)]+\)", r"\s*\*{0,2}[er]\d+\*{0,2}$"):
+        title = F.regexp_replace(title, gone, "")
+    marker = F.concat(F.lit("\n[ARTICLE:"), F.regexp_extract(line, pattern, 1), F.lit(":"), F.trim(title), F.lit("]"))
+    return F.when(line.rlike(pattern), marker).otherwise(line)
 
 
 def compared(text: Column) -> Column:
-    """For comparison: dashes alike, ½ as 1/2, lower case, single spaces."""
-    return F.lower(F.trim(F.regexp_replace(F.replace(F.translate(text, "–—−", "---"), F.lit("½"), F.lit("1/2")), r"\s+", " ")))
+    """For comparison: dashes alike, ½ and ¼ as 1/2 and 1/4, lower case, single spaces."""
+    text = F.replace(F.replace(F.translate(text, "–—−", "---"), F.lit("½"), F.lit("1/2")), F.lit("¼"), F.lit("1/4"))
+    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
 
 
 def cell_cleaned(cell: Column) -> Column:
@@ -202,8 +219,8 @@ def latex(text: Column) -> Column:
 
 
 def sentences_joined(text: Column) -> Column:
-    """A line break before a lower-case letter is a space."""
-    return F.regexp_replace(text, r"([a-z,])\n(?=[a-z])", "$1 ")
+    """A line break between a lower-case letter and a capitalised word is a space, unless the word opens a block."""
+    return F.regexp_replace(text, r"([a-z])\n(?!Table|Notes|Section|Article|Forming|9\.)([A-Z][a-z]{2,})", "$1 $2")
 
 
 def table_heading_lines(line: Column) -> Column:

@@ -55,7 +55,7 @@ def screened(rows: DataFrame) -> DataFrame:
     """id, issues (comma-joined) of articles (id, title, content) that look damaged."""
     c = F.coalesce(F.col("content"), F.lit(""))
     t = F.trim(c)
-    numbers = F.transform(F.regexp_extract_all(c, F.lit(r"\((\d{1,6})\)"), 1), lambda x: x.cast("int"))
+    numbers = F.transform(F.regexp_extract_all(c, F.lit(r"\((\d+)\)"), 1), lambda x: x.try_cast("decimal(38,0)"))
     gap = first_gap(numbers)
     word = F.regexp_extract(t, r"(\S+)$", 1)
     issues: list[Column] = [
@@ -91,8 +91,7 @@ def dangling(child: DataFrame, key: str, parent: DataFrame, id_: str) -> DataFra
     return child.filter(F.col(key).isNotNull()).join(parent.select(F.col(id_).alias("_id")), F.col(key) == F.col("_id"), "left_anti")
 
 
-def misplaced(nodes: DataFrame, expected: dict[str, str]) -> DataFrame:
-    """id, type, parent_type of nodes whose parent has another type than expected."""
-    up = nodes.select(F.col("id").alias("_id"), F.col("type").alias("parent_type"))
-    want = F.create_map(*[F.lit(x) for kv in expected.items() for x in kv])[F.col("type")]
-    return nodes.join(up, F.col("parent_id") == F.col("_id")).filter(want != F.col("parent_type")).select("id", "type", "parent_type")
+def misplaced(nodes: DataFrame, allowed: dict[str, list[str]]) -> DataFrame:
+    """The rows (type, parent_type and more) whose parent's type is known and not among those allowed for their type."""
+    want = F.create_map(*[x for kind, kinds in allowed.items() for x in (F.lit(kind), F.array(*map(F.lit, kinds)))])[F.col("type")]
+    return nodes.filter(want.isNotNull() & F.col("parent_type").isNotNull() & ~F.array_contains(want, F.col("parent_type")))

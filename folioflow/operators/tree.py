@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-LEVELS = 5
+LEVELS = 7
 LEVEL_OF = {"part": 0, "section": 1, "subsection": 2, "alt_subsection": 2, "article": 3, "article_suffix": 3, "article_0a": 3, "sub_article": 3, "clause": 4, "subclause": 5, "subsubclause": 6}
 
 
@@ -29,9 +29,11 @@ def level(type_: Column) -> Column:
 
 
 def node_by_id(nodes: DataFrame, id_: str) -> DataFrame:
-    """A part, section or subsection; articles and clauses are not looked up. The part in the id prunes partitions."""
-    part = int(id_.split(".")[0])
-    return nodes.filter((F.col("part") == part) & (F.col("id") == id_) & F.col("type").isin("part", "section", "subsection"))
+    """A part, section or subsection; articles and clauses are not looked up. Where nodes are stored by part, the id's part
+    prunes the files; an id that doesn't begin with a number is no node."""
+    part = id_.split(".")[0]
+    found = nodes.filter((F.col("id") == id_) & F.col("type").isin("part", "section", "subsection"))
+    return found.filter(F.col("part") == int(part)) if part.isdecimal() else found.limit(0)
 
 
 def children(nodes: DataFrame, parent_id: str) -> DataFrame:
@@ -49,7 +51,14 @@ def prefix_parent(id_: Column) -> Column:
 
 
 def breadcrumbs(nodes: DataFrame) -> DataFrame:
-    """id, path (root / ... / node) for every node."""
+    """id, path (root / ... / node), depth for every node: an id holds the ids of its ancestors, so no join is needed."""
+    parts = F.split("id", r"\.")
+    ids = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
+    return nodes.select("id", F.array_join(ids, "/").alias("path"), F.size(parts).alias("depth"))
+
+
+def breadcrumbs_by_parent(nodes: DataFrame) -> DataFrame:
+    """The same for ids that don't hold their ancestors, by the parents' ids: LEVELS - 1 joins."""
     up = nodes.select(F.col("id").alias("_id"), F.col("parent_id").alias("_up"))
     out = nodes.select("id", F.col("parent_id").alias("_next"), F.array("id").alias("_path"))
     for _ in range(LEVELS - 1):
@@ -89,10 +98,15 @@ def toc(nodes: DataFrame) -> DataFrame:
 
 
 def part_roll_up(nodes: DataFrame) -> DataFrame:
-    """Each part's sections and subsections with markers, in natural order, blank lines between."""
+    """part, k, block: the blocks of all parts in natural order (k), sorted by part and k within range partitions.
+
+    A section or subsection is its marker, a blank line and its content, if it has any; a part's text is its blocks in order
+    with blank lines between. It is never gathered in one row: write the rows as text, in order, to have it.
+    """
     rows = nodes.filter("type IN ('section', 'subsection')")
-    text = F.concat(F.lit("["), F.upper("type"), F.lit(":"), "id", F.lit(":"), "title", F.lit("]"), F.coalesce(F.concat(F.lit("\n"), F.when(F.col("content") != "", F.col("content"))), F.lit("")))
-    return rows.groupBy("part").agg(joined(F.collect_list(F.struct(natural_key(F.col("id")).alias("k"), text.alias("text"))), "\n\n").alias("content"))
+    marker = F.concat(F.lit("["), F.upper("type"), F.lit(":"), "id", F.lit(":"), F.coalesce("title", F.lit("")), F.lit("]"))
+    block = F.concat_ws("\n\n", marker, F.when((F.col("content") != "") & (F.col("type") == "subsection"), F.col("content")))
+    return rows.select("part", natural_key(F.col("id")).alias("k"), block.alias("block")).repartitionByRange("part", "k").sortWithinPartitions("part", "k")
 
 
 def clause_roll_up(nodes: DataFrame) -> DataFrame:
@@ -125,15 +139,17 @@ def next_sibling(nodes: DataFrame) -> DataFrame:
 
 
 def printed(nodes: DataFrame) -> DataFrame:
-    """Each node's line of an indented print-out of the tree."""
-    return nodes.filter("type <> 'clause'").select("id", F.concat(F.repeat(F.lit("  "), F.size(F.split("id", r"\.")) - 1), "type", F.lit(" "), "id", F.coalesce(F.concat(F.lit(": "), "title"), F.lit(""))).alias("line"))
+    """Each node's line of an indented print-out of the tree: id, type, title or else the start of its content."""
+    start = F.when(F.col("content") != "", F.concat(F.substring("content", 1, 30), F.lit("...")))
+    label = F.coalesce(F.when(F.col("title") != "", F.col("title")), start, F.lit(""))
+    return nodes.select("id", F.concat(F.repeat(F.lit("  "), F.size(F.split("id", r"\.")) - 1), "id", F.lit(" ["), "type", F.lit("] "), label).alias("line"))
 
 
 def open_ancestors(rows: DataFrame) -> DataFrame:
     """doc, line, type, parent: the nearest line before that is open at a higher level, when the id gives no parent."""
     rank = level(F.col("type"))
     w = Window.partitionBy("doc").orderBy("page", "line", "text").rowsBetween(Window.unboundedPreceding, -1)
-    seen = [F.last(F.when(rank == k, F.struct("line", "text")), ignorenulls=True).over(w) for k in range(4)]
+    seen = [F.last(F.when(rank == k, F.struct("page", "line", "text")), ignorenulls=True).over(w) for k in range(4)]
     cols = rows.select("doc", "line", "type", "text", *[c.alias(f"_{k}") for k, c in enumerate(seen)])
     above = [F.when(F.lit(k) < level(F.col("type")), F.col(f"_{k}")) for k in range(4)]
     return cols.select("doc", "line", "type", F.array_max(F.array_compact(F.array(*above)))["text"].alias("parent"))

@@ -12,7 +12,7 @@ from folioflow.operators import quality as V
 from folioflow.operators import relational as R
 from folioflow.operators import tree as H
 from folioflow.sources.relations import ARTICLES_SQL
-from folioflow.plans.catalog import B, DOC_LINES, M, add, art, doc_lines
+from folioflow.plans.catalog import B, DOC_LINES, LINE_TYPE_SQL, M, add, art, doc_lines
 
 # ---- ordered rows
 _DOWN = "last_value(CASE WHEN trim(cell) <> '' THEN cell END IGNORE NULLS) OVER (PARTITION BY table_id, col ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -25,7 +25,7 @@ add("W04_clause_gap", lambda s, d: art(s, d).select("doc", W.first_gap(F.transfo
     ", n AS (SELECT doc, v, min(line) AS line FROM (SELECT doc, line, CAST(regexp_extract(text, '^[(]([0-9]+)[)] ', 1) AS INT) AS v FROM lines WHERE regexp_matches(text, '^[(][0-9]+[)] ')) GROUP BY doc, v), p AS (SELECT doc, line, v AS a, lead(v) OVER (PARTITION BY doc ORDER BY line) AS b FROM n) SELECT doc, arg_min(concat(a, '_to_', b), line) AS gap FROM p WHERE b - a > 1 GROUP BY doc", "lines")
 add("W05_note_runs", lambda s, d: B(s, d, "conversations").withColumn("n", F.length("text") % 10).withColumn("down", F.when(F.col("n") <= F.lag("n").over(W.Window.partitionBy("conv_id").orderBy("turn", "text")), 1).otherwise(0)).groupBy("conv_id").agg((F.sum("down") + 1).alias("runs")),
     "SELECT conv_id, CAST(sum(down) + 1 AS BIGINT) AS runs FROM (SELECT conv_id, CASE WHEN length(text) % 10 <= lag(length(text) % 10) OVER (PARTITION BY conv_id ORDER BY turn, text) THEN 1 ELSE 0 END AS down FROM conversations) GROUP BY conv_id")
-_TYPE = "CASE WHEN text = '' OR regexp_matches(text, '^[0-9]+$') OR contains(text, 'Building Code') THEN NULL WHEN line = 0 AND doc % 13 <> 0 THEN CASE doc % 8 WHEN 0 THEN 'article_suffix' WHEN 1 THEN 'alt_subsection' WHEN 2 THEN 'subsection' WHEN 3 THEN 'article_0a' WHEN 4 THEN 'sub_article' ELSE 'article' END WHEN regexp_matches(text, '^[(][0-9]+[)] +[A-Z]') THEN 'clause' WHEN regexp_matches(text, '^[(][a-z][)] +.') THEN 'subclause' WHEN regexp_matches(text, '^[(][ivx]+[)] +.') THEN 'subsubclause' END"
+_TYPE = LINE_TYPE_SQL
 _ASSEMBLED = f""", t AS (SELECT *, {_TYPE} AS type FROM lines),
   r AS (SELECT *, last_value(CASE WHEN starts_with(text, 'Notes to Table') THEN 1 WHEN type IS NOT NULL AND type NOT IN ('subclause', 'subsubclause') THEN 0 END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY page, line, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS notes FROM t),
   b AS (SELECT *, sum(CASE WHEN type IS NOT NULL AND type NOT IN ('subclause', 'subsubclause') THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY page, line, text) AS block FROM r WHERE coalesce(notes, 0) = 0)
@@ -76,7 +76,7 @@ add("W20_rendered_once", lambda s, d: W.first_of(M(s, d, "refs").filter("target_
 
 # ---- sorts and sets
 add("O02_natural_order", lambda s, d: M(s, d, "nodes").filter("type = 'subsection'").select("id", F.row_number().over(W.Window.partitionBy("part").orderBy(H.natural_key(F.col("id")))).alias("rank")), "SELECT id, row_number() OVER (PARTITION BY part ORDER BY CAST(split_part(id, '.', 2) AS INT), CAST(split_part(id, '.', 3) AS INT)) AS rank FROM nodes WHERE type = 'subsection'", "nodes")
-add("O03_text_order", lambda s, d: M(s, d, "nodes").filter("type = 'section'").select("id", F.row_number().over(W.Window.orderBy("id")).alias("rank")), "SELECT id, row_number() OVER (ORDER BY id) AS rank FROM nodes WHERE type = 'section'", "nodes")
+add("O03_text_order", lambda s, d: M(s, d, "nodes").filter("type = 'section'").select("part", "id", F.row_number().over(W.Window.partitionBy("part").orderBy("id")).alias("rank")), "SELECT part, id, row_number() OVER (PARTITION BY part ORDER BY id) AS rank FROM nodes WHERE type = 'section'", "nodes")
 add("O04_most_issues", lambda s, d: V.findings(art(s, d).select(F.col("doc").alias("id"), "content")).groupBy("id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(30), None)
 add("O05_geometric_order", lambda s, d: B(s, d, "events").select("user_id", "event_id", F.row_number().over(W.Window.partitionBy("user_id").orderBy(F.floor("value"), "event_id")).alias("rank")), "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY floor(value), event_id) AS rank FROM events")
 add("O09_difference", lambda s, d: M(s, d, "refs").select("target_id").subtract(M(s, d, "tables").select("id")), "SELECT target_id FROM refs EXCEPT SELECT id FROM tables", "refs", "tables")
@@ -86,26 +86,33 @@ add("O11_distinct", lambda s, d: B(s, d, "documents").select("lang", "source").d
 # ---- text
 add("T01_line_types", lambda s, d: M(s, d, "lines").select("doc", "line", "text", X.line_type(F.col("text")).alias("type")), f"SELECT doc, line, text, {_TYPE} AS type FROM lines", "lines")
 add("T02_node_types", lambda s, d: M(s, d, "nodes").select("id", X.node_type(F.col("id")).alias("guess")), "SELECT id, type AS guess FROM nodes", "nodes")
-add("T03_article_types", lambda s, d: M(s, d, "lines").filter("line = 0").select("doc", X.article_type(F.regexp_extract("text", r"^(\S+?)\.? ", 1)).alias("type")), "SELECT doc, CASE WHEN regexp_matches(i, '^[^.]*[.][^.]*[.][^.]*[A-Z]([.]|$)') THEN 'sub_article' WHEN regexp_matches(i, '[A-Z]$') THEN 'article_suffix' ELSE 'article' END AS type FROM (SELECT doc, regexp_replace(split_part(text, ' ', 1), '[.]$', '') AS i FROM lines WHERE line = 0)", "lines")
+add("T03_article_types", lambda s, d: M(s, d, "lines").filter("line = 0").select("doc", X.article_type(F.regexp_replace(F.replace(F.regexp_extract("text", r"^([0-9.A-Z]+(?: 0A\.)?) ", 1), F.lit(" "), F.lit("")), r"\.$", "")).alias("type")),
+    ", i AS (SELECT doc, string_split(concat(split_part(text, '. ', 1), CASE WHEN split_part(text, ' ', 2) = '0A.' THEN '.0A' ELSE '' END), '.') AS p FROM lines WHERE line = 0) SELECT doc, CASE WHEN len(p) < 4 THEN 'article' WHEN p[-1] = '0A' THEN 'article_0a' WHEN regexp_full_match(p[3], '[0-9]+[A-Za-z]') AND regexp_full_match(p[-1], '[0-9]+') THEN 'sub_article' WHEN regexp_full_match(p[-1], '[0-9]+[A-Za-z]') THEN 'article_suffix' ELSE 'article' END AS type FROM i", "lines")
 add("T05_references", lambda s, d: art(s, d).select("doc", F.explode(X.references(F.col("content"))).alias("r")).groupBy("r.type", "r.target").agg(F.count("*").alias("n")),
     """, x AS (SELECT 'table' AS type, unnest(regexp_extract_all(content, 'Table\\s+(9\\.[0-9]+\\.[0-9]+\\.[0-9]+[A-Z]?)\\.?', 1)) AS target FROM art UNION ALL SELECT 'clause', unnest(regexp_extract_all(content, '(?:Sentence|Clause)s?\\s+\\(([0-9]+)\\)', 1)) FROM art
     UNION ALL SELECT 'article', unnest(regexp_extract_all(content, 'Articles?\\s+(9\\.[0-9]+\\.[0-9]+\\.[0-9]+[A-Z]?)', 1)) FROM art UNION ALL SELECT 'section', unnest(regexp_extract_all(content, 'Section\\s+(9\\.[0-9]+)', 1)) FROM art
     UNION ALL SELECT 'subsection', unnest(regexp_extract_all(content, 'Subsection\\s+(9\\.[0-9]+\\.[0-9]+[A-Z]?)', 1)) FROM art) SELECT type, target, count(*) AS n FROM x GROUP BY type, target""", "art")
-add("T07_reference_paths", lambda s, d: M(s, d, "nodes").filter("type = 'article'").select("id", X.reference_path(F.col("id")).alias("path")), "SELECT id, concat('/code/', split_part(id, '.', 1), '-', split_part(id, '.', 2), '-', split_part(id, '.', 3)) AS path FROM nodes WHERE type = 'article'", "nodes")
+add("T07_reference_paths", lambda s, d: art(s, d).select(F.explode(X.references(F.col("content"))).alias("r")).select("r.*").distinct().select("type", "target", X.reference_path(F.col("target"), F.col("type")).alias("path")),
+    """, x AS (SELECT 'table' AS type, unnest(regexp_extract_all(content, 'Table\\s+(9\\.[0-9]+\\.[0-9]+\\.[0-9]+[A-Z]?)\\.?', 1)) AS target FROM art UNION ALL SELECT 'clause', unnest(regexp_extract_all(content, '(?:Sentence|Clause)s?\\s+\\(([0-9]+)\\)', 1)) FROM art
+    UNION ALL SELECT 'article', unnest(regexp_extract_all(content, 'Articles?\\s+(9\\.[0-9]+\\.[0-9]+\\.[0-9]+[A-Z]?)', 1)) FROM art UNION ALL SELECT 'section', unnest(regexp_extract_all(content, 'Section\\s+(9\\.[0-9]+)', 1)) FROM art
+    UNION ALL SELECT 'subsection', unnest(regexp_extract_all(content, 'Subsection\\s+(9\\.[0-9]+\\.[0-9]+[A-Z]?)', 1)) FROM art)
+    SELECT DISTINCT type, target, CASE WHEN regexp_matches(target, '^9[.][^.]+[.][^.]') THEN concat('/code/9.', split_part(target, '.', 2), '.', split_part(target, '.', 3)) END AS path FROM x""", "art")
 add("T08_table_ids", lambda s, d: M(s, d, "tables").select(F.col("id").alias("raw"), X.table_id(F.concat("id", F.lit("."))).alias("id")), "SELECT id AS raw, id FROM tables", "tables")
-add("T09_table_parents", lambda s, d: M(s, d, "tables").select("id", X.table_parent(F.col("id")).alias("parent")), "SELECT id, nullif(regexp_replace(regexp_extract(id, 'Table +([0-9.]+)', 1), '[.]$', ''), '') AS parent FROM tables", "tables")
+add("T09_table_parents", lambda s, d: M(s, d, "tables").select("id", X.table_parent(F.col("id")).alias("parent")), "SELECT id, CASE WHEN ends_with(id, '.-A') THEN replace(replace(id, '.-A', ''), 'Table ', '') ELSE replace(id, 'Table ', '') END AS parent FROM tables", "tables")
 add("T10_article_markers", lambda s, d: _marked(s, d).select("doc", F.explode(X.article_markers(F.col("content"))).alias("a")).select("doc", "a.id", "a.title", F.length("a.body").alias("n")),
-    ", m AS (SELECT doc, regexp_replace(content, '^([0-9]+[.][0-9]+[.][0-9]+[.][0-9]+[A-Z]?)[.]\\s+([^\\n]+)', '[ARTICLE:\\1:\\2]') AS c FROM art) SELECT doc, regexp_extract(c, '^\\[ARTICLE:([^:]+):', 1) AS id, regexp_extract(c, '^\\[ARTICLE:[^:]+:([^\\]]*)\\]', 1) AS title, CAST(length(trim(regexp_replace(c, '^[^\\]]*\\]', ''), ' ')) AS INT) AS n FROM m WHERE starts_with(c, '[ARTICLE:')", "art")
+    ", m AS (SELECT doc, regexp_replace(content, '^([0-9]+[.][0-9]+[.][0-9]+[A-Z]?[.][0-9]+[A-Z]?)[.]\\s*([^\\n]+)', '[ARTICLE:\\1:\\2]') AS c FROM art) SELECT doc, regexp_extract(c, '^\\[ARTICLE:([^:]+):', 1) AS id, regexp_extract(c, '^\\[ARTICLE:[^:]+:([^\\]]*)\\]', 1) AS title, CAST(length(trim(regexp_replace(c, '^[^\\]]*\\]', ''), ' ')) AS INT) AS n FROM m WHERE starts_with(c, '[ARTICLE:')", "art")
 
 
 def _marked(s: SparkSession, d: str) -> DataFrame:
     from folioflow.sources.relations import articles
 
-    return articles(M(s, d, "lines").withColumn("text", X.marked_articles(F.col("text"))))
+    heading = F.concat(F.when(F.col("line") == 0, F.lit("### ")).otherwise(F.lit("")), "text")
+    return articles(M(s, d, "lines").withColumn("text", F.trim(F.regexp_replace(X.marked_articles(heading), r"^(?:### |\n)", ""))))
 
 
 add("T20_see_notes", lambda s, d: M(s, d, "lines").select("doc", F.explode(F.regexp_extract_all("text", F.lit(r"\(See Note ([A-Z]-[0-9.]+)\)"), 1)).alias("note")).groupBy("note").agg(F.count("*").alias("n")), "SELECT note, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\\(See Note ([A-Z]-[0-9.]+)\\)', 1)) AS note FROM lines) GROUP BY note", "lines")
-add("T22_equations", lambda s, d: M(s, d, "lines").filter(X.has_equation(F.col("text"))).groupBy("doc").agg(F.count("*").alias("n")), "SELECT doc, count(*) AS n FROM lines WHERE regexp_matches(text, '[A-Za-z]\\s*=\\s*[A-Za-z0-9(]') OR regexp_matches(text, '[√≤≥]') OR contains(text, '<sup>') GROUP BY doc", "lines")
+add("T22_equations", lambda s, d: B(s, d, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).filter(X.has_equation(F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("n")),
+    f"SELECT doc_id, count(*) AS n FROM ({DOC_LINES}) WHERE regexp_matches(line, '[=<>±≤≥]') OR regexp_matches(line, '[0-9]+\\s*/\\s*[0-9]+') OR regexp_matches(line, '[²³√∑∫∏]') OR regexp_matches(line, '(?i)[0-9]+\\s*[×x]\\s*10') OR regexp_matches(line, '(?i)\\bsqrt\\s*[(]') OR regexp_matches(line, '(?i)°\\s*[cf]') GROUP BY doc_id")
 add("T23_table_listing", lambda s, d: art(s, d).select("doc", F.size(F.array_distinct(F.regexp_extract_all("content", F.lit(r"(Table 9[0-9.]+)"), 1))).cast("long").alias("n")), "SELECT doc, CAST(len(list_distinct(regexp_extract_all(content, '(Table 9[0-9.]+)', 1))) AS BIGINT) AS n FROM art", "art")
 
 
@@ -123,10 +130,10 @@ _norm("N05_parens_unescaped", X.parens_unescaped, "replace(replace(text, chr(92)
 _norm_art("N06_see_notes_joined", X.see_notes_joined, "regexp_replace(content, '(?i)(\\S)\\n+\\s*(\\(See (?:Note|also)[^)]*\\))', '\\1 \\2', 'g')")
 _norm("N07_emphasis_removed", X.emphasis_removed, "regexp_replace(regexp_replace(text, '\\*\\*([^*\\n]+)\\*\\*', '\\1', 'g'), '\\*([^*\\n]+)\\*', '\\1', 'g')")
 _norm("N03_superscripts", X.superscripts, "replace(text, '<sup>2</sup>', '²')")
-_norm("N08_article_markers", X.marked_articles, "regexp_replace(text, '^([0-9]+[.][0-9]+[.][0-9]+[.][0-9]+[A-Z]?)[.]\\s+(.+)$', '[ARTICLE:\\1:\\2]')")
-_norm("N15_heading_levels", X.headings_leveled, "CASE WHEN regexp_matches(text, '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+[A-Z]?[.] ') THEN concat('#### ', text) WHEN regexp_matches(text, '^[0-9]+[.][0-9]+[.][0-9]+[A-Z]?[.] ') THEN concat('### ', text) WHEN regexp_matches(text, '^[0-9]+[.][0-9]+[.] ') THEN concat('## ', text) ELSE text END")
-_norm_art("N18_sentences_joined", X.sentences_joined, "regexp_replace(content, '([a-z,])\\n([a-z])', '\\1 \\2', 'g')")
-_norm("N26_compared_form", X.compared, "lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))")
+
+
+
+_norm("N26_compared_form", X.compared, "lower(trim(regexp_replace(replace(replace(text, '½', '1/2'), '¼', '1/4'), '\\s+', ' ', 'g')))")
 _norm("N27_html_escaped", X.html_escaped, "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')")
 _norm_art("N29_all_fixes", X.fixed, "regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(replace(replace(" + _LINK.replace("text", "content") + ", chr(92) || '(', '('), chr(92) || ')', ')'), '(?i)(\\S)\\n+\\s*(\\(See (?:Note|also)[^)]*\\))', '\\1 \\2', 'g'), '<sup>2</sup>', '²'), '\\*\\*([^*\\n]+)\\*\\*', '\\1', 'g'), '\\*([^*\\n]+)\\*', '\\1', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")
 add("N02_newlines_collapsed", lambda s, d: B(s, d, "documents").select("doc_id", F.sha2(X.newlines_collapsed(F.replace(F.col("text"), F.lit(". "), F.lit("\n\n\n"))), 256).alias("sha")), "SELECT doc_id, sha256(regexp_replace(replace(text, '. ', chr(10) || chr(10) || chr(10)), '\\n{3,}', chr(10) || chr(10), 'g')) AS sha FROM documents")
@@ -169,9 +176,10 @@ add("V22_passes", lambda s, d: V.passes(_found(s, d)), _RULES_SQL + " SELECT id,
 add("V01_empty_content", lambda s, d: M(s, d, "nodes").filter("type = 'subsection' AND coalesce(content, '') = ''").select("id"), "SELECT id FROM nodes WHERE type = 'subsection' AND coalesce(content, '') = ''", "nodes")
 add("V08_short_content", lambda s, d: M(s, d, "nodes").filter((F.size(F.split("id", r"\.")) == 3) & (F.length("content") < 100) & (F.col("content") != "")).select("id"), "SELECT id FROM nodes WHERE len(string_split(id, '.')) = 3 AND length(content) < 100 AND content <> ''", "nodes")
 add("V09_unbalanced_html", lambda s, d: V.unbalanced(B(s, d, "pages"), "p"), "SELECT * FROM (SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)<p[\\s>]')) AS BIGINT) AS opened, CAST(len(regexp_extract_all(html, '(?i)</p>')) AS BIGINT) AS closed FROM pages) WHERE opened <> closed")
-add("V23_screened_articles", lambda s, d: V.screened(art(s, d).select(F.col("doc").alias("id"), F.lit("t").alias("title"), "content")).select("id", F.array_join("issues", ",").alias("issues")))
-add("V27_dangling_references", lambda s, d: V.dangling(M(s, d, "refs").filter("target_type = 'article'").select("source_id", "target_id").distinct(), "target_id", B(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("id")), "id"), "SELECT DISTINCT source_id, target_id FROM refs WHERE target_type = 'article' AND target_id NOT IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders)", "refs")
-add("V28_misplaced_nodes", lambda s, d: V.misplaced(M(s, d, "nodes"), {"subsection": "section", "article": "section"}), "SELECT a.id, a.type, b.type AS parent_type FROM nodes a JOIN nodes b ON a.parent_id = b.id WHERE a.type = 'article' AND b.type <> 'section'", "nodes")
+
+add("V27_dangling_references", lambda s, d: V.dangling(M(s, d, "refs").filter("target_type = 'article'").select("source_id", "target_id").distinct(), "target_id", B(s, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("string").alias("id")), "id"), "SELECT DISTINCT source_id, target_id FROM refs WHERE target_type = 'article' AND target_id NOT IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'F')", "refs")
+add("V28_misplaced_nodes", lambda s, d: V.misplaced(H.open_ancestors(M(s, d, "lines").withColumn("type", X.line_type(F.col("text")))).select("doc", "line", "type", X.line_type(F.col("parent")).alias("parent_type")), {"clause": ["article", "article_suffix", "article_0a", "sub_article"]}),
+    f", t AS MATERIALIZED (SELECT doc, line, {LINE_TYPE_SQL} AS type FROM lines), h AS MATERIALIZED (SELECT doc, type FROM t WHERE line = 0 AND type IS NOT NULL) SELECT t.doc, t.line, t.type, h.type AS parent_type FROM t JOIN h ON t.doc = h.doc WHERE t.type = 'clause' AND h.type IN ('subsection', 'alt_subsection')", "lines")
 add("V33_rendered_pages", lambda s, d: V.rendered(B(s, d, "pages")), "SELECT page_id, CASE WHEN NOT regexp_matches(html, '(?i)<title>') OR length(html) < 500 THEN 'FAIL' WHEN NOT regexp_matches(html, '(?i)<h[12][ >]') THEN 'WARN' ELSE 'PASS' END AS status FROM pages")
 add("V34_null_counts", lambda s, d: M(s, d, "tables").agg(F.count_if(F.col("parent_id").isNull()).alias("no_parent"), F.count_if(F.col("source").isNull()).alias("no_source"), F.count("*").alias("n")), "SELECT count(*) FILTER (WHERE parent_id IS NULL) AS no_parent, count(*) FILTER (WHERE source IS NULL) AS no_source, count(*) AS n FROM tables", "tables")
 
@@ -183,13 +191,14 @@ add("S17_resume", lambda s, d: B(s, d, "documents").select("doc_id").join(B(s, d
 
 
 def _old_new(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    o = B(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_custkey")
-    return o.filter("o_orderkey % 3 <> 0"), o.filter("o_orderkey % 2 = 0").withColumn("o_orderstatus", F.lit("new"))
+    """Old rows are those whose status is not P, new ones those whose status is not F: some keys are in both, some in one."""
+    o = B(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_custkey", F.col("o_orderstatus").alias("status"))
+    return o.filter("status <> 'P'").drop("status"), o.filter("status <> 'F'").drop("status").withColumn("o_orderstatus", F.lit("new"))
 
 
-add("S20_part_replaced", lambda s, d: R.part_replaced(*_old_new(s, d), "o_custkey"), "WITH n AS (SELECT o_orderkey, 'new' AS o_orderstatus, o_custkey FROM orders WHERE o_orderkey % 2 = 0) SELECT o_orderkey, o_orderstatus, o_custkey FROM orders WHERE o_orderkey % 3 <> 0 AND o_custkey NOT IN (SELECT o_custkey FROM n) UNION ALL SELECT * FROM n")
-add("S21_merged", lambda s, d: R.merged(*_old_new(s, d), "o_orderkey"), "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'new' ELSE o_orderstatus END AS o_orderstatus, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'insert' WHEN o_orderkey % 2 = 0 THEN 'update' ELSE 'keep' END AS action FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0")
-add("S22_upserted", lambda s, d: R.upserted(*_old_new(s, d), "o_orderkey"), "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'new' ELSE o_orderstatus END AS o_orderstatus, o_custkey FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0")
-add("S23_inserted_if_absent", lambda s, d: R.inserted_if_absent(*_old_new(s, d), "o_orderkey"), "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE o_orderstatus END AS o_orderstatus, o_custkey FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0")
+add("S20_part_replaced", lambda s, d: R.part_replaced(*_old_new(s, d), "o_custkey"), "WITH n AS (SELECT o_orderkey, 'new' AS o_orderstatus, o_custkey FROM orders WHERE o_orderstatus <> 'F') SELECT o_orderkey, o_orderstatus, o_custkey FROM orders WHERE o_orderstatus <> 'P' AND o_custkey NOT IN (SELECT o_custkey FROM n) UNION ALL SELECT * FROM n")
+add("S21_merged", lambda s, d: R.merged(*_old_new(s, d), "o_orderkey"), "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN 'new' ELSE o_orderstatus END AS o_orderstatus, o_custkey, CASE o_orderstatus WHEN 'P' THEN 'insert' WHEN 'F' THEN 'keep' ELSE 'update' END AS action FROM orders")
+add("S22_upserted", lambda s, d: R.upserted(*_old_new(s, d), "o_orderkey"), "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN 'new' ELSE o_orderstatus END AS o_orderstatus, o_custkey FROM orders")
+add("S23_inserted_if_absent", lambda s, d: R.inserted_if_absent(*_old_new(s, d), "o_orderkey"), "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'new' ELSE o_orderstatus END AS o_orderstatus, o_custkey FROM orders")
 add("S24_null_parent", lambda s, d: R.null_parent_fallback(B(s, d, "documents").select("doc_id"), B(s, d, "labels").filter("quality = 1").select("doc_id"), "doc_id", "doc_id"), "SELECT l.doc_id FROM documents d LEFT JOIN (SELECT doc_id FROM labels WHERE quality = 1) l ON l.doc_id = d.doc_id")
-add("A23_action_counts", lambda s, d: R.merged(*_old_new(s, d), "o_orderkey").groupBy("action").agg(F.count("*").alias("n")), "SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'insert' WHEN o_orderkey % 2 = 0 THEN 'update' ELSE 'keep' END AS action, count(*) AS n FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0 GROUP BY 1")
+add("A23_action_counts", lambda s, d: R.merged(*_old_new(s, d), "o_orderkey").groupBy("action").agg(F.count("*").alias("n")), "SELECT CASE o_orderstatus WHEN 'P' THEN 'insert' WHEN 'F' THEN 'keep' ELSE 'update' END AS action, count(*) AS n FROM orders GROUP BY 1")

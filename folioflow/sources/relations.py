@@ -75,7 +75,7 @@ REFS = """
 SELECT CAST(l_orderkey AS STRING) AS source_id, CASE WHEN l_partkey % 4 = 0 THEN concat('Table ', CAST(l_partkey % 9 + 1 AS STRING), '.', CAST(l_partkey % 13 + 1 AS STRING), '.', CAST(l_partkey % 17 + 1 AS STRING), '.', CAST(l_partkey AS STRING),
     CASE WHEN l_partkey % 5 = 0 THEN '.-A' WHEN l_partkey % 5 = 1 THEN 'B' ELSE '' END) ELSE CAST(l_suppkey * 7 AS STRING) END AS target_id,
   CASE WHEN l_partkey % 4 = 0 THEN 'table' ELSE 'article' END AS target_type
-FROM lineitem WHERE l_linenumber <= 3
+FROM lineitem
 """
 
 #: cells (table_id, row, col, cell) of grids; blanks and merged cells among them

@@ -14,12 +14,12 @@ def values(df, *cols):
 @pytest.mark.parametrize(
     ("line", "kind", "id_"),
     [
-        ("9.5.3A.1. Title", "sub_article", "9.5.3A.1"),
-        ("9.5.1. 0A. Title", "article_0a", "9.5.1.0A"),
-        ("9.5.1.1A. Title", "article_suffix", "9.5.1.1A"),
-        ("9.5.3A. Title", "alt_subsection", "9.5.3A"),
-        ("9.5.3.1. Title", "article", "9.5.3.1"),
-        ("9.5.3. Title", "subsection", "9.5.3"),
+        ("8.4.7B.2. Title", "sub_article", "8.4.7B.2"),
+        ("8.4.6. 0A. Title", "article_0a", "8.4.6.0A"),
+        ("8.4.6.2C. Title", "article_suffix", "8.4.6.2C"),
+        ("8.4.7B. Title", "alt_subsection", "8.4.7B"),
+        ("8.4.7.2. Title", "article", "8.4.7.2"),
+        ("8.4.7. Title", "subsection", "8.4.7"),
         ("(2) Clause text", "clause", "2"),
         ("(a) sub", "subclause", "a"),
         ("(iv) sub", "subsubclause", "iv"),
@@ -27,7 +27,7 @@ def values(df, *cols):
         ("2012 Building Code", None, None),
         ("17", None, None),
         ("", None, None),
-        ("9.5.3. lower", None, None),
+        ("8.4.7. lower", None, None),
     ],
 )
 def test_line_types(spark, line, kind, id_):
@@ -35,15 +35,68 @@ def test_line_types(spark, line, kind, id_):
     assert (r.t, r.i) == (kind, id_)
 
 
-@pytest.mark.parametrize(("id_", "kind"), [("9", "part"), ("9.5", "section"), ("9.5.3", "subsection"), ("9.5.3A", "alt_subsection"), ("9.5.1.0A", "article_0a"), ("9.5.1.1A", "article_suffix"), ("9.5.3.1", "article"), ("9.5.3.1.(1)", "clause")])
+@pytest.mark.parametrize(("id_", "kind"), [("9", "part"), ("9.5", "section"), ("8.4.7", "subsection"), ("8.4.7B", "alt_subsection"), ("8.4.6.0A", "article_0a"), ("8.4.6.2C", "article_suffix"), ("8.4.7.2", "article"), ("8.4.7.2.(1)", "clause")])
 def test_node_types(spark, id_, kind):
     assert spark.createDataFrame([(id_,)], "id string").select(X.node_type(F.col("id"))).first()[0] == kind
 
 
+@pytest.mark.parametrize(("id_", "kind"), [(None, "article"), ("", "article"), ("8.4", "article"), ("8.4.7B", "article"), ("8.4.7.0A", "article_0a"), ("8.4.7B.2", "sub_article"), ("8.4.7.2C", "article_suffix"), ("8.4.7B.2C", "article_suffix"), ("8.4.7.2", "article")])
+def test_article_types(spark, id_, kind):
+    assert spark.createDataFrame([(id_,)], "id string").select(X.article_type(F.col("id"))).first()[0] == kind
+
+
+@pytest.mark.parametrize(("ref", "kind", "path"), [("9", "part", "/"), ("9.7.2.4.", "article", "/code/9.7.2"), ("9.7.2", "subsection", "/code/9.7.2"), ("9.7", "section", None), ("4.7.2.1", "article", None), ("9", "section", None)])
+def test_reference_paths(spark, ref, kind, path):
+    assert spark.createDataFrame([(ref, kind)], "r string, k string").select(X.reference_path(F.col("r"), F.col("k"))).first()[0] == path
+
+
+@pytest.mark.parametrize(("id_", "parent"), [("Table 8.4.7.2", "8.4.7.2"), ("Table 8.4.7.2.-B", "8.4.7.2"), ("Table 8.4.7.2C", "8.4.7.2C"), ("Figure 8.4", None), ("", None)])
+def test_table_parents(spark, id_, parent):
+    assert spark.createDataFrame([(id_,)], "id string").select(X.table_parent(F.col("id"))).first()[0] == parent
+
+
+@pytest.mark.parametrize(("text", "there"), [("a = b", True), ("3 / 4 of it", True), ("4 X 10", True), ("SQRT(2)", True), ("12 ft²", True), ("30 °c", True), ("± none", True), ("plain words, 3.4 and (5)", False), ("", False)])
+def test_equation_signs(spark, text, there):
+    assert spark.createDataFrame([(text,)], "t string").select(X.has_equation(F.col("t"))).first()[0] is there
+
+
+@pytest.mark.parametrize(
+    ("line", "marked", "leveled"),
+    [
+        ("## 8.4.7.2. **Loads** (See Note A-8.4.) r2", "\n[ARTICLE:8.4.7.2:Loads]", "#### 8.4.7.2. **Loads** (See Note A-8.4.) r2"),
+        ("### 8.4.7B.2C.Spans", "\n[ARTICLE:8.4.7B.2C:Spans]", "#### 8.4.7B.2C.Spans"),
+        ("8.4.7.2. no heading", "8.4.7.2. no heading", "8.4.7.2. no heading"),
+        ("# 8.4.7B. Subsection", "# 8.4.7B. Subsection", "### 8.4.7B. Subsection"),
+        ("#### Section 8.4. Rules", "#### Section 8.4. Rules", "## Section 8.4. Rules"),
+        ("# <span>8.4.</span> Rules", "# <span>8.4.</span> Rules", "## <span>8.4.</span> Rules"),
+        ("# 7.4. Another part", "# 7.4. Another part", "# 7.4. Another part"),
+    ],
+)
+def test_headings(spark, line, marked, leveled):
+    r = spark.createDataFrame([(line,)], "t string").select(X.marked_articles(F.col("t")).alias("m"), X.headings_leveled(F.col("t"), "8|9").alias("l")).first()
+    assert (r.m, r.l) == (marked, leveled)
+
+
+def test_sentences_joined(spark):
+    text = "of the\nBuilding and\nTable 3 or\nof it\nIt is\nSection"
+    assert spark.createDataFrame([(text,)], "t string").select(X.sentences_joined(F.col("t"))).first()[0] == "of the Building and\nTable 3 or\nof it\nIt is\nSection"
+
+
+def test_open_ancestor_over_pages(spark):
+    rows = [(1, 1, 9, "section", "8.4. S"), (1, 2, 1, "subsection", "8.4.7. U"), (1, 2, 2, "clause", "(1) C")]
+    df = spark.createDataFrame(rows, "doc int, page int, line int, type string, text string")
+    assert values(tree.open_ancestors(df), "type", "parent") == [("clause", "8.4.7. U"), ("section", None), ("subsection", "8.4. S")]
+
+
+def test_misplaced(spark):
+    df = spark.createDataFrame([("a", "clause", "section"), ("b", "clause", "article"), ("c", "part", None), ("d", "x", "y")], "id string, type string, parent_type string")
+    assert values(quality.misplaced(df, {"clause": ["article"]}), "id") == [("a",)]
+
+
 def test_references(spark):
-    text = "See Table 9.5.3.1. and Articles 9.6.1.2A, Sentences (2), Section 9.5.3 and Subsection 9.5.3A"
+    text = "See Table 9.8.6.4. and Articles 9.3.5.7D, Sentences (2), Section 9.8.6 and Subsection 9.8.6D"
     got = spark.createDataFrame([(text,)], "t string").select(F.explode(X.references(F.col("t"))).alias("r")).select("r.*")
-    assert values(got, "type", "target") == [("article", "9.6.1.2A"), ("clause", "2"), ("section", "9.5"), ("subsection", "9.5.3A"), ("table", "9.5.3.1")]
+    assert values(got, "type", "target") == [("article", "9.3.5.7D"), ("clause", "2"), ("section", "9.8"), ("subsection", "9.8.6D"), ("table", "9.8.6.4")]
 
 
 def test_null_and_empty_text(spark):
@@ -82,7 +135,10 @@ def test_tree(spark):
     nodes = spark.createDataFrame(rows, "id string, type string, part int, parent_id string, title string, content string, page int, seq bigint")
     assert values(tree.breadcrumbs(nodes), "id", "path")[-1] == ("1.2.9", "1/1.2/1.2.9")
     assert values(tree.subtree(nodes, "1.2"), "id", "depth") == [("1.2", 0), ("1.2.10", 1), ("1.2.9", 1)]
-    assert tree.part_roll_up(nodes).first().content == "[SECTION:1.2:S]\n\n[SUBSECTION:1.2.9:T]\nx\n\n[SUBSECTION:1.2.10:U]"
+    assert [r.block for r in tree.part_roll_up(nodes).collect()] == ["[SECTION:1.2:S]", "[SUBSECTION:1.2.9:T]\n\nx", "[SUBSECTION:1.2.10:U]"]
+    assert values(tree.printed(nodes), "line") == [("    1.2.10 [subsection] U",), ("    1.2.9 [subsection] T",), ("  1.2 [section] S",), ("1 [part] P",)]
+    assert values(tree.breadcrumbs_by_parent(nodes), "id", "path", "depth") == values(tree.breadcrumbs(nodes), "id", "path", "depth")
+    assert tree.node_by_id(nodes, "x").count() == 0
     assert tree.node_by_id(nodes, "7.7").count() == 0
     assert values(tree.flattened(tree.nested(nodes)), "id", "seq") == [("1.2", 1), ("1.2.10", 2), ("1.2.9", 1)]
 
@@ -131,11 +187,14 @@ def test_files(spark, tmp_path):
 
 
 def test_index_stream(spark, tmp_path):
-    src, out = f"{tmp_path}/src", f"{tmp_path}/out"
-    spark.createDataFrame([("1", "red blue red"), ("2", "blue")], "id string, content string").write.json(src)
-    stream = spark.readStream.schema("id string, content string").json(src)
-    index.refresh_index(stream, out, f"{tmp_path}/cp").awaitTermination()
-    assert values(spark.read.parquet(out), "term", "id", "tf") == [("blue", "1", 1), ("blue", "2", 1), ("red", "1", 2)]
-    spark.createDataFrame([("1", "green"), ("2", None)], "id string, content string").write.mode("append").json(src)
-    index.refresh_index(spark.readStream.schema("id string, content string").json(src), out, f"{tmp_path}/cp").awaitTermination()
-    assert ("green", "1", 1) in values(spark.read.parquet(out), "term", "id", "tf")
+    src, out, schema = f"{tmp_path}/src", f"{tmp_path}/out", "id string, content string, version long"
+
+    def follow(*rows):
+        spark.createDataFrame(rows, schema).write.mode("append").json(src)
+        index.refresh_index(spark.readStream.schema(schema).json(src), out, f"{tmp_path}/cp").awaitTermination()
+        return values(index.read_index(spark, out), "term", "id", "tf")
+
+    assert follow(("1", "red blue red", 1), ("2", "blue", 1)) == [("blue", "1", 1), ("blue", "2", 1), ("red", "1", 2)]
+    assert follow(("1", "green", 2), ("2", None, 2), ("1", "older", 1)) == [("green", "1", 1)]
+    assert follow(("1", None, 3)) == []
+    assert follow(("3", "", 1), ("4", "new", 1)) == [("new", "4", 1)]
