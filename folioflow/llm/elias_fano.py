@@ -8,7 +8,8 @@ import numpy as np
 
 from folioflow.llm.common import local_path, read_file
 
-_BLOCK = 512  # bits of the upper half for each entry of the directory
+_EVERY = 32  # set and clear bits of the upper half whose places are kept
+_BLOCK = 256  # bits of the upper half before which the ones are counted
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
 #: place of the k-th set bit of each byte
 _SELECT = np.zeros((256, 8), np.uint8)
@@ -41,7 +42,7 @@ def from_file(uri: str) -> dict[str, np.ndarray]:
 
 
 def encode(values: np.ndarray, name: str) -> dict[str, np.ndarray]:
-    """Arrays for a non-decreasing sequence: low bits packed, upper bits in unary, ones before each block of these."""
+    """Arrays for a non-decreasing sequence: low bits packed, upper bits in unary, places of some of its ones and zeros."""
     values = values.astype(np.uint64)
     n = len(values)
     base = int(values[0]) if n else 0
@@ -53,21 +54,42 @@ def encode(values: np.ndarray, name: str) -> dict[str, np.ndarray]:
         low[:, k] = (rest >> np.uint64(k)).astype(np.uint8) & 1
     low = np.packbits(low.ravel(), bitorder="little")
     low = np.concatenate([low, np.zeros(16 - len(low) % 8, np.uint8)]).view(np.uint64)
-    upper = (rest >> np.uint64(width)).astype(np.int64)
-    bits = np.zeros(-(-(n + (top >> width) + 2) // _BLOCK) * _BLOCK, np.uint8)
-    bits[upper + np.arange(n)] = 1
-    ones = np.concatenate([[0], np.cumsum(bits.reshape(-1, _BLOCK).sum(1, dtype=np.int64))])[:-1]
-    high = np.packbits(bits, bitorder="little")
-    return {f"{name}.head": np.asarray([n, width, base], np.uint64), f"{name}.low": low, f"{name}.high": high, f"{name}.ones": ones}
+    ones = (rest >> np.uint64(width)).astype(np.int64) + np.arange(n)
+    size = n + (top >> width) + 1
+    bits = np.zeros((size // _BLOCK + 2) * _BLOCK, np.uint8)
+    bits[ones] = 1
+    zeros = np.flatnonzero(bits == 0)[::_EVERY]
+    before = np.cumsum(bits.reshape(-1, _BLOCK).sum(1, dtype=np.int64))
+    kind = np.uint32 if len(bits) < 1 << 32 else np.uint64
+    return {
+        f"{name}.head": np.asarray([n, width, base, top >> width], np.uint64),
+        f"{name}.low": low,
+        f"{name}.high": np.packbits(bits, bitorder="little").view(np.uint64),
+        f"{name}.ones": ones[::_EVERY].astype(kind),
+        f"{name}.zeros": zeros.astype(kind),
+        f"{name}.before": np.concatenate([[0], before[:-1]]).astype(np.int64),
+    }
+
+
+def _place(words: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """The place of the r-th (from 0) set bit of each word."""
+    at = np.zeros(len(words), np.int64)
+    for half in (32, 16, 8):
+        count = np.bitwise_count(words & np.uint64((1 << half) - 1)).astype(np.int64)
+        over = r >= count
+        at += over * half
+        r = r - over * count
+        words = words >> (over * np.uint64(half))
+    return at + _SELECT[words.astype(np.uint8), r]
 
 
 class EliasFano:
     def __init__(self, arrays: dict[str, np.ndarray], name: str):
         head = arrays[f"{name}.head"]
-        self.n, self.width, self.base = int(head[0]), int(head[1]), np.uint64(head[2])
-        self.low, self.high, self.ones = arrays[f"{name}.low"], arrays[f"{name}.high"], arrays[f"{name}.ones"]
-        self.words = self.high.view(np.uint64).reshape(-1, 8)
-        self.zeros = np.arange(len(self.ones)) * _BLOCK - self.ones
+        self.n, self.width, self.base, self.last = int(head[0]), int(head[1]), np.uint64(head[2]), int(head[3])
+        self.low, self.words, self.ones, self.zeros = (arrays[f"{name}.{x}"] for x in ("low", "high", "ones", "zeros"))
+        ones = arrays[f"{name}.before"]
+        self.before = {True: ones, False: np.arange(len(ones)) * _BLOCK - ones}
         self.mask = np.uint64((1 << self.width) - 1)
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
@@ -77,23 +99,32 @@ class EliasFano:
         word, off = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
         return (self.low[word] >> off | (self.low[word + 1] << np.uint64(1)) << (np.uint64(63) - off)) & self.mask
 
+    def _bits(self, at: np.ndarray) -> np.ndarray:
+        """The 64 bits of the upper half from each place on."""
+        word, off = at >> 6, (at & 63).astype(np.uint64)
+        return self.words[word] >> off | (self.words[word + 1] << np.uint64(1)) << (np.uint64(63) - off)
+
     def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
-        """Place of the k-th (from 0) set or clear bit of the upper half."""
-        before = self.ones if one else self.zeros
-        block = np.searchsorted(before, k, "right") - 1
-        left = k - before[block]
-        words = self.words[block]
-        if not one:
-            words = ~words
-        upto = np.cumsum(np.bitwise_count(words).astype(np.int64), axis=1)
-        w = (upto <= left[:, None]).sum(1)
-        row = np.arange(len(k))
-        left = left - np.where(w > 0, upto[row, w - 1], 0)
-        bytes_ = np.ascontiguousarray(words[row, w]).view(np.uint8).reshape(-1, 8)
-        upto = np.cumsum(np.bitwise_count(bytes_), axis=1, dtype=np.int64)
-        b = (upto <= left[:, None]).sum(1)
-        left = left - np.where(b > 0, upto[row, b - 1], 0)
-        return block * _BLOCK + w * 64 + b * 8 + _SELECT[bytes_[row, b], left]
+        """Place of the k-th (from 0) set or clear bit of the upper half: word by word from the last kept place on, or,
+        where the next one is far away, from the start of its block."""
+        kept = self.ones if one else self.zeros
+        near = k // _EVERY
+        at, left = kept[near].astype(np.int64), k % _EVERY
+        far = np.flatnonzero(kept[np.minimum(near + 1, len(kept) - 1)] - at > _BLOCK)
+        if len(far):
+            block = np.searchsorted(self.before[one], k[far], "right") - 1
+            at[far], left[far] = block * _BLOCK, k[far] - self.before[one][block]
+        out, open_ = at, np.arange(len(k))
+        while len(open_):
+            words = self._bits(at)
+            if not one:
+                words = ~words
+            count = np.bitwise_count(words).astype(np.int64)
+            here = count > left
+            out[open_[here]] = at[here] + _place(words[here], left[here])
+            there = ~here
+            open_, at, left = open_[there], at[there] + 64, left[there] - count[there]
+        return out
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         upper = (self._select(i, True) - i).astype(np.uint64)
@@ -106,24 +137,28 @@ class EliasFano:
             return out
         x = x.astype(np.uint64)
         upper = ((x - self.base) >> np.uint64(self.width)).astype(np.int64)
-        last = int(self._select(np.asarray([self.n - 1]), True)[0]) - (self.n - 1)
-        live = np.flatnonzero((x >= self.base) & (upper <= last) & (upper >= 0))
+        live = np.flatnonzero((x >= self.base) & (upper <= self.last) & (upper >= 0))
         low = (x[live] - self.base) & self.mask
         h = upper[live]
         at = np.zeros(len(live), np.int64)
-        some = h > 0
+        some = np.flatnonzero(h)
         at[some] = self._select(h[some] - 1, False) + 1
-        on = self.high[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0  # else the bucket is empty
-        live, low, h, at = live[on], low[on], h[on], at[on]
-        end = self._select(h, False) - h
-        lo, hi = at - h, end.copy()
-        open_ = np.arange(len(live))
+        bits = self._bits(at)
+        size = np.bitwise_count(bits & ~(bits + np.uint64(1))).astype(np.int64)  # the ones that follow
+        more = np.flatnonzero(size == 64)
+        size[more] = self._select(h[more], False) - at[more]
+        some = np.flatnonzero(size)
+        live, low, lo = live[some], low[some], (at - h)[some]
+        hi = end = lo + size[some]
+        open_, lo, hi = np.arange(len(live)), lo.copy(), hi.copy()
+        l, r, key = lo, hi, low
         while len(open_):
-            mid = (lo[open_] + hi[open_]) >> 1
-            less = self._lows(mid) < low[open_]
-            lo[open_[less]] = mid[less] + 1
-            hi[open_[~less]] = mid[~less]
-            open_ = open_[lo[open_] < hi[open_]]
+            mid = (l + r) >> 1
+            less = self._lows(mid) < key
+            l, r = np.where(less, mid + 1, l), np.where(less, r, mid)
+            lo[open_] = l
+            still = np.flatnonzero(l < r)
+            open_, l, r, key = open_[still], l[still], r[still], key[still]
         ok = np.flatnonzero(lo < end)
         ok = ok[self._lows(lo[ok]) == low[ok]]
         out[live[ok]] = lo[ok]

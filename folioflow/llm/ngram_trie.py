@@ -16,7 +16,8 @@ discounting; what is discounted or left out is the context's back-off weight to
 the add-one unigram over the vocabulary and one unknown word, so probabilities of a context sum to 1 (but for rounding).
 
 Defined results: null and empty texts have the end token alone; without training documents all tokens are unknown; rows
-that repeat a doc_id are all counted and scored.
+that repeat a doc_id, and those without one (-1), are all counted and scored; a text longer than a slice makes a slice of
+its own, so a worker holds some times its size; other columns are not looked at; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -199,12 +200,15 @@ class Model:
         """Places in the level of (context, follower), -1 where it isn't there."""
         level, out = self.levels[order], np.full(len(context), -1, np.int64)
         ok = np.flatnonzero((context >= 0) & (follower >= 0))
-        c, w = context[ok], follower[ok]
+        pairs, inverse = np.unique(context[ok] << 32 | follower[ok], return_inverse=True)  # each once, and in the level's order
+        c, w = pairs >> 32, pairs & 0xFFFFFFFF
+        found = np.full(len(pairs), -1, np.int64)
         for f, q in level.split(level.slot[self.context_shard(order, c)]):
             s = shard(level.files[f]["uri"])
             local = (c[q] - self.first_context(order, level.files[f]["shard"])).astype(np.uint64)
             got = s.ids.find(local * s.arrays["bound"][0] + w[q].astype(np.uint64))
-            out[ok[q]] = np.where((got >= 0) & (w[q] < s.arrays["bound"][0].astype(np.int64)), got + level.start[f], -1)
+            found[q] = np.where((got >= 0) & (w[q] < s.arrays["bound"][0].astype(np.int64)), got + level.start[f], -1)
+        out[ok] = found[inverse.ravel()]
         return out
 
     def begins(self, order: int, context: np.ndarray) -> np.ndarray:
