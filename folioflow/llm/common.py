@@ -238,17 +238,24 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_file(uri: str, data: bytes) -> None:
-    """Whole or not at all, so that a repeated task attempt leaves the same file."""
+def write_file(uri: str, *data: bytes | Iterator[bytes]) -> None:
+    """Whole or not at all, so that a repeated task attempt leaves the same file. data: bytes, or iterators of them."""
     files, path = open_fs(uri)
     files.create_dir(os.path.dirname(path), recursive=True)
     part = f"{path}.{uuid.uuid4().hex}.tmp"
     with files.open_output_stream(part) as out:
-        out.write(data)
+        for x in data:
+            for piece in [x] if isinstance(x, bytes) else x:
+                out.write(piece)
     files.move(part, path)
 
 
-def read_file(uri: str) -> bytes:
+def open_file(uri: str):
+    """A stream of the file's bytes."""
     files, path = open_fs(uri)
-    with files.open_input_stream(path) as f:
+    return files.open_input_stream(path)
+
+
+def read_file(uri: str) -> bytes:
+    with open_file(uri) as f:
         return f.read()

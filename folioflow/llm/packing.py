@@ -8,7 +8,9 @@ the same gap are interchangeable, so each step moves whole ranges of them. A pla
 those ranked lo .. lo + n - 1 go to sequences first .. first + n - 1 at this offset. Pieces find their row by their rank
 among those of their length; ranks come from counts by (length, salt), so that no task holds all pieces of one length.
 
-Defined results: a null or empty text is a piece with the end id alone; repeated rows are packed each on their own.
+Defined results: a null or empty text is a piece with the end id alone; repeated rows, and rows without a doc_id (-1), are
+packed each on their own, equal ones in any order; a very long text is encoded as a whole and leaves in pieces; of lengths
+that fit equally well the longest is taken; other columns are not looked at; an empty table gives an empty plan.
 """
 
 from __future__ import annotations
@@ -117,9 +119,9 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
 
 
 def pack_pieces(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """found (doc_id, piece, length and more columns) with sequence_id and offset; found should be a stored table."""
+    """found (doc_id, piece, start, length, ids_crc32 and more columns) with sequence_id and offset; found should be a stored table."""
     spark = found.sparkSession
-    salted = found.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
+    salted = found.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
     # at most capacity * SALTS rows, whatever the input
     sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("n")).toPandas().sort_values(["length", "_salt"])
     sizes["_before"] = sizes.groupby("length")["n"].cumsum() - sizes["n"]
@@ -137,7 +139,7 @@ def pack_pieces(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(row[:, 3] + rank - row[:, 1]), pa.array(row[:, 4])], names=[*names, "sequence_id", "offset"])
 
     before = F.broadcast(spark.createDataFrame(sizes[["length", "_salt", "_before"]].astype({"_salt": "int32"}), "length long, _salt int, _before long"))
-    ranked = salted.withColumn("_n", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")))
+    ranked = salted.withColumn("_n", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32")))
     ranked = ranked.join(before, ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_n") - 1).drop("_salt", "_before", "_n")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema.fields if f.name != "_rank")
     return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")

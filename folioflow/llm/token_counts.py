@@ -9,7 +9,9 @@ place, it is doubled, up to the rest of the text, which is then encoded whole.
 
 Short texts are encoded by distinct words: a space with the non-space run after it, up to a full stop or comma, is a whole
 number of pre-tokens, so the counts of distinct runs are kept and summed. Texts with white space other than ASCII, with an
-added token's string or with a sign right before a full stop or comma go to the library whole. Defined results: null counts as empty, with 0 tokens; repeated rows are counted alike.
+added token's string or with a sign right before a full stop or comma go to the library whole. Defined results: null counts as empty, with 0 tokens;
+repeated rows, and rows without a doc_id (-1), are counted one by one; other columns are not looked at; an empty table gives
+an empty one.
 """
 
 from __future__ import annotations
@@ -36,8 +38,9 @@ REMEMBERED = 600_000
 
 _RUN = re.compile(r" ?[^ \t\n\r.,]+| ?[.,][^ \t\n\r]*|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
 #: A full stop or comma in one pre-token with the sign before it: not a place to cut.
-_SIGNS = re.compile(r"[^\w\s][.,]|_[.,]")
-#: Characters that some engine counts as white space beyond these four.
+_SIGNS = re.compile(r"[.,](?<=[^\w\s].)|[.,](?<=_.)")
+#: Characters that some engine counts as white space beyond space, tab, line feed and carriage return.
+_ODD_ASCII = "\x0b\x0c\x1c\x1d\x1e\x1f"
 _ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f\u2060\u3000\ufeff]")
 
 
@@ -71,14 +74,15 @@ class ByteRuns:
         return token.startswith("\u0120")  # a space's sign in byte-level vocabularies
 
     def plain(self, text: str) -> bool:
-        return not (_ODD_SPACE.search(text) or self.added.search(text) or _SIGNS.search(text))
+        odd = any(c in text for c in _ODD_ASCII) if text.isascii() else _ODD_SPACE.search(text)
+        return not (odd or self.added.search(text) or _SIGNS.search(text))
 
     def runs(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
     def learn(self, runs: set[str]) -> None:
-        """Encodes those of runs that are not known, all at once."""
-        new = runs.difference(self.known) if len(runs) > len(self.known) else [x for x in runs if x not in self.known]
+        """Encodes runs that are not known, all at once."""
+        new = list(runs)
         words = [x for x in new if self.is_word(x)]
         for lo in range(0, len(words), 1000):
             self.known.update(zip(words[lo : lo + 1000], self.words(words[lo : lo + 1000]), strict=True))
@@ -115,10 +119,12 @@ class ByteRuns:
 
     def values(self, some: list[str]) -> list:
         """For each text the sum of its runs' values; None where the library has to read the whole text."""
-        runs = [self.runs(x) if self.plain(x) else None for x in some]
-        self.learn(set(itertools.chain.from_iterable(x for x in runs if x is not None)))
-        known = self.known.__getitem__
-        out = [None if x is None else self.total(map(known, x)) for x in runs]
+        runs = [self.runs(x) if self.plain(x) else [] for x in some]
+        found = [list(map(self.known.get, x)) for x in runs]
+        self.learn({x for some_runs, values in zip(runs, found, strict=True) for x, v in zip(some_runs, values, strict=True) if v is None})
+        known = self.known
+        out = [self.total([known[x] if v is None else v for x, v in zip(some_runs, values, strict=True)]) for some_runs, values in zip(runs, found, strict=True)]
+        out = [v if x or not text else None for text, x, v in zip(some, runs, out, strict=True)]
         self.forget()
         return out
 

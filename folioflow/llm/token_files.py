@@ -8,8 +8,10 @@ a row of blocks; a block ends with the document that brings it to BLOCK ids or m
 
 Each task writes one file of an ascending range of doc ids, under a name that its partition gives, whole or not at all: a
 repeated attempt writes the same file. The driver sees one row for each file and, for the ranks, one for each id of the
-vocabulary. Reading decodes a block by a table of the 256 control bytes. Defined results: null counts as empty (the end
-id alone); repeated rows of one doc_id follow each other.
+vocabulary. Writing and reading hold a block at a time; reading decodes it by a table of the 256 control bytes. Defined
+results: null counts as empty (the end id alone); rows of one doc_id, equal or not, follow each other in the order of their
+ids, those without a doc_id as -1; a very long text is one block of its own; other columns are not looked at; an empty
+table writes no file.
 """
 
 from __future__ import annotations
@@ -25,12 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm.coding import byte_ids
-from folioflow.llm.common import fresh_dir, partitions, read_file, stored, texts, write_file
+from folioflow.llm.common import fresh_dir, open_file, partitions, stored, texts, write_file
 from folioflow.llm.token_counts import tokenizer
 
 MAGIC = b"FVB1"
 BLOCK = 1 << 20
-_HEAD = struct.Struct("<4sIQQ")
+_HEAD = "<4sIQQ"
+_HEAD_SIZE = struct.calcsize(_HEAD)
 _CONTROL = np.arange(256, dtype=np.uint8)
 #: Lengths of the four ranks of each control byte.
 _LENGTHS = np.stack([(_CONTROL >> (2 * k)) & 3 for k in range(4)], 1).astype(np.int64) + 1
@@ -45,16 +48,22 @@ def encode_block(docs: np.ndarray, lengths: np.ndarray, ranks: np.ndarray) -> by
     four = padded.reshape(-1, 4)
     control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
     data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
-    head = _HEAD.pack(MAGIC, len(docs), len(ranks), len(data))
+    head = struct.pack(_HEAD, MAGIC, len(docs), len(ranks), len(data))
     return head + docs.astype("<i8").tobytes() + lengths.astype("<u8").tobytes() + control.astype(np.uint8).tobytes() + data.tobytes()
 
 
+def rest_of_block(head: bytes) -> int:
+    """The bytes of a block after its head."""
+    _, n_docs, n, n_data = struct.unpack(_HEAD, head)
+    return 16 * n_docs + -(-n // 4) + n_data
+
+
 def decode_block(blob: memoryview | bytes, at: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """doc ids, lengths and ranks of the block at a place, and the place after it."""
-    magic, n_docs, n, n_data = _HEAD.unpack_from(blob, at)
+    magic, n_docs, n, n_data = struct.unpack_from(_HEAD, blob, at)
     if magic != MAGIC:
         raise ValueError("not a block of token ids")
-    at += _HEAD.size
+    at += _HEAD_SIZE
     docs = np.frombuffer(blob, "<i8", n_docs, at)
     lengths = np.frombuffer(blob, "<u8", n_docs, at + 8 * n_docs).astype(np.int64)
     at += 16 * n_docs
@@ -110,30 +119,34 @@ def write_files(ids: DataFrame, kind: str, by_rank: np.ndarray, folder: str, blo
     rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs, docs, parts, held, n_docs, n_ids = [], [], [], 0, 0, 0
-
-        def close() -> None:
+        counts = [0, 0]
+
+        def blocks() -> Iterator[bytes]:
+            docs, parts, held = [], [], 0
+            for b in batches:
+                for d, x in zip(b.column("doc_id").to_pylist(), b.column("ids"), strict=True):
+                    docs.append(d)
+                    parts.append(rank[np.frombuffer(x.as_buffer(), kind)])
+                    held += len(parts[-1])
+                    if held >= block:
+                        yield closed(docs, parts)
+                        docs, parts, held = [], [], 0
+            if docs:
+                yield closed(docs, parts)
+
+        def closed(docs: list[int], parts: list[np.ndarray]) -> bytes:
             lengths = np.asarray([len(x) for x in parts], np.int64)
-            blobs.append(encode_block(np.asarray(docs, np.int64), lengths, np.concatenate(parts)))
-            docs.clear()
-            parts.clear()
+            counts[0] += len(docs)
+            counts[1] += int(lengths.sum())
+            return encode_block(np.asarray(docs, np.int64), lengths, np.concatenate(parts))
 
-        for b in batches:
-            for d, x in zip(b.column("doc_id").to_pylist(), b.column("ids"), strict=True):
-                docs.append(d)
-                parts.append(rank[np.frombuffer(x.as_buffer(), kind)])
-                held += len(parts[-1])
-                n_docs, n_ids = n_docs + 1, n_ids + len(parts[-1])
-                if held >= block:
-                    close()
-                    held = 0
-        if docs:
-            close()
-        if blobs:
+        rest = blocks()
+        first = next(rest, None)
+        if first:
             part = TaskContext.get().partitionId()
             uri = f"{folder}/part-{part:06d}.fvb"
-            write_file(uri, b"".join(blobs))
-            yield pa.RecordBatch.from_pydict({"part": [part], "uri": [uri], "n_docs": [n_docs], "n_ids": [n_ids]})
+            write_file(uri, first, rest)
+            yield pa.RecordBatch.from_pydict({"part": [part], "uri": [uri], "n_docs": [counts[0]], "n_ids": [counts[1]]})
 
     n = partitions(ids.sparkSession)
     sorted_ids = ids.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "ids")
@@ -152,15 +165,15 @@ def read_files(spark: SparkSession, files: list[dict], by_rank: np.ndarray, keep
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for uri, start in zip(b.column("uri").to_pylist(), b.column("start").to_pylist(), strict=True):
-                blob, at = memoryview(read_file(uri)), 0
-                while at < len(blob):
-                    docs, lengths, ranks, at = decode_block(blob, at)
-                    ids = by_rank[ranks].astype("<u4")
-                    ends = np.cumsum(lengths)
-                    parts = [ids[e - n : e].tobytes() for e, n in zip(ends, lengths, strict=True)]
-                    cols = [pa.array(docs), pa.array(start + ends - lengths), pa.array(lengths), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(cols + [pa.array(parts, pa.binary())] * keep_ids, names=["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * keep_ids)
-                    start += int(lengths.sum())
+                with open_file(uri) as f:
+                    while head := f.read(_HEAD_SIZE):
+                        docs, lengths, ranks, _ = decode_block(head + f.read(rest_of_block(head)))
+                        ids = by_rank[ranks].astype("<u4")
+                        ends = np.cumsum(lengths)
+                        parts = [ids[e - n : e].tobytes() for e, n in zip(ends, lengths, strict=True)]
+                        cols = [pa.array(docs), pa.array(start + ends - lengths), pa.array(lengths), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
+                        yield pa.RecordBatch.from_arrays(cols + [pa.array(parts, pa.binary())] * keep_ids, names=["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * keep_ids)
+                        start += int(lengths.sum())
 
     if not files:
         return spark.createDataFrame([], schema)
