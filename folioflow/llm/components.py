@@ -15,7 +15,9 @@ def _sum(edges: DataFrame) -> tuple:
 def components(links: DataFrame) -> DataFrame:
     """links (a, b: long) to (node, root): root is the smallest node that can be reached; only nodes with links appear.
 
-    Both steps are joins on sums with partial aggregation; a hub's neighbours are never gathered in one place.
+    Both steps are joins on minima with partial aggregation; a hub's neighbours are never gathered in one place. Defined
+    results: repeated links and links in both directions count once, links of a node with itself and those with a null end
+    not at all; no links give no rows; the rounds end when a round changes nothing.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     edges = stored(edges, "edges")
