@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.functions.markup import places
 from folioflow.operators.ordered import first_gap
 
 # Fixed values: (rule, level, must match, must not match)
@@ -95,3 +96,52 @@ def misplaced(nodes: DataFrame, allowed: dict[str, list[str]]) -> DataFrame:
     """The rows (type, parent_type and more) whose parent's type is known and not among those allowed for their type."""
     want = F.create_map(*[x for kind, kinds in allowed.items() for x in (F.lit(kind), F.array(*map(F.lit, kinds)))])[F.col("type")]
     return nodes.filter(want.isNotNull() & F.col("parent_type").isNotNull() & ~F.array_contains(want, F.col("parent_type")))
+
+
+# What marks an equation to come, what an equation looks like, and starts of lines that may stand alone.
+EQUATION_MARKER = r"(?i)(?:calculated as follows|shall be determined by)[:\s]*"
+EQUATION = r"[A-Za-z]\s*=\s*[^,\n]{5,}"
+LIST_STARTS = "^(?:and|or|the|a) "
+# Fixed values: (issue, pattern) of markup that a normalised text of a part {P} should not have.
+MARKUP_LEFT = [
+    ("HEADING", r"(?m)^#{1,4}\s+"),
+    ("ARTICLE", r"\*\*{P}\.\d+\.\d+\.\d+\."),
+    ("BOLD_NUMBER", r"\*\*\(\d+\)\*\*"),
+    ("ITALIC", r"(?<!\*)\*[a-zA-Z]{2,20}\*(?!\*)"),
+    ("LETTER_MARK", r"(?m)^- \([a-z]\)"),
+    ("NUMBER_MARK", r"(?m)^- \(\d+\)"),
+]
+
+
+def _issues(rows: DataFrame, tests: list[tuple[str, Column]]) -> DataFrame:
+    found = F.array_compact(F.array(*[F.when(hit, F.lit(name)) for name, hit in tests]))
+    return rows.select("id", F.explode(found).alias("issue"))
+
+
+def content_checks(rows: DataFrame, least: int = 200) -> DataFrame:
+    """id, issue of rows (id, content): too short, a sentence broken off into a line, a letter's clause inside a line."""
+    c = F.coalesce("content", F.lit(""))
+    broken = F.filter(F.regexp_extract_all(c, F.lit(r"\n([a-z][^\n]{10,60})"), 1), lambda x: ~x.rlike(LIST_STARTS))
+    tests = [("SHORT", F.length(c) < least), ("SEPARATED", F.size(broken) > 0)]
+    for letter in "abc":
+        own, cited = rf"(?m)(?:^|\n|:\s*)\({letter}\)", rf"(?i)(?:see|in|under|per)\s+\({letter}\)"
+        tests.append((f"INLINE_{letter}", c.contains(f"({letter})") & ~c.rlike(own) & ~c.rlike(cited)))
+    return _issues(rows, tests)
+
+
+def equation_markers(rows: DataFrame, reach: int = 200) -> DataFrame:
+    """id, markers, missing: how many markers of an equation a text has, and how many have none within `reach` characters."""
+    found = places(rows, EQUATION_MARKER)
+    bare = ~F.col("content").substr(F.col("end") + 1, F.lit(reach)).rlike(EQUATION)
+    return found.groupBy("id").agg(F.count("*").alias("markers"), F.count_if(bare).alias("missing"))
+
+
+def left_over(rows: DataFrame) -> DataFrame:
+    """id, how many page numbers and lone references a text still has, and whether an article's number stands twice in a row."""
+    count = lambda p: F.regexp_count("content", F.lit(p)).cast("long")
+    return rows.select("id", count(r"(?m)^[ \t]*(?!0{1,3}[ \t]*$)\d{1,3}[ \t]*$").alias("page_numbers"), F.col("content").rlike(r"(9\.\d+\.\d+\.\d+\.)\s*\1").alias("doubled"), count(r"(?m)^[ \t]*9\.\d+\.\d+\.\d*\.?[ \t]*$").alias("orphans"))
+
+
+def left_over_markup(rows: DataFrame, part: str = r"\d+") -> DataFrame:
+    """id, issue for each kind of markup that a text still has."""
+    return _issues(rows, [(name, F.col("content").rlike(pattern.replace("{P}", part))) for name, pattern in MARKUP_LEFT])

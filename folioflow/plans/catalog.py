@@ -14,19 +14,21 @@ from folioflow.operators import quality as V
 from folioflow.operators import relational as R
 from folioflow.operators import search as K
 from folioflow.operators import tree as H
-from folioflow.sources.relations import ARTICLES_SQL, MODEL, articles, base, model
+from folioflow.sources.relations import ARTICLES_SQL, MARKED_ARTICLES_SQL, MODEL, articles, base, model
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 B, M = base, model
+#: Relations whose lines are joined to one content for each document.
+JOINED = {"art": ARTICLES_SQL, "mart": MARKED_ARTICLES_SQL}
 
 
 def add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None, *models: str) -> None:
-    """Registers a query; sql may name the relations of `models` (and art: articles), which become its first CTEs."""
+    """Registers a query; sql may name the relations of `models` (and art, mart: articles), which become its first CTEs."""
     QUERIES[name] = run
     if sql:
-        ctes = [f"{m} AS ({ARTICLES_SQL if m == 'art' else MODEL[m]})" for m in models]
+        ctes = [f"{m} AS ({JOINED.get(m) or MODEL[m]})" for m in models]
         SQL[name] = f"WITH {', '.join(ctes)} {sql}" if ctes else sql
 
 
@@ -39,6 +41,10 @@ def art(s: SparkSession, d: str) -> DataFrame:
     return articles(M(s, d, "lines"))
 
 
+def mart(s: SparkSession, d: str) -> DataFrame:
+    return articles(M(s, d, "marked"))
+
+
 def doc_lines(s: SparkSession, d: str) -> DataFrame:
     return B(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
 

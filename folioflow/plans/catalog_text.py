@@ -110,10 +110,10 @@ def _marked(s: SparkSession, d: str) -> DataFrame:
     return articles(M(s, d, "lines").withColumn("text", F.trim(F.regexp_replace(X.marked_articles(heading), r"^(?:### |\n)", ""))))
 
 
-add("T20_see_notes", lambda s, d: M(s, d, "lines").select("doc", F.explode(F.regexp_extract_all("text", F.lit(r"\(See Note ([A-Z]-[0-9.]+)\)"), 1)).alias("note")).groupBy("note").agg(F.count("*").alias("n")), "SELECT note, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '\\(See Note ([A-Z]-[0-9.]+)\\)', 1)) AS note FROM lines) GROUP BY note", "lines")
+
 add("T22_equations", lambda s, d: B(s, d, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).filter(X.has_equation(F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("n")),
     f"SELECT doc_id, count(*) AS n FROM ({DOC_LINES}) WHERE regexp_matches(line, '[=<>±≤≥]') OR regexp_matches(line, '[0-9]+\\s*/\\s*[0-9]+') OR regexp_matches(line, '[²³√∑∫∏]') OR regexp_matches(line, '(?i)[0-9]+\\s*[×x]\\s*10') OR regexp_matches(line, '(?i)\\bsqrt\\s*[(]') OR regexp_matches(line, '(?i)°\\s*[cf]') GROUP BY doc_id")
-add("T23_table_listing", lambda s, d: art(s, d).select("doc", F.size(F.array_distinct(F.regexp_extract_all("content", F.lit(r"(Table 9[0-9.]+)"), 1))).cast("long").alias("n")), "SELECT doc, CAST(len(list_distinct(regexp_extract_all(content, '(Table 9[0-9.]+)', 1))) AS BIGINT) AS n FROM art", "art")
+
 
 
 def _norm(name: str, f, sql: str) -> None:

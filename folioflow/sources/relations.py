@@ -88,7 +88,64 @@ FROM (SELECT l_orderkey, l_partkey, l_quantity, l_returnflag,
   CROSS JOIN (SELECT 1 AS col UNION ALL SELECT 2 UNION ALL SELECT 3) c
 """
 
-MODEL = {"nodes": NODES, "tables": TABLES, "lines": LINES, "refs": REFS, "cells": CELLS}
+#: forms of marked-up text; n is an item's number, k another
+FORMS = [
+    "- **({n})** The wall shall conform to Sentence 9.{k}.3.2.(1) and Table 9.{k}.3.2.-A.",
+    "  - ({n}) Every beam in Part 9 of Section 9.{k}.4. is as in Subsection 9.{k}.4.",
+    "- (a) first case, see Article 9.{k}.2.3. and Clause 9.{k}.2.3.(1)(b)",
+    "- (iv) fourth case **({n})** inline",
+    "- (1.{n}) decimal clause (b) of it",
+    "- (See Note A-9.{k}.1.)",
+    "- . (See Notes A-9.{k}.1. and A-9.{k}.2.)",
+    "**Notes to Table 9.{k}.3.2.:**",
+    '<h5 class="table-notes-title">Notes to Table 9.{k}.3.2.:</h5>\n({n}) P = permitted\n- (7) kept',
+    "Notes to Table 9.{k}.3.2.-A:",
+    "#### Table 9.{k}.3.2.-A Live loads\n*Forming Part of Sentence 9.{k}.3.2.(1)*",
+    "### Table 9.{k}.3.2\n\n**Spans of joists**\n*Forming part of Article 9.{k}.3.2.*",
+    "**Table 9.{k}.3.2. Nails** Forming Part of Sentence 9.{k}.3.2.(2)",
+    "**Table 9.{k}.3.2. Bolts**",
+    '<h4 class="table-title">Table 9.{k}.3.2. Panels</h4>',
+    "where:\nQ is the flow, in L/s\nSs = the snow load\n\n- T = kept\nother line",
+    "| Span, m | Size |\n|---|---|\n| {n} | 38 x 89 |\n| 4 |  |",
+    "9.{k}.3.2. to 9.{k}.3.4.)",
+    "9.{k}.3.{n}.",
+    "the flow of water\nflooding.\n.",
+    "(See also Articles 9.{k}.3.2. and\n9.{k}.3.4.)",
+    "9.{k}.3. Fire separations\nand spaces within buildings",
+    "is calculated as follows: x = 3 a + b and 5 °C or 15m² >= 3 +/- 1, 10 °F",
+    "shall be determined by the table below\nand continues in lower case\nBut not this",
+    "17",
+    "*Note* on a *rule* with <sup>3</sup> and **9.{k}.3.2.** in bold",
+    "[ARTICLE:9.{k}.1.1:Scope]",
+    "9.{k}.3.2. 9.{k}.3.2. twice",
+]
+
+
+def _form(text: str) -> str:
+    """A form as an SQL expression."""
+    import re
+
+    made = {"{n}": "CAST(n AS STRING)", "{k}": "CAST(k AS STRING)", "\n": "chr(10)"}
+    return f"concat({', '.join(made.get(x, repr_sql(x)) for x in re.split(r'({n}|{k}|\n)', text) if x)})"
+
+
+def repr_sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+#: marked-up text (doc, page, line, text): a heading and one form for each line item; a text may have several lines
+MARKED = f"""
+WITH items AS (
+  SELECT l_orderkey AS doc, l_partkey, l_suppkey % 30 + 1 AS k,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n
+  FROM lineitem)
+SELECT o_orderkey AS doc, o_orderkey % 900 + 1 AS page, CAST(0 AS BIGINT) AS line, concat(repeat('#', CAST(o_orderkey % 4 + 1 AS INT)), CASE WHEN o_orderkey % 3 = 0 THEN ' Section ' ELSE ' ' END,
+    CAST(o_custkey % 4 + 8 AS STRING), '.', CAST(o_custkey % 7 + 1 AS STRING), '.', CASE o_orderkey % 6 WHEN 0 THEN '' WHEN 1 THEN '3.' WHEN 2 THEN '3A.' WHEN 3 THEN '3.5.' WHEN 4 THEN '3A.5.' ELSE '3.5B.' END,
+    CASE o_orderkey % 5 WHEN 0 THEN ' **Loads** (See Note A-9.1.)' WHEN 1 THEN ' Spans e2' WHEN 2 THEN ' *Rules* of **r3**' ELSE concat(' ', o_orderpriority) END) AS text FROM orders
+UNION ALL SELECT doc, doc % 900 + 1, n, CASE l_partkey % {len(FORMS)} {" ".join(f"WHEN {i} THEN {_form(x)}" for i, x in enumerate(FORMS))} END FROM items
+"""
+
+MODEL = {"marked": MARKED, "nodes": NODES, "tables": TABLES, "lines": LINES, "refs": REFS, "cells": CELLS}
 
 
 def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,4 +174,5 @@ def articles(lines: DataFrame) -> DataFrame:
     return lines.groupBy("doc").agg(F.min("page").alias("page"), F.array_join(ordered, "\n").alias("content"))
 
 
+MARKED_ARTICLES_SQL = f"SELECT doc, min(page) AS page, string_agg(text, chr(10) ORDER BY line, text) AS content FROM ({MARKED}) l GROUP BY doc"
 ARTICLES_SQL = f"SELECT doc, min(page) AS page, string_agg(text, chr(10) ORDER BY line, text) AS content FROM ({LINES}) l GROUP BY doc"
