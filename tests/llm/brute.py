@@ -6,6 +6,8 @@ import collections
 import hashlib
 import re
 
+import numpy as np
+
 SPACE = r"[\x20\x09-\x0D]+"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -45,6 +47,32 @@ def repeats(docs: list[tuple[int, str | None]], span: int = 100) -> dict[int, tu
     return out
 
 
+def kept_lines(docs: list[tuple[int, str]], chars: int = 40, at_least: int = 5) -> dict[int, str]:
+    """The text of each document without the lines that go."""
+    key = lambda x: x.strip(" \t\n\r\x0b\x0c").translate(LOWER)
+    holders = collections.defaultdict(set)
+    for d, t in docs:
+        for x in t.split("\n"):
+            holders[key(x)].add(d)
+    goes = lambda d, k: len(k) >= chars and len(holders[k]) >= at_least and max(holders[k]) != d
+    return {d: "\n".join(x for x in t.split("\n") if not goes(d, key(x))) for d, t in docs}
+
+
+def passes_quality(text: str | None, stop_words: set[str]) -> bool:
+    """The verdict of all quality rules."""
+    text = text or ""
+    n, chars, symbols, again, repeated, failed = quality(text)
+    if failed:
+        return False
+    w, lines = words(text, lower=False), [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    share = lambda p: sum(bool(re.search(p, x)) for x in lines) / len(lines)
+    blank = "[\t\n\f\r\x0b ]*"
+    return (
+        2 <= chars / n <= 12 and symbols / n <= 0.3 and text.count("!!") / n <= 0.3 and sum(x.lower() in stop_words for x in w) / n >= 0.02
+        and repeated / n <= 0.3 and again / len(lines) <= 0.5 and share(f"^{blank}[-*•]") <= 0.9 and share(f"(\\.\\.\\.|…){blank}$") <= 0.3
+    )
+
+
 def quality(text: str | None) -> tuple:
     text = text or ""
     w = words(text, lower=False)
@@ -95,21 +123,29 @@ def fold(text: str) -> str:
     return re.sub("[\t-\r \xa0]+", " ", low)
 
 
-def least_edits(passage: str, text: str) -> int:
-    """Of passage against any part of text."""
-    row = [0] * (len(text) + 1)
+def holds(passage: str, text: str, edits: int) -> bool:
+    """Whether text holds passage with so many edits at most: one of edits + 1 parts of it must stand in the text as it is."""
+    size, more = divmod(len(passage), edits + 1)
+    at, any_part = 0, False
+    for k in range(edits + 1):
+        n = size + (k < more)
+        any_part |= passage[at : at + n] in text
+        at += n
+    if not any_part:
+        return False
+    t, row = np.frombuffer(text.encode("utf-32-le"), "<u4"), np.zeros(len(text) + 1, np.int64)
+    j = np.arange(len(text) + 1)
     for i, c in enumerate(passage, 1):
-        before, row[0] = row[0], i
-        for j, t in enumerate(text, 1):
-            before, row[j] = row[j], min(before + (c != t), row[j] + 1, row[j - 1] + 1)
-    return min(row)
+        new = np.minimum(row + 1, np.append(i, row[:-1] + (t != ord(c))))
+        row = np.minimum.accumulate(new - j) + j
+    return int(row.min()) <= edits
 
 
 def leaks(docs: list[tuple], items: list[tuple[int | None, str | None]], passage: int = 120, per_edit: int = 10) -> list[tuple]:
     """For each document the ascending ids of the items of which it holds a passage."""
     out = []
     for _, text in docs:
-        found = set()
+        found, folded = set(), fold(text or "")
         for item, body in items:
             body = fold((body or "").strip())
             parts = -(-len(body) // passage)
@@ -117,7 +153,7 @@ def leaks(docs: list[tuple], items: list[tuple[int | None, str | None]], passage
             at = 0
             for k in range(parts):
                 n = size + (k < more)
-                if least_edits(body[at : at + n], fold(text or "")) <= n // per_edit:
+                if holds(body[at : at + n], folded, n // per_edit):
                     found.add(-1 if item is None else item)
                 at += n
         out.append(tuple(sorted(found)))

@@ -492,19 +492,34 @@ def test_op4_whole_output(spark):
 
 
 def test_pipeline(spark, sf):
-    out = corpus_pipeline.run(spark, sf)
-    rows = out.collect()
+    """All rows of run() against plain versions of the five stages, none of which calls the code under test."""
+    rows = corpus_pipeline.run(spark, sf).collect()
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    passed = {r.doc_id for r in quality_rules.judge(spark.read.parquet(f"{sf}/documents.parquet")).collect() if r.kept}
-    stay = [(d, t) for d, t in docs if d in passed]
-    holders = brute.line_dedup(stay)
-    texts = by_id(line_dedup.dedup_table(spark.createDataFrame(stay, "doc_id long, text string")), "text")
-    assert {d: x[1] for d, x in holders.items()} == {d: len((t or "").split("\n")) - len(texts[d].split("\n")) if x else 0 for (d, t), x in zip(stay, [holders[d][1] for d, _ in stay], strict=True)}
+    stop = set(quality_rules.STOP_WORDS)
+    texts = brute.kept_lines([(d, t or "") for d, t in docs if brute.passes_quality(t, stop)])
     kept = {d for d, (_, root) in brute.near_classes(list(texts.items()), 5, 80, 100).items() if d == root}
-    squeeze = lambda x: re.sub(r"\s+", " ", x.lower()).strip()
-    items = [squeeze(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    clean = {d for d in kept if not any(i in squeeze(texts[d]) for i in items)}
-    assert {r.doc_id for r in rows} == clean
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    left = [(d, t) for d, t in texts.items() if d in kept]
+    clean = {d: t for (d, t), found in zip(left, brute.leaks(left, items), strict=True) if not found}
+    assert 0 < len(clean) < len(kept) < len(texts) < len(docs)
+    got, places = {}, {}
+    for r in rows:
+        got.setdefault(r.doc_id, []).append((r.piece, r.start, r.length, r.ids_crc32))
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    want = {}
+    for d, t in clean.items():
+        ids = np.asarray([*token_counts.tokenizer(WORD).encode(t, add_special_tokens=False).ids, 1], "<u4")
+        want[d] = [(k, x, len(ids[x : x + 4096]), zlib.crc32(ids[x : x + 4096].tobytes())) for k, x in enumerate(range(0, len(ids), 4096))]
+    assert {d: sorted(x) for d, x in got.items()} == want
+    for parts in places.values():
+        parts.sort()
+        assert all(x == sum(n for _, n in parts[:i]) for i, (x, _) in enumerate(parts))
+        assert sum(n for _, n in parts) <= 4096
+    total = sum(n for x in want.values() for _, _, n, _ in x)
+    assert len(places) <= -(-total // 4096) * 1.1 + 1
+
+
+def test_stages_keep_the_columns(spark, sf):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         frame = spark.read.parquet(f"{sf}/documents.parquet")
         assert stage(spark, frame, sf).columns == frame.columns, name
