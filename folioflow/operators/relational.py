@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def resolved_parent(tables: DataFrame, nodes: DataFrame, exact: Column, wider: Column) -> DataFrame:
@@ -44,3 +45,23 @@ def null_parent_fallback(rows: DataFrame, parents: DataFrame, key: str, id_: str
 def best_by(rows: DataFrame, key: str, value: str, by: str) -> DataFrame:
     """For each key the value with the highest `by` (ties: the smallest value)."""
     return rows.groupBy(key).agg(F.min_by(value, F.struct(-F.col(by), F.col(value))).alias(value), F.max(by).alias(by))
+
+
+def zipped(left: DataFrame, right: DataFrame, place: str, left_id: str, right_id: str) -> DataFrame:
+    """place, k, left_id, right_id: the k-th of both sides at each place, in the order of their ids; the longer side's rest goes."""
+    numbered = lambda rows, id_: rows.select(place, id_, F.row_number().over(Window.partitionBy(place).orderBy(id_)).cast("long").alias("k"))
+    return numbered(left, left_id).join(numbered(right, right_id), [place, "k"])
+
+
+def overridden(tables: DataFrame, overrides: DataFrame) -> DataFrame:
+    """tables (id, title, html, source) with overrides (id, patch, html): added to the html that is there if patch, else in
+    its place. A patch of a table without html has no effect."""
+    o = overrides.select("id", "patch", F.col("html").alias("_new"))
+    there = F.col("_new").isNotNull() & (~F.col("patch") | F.col("html").isNotNull())
+    html = F.when(there & F.col("patch"), F.concat("html", "_new")).when(there, F.col("_new")).otherwise(F.col("html"))
+    return tables.join(o, "id", "left").select("id", "title", html.alias("html"), F.when(there, "manual_override").otherwise(F.col("source")).alias("source"))
+
+
+def selected(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is wanted, once each."""
+    return rows.join(wanted.select(key).distinct(), key, "left_semi")

@@ -1,7 +1,7 @@
 """Keyword search in its three semantics, snippets, highlighting and the posting lists of the ranked one.
 
-Terms are known when the plan is built, so scoring is one projection and a top-k; BM25 reads posting lists, of which a
-query touches only the rows of its terms.
+Terms are known when the plan is built, so scoring is one projection and a top-k; BM25 splits each text once and goes on
+with the query's own terms alone.
 """
 
 from __future__ import annotations

@@ -116,6 +116,13 @@ def clause_roll_up(nodes: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("parent_id").alias("id")).agg(joined(F.collect_list(F.struct("seq", text.alias("text"))), "\n").alias("content"))
 
 
+def flat_content(nodes: DataFrame) -> DataFrame:
+    """Content of each subsection from its articles: heading, blank line, text, blank line, in order."""
+    text = F.concat(F.lit("#### "), "id", F.lit(". "), F.coalesce("title", F.lit("")), F.lit("\n"), F.when(F.col("content") != "", F.concat(F.lit("\n"), "content")).otherwise(F.lit("")))
+    rows = nodes.filter("type = 'article'").groupBy(F.col("parent_id").alias("id")).agg(joined(F.collect_list(F.struct("seq", text.alias("text"))), "\n\n").alias("content"))
+    return rows.withColumn("content", F.regexp_replace("content", r"^\s+|\s+$", ""))
+
+
 def section_view(nodes: DataFrame, tables: DataFrame) -> DataFrame:
     """Everything that a section's page shows: title, number of children, of tables, and the way to it."""
     kids = nodes.groupBy("parent_id").agg(F.count("*").alias("n_children"), F.min("id").alias("first_child"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.plans import catalog, catalog_markup, catalog_text  # noqa: F401  (these register their queries in catalog)
+from folioflow.plans import catalog, catalog_markup, catalog_sources, catalog_text  # noqa: F401  (these register their queries in catalog)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

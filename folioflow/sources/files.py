@@ -15,10 +15,19 @@ def read_parts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PART_SCHEMA).option("multiLine", True).json(path)
 
 
+def parts_of(texts: DataFrame) -> DataFrame:
+    """The parts in the JSON texts of column value."""
+    return texts.select(F.from_json("value", PART_SCHEMA).alias("p")).select("p.*")
+
+
+def tables_of(texts: DataFrame) -> DataFrame:
+    """id and the fields of each entry of the JSON texts of column value, which map table ids to tables."""
+    return texts.select(F.explode(F.from_json("value", TABLE_SCHEMA)).alias("id", "t")).select("id", "t.*")
+
+
 def read_tables(spark: SparkSession, path: str) -> DataFrame:
     """id and the fields of each entry of files that map table ids to tables."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.explode(F.from_json("value", TABLE_SCHEMA)).alias("id", "t")).select("id", "t.*")
+    return tables_of(spark.read.text(path, wholetext=True))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
