@@ -91,3 +91,60 @@ def distinct_rows(cells: DataFrame) -> DataFrame:
     """table_id, rows: how many different rows a grid has."""
     row = F.transform(F.array_sort(F.collect_list(F.struct("col", F.coalesce("cell", F.lit("")).alias("c")))), lambda x: x["c"])
     return cells.groupBy("table_id", "row").agg(F.to_json(row).alias("j")).groupBy("table_id").agg(F.countDistinct("j").alias("rows"))
+
+
+def grid_texts(cells: DataFrame) -> DataFrame:
+    """table_id, text: the filled cells in lower case, in order, one space between."""
+    filled = cells.filter(F.trim(F.coalesce("cell", F.lit(""))) != "")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("row", "col", F.lower(F.trim("cell")).alias("c")))), lambda x: x["c"])
+    return filled.groupBy("table_id").agg(F.array_join(ordered, " ").alias("text"))
+
+
+def keyword_scores(cells: DataFrame, keywords: list[str], invalid: list[str]) -> DataFrame:
+    """table_id, score (the share of the keywords that the grid holds, 0 without any), valid (it holds none of the others)."""
+    held = sum((F.when(F.col("text").contains(k.lower()), 1).otherwise(0) for k in keywords), F.lit(0))
+    bad = F.lit(False)
+    for k in invalid:
+        bad = bad | F.col("text").contains(k.lower())
+    return grid_texts(cells).select("table_id", F.round(held / max(1, len(keywords)), 6).alias("score"), (~bad).alias("valid"))
+
+
+def fill_rates(cells: DataFrame) -> DataFrame:
+    filled = F.when(F.trim(F.coalesce("cell", F.lit(""))) != "", 1.0).otherwise(0.0)
+    return cells.groupBy("table_id").agg(F.avg(filled).alias("fill_rate"))
+
+
+def grid_issues(cells: DataFrame, most_blank: float = 0.5) -> DataFrame:
+    """table_id, issue: rows of different width, or more than `most_blank` of the cells null or empty."""
+    rows = cells.groupBy("table_id", "row").agg(F.count("*").alias("width"), F.count_if(F.coalesce("cell", F.lit("")) == "").alias("blank"))
+    tables = rows.groupBy("table_id").agg(F.min("width").alias("a"), F.max("width").alias("b"), F.sum("width").alias("n"), F.sum("blank").alias("k"))
+    issues = F.array_compact(F.array(F.when(F.col("a") != F.col("b"), "RAGGED"), F.when(F.col("k") > most_blank * F.col("n"), "BLANK")))
+    return tables.select("table_id", F.explode(issues).alias("issue"))
+
+
+def first_ids(lines: DataFrame, pattern: str) -> DataFrame:
+    """page, id: the first match of the pattern's first group on a page, which all grids of the page get."""
+    found = lines.select("page", "doc", "line", "text", F.regexp_extract("text", pattern, 1).alias("id")).filter("id <> ''")
+    return found.groupBy("page").agg(F.min(F.struct("doc", "line", "text", "id")).alias("x")).select("page", "x.id")
+
+
+def spanned_html(cells: DataFrame, header: DataFrame) -> DataFrame:
+    """table_id, html of cells (table_id, row, col, cell, rowspan, colspan) and header rows (table_id, header_rows).
+
+    A cell that a span hides (span 0) and a null one are left out; header rows are th in thead, first columns th in tbody,
+    every other body row has another ground.
+    """
+    shown = cells.join(header, "table_id").filter(F.col("cell").isNotNull() & (F.col("rowspan") > 0) & (F.col("colspan") > 0))
+    head = F.col("row") <= F.col("header_rows")
+    tag = F.when(head | (F.col("col") == 1), "th").otherwise("td")
+    span = lambda name: F.when(F.col(name) > 1, F.concat(F.lit(f' {name}="'), F.col(name).cast("string"), F.lit('"'))).otherwise("")
+    cell = F.concat(F.lit("<"), tag, F.when(head, "").otherwise(' style="text-align: center;"'), span("rowspan"), span("colspan"), F.lit(">"), html_escaped(F.col("cell")), F.lit("</"), tag, F.lit(">"))
+    ordered = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, "t"))), lambda x: x["t"]), "")
+    rows = shown.select("table_id", "row", "col", "header_rows", cell.alias("t")).groupBy("table_id", "row", "header_rows").agg(ordered("col").alias("t"))
+    ground = F.when((F.col("row") - F.col("header_rows")) % 2 == 0, "bg-gray-50").otherwise("bg-white")
+    open_ = F.when(F.col("row") <= F.col("header_rows"), "<tr>").otherwise(F.concat(F.lit('<tr class="'), ground, F.lit('">')))
+    rows = rows.select("table_id", "row", (F.col("row") <= F.col("header_rows")).alias("head"), F.concat(open_, "t", F.lit("</tr>")).alias("t"))
+    part = lambda which: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(which, F.struct("row", "t")))), lambda x: x["t"]), "")
+    out = rows.groupBy("table_id").agg(part(F.col("head")).alias("a"), part(~F.col("head")).alias("b"))
+    body = F.when(F.col("b") != "", F.concat(F.lit("<tbody>"), "b", F.lit("</tbody>"))).otherwise("")
+    return out.select("table_id", F.concat(F.lit('<table class="obc-table"><thead>'), "a", F.lit("</thead>"), body, F.lit("</table>")).alias("html"))

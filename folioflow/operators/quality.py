@@ -14,6 +14,7 @@ RULES = [
     ("RAW_BOLD", "ERROR", r"(?m)^\*\*[A-Z].*\*\*$", None),
     ("RAW_ITALIC", "WARN", r"(?m)^\*[A-Z].*[^*]\*$", r"(?m)^\*\*"),
     ("FLAT_TABLE", "ERROR", r"(?i)C\.A\.\s*Number.*Division B.*Compliance", r"<table[\s>]"),
+    ("FLAT_HI_TABLE", "WARN", r"(?:Small|Medium|Large)\s+(?:Small|Medium|Large)\s+\d", r"(?i)<table[\s>]"),
     ("PDF_HEADER_LEAK", "WARN", r"\d{4}\s+Building Code", None),
     ("RAW_HTML_TAG", "WARN", r"(?i)<(sup|sub|em|strong|b|i)>[^<]*</(sup|sub|em|strong|b|i)>", None),
     ("SEPARATED_CONTINUATION", "WARN", r"\([a-z]\)[^\n]*[,;]\s*\n[a-z]", None),

@@ -131,7 +131,13 @@ add("J08_missing_tables", lambda s, d: M(s, d, "refs").filter("target_type = 'ta
 add("J09_available_flag", lambda s, d: M(s, d, "refs").filter("target_type = 'table'").select("target_id").distinct().join(M(s, d, "tables").filter("html IS NOT NULL").select("id"), F.col("target_id") == F.col("id"), "left").select("target_id", F.col("id").isNotNull().alias("can_add")), "SELECT target_id, target_id IN (SELECT id FROM tables WHERE html IS NOT NULL) AS can_add FROM (SELECT DISTINCT target_id FROM refs WHERE target_type = 'table')", "refs", "tables")
 
 
-add("J10_contained_phrases", lambda s, d: _contained(B(s, d, "documents"), B(s, d, "benchmark")), "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+add("J10_contained_phrases", lambda s, d: _contained(B(s, d, "documents"), B(s, d, "benchmark")), "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON b.text <> '' AND contains(d.text, b.text)")
+
+
+#: Characters of a text whose places are looked at together.
+BLOCK = 256
+#: Heads of phrases that are sent to all tasks; more of them are joined by merge.
+BROADCAST_HEADS = 100_000
 
 
 def _contained(documents: DataFrame, phrases: DataFrame, size: int = 24) -> DataFrame:
@@ -139,20 +145,26 @@ def _contained(documents: DataFrame, phrases: DataFrame, size: int = 24) -> Data
 
     Positions of a document that start no phrase end at the join; the phrases' heads are what is matched, not all pairs. A
     phrase of fewer than size characters is its own head. The driver gets the heads' lengths and first characters. Rows
-    without a doc_id and repeated ids are told apart by their texts; the empty phrase is in every text.
+    without a doc_id and repeated ids are told apart by their texts; empty phrases are not looked for.
     """
     heads = phrases.filter("text <> ''").select("item_id", F.col("text").alias("phrase"), F.substring("text", 1, size).alias("head"))
     sizes = sorted(r[0] for r in heads.select(F.length("head")).distinct().collect()) or [size]
     first = [r[0] for r in heads.select(F.substring("head", 1, 1)).distinct().collect()]
     rows = documents.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    spots = rows.filter("text <> ''").select("doc_id", "h", "text", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("at"))
-    spots = spots.filter(F.substring("text", F.col("at"), F.lit(1)).isin(first))
-    spots = spots.select("doc_id", "h", F.explode(F.array(*[F.substring("text", F.col("at"), F.lit(n)) for n in sizes])).alias("head"))
-    hits = spots.join(F.broadcast(heads.select("head").distinct()), "head", "left_semi").distinct().join(heads, "head").alias("x")
+    # blocks that overlap by a head's length: a place in a block is found at once, one in a long text by counting up to it
+    block = lambda k: F.substring("text", k * BLOCK + 1, F.lit(BLOCK + max(sizes) - 1))
+    blocks = rows.filter("text <> ''").select("doc_id", "h", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / BLOCK).cast("int")), block)).alias("block"))
+    places = F.sequence(F.lit(1), F.least(F.lit(BLOCK), F.length("block")))
+    starts = F.filter(places, lambda i: F.substring("block", i, F.lit(1)).isin(first))
+    of_size = lambda n: F.transform(starts, lambda i: F.substring("block", i, F.lit(n)))
+    spots = F.flatten(F.array(*map(of_size, sizes)))
+    spots = blocks.select("doc_id", "h", F.explode(F.array_distinct(spots)).alias("head"))
+    known = heads.select("head").distinct()
+    few = known.limit(BROADCAST_HEADS + 1).count() <= BROADCAST_HEADS
+    hits = spots.join(F.broadcast(known) if few else known.hint("merge"), "head", "left_semi").distinct().join(heads, "head").alias("x")
     rows = rows.alias("d")
     found = hits.join(rows, (F.col("x.h") == F.col("d.h")) & F.col("x.doc_id").eqNullSafe(F.col("d.doc_id"))).filter(F.col("d.text").contains(F.col("phrase")))
-    everywhere = documents.filter("text IS NOT NULL").select("doc_id").crossJoin(phrases.filter("text = ''").select("item_id"))
-    return found.select("d.doc_id", "item_id").unionByName(everywhere)
+    return found.select("d.doc_id", "item_id")
 
 
 _TERMS = ["the", "tion", "there", "her", "ou", "and the"]

@@ -149,8 +149,7 @@ add("G08_html_tables", lambda s, d: G.html_tables(M(s, d, "cells")).select("tabl
     ", c AS (SELECT table_id, row, string_agg(concat('<', CASE WHEN row = 1 OR col = 1 THEN 'th' ELSE 'td' END, '>', trim(coalesce(cell, '')), '</', CASE WHEN row = 1 OR col = 1 THEN 'th' ELSE 'td' END, '>'), '' ORDER BY col) AS t FROM cells GROUP BY table_id, row) SELECT table_id, sha256(concat('<table>', string_agg(concat('<tr>', t, '</tr>'), '' ORDER BY row), '</table>')) AS sha FROM c GROUP BY table_id", "cells")
 add("G09_cell_comparison", lambda s, d: G.compared_cells(W.fill_down(M(s, d, "cells")), M(s, d, "cells")),
     f", f AS (SELECT table_id, row, col, lower(trim(coalesce({_DOWN}, ''))) AS a, lower(trim(coalesce(cell, ''))) AS b FROM cells) SELECT table_id, round(sum(CASE WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN 0.5 ELSE 0.0 END) / count(*), 6) AS accuracy FROM f GROUP BY table_id", "cells")
-add("G10_structure_score", lambda s, d: G.structure_score(G.shapes(M(s, d, "cells")).withColumn("content", F.lit(0.5)), B(s, d, "orders").select(F.col("o_orderkey").alias("table_id"), (F.col("o_custkey") % 7 + 1).alias("rows"), F.lit(4).alias("cols"))),
-    ", f AS (SELECT table_id, max(row) AS r, max(col) AS c FROM cells GROUP BY table_id) SELECT table_id, round(0.3 * (least(r, o_custkey % 7 + 1) / greatest(r, o_custkey % 7 + 1)) + 0.3 * (least(c, 4) / greatest(c, 4)) + 0.4 * 0.5, 6) AS score FROM f JOIN orders ON o_orderkey = table_id", "cells")
+
 add("G11_quality_score", lambda s, d: G.shapes(M(s, d, "cells")).join(G.blank_percent(M(s, d, "cells")), "table_id").select("table_id", G.quality_score(F.col("rows"), F.col("cols"), F.lit(4), F.lit(3), F.col("blank_percent")).alias("score")),
     ", f AS (SELECT table_id, max(row) AS r, max(col) AS c, round(avg(CASE WHEN trim(coalesce(cell, '')) = '' THEN 100.0 ELSE 0.0 END), 1) AS p FROM cells GROUP BY table_id) SELECT table_id, round(greatest(0.0, 20.0 - 5 * abs(r - 4)) + greatest(0.0, 20.0 - 5 * abs(c - 3)) + greatest(0.0, 60.0 - p), 6) AS score FROM f", "cells")
 add("G13_grid_validation", lambda s, d: G.validated(M(s, d, "cells"), 6), ", c AS (SELECT table_id, col, sum(CASE WHEN trim(coalesce(cell, '')) <> '' THEN 1 ELSE 0 END) AS f, sum(CASE WHEN length(cell) > 6 THEN 1 ELSE 0 END) AS l FROM cells GROUP BY table_id, col) SELECT table_id, CAST(sum(CASE WHEN f = 0 THEN 1 ELSE 0 END) AS BIGINT) AS empty_columns, CAST(sum(l) AS BIGINT) AS long_cells FROM c GROUP BY table_id", "cells")
