@@ -111,8 +111,8 @@ def _marked(s: SparkSession, d: str) -> DataFrame:
 
 
 
-add("T22_equations", lambda s, d: B(s, d, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).filter(X.has_equation(F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("n")),
-    f"SELECT doc_id, count(*) AS n FROM ({DOC_LINES}) WHERE regexp_matches(line, '[=<>±≤≥]') OR regexp_matches(line, '[0-9]+\\s*/\\s*[0-9]+') OR regexp_matches(line, '[²³√∑∫∏]') OR regexp_matches(line, '(?i)[0-9]+\\s*[×x]\\s*10') OR regexp_matches(line, '(?i)\\bsqrt\\s*[(]') OR regexp_matches(line, '(?i)°\\s*[cf]') GROUP BY doc_id")
+add("T22_equations", lambda s, d: M(s, d, "marked").filter(X.has_equation(F.col("text"))).groupBy("doc").agg(F.count("*").alias("n")),
+    "SELECT doc, count(*) AS n FROM marked WHERE regexp_matches(text, '[=<>±≤≥]') OR regexp_matches(text, '[0-9]+\\s*/\\s*[0-9]+') OR regexp_matches(text, '[²³√∑∫∏]') OR regexp_matches(text, '(?i)[0-9]+\\s*[×x]\\s*10') OR regexp_matches(text, '(?i)\\bsqrt\\s*[(]') OR regexp_matches(text, '(?i)°\\s*[cf]') GROUP BY doc", "marked")
 
 
 
