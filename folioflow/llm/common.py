@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -128,7 +129,6 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterat
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -144,10 +144,39 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def powers(n: int) -> np.ndarray:
-    out = np.full(max(n, 1), _STEP, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+_MUL = 0x9E3779B97F4A7C15
+
+
+@cache
+def _kept_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for m in (_MUL, pow(_MUL, -1, 1 << 64)):
+        x = np.full(n, m, np.uint64)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, n of each at least; kept for the next call unless they are many."""
+    size = 1 << max(16, n.bit_length())
+    return (_kept_powers if size <= 1 << 22 else _kept_powers.__wrapped__)(size)
+
+
+class Names:
+    """Names of any byte ranges of data, from prefix sums."""
+
+    def __init__(self, data: np.ndarray):
+        power, self.inverse = powers(len(data))
+        self.prefix = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE[data] * power[: len(data)], out=self.prefix[1:])
+
+    def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        return mixed((self.prefix[hi] - self.prefix[lo]) * self.inverse[lo])
+
+    def grams(self, k: int) -> np.ndarray:
+        n = len(self.prefix) - k
+        return mixed((self.prefix[k:] - self.prefix[:n]) * self.inverse[:n])
 
 
 def word_hashes(data: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -158,20 +187,15 @@ def word_hashes(data: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[n
     if lower:
         data = _LOWER[data]
     inside = ~_SPACE[data]
-    first = inside.copy()
+    first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
-    bounds = at[:-1][at[:-1] < len(data)]
-    first[bounds] = inside[bounds]  # a text's first byte starts a word
-    starts = np.flatnonzero(first)
+    last[:-1] &= ~inside[1:]
+    bounds = at[:-1][(at[:-1] > 0) & (at[:-1] < len(data))]  # a text's first byte starts a word, the one before ends one
+    first[bounds], last[bounds - 1] = inside[bounds], inside[bounds - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(n, np.int64)
-    word = np.cumsum(first) - 1
-    place = np.arange(len(data)) - starts[np.maximum(word, 0)]
-    longest = int(place[inside].max()) + 1
-    values = _BYTE[data] * powers(longest)[np.where(inside, place, 0)]
-    values[~inside] = 0
-    length = np.add.reduceat(inside.astype(np.int64), starts)
-    hashes = mixed(np.add.reduceat(values, starts) ^ mixed(length.astype(np.uint64)))
+    hashes = mixed(Names(data).of(starts, ends) ^ (ends - starts).astype(np.uint64))
     counts = np.diff(np.searchsorted(starts, at))
     return hashes, counts
 

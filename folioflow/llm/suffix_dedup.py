@@ -31,7 +31,6 @@ from __future__ import annotations
 import hashlib
 import itertools
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import _BYTE, keyed, mixed, partitions, stored, string_bytes
+from folioflow.llm.common import Names, keyed, mixed, partitions, stored, string_bytes
 
 SPAN = 100
 K = 40
@@ -52,37 +51,6 @@ SLICE_BYTES = 1 << 20
 #: Anchors that a task gathers before it deals them out.
 GATHERED = 600_000
 
-_MUL = 0x9E3779B97F4A7C15
-_INV = pow(_MUL, -1, 1 << 64)
-
-
-@cache
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for m in (_MUL, _INV):
-        x = np.full(n, m, np.uint64)
-        x[0] = 1
-        out.append(np.multiply.accumulate(x))
-    return out[0], out[1]
-
-
-class Names:
-    """Names of any byte ranges of data, from prefix sums."""
-
-    def __init__(self, data: np.ndarray):
-        size = 1 << max(16, len(data).bit_length())
-        power, self.inverse = _tables(size)
-        self.prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * power[: len(data)], out=self.prefix[1:])
-
-    def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        return mixed((self.prefix[hi] - self.prefix[lo]) * self.inverse[lo])
-
-    def grams(self, k: int) -> np.ndarray:
-        n = len(self.prefix) - k
-        return mixed((self.prefix[k:] - self.prefix[:n]) * self.inverse[:n])
-
-
 def _sliding(x: np.ndarray, w: int, best) -> np.ndarray:
     """best over x[i .. i + w - 1] for each i where that lies inside."""
     size = 1
