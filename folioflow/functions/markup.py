@@ -10,11 +10,12 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 # The markers that open a notes region and those that end it.
-NOTES = '<h5 class="table-notes-title">Notes to Table'
-NOTES_END = ["[ARTICLE:", "#### Table"]
+NOTES = r'<h5 class="table-notes-title">Notes to Table[^<]+</h5>\s*\n'
+NOTES_END = [r"\[ARTICLE:", "#### Table"]
+# The tags of a notes heading.
+H5, H5_END = '<h5 class="table-notes-title">', "</h5>"
 # List marks before clauses, in order, and what stays of them.
 CLAUSE_RULES = [
     (r"(?m)^\s*-\s*\*{0,2}\((\d+\.\d+)\)\*{0,2}", "($1)"),
@@ -30,6 +31,7 @@ _ID = r"\d+\.\d+\.\d+\.\d+\.?-?[A-Z]?"
 TABLE_RULES = [
     (rf"(#### Table {_ID}[^\n]*)\n+\*([Ff]orming [Pp]art[^*]+)\*", "$1 $2"),
     (rf"<h4[^>]*>Table ({_ID})\s+([^<]+)</h4>", "#### Table $1 $2"),
+    (rf"<h4[^>]*>Table ({_ID})\s*([^<]*)</h4>\s*(?:<p[^>]*><em>)?([Ff]orming [Pp]art[^<\n]*)(?:</em></p>)?", "#### Table $1 $2 $3"),
     (rf"### Table ({_ID})\n+\*\*([^*]+)\*\*\n+\*([Ff]orming [Pp]art[^*]+)\*", "#### Table $1 $2 $3"),
     (rf"### Table ({_ID})\n+\*\*([^*]+)\*\*", "#### Table $1 $2"),
     (rf"### \*\*Table ({_ID})\s+([^*]+)\*\*\s*([Ff]orming [Pp]art[^\n]*)", "#### Table $1 $2 $3"),
@@ -59,6 +61,21 @@ POSITIONAL = [
     ("clause", r"Clause\s+(\d+\.\d+\.\d+\.\d+\.\(\d+\)\([a-z]\))"),
     ("part", r"Part\s+(9)\b"),
 ]
+# What a section's title looks like, and what a line that goes on with one begins with.
+SECTION_TITLE = r"^\d+\.\d+\.\d+\.?\s*\w"
+GOES_ON = r"[ \t]*(?i:and|or|in|of|for|to|the|with)[ \t]+\w"
+# What a line may begin with, in lower case or not, without being the rest of the line before.
+STAYS = r"where\b|[a-zγ]{1,3}\s*=|\[SECTION:|\[ARTICLE:|\[SUBSECTION:|[(\d9A-Z]|</?[a-z]|#{2,4}\s|\*{1,2}[A-Z(]|\s*-\s|\n"
+# Lines that are references and nothing else.
+ORPHANS = [r"^9\.\d+\.\d+\.\d*\.?$", r"^9\.\d+\.\d+\.\d+\.\s*to\s+9\.\d+\.\d+\.\d+\.\)?$"]
+# Rests of a sentence on a line of their own, and what joins them to the line before.
+FRAGMENTS = [
+    (r"[ \t]*\n[ \t]*([a-z]{1,13}\.)[ \t]*(?=\n|\z)", " $1"),
+    (r"[ \t]*\n[ \t]*\.[ \t]*(?=\n|\z)", "."),
+    (r"(\(See also[^)\n]*[^)\s])[ \t]*\n[ \t]*([\d.]+\))", "$1 $2"),
+]
+# A run of two or more lines of a pipe table.
+PIPE_TABLE = r"(?m)^(?:[ \t]+\|[^\n]*|\|[^\n]*\|[^\n]*)(?:\n[ \t]*(?:\||[-:][ \t\-:]*\|)[^\n]*)+"
 # Lines that hold an id alone.
 ID_LINES = [
     ("subsection", r"^(9\.\d+\.\d+)\.\s*$"),
@@ -79,8 +96,8 @@ def replaced(text: Column, rules: list[tuple[str, str]]) -> Column:
 
 def _in_notes(text: Column, change) -> Column:
     """change applied to each region from a notes heading up to what ends it."""
-    quoted = "|".join(rf"(?=\Q{x}\E)" for x in [NOTES, *NOTES_END])
-    return F.array_join(F.transform(F.split(text, quoted, -1), lambda x: F.when(x.startswith(NOTES), change(x)).otherwise(x)), "")
+    marks = "|".join(f"(?={x})" for x in [NOTES, *NOTES_END])
+    return F.array_join(F.transform(F.split(text, marks, -1), lambda x: F.when(x.rlike(f"^{NOTES}"), change(x)).otherwise(x)), "")
 
 
 def notes_dashed(text: Column) -> Column:
@@ -100,9 +117,10 @@ def table_headings(text: Column) -> Column:
 
 
 def notes_headings(text: Column) -> Column:
-    """Headings of notes as <h5>; done twice, nothing changes."""
-    bold = F.regexp_replace(text, rf"\*\*(Notes to Table {_ID}:)\*\*", "$1")
-    return F.regexp_replace(bold, rf'(?<!<h5 class="table-notes-title">)(Notes to Table {_ID}:)', '<h5 class="table-notes-title">$1</h5>')
+    """Headings of notes as <h5>, each once; done twice, nothing changes."""
+    single = replaced(text, [(rf"({H5})\s*{H5}", "$1"), (rf"(Notes to Table [\d.]+-?[A-Z]?:){H5_END}{H5_END}", f"$1{H5_END}")])
+    bold = F.regexp_replace(single, rf"\*\*(Notes to Table {_ID}:)\*\*", "$1")
+    return F.regexp_replace(bold, rf"(?<!{H5})(Notes to Table {_ID}:)", f"{H5}$1{H5_END}")
 
 
 def where_blocks(text: Column) -> Column:
@@ -121,26 +139,26 @@ def where_blocks(text: Column) -> Column:
 def orphan_references_dropped(text: Column) -> Column:
     """Lines that hold a reference and nothing else go."""
     lines = F.split(text, "\n", -1)
-    alone = lambda x: F.trim(x).rlike(r"^9\.\d+\.\d+\.\d*\.?$") | F.trim(x).rlike(r"^9\.\d+\.\d+\.\d+\.\s*to\s+9\.\d+\.\d+\.\d+\.\)?$")
+    alone = lambda x: F.trim(x).rlike("|".join(ORPHANS))
     return F.array_join(F.filter(lines, lambda x: ~alone(x)), "\n")
 
 
 def fragments_merged(text: Column) -> Column:
     """A word with a full stop, a full stop, or the end of a bracket on a line of its own joins the line before."""
-    text = F.regexp_replace(text, r"[ \t]*\n[ \t]*([a-z]{1,13}\.)[ \t]*(?=\n|\z)", " $1")
-    text = F.regexp_replace(text, r"[ \t]*\n[ \t]*\.[ \t]*(?=\n|\z)", ".")
-    return F.regexp_replace(text, r"(\(See also[^)\n]*[^)\s])[ \t]*\n[ \t]*([\d.]+\))", "$1 $2")
+    return replaced(text, FRAGMENTS)
 
 
 def titles_merged(text: Column) -> Column:
-    """A short word that goes on with a title joins the title's line."""
-    return F.regexp_replace(text, r"(?m)^([ \t]*\d+\.\d+\.\d+\.?[ \t]*\w[^\n]*?)[ \t]*\n[ \t]*((?i:and|or|in|of|for|to|the|with)[ \t]+\w)", "$1 $2")
+    """Lines that go on with a title, each beginning with a short word, join the title's line."""
+    groups = F.split(text, rf"\n(?!{GOES_ON})", -1)
+    title = lambda x: F.trim(F.split(x, "\n", 2)[0]).rlike(SECTION_TITLE)
+    joined = lambda x: F.regexp_replace(F.rtrim(x), r"[ \t]*\n[ \t]*", " ")
+    return F.array_join(F.transform(groups, lambda x: F.when(x.contains("\n") & title(x), joined(x)).otherwise(x)), "\n")
 
 
 def broken_lines_joined(text: Column) -> Column:
     """A line that begins in lower case joins the line before, unless it opens a block."""
-    stay = r"where\b|[a-zγ]{1,3}\s*=|\[SECTION:|\[ARTICLE:|\[SUBSECTION:|[(\d9A-Z]|</?[a-z]|#{2,4}\s|\*{1,2}[A-Z(]|\s*-\s|\n"
-    return F.regexp_replace(text, rf"\n(?!{stay})", " ")
+    return F.regexp_replace(text, rf"\n(?!{STAYS})", " ")
 
 
 def units_prettified(text: Column) -> Column:
@@ -165,17 +183,29 @@ def title_parts(title: Column) -> Column:
     return out.otherwise(F.struct(F.lit("").alias("id"), title.alias("name")))
 
 
+_RUN = 64
+
+
+def running_sums(lengths: Column) -> Column:
+    """The sums of an array's first 1, 2, ... entries: sums of runs of entries first, then those within a run."""
+    total = lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y)
+    part = lambda x, i, n: F.slice(x, i, n)
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _RUN).cast("int")), lambda k: total(part(lengths, k * _RUN + 1, F.lit(_RUN))))
+    heads = F.transform(runs, lambda _, k: total(part(runs, F.lit(1), k)))
+    return F.transform(lengths, lambda _, i: F.get(heads, F.floor(i / _RUN).cast("int")) + total(part(lengths, F.floor(i / _RUN).cast("int") * _RUN + 1, i % _RUN + 1)))
+
+
 def places(rows: DataFrame, pattern: str) -> DataFrame:
     """id, content, start, end, match of each match in rows (id, content), from 0, end exclusive.
 
-    The parts between the matches are what a split leaves; the places are running sums of both lengths within a row.
+    The parts between the matches are what a split leaves; the places are running sums of both lengths within a row, so
+    rows that share an id, or have none, don't meet.
     """
-    found = rows.select("id", "content", F.regexp_extract_all("content", F.lit(f"({pattern})"), 1).alias("m"), F.split("content", pattern, -1).alias("b"))
-    found = found.select("id", "content", F.posexplode(F.arrays_zip("m", F.slice("b", F.lit(1), F.size("m")).alias("b"))).alias("i", "x"))
-    found = found.select("id", "content", "i", F.length("x.b").alias("before"), F.col("x.m").alias("match"))
-    w = Window.partitionBy("id").orderBy("i")
-    found = found.withColumn("end", F.sum(F.col("before") + F.length("match")).over(w).cast("int"))
-    return found.select("id", "content", (F.col("end") - F.length("match")).alias("start"), "end", "match")
+    found = rows.select("id", "content", F.regexp_extract_all("content", F.lit(f"({pattern})"), 1).alias("m"), F.split("content", pattern, -1).alias("b")).filter(F.size("m") > 0)
+    found = found.withColumn("lengths", F.transform("m", lambda x, i: F.length(x) + F.length(F.get("b", i))))
+    found = found.withColumn("ends", running_sums(F.col("lengths")))
+    found = found.select("id", "content", F.explode(F.arrays_zip("m", "ends")).alias("x"))
+    return found.select("id", "content", (F.col("x.ends") - F.length("x.m")).alias("start"), F.col("x.ends").alias("end"), F.col("x.m").alias("match"))
 
 
 def positional_references(rows: DataFrame) -> DataFrame:
@@ -193,7 +223,7 @@ def positional_references(rows: DataFrame) -> DataFrame:
 
 def pipe_table_html(block: Column) -> Column:
     """A pipe table (its lines) as HTML: the first row is the head, a second of dashes goes; '' for less than two lines."""
-    lines = F.filter(F.transform(F.split(block, "\n", -1), lambda x: F.trim(x)), lambda x: x.startswith("|"))
+    lines = F.filter(F.transform(F.split(block, "\n", -1), lambda x: F.trim(x, F.lit(" \t"))), lambda x: x.startswith("|"))
     cells = lambda x: F.transform(F.filter(F.split(x, r"\|", -1), lambda c, i: (i > 0) & (i < F.size(F.split(x, r"\|", -1)) - 1)), lambda c: F.trim(c))
     row = lambda x, tag: F.concat(F.lit("<tr>"), F.array_join(F.transform(cells(x), lambda c: F.concat(F.lit(f"<{tag}>"), c, F.lit(f"</{tag}>"))), ""), F.lit("</tr>"))
     begin = F.when(F.get(lines, F.lit(1)).rlike(r"^\|[\s\-:]+\|"), 3).otherwise(2)
@@ -203,9 +233,10 @@ def pipe_table_html(block: Column) -> Column:
 
 
 def pipe_tables_converted(text: Column) -> Column:
-    """Each run of two or more pipe lines in the text as HTML, in its place."""
-    blocks = F.split(text, r"(?m)(?=^\|)(?<!\|\n)|(?<=\|\n)(?!\|)", -1)
-    return F.array_join(F.transform(blocks, lambda x: F.when(x.startswith("|") & (F.regexp_count(x, F.lit(r"(?m)^\|")) >= 2), F.concat(pipe_table_html(x), F.when(x.endswith("\n"), F.lit("\n")).otherwise(""))).otherwise(x)), "")
+    """Each run of two or more pipe lines in the text, indented or not, as HTML, in its place."""
+    tables = F.concat(F.regexp_extract_all(text, F.lit(f"({PIPE_TABLE})"), 1), F.array(F.lit(None).cast("string")))
+    rest = F.split(text, PIPE_TABLE, -1)
+    return F.array_join(F.zip_with(rest, tables, lambda x, t: F.concat(x, F.coalesce(pipe_table_html(t), F.lit("")))), "")
 
 
 def marked_snippet(text: Column, term: str, before: int = 10, words: int = 20) -> Column:

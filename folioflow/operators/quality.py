@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,6 +105,10 @@ def misplaced(nodes: DataFrame, allowed: dict[str, list[str]]) -> DataFrame:
 EQUATION_MARKER = r"(?i)(?:calculated as follows|shall be determined by)[:\s]*"
 EQUATION = r"[A-Za-z]\s*=\s*[^,\n]{5,}"
 LIST_STARTS = "^(?:and|or|the|a) "
+# The sections that need an equation where something is calculated, and what counts as one there.
+EQUATION_SECTIONS = ["9.4.2", "9.8", "9.25"]
+CALCULATED = "shall be calculated"
+EQUATION_SIGNS = r"[A-Za-z]+\s*=\s*[\w\s+\-*/()]+|[≤≥×÷√]"
 # Fixed values: (issue, pattern) of markup that a normalised text of a part {P} should not have.
 MARKUP_LEFT = [
     ("HEADING", r"(?m)^#{1,4}\s+"),
@@ -120,13 +126,19 @@ def _issues(rows: DataFrame, tests: list[tuple[str, Column]]) -> DataFrame:
 
 
 def content_checks(rows: DataFrame, least: int = 200) -> DataFrame:
-    """id, issue of rows (id, content): too short, a sentence broken off into a line, a letter's clause inside a line."""
+    """id, issue of rows (id, content): too short, a sentence broken off into a line, a letter's clause inside a line.
+
+    With the column section, also: nothing like an equation where one of EQUATION_SECTIONS calculates something.
+    """
     c = F.coalesce("content", F.lit(""))
     broken = F.filter(F.regexp_extract_all(c, F.lit(r"\n([a-z][^\n]{10,60})"), 1), lambda x: ~x.rlike(LIST_STARTS))
     tests = [("SHORT", F.length(c) < least), ("SEPARATED", F.size(broken) > 0)]
     for letter in "abc":
         own, cited = rf"(?m)(?:^|\n|:\s*)\({letter}\)", rf"(?i)(?:see|in|under|per)\s+\({letter}\)"
         tests.append((f"INLINE_{letter}", c.contains(f"({letter})") & ~c.rlike(own) & ~c.rlike(cited)))
+    if "section" in rows.columns:
+        needs = F.coalesce(F.col("section"), F.lit("")).rlike("^(?:" + "|".join(re.escape(x) for x in EQUATION_SECTIONS) + ")")
+        tests.append(("NO_EQUATION", needs & F.lower(c).contains(CALCULATED) & ~c.rlike(EQUATION_SIGNS)))
     return _issues(rows, tests)
 
 

@@ -26,8 +26,8 @@ def _chain(expression: str, *rules: tuple[str, str]) -> str:
 
 def _regions(change: str) -> str:
     """SQL of content with `change` (of x) applied to the regions of notes."""
-    cut = r"""string_split(regexp_replace(content, '(<h5 class="table-notes-title">Notes to Table|\[ARTICLE:|#### Table)', chr(1) || '\1', 'g'), chr(1))"""
-    return f"""array_to_string([CASE WHEN starts_with(x, '<h5 class="table-notes-title">Notes to Table') THEN {change} ELSE x END FOR x IN {cut}], '')"""
+    cut = r"""string_split(regexp_replace(content, '(<h5 class="table-notes-title">Notes to Table[^<]+</h5>\s*\n|\[ARTICLE:|#### Table)', chr(1) || '\1', 'g'), chr(1))"""
+    return f"""array_to_string([CASE WHEN starts_with(x, '<h5 class="table-notes-title">Notes to Table') AND contains(x, '</h5>') THEN {change} ELSE x END FOR x IN {cut}], '')"""
 
 
 _ID = r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+\.?-?[A-Z]?"
@@ -45,9 +45,9 @@ add("T13_title_parts", lambda s, d: _lines(s, d).select("doc", U.title_parts(F.r
 
 # ---- normalisers
 _changed("N09_clauses_cleaned", U.clauses_cleaned, "replace(" + _chain(_regions(r"regexp_replace(x, '(?m)^- \(([0-9]+)\)', chr(2) || '(\1)', 'g')"), (r"(?m)^\s*-\s*\*{0,2}\(([0-9]+\.[0-9]+)\)\*{0,2}", r"(\1)"), (r"(?m)^\s*-\s*\*{0,2}\(([0-9]+)\)\*{0,2}", r"(\1)"), (r"(?m)^\s*-\s*\(([a-z])\)", r"(\1)"), (r"(?m)^\s*-\s*\(([ivx]+)\)", r"(\1)"), (r"\*\*\(([0-9]+)\)\*\*", r"(\1)"), (r"(?m)^- (\. )?\(See Note", "(See Note")) + ", chr(2), '- ')")
-_changed("N10_table_headings", U.table_headings, _chain("content", (rf"(#### Table {_ID}[^\n]*)\n+\*([Ff]orming [Pp]art[^*]+)\*", r"\1 \2"), (rf"<h4[^>]*>Table ({_ID})\s+([^<]+)</h4>", r"#### Table \1 \2"), (rf"### Table ({_ID})\n+\*\*([^*]+)\*\*\n+\*([Ff]orming [Pp]art[^*]+)\*", r"#### Table \1 \2 \3"), (rf"### Table ({_ID})\n+\*\*([^*]+)\*\*", r"#### Table \1 \2"),
+_changed("N10_table_headings", U.table_headings, _chain("content", (rf"(#### Table {_ID}[^\n]*)\n+\*([Ff]orming [Pp]art[^*]+)\*", r"\1 \2"), (rf"<h4[^>]*>Table ({_ID})\s+([^<]+)</h4>", r"#### Table \1 \2"), (rf"<h4[^>]*>Table ({_ID})</h4>\s*<p[^>]*><em>(Forming Part[^<\n]*)</em></p>", r"#### Table \1  \2"), (rf"### Table ({_ID})\n+\*\*([^*]+)\*\*\n+\*([Ff]orming [Pp]art[^*]+)\*", r"#### Table \1 \2 \3"), (rf"### Table ({_ID})\n+\*\*([^*]+)\*\*", r"#### Table \1 \2"),
     (rf"(?:### )?\*\*Table ({_ID})\s+([^*]+)\*\*\s*([Ff]orming [Pp]art[^\n]*)", r"#### Table \1 \2 \3"), (rf"\*\*Table ({_ID})\s+([^*\n]+)\*\*", r"#### Table \1 \2"), (rf"(#### Table {_ID}[^\n]*)\n+([Ff]orming [Pp]art of [Ss]entences?\s+[0-9.,()and\s]+)", r"\1 \2")))
-_changed("N12_notes_headings", U.notes_headings, "replace(" + _chain("content", (rf"\*\*(Notes to Table {_ID}:)\*\*", r"\1"), (rf'<h5 class="table-notes-title">(Notes to Table {_ID}:)', r"\1"), (rf"(Notes to Table {_ID}:)", r'<h5 class="table-notes-title">\1</h5>')) + ", ':</h5></h5>', ':</h5>')")
+_changed("N12_notes_headings", U.notes_headings, _chain("content", (r"(?:\*\*|<h5 class=\"table-notes-title\">)*(Notes to Table " + _ID + r":)(?:\*\*|</h5>)*", r'<h5 class="table-notes-title">\1</h5>')))
 add("N12_twice_is_once", lambda s, d: mart(s, d).filter(U.notes_headings(U.notes_headings(F.col("content"))) == U.notes_headings(F.col("content"))).agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM mart", "mart")
 _changed("N13_notes_dashed", U.notes_dashed, _regions(r"regexp_replace(x, '(?m)^(\s*)\(([0-9]+)\)', '\1- (\2)', 'g')"))
 _STOP = r"\n\n\n|\([0-9]+\)|\([a-z]\)|\[ARTICLE:|#### Table"
@@ -56,7 +56,8 @@ _changed("N14_where_blocks", U.where_blocks, rf"""(SELECT array_to_string([CASE
 _changed("N17_orphan_references", U.orphan_references_dropped, r"array_to_string([x FOR x IN string_split(content, chr(10)) IF NOT regexp_matches(trim(x), '^9\.[0-9]+\.[0-9]+\.[0-9]*\.?$') AND NOT regexp_matches(trim(x), '^9(\.[0-9]+){3}\.\s*to\s+9(\.[0-9]+){3}\.\)?$')], chr(10))")
 _changed("N18_sentences_joined", X.sentences_joined, "replace(" + _chain("content", (r"\n(Table|Notes|Section|Article|Forming|9\.)", "\x01\\1"), (r"([a-z])\n([A-Z][a-z]{2,})", r"\1 \2")) + ", chr(1), chr(10))")
 _changed("N19_fragments_merged", U.fragments_merged, _chain("content", *[(r"[ \t]*\n[ \t]*([a-z]{1,13}\.)[ \t]*(\n|$)", r" \1\2")] * 3, *[(r"[ \t]*\n[ \t]*\.[ \t]*(\n|$)", r".\1")] * 3, (r"(\(See also[^)\n]*[^)\s])[ \t]*\n[ \t]*([0-9.]+\))", r"\1 \2")))
-_changed("N20_titles_merged", U.titles_merged, _chain("content", (r"(?m)^([ \t]*[0-9]+\.[0-9]+\.[0-9]+\.?[ \t]*\w[^\n]*?)[ \t]*\n[ \t]*((?i:and|or|in|of|for|to|the|with)[ \t]+\w)", r"\1 \2")))
+_changed("N20_titles_merged", U.titles_merged, r"""(SELECT string_agg(y, chr(10) ORDER BY g) FROM (SELECT g, CASE WHEN count(*) > 1 AND regexp_matches(trim(arg_min(x, i)), '^[0-9]+\.[0-9]+\.[0-9]+\.?\s*\w') THEN string_agg(CASE WHEN opens THEN rtrim(x) ELSE trim(x) END, ' ' ORDER BY i) ELSE string_agg(x, chr(10) ORDER BY i) END AS y
+    FROM (SELECT *, count(*) FILTER (opens) OVER (ORDER BY i) AS g FROM (SELECT *, i = 1 OR NOT regexp_matches(lower(x), '^[ \t]*(and|or|in|of|for|to|the|with)[ \t]+\w') AS opens FROM (SELECT unnest(string_split(content, chr(10))) AS x, generate_subscripts(string_split(content, chr(10)), 1) AS i))) GROUP BY g))""")
 _changed("N21_broken_lines_joined", U.broken_lines_joined, r"""(SELECT string_agg(CASE WHEN i = 1 THEN '' WHEN regexp_matches(x, '^(?:where\b|[a-zγ]{1,3}\s*=|\[SECTION:|\[ARTICLE:|\[SUBSECTION:|[(0-9A-Z]|</?[a-z]|#{2,4}\s|\*{1,2}[A-Z(]|\s*-\s)') OR x = '' AND i < n THEN chr(10) ELSE ' ' END || x, '' ORDER BY i)
     FROM (SELECT unnest(string_split(content, chr(10))) AS x, generate_subscripts(string_split(content, chr(10)), 1) AS i, len(string_split(content, chr(10))) AS n))""")
 _changed("N24_units_prettified", U.units_prettified, "replace(CASE WHEN regexp_matches(content, '\\$[^$]+\\$') THEN content ELSE " + _chain("content", (r"([0-9]+(?:\.[0-9]+)?)\s*°\s*([CF])\b", r"\1°\2"), (r"([0-9]+(?:\.[0-9]+)?)\s*(m²|m³|ft²|mm²)", r"\1 \2"), (r"\s*>=\s*", " ≥ "), (r"\s*<=\s*", " ≤ "), (r"\+/-", "±")) + " END, '<sup>3</sup>', '³')")
@@ -80,11 +81,11 @@ add("T23_table_listing", lambda s, d: mart(s, d).select("doc", F.array_join(F.ar
 
 # ---- pipe tables
 _ROWS = r""", l AS (SELECT doc, unnest(string_split(content, chr(10))) AS x, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM mart),
-  m AS (SELECT *, starts_with(x, '|') AS p, i - row_number() OVER (PARTITION BY doc, starts_with(x, '|') ORDER BY i) AS run FROM l),
+  m AS (SELECT *, starts_with(ltrim(x), '|') AS p, i - row_number() OVER (PARTITION BY doc, starts_with(ltrim(x), '|') ORDER BY i) AS run FROM l),
   k AS (SELECT *, count(*) OVER (PARTITION BY doc, p, run) AS n, row_number() OVER (PARTITION BY doc, p, run ORDER BY i) AS r FROM m),
-  c AS (SELECT *, array_to_string(['<' || CASE r WHEN 1 THEN 'th' ELSE 'td' END || '>' || trim(y) || '</' || CASE r WHEN 1 THEN 'th' ELSE 'td' END || '>' FOR y IN string_split(x, '|')[2 : -2]], '') AS t FROM k),
+  c AS (SELECT *, array_to_string(['<' || CASE r WHEN 1 THEN 'th' ELSE 'td' END || '>' || trim(y) || '</' || CASE r WHEN 1 THEN 'th' ELSE 'td' END || '>' FOR y IN string_split(trim(x), '|')[2 : -2]], '') AS t FROM k),
   h AS (SELECT doc, p, n, min(i) AS i, string_agg(x, chr(10) ORDER BY i) AS raw,
-    '<table class="obc-table"><thead>' || max(CASE WHEN r = 1 THEN '<tr>' || t || '</tr>' END) || '</thead><tbody>' || coalesce(string_agg('<tr>' || t || '</tr>', '' ORDER BY i) FILTER (r > 1 AND NOT (r = 2 AND regexp_matches(x, '^\|[\s:-]+\|'))), '') || '</tbody></table>' AS html
+    '<table class="obc-table"><thead>' || max(CASE WHEN r = 1 THEN '<tr>' || t || '</tr>' END) || '</thead><tbody>' || coalesce(string_agg('<tr>' || t || '</tr>', '' ORDER BY i) FILTER (r > 1 AND NOT (r = 2 AND regexp_matches(trim(x), '^\|[\s:-]+\|'))), '') || '</tbody></table>' AS html
     FROM c GROUP BY doc, p, run, n)"""
 add("G02_pipe_table_html", lambda s, d: M(s, d, "marked").filter(F.col("text").startswith("|")).select("doc", "line", U.pipe_table_html(F.col("text")).alias("html")),
     """SELECT doc, line, concat('<table class="obc-table"><thead><tr><th>Span, m</th><th>Size</th></tr></thead><tbody><tr><td>', split_part(split_part(text, chr(10), 3), ' ', 2), '</td><td>38 x 89</td></tr><tr><td>4</td><td></td></tr></tbody></table>') AS html FROM marked WHERE starts_with(text, '|')""", "marked")
@@ -93,11 +94,11 @@ add("G04_tables_in_place", _changed_in_place, f"{_ROWS} SELECT doc, sha256(strin
 
 # ---- checks of content
 _PRE = r", c AS (SELECT doc AS id, content FROM mart)"
-add("V24_content_checks", lambda s, d: V.content_checks(mart(s, d).select(F.col("doc").alias("id"), "content")),
+add("V24_content_checks", lambda s, d: V.content_checks(mart(s, d).select(F.col("doc").alias("id"), F.regexp_extract("content", r"9(?:\.\d+)+", 0).alias("section"), "content")),
     _PRE + r""", f AS (SELECT id, 'SHORT' AS issue FROM c WHERE length(content) < 200 UNION ALL
   SELECT id, 'SEPARATED' FROM c WHERE len([x FOR x IN regexp_extract_all(content, '\n([a-z][^\n]{10,60})', 1) IF NOT regexp_matches(x, '^(and|or|the|a) ')]) > 0 UNION ALL
   SELECT id, concat('INLINE_', l) FROM c, (VALUES ('a'), ('b'), ('c')) v(l) WHERE contains(content, '(' || l || ')') AND NOT regexp_matches(content, '(?m)(?:^|\n|:\s*)\(' || l || '\)') AND NOT regexp_matches(content, '(?i)(?:see|in|under|per)\s+\(' || l || '\)'))
-  SELECT id, issue FROM f""", "mart")
+  SELECT id, issue FROM f UNION ALL SELECT id, 'NO_EQUATION' FROM c WHERE regexp_matches(regexp_extract(content, '9(?:\.[0-9]+)+'), '^(9\.4\.2|9\.8|9\.25)') AND contains(lower(content), 'shall be calculated') AND NOT regexp_matches(content, '[A-Za-z]\s*=\s*[0-9A-Za-z_\s+*/()-]|[≤≥×÷√]')""", "mart")
 add("V25_missing_equations", lambda s, d: V.equation_markers(mart(s, d).select(F.col("doc").alias("id"), "content")),
     _PRE + r""", p AS (SELECT id, content, regexp_extract_all(content, '(?i)(?:calculated as follows|shall be determined by)[:\s]*') AS m, string_split_regex(content, '(?i)(?:calculated as follows|shall be determined by)[:\s]*') AS b FROM c),
   x AS (SELECT id, content, unnest(m) AS y, generate_subscripts(m, 1) AS i, m, b FROM p), e AS (SELECT id, substring(content, CAST(list_sum([length(z) FOR z IN b[1 : i]]) + list_sum([length(z) FOR z IN m[1 : i]]) AS INT) + 1, 200) AS after FROM x)

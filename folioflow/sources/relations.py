@@ -98,7 +98,7 @@ FORMS = [
     "- (See Note A-9.{k}.1.)",
     "- . (See Notes A-9.{k}.1. and A-9.{k}.2.)",
     "**Notes to Table 9.{k}.3.2.:**",
-    '<h5 class="table-notes-title">Notes to Table 9.{k}.3.2.:</h5>\n({n}) P = permitted\n- (7) kept',
+    '<h5 class="table-notes-title">Notes to Table 9.{k}.3.2.:</h5>\n({n}) Q = allowed\n- (7) stays',
     "Notes to Table 9.{k}.3.2.-A:",
     "#### Table 9.{k}.3.2.-A Live loads\n*Forming Part of Sentence 9.{k}.3.2.(1)*",
     "### Table 9.{k}.3.2\n\n**Spans of joists**\n*Forming part of Article 9.{k}.3.2.*",
@@ -109,15 +109,19 @@ FORMS = [
     "| Span, m | Size |\n|---|---|\n| {n} | 38 x 89 |\n| 4 |  |",
     "9.{k}.3.2. to 9.{k}.3.4.)",
     "9.{k}.3.{n}.",
-    "the flow of water\nflooding.\n.",
-    "(See also Articles 9.{k}.3.2. and\n9.{k}.3.4.)",
-    "9.{k}.3. Fire separations\nand spaces within buildings",
+    "the depth of snow\ndrifts.\n.",
+    "(See also Sections 9.{k}.3. to\n9.{k}.4.)",
+    "9.{k}.3. Stairs\nand ramps\nof dwellings",
     "is calculated as follows: x = 3 a + b and 5 °C or 15m² >= 3 +/- 1, 10 °F",
     "shall be determined by the table below\nand continues in lower case\nBut not this",
     "17",
     "*Note* on a *rule* with <sup>3</sup> and **9.{k}.3.2.** in bold",
     "[ARTICLE:9.{k}.1.1:Scope]",
     "9.{k}.3.2. 9.{k}.3.2. twice",
+    "the load shall be calculated from the area",
+    "  | Joist | Load |\n  |---|---|\n  | {n} | 1.9 |\n| lone",
+    '<h4 class="table-title">Table 9.{k}.3.2</h4>\n<p class="x"><em>Forming Part of Sentence 9.{k}.3.2.({n})</em></p>',
+    '<h5 class="table-notes-title"><h5 class="table-notes-title">Notes to Table 9.{k}.3.3.:</h5></h5>\n({n}) R = rafter',
 ]
 
 

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,7 +23,13 @@ H5 = '<h5 class="table-notes-title">Notes to Table 8.4.7.2.:</h5>'
         (U.where_blocks, "where:\nQ is the flow\nSs = load\nlonger name = no\n- T = kept\n(1) Q is not", "where,\n- Q = the flow\n- Ss = load\nlonger name = no\n- T = kept\n(1) Q is not"),
         (U.orphan_references_dropped, "a\n9.4.7.2.\n9.4.7.2. to 9.4.7.5.)\n9.4.7.2. text\n", "a\n9.4.7.2. text\n"),
         (U.fragments_merged, "the risk of\nfire.\n.\n(See also Articles 9.1.2.3. and\n9.1.2.4.)", "the risk of fire..\n(See also Articles 9.1.2.3. and 9.1.2.4.)"),
-        (U.titles_merged, "9.4.7. Stairs\nand ramps\nand others", "9.4.7. Stairs and ramps\nand others"),
+        (U.titles_merged, "9.4.7. Stairs \n  and ramps\nOf houses \nTheir rails\nand posts\n9.4.8. A\nfor b", "9.4.7. Stairs and ramps Of houses\nTheir rails\nand posts\n9.4.8. A for b"),
+        (U.table_headings, '<h4 class="x">Table 8.4.7.2</h4>\n<p class="y"><em>Forming Part of Sentence (3)</em></p>\nz', "#### Table 8.4.7.2  Forming Part of Sentence (3)\nz"),
+        (U.notes_headings, H5.replace("<h5", '<h5 class="table-notes-title"> <h5') + "</h5>", H5),
+        (U.notes_dashed, '<h5 class="table-notes-title">Notes to Table 8.4.7.2.\n(1) not closed', '<h5 class="table-notes-title">Notes to Table 8.4.7.2.\n(1) not closed'),
+        (U.clauses_cleaned, '<h5 class="table-notes-title">Notes to Table 8.4.7.2.\n- (1) not closed', '<h5 class="table-notes-title">Notes to Table 8.4.7.2.\n(1) not closed'),
+        (U.pipe_tables_converted, "  | A | B |\n  ---|---|\n\t| 1 | 2 |\n|\n|x", '<table class="obc-table"><thead><tr><th>A</th><th>B</th></tr></thead><tbody><tr><td>1</td><td>2</td></tr><tr></tr><tr></tr></tbody></table>'),
+        (U.pipe_tables_converted, "|\n|\nx\n| a |\n", "|\n|\nx\n| a |\n"),
         (U.broken_lines_joined, "a wall\nof brick\nwhere x\n(1) b\n- c\n\nd", "a wall of brick\nwhere x\n(1) b\n- c\n d"),
         (U.units_prettified, "5 ° C, 3m² >=2 +/- 1 x<sup>2</sup>", "5°C, 3 m² ≥ 2 ± 1 x²"),
         (U.units_prettified, "$a$ >= 3", "$a$ >= 3"),
@@ -49,6 +57,15 @@ def test_positional_references(spark):
     assert all(text[r.start : r.end] == r.match for r in got)
 
 
+def test_places_of_rows_that_share_an_id(spark):
+    """Places are counted within a row, whatever the rows' ids are; many matches in one text too."""
+    many = "ab Part 9, " * 1000
+    texts = [(1, "Table 9.1.2.3. x"), (1, "y Part 9 z"), (None, "Part 9"), (None, "in Part 9 or Part 9"), (4, many)]
+    got = U.positional_references(spark.createDataFrame(texts, "id int, content string")).collect()
+    want = [(i, m.start(), m.end()) for i, t in texts for m in re.finditer(r"Table 9\.1\.2\.3\.|Part 9", t)]
+    assert sorted([(r.id, r.start, r.end) for r in got], key=repr) == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize(("line", "want"), [("9.4.7.", ("subsection", "9.4.7")), ("9.4.7.2. ", ("article", "9.4.7.2")), ("9.4.7B.", ("alt_subsection", "9.4.7B")), ("9.4.7B.2.", ("sub_article", "9.4.7B.2")), ("9.4.7.2C.", ("article_suffix", "9.4.7.2C")), ("9.4.7. Title", None), (None, None)])
 def test_id_lines(spark, line, want):
     got = spark.createDataFrame([(line,)], "t string").select(U.id_line(F.col("t")).alias("x")).first().x
@@ -64,6 +81,8 @@ def test_checks(spark):
     long = "x" * 200
     rows = spark.createDataFrame([("a", "short (a) in a line"), ("b", long + "\nbroken off from its sentence"), ("c", long + "\n(a) own line, see (b)"), ("d", None)], "id string, content string")
     assert sorted(map(tuple, quality.content_checks(rows).collect())) == [("a", "INLINE_a"), ("a", "SHORT"), ("b", "SEPARATED"), ("d", "SHORT")]
+    rows = spark.createDataFrame([("a", "9.8.1", "It shall be calculated. " * 20), ("b", "9.8.1", "It shall be calculated as w = 3 b. " * 20), ("c", "9.7.1", "It shall be calculated. " * 20), ("d", None, "9.8.1 " * 50)], "id string, section string, content string")
+    assert sorted(map(tuple, quality.content_checks(rows).collect())) == [("a", "NO_EQUATION")]
     rows = spark.createDataFrame([("a", "calculated as follows: " + "y " * 120 + "x = 12345"), ("b", "shall be determined by x = 3 + abc"), ("c", "none")], "id string, content string")
     assert sorted(map(tuple, quality.equation_markers(rows).collect())) == [("a", 1, 1), ("b", 1, 0)]
     rows = spark.createDataFrame([("a", "17\n000\n9.4.7.2. 9.4.7.2. x\n9.4.7.3.\n")], "id string, content string")
