@@ -9,11 +9,12 @@ counted in diagonal bands; two neighbouring bands, which overlap the next two, t
 reach the bound are kept and each is verified by an alignment within its band, all regions of a slice at once. q is Q, and
 less for a passage so short that the bound would be below one.
 
-The items are the query set: they go to all tasks in blocks of at most BLOCK_CHARS characters, one pass over the texts for
-each block. Defined results: null and empty texts are clean; null and blank items are not looked for, items of any other
+The items are the query set: they go to all tasks in blocks of at most BLOCK_CHARS characters, about (dealt by a hash of id and
+text; an item is not cut), one pass over the texts for each block. Defined results: null and empty texts are clean; null and blank items are not looked for, items of any other
 length are, those below 10 characters without edits; repeated items count each by its item_id, those without one as -1;
 repeated rows of a document are judged alike, rows that share a doc_id, or have none, each by its own text; very long texts
-are read in stretches that overlap by more than a passage; other columns are carried in a struct.
+are read in stretches that overlap by more than a passage, each of which answers for its own diagonals, so that the same
+passages are found as in the whole; other columns are carried in a struct.
 """
 
 from __future__ import annotations
@@ -68,16 +69,24 @@ def folded(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw[keep], place, np.append(begins, len(place))
 
 
-def stretches(text: str, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """A long text's folded characters and their places, in stretches of about size that overlap by 4 * PIECE characters."""
-    chars, place = np.zeros(0, np.int32), np.zeros(0, np.int64)
+def stretches(text: str, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, tuple[int, int]]]:
+    """A long text in stretches of about size that overlap by 4 * PIECE folded characters.
+
+    Each with its folded characters, their places in the text, how many folded characters come before it, and the diagonals
+    that are its own: what stands on them lies in it as a whole.
+    """
+    chars, place, begin, own = np.zeros(0, np.int32), np.zeros(0, np.int64), 0, -2 * PIECE
     for lo in range(0, len(text), size):
         new, at, _ = folded([text[lo : lo + size]])
         new, at = new[:-1], at[:-1] + lo
         if len(chars) and len(new) and chars[-1] == new[0] == 32:
             new, at = new[1:], at[1:]
-        chars, place = np.concatenate([chars[-4 * PIECE :], new]), np.concatenate([place[-4 * PIECE :], at])
-        yield np.append(chars, np.int32(_END)), np.append(place, len(text))
+        chars, place = np.concatenate([chars, new]), np.concatenate([place, at])
+        left = max(0, len(chars) - 4 * PIECE)  # the next one begins here
+        ends = lo + size >= len(text)
+        upto = begin + (len(chars) + PIECE if ends else left + PIECE) if ends or begin + left else own
+        yield np.append(chars, np.int32(_END)), np.append(place, len(text)), begin, (own, upto)
+        chars, place, begin, own = chars[left:], place[left:], begin + left, upto
 
 
 def grams(chars: np.ndarray, q: int) -> np.ndarray:
@@ -128,8 +137,12 @@ class Pieces:
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.names >> np.uint64(42)).astype(np.int64)] = True
 
-    def regions(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces and first diagonals of the double bands whose shared q-grams reach the bound."""
+    def regions(self, chars: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces and first diagonals of the double bands whose shared q-grams reach the bound.
+
+        begins: where each text begins in chars (below 0, if chars are a stretch of it). Bands are counted from a text's
+        begin, so that they don't depend on what it is read with.
+        """
         g = grams(chars, self.q)
         i = np.flatnonzero(self.bits[(g >> np.uint64(42)).astype(np.int64)])
         slot = np.searchsorted(self.names, g[i])
@@ -139,14 +152,18 @@ class Pieces:
         times = self.first[slot + 1] - self.first[slot]
         entry = np.repeat(self.first[slot], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         piece = self.piece[entry]
-        bands = len(chars) // self.band + PIECE + 4
-        band = (np.repeat(i, times) - self.at[entry]) // self.band + PIECE + 1  # never below 1
+        before = (begins - begins[0]) // self.band + np.arange(len(begins)) * (PIECE + 4)  # bands of the texts before, and room
+        text = np.repeat(np.searchsorted(begins, i, "right") - 1, times)
+        band = (np.repeat(i, times) - begins[text] - self.at[entry]) // self.band + PIECE + 1 + before[text]  # never below 1
+        bands = (len(chars) - begins[0]) // self.band + (len(begins) + 1) * (PIECE + 4)
         key, count = np.unique(piece * bands + band, return_counts=True)
         nxt = np.searchsorted(key, key + 1)
         nxt[nxt == len(key)] = 0
         with_next = count + np.where(key[nxt] == key + 1, count[nxt], 0) if len(key) else count
         ok = with_next >= self.least[key // bands] if len(key) else np.zeros(0, bool)
-        return key[ok] // bands, (key[ok] % bands - PIECE - 1) * self.band
+        band = key[ok] % bands
+        text = np.searchsorted(before + 1, band, "right") - 1
+        return key[ok] // bands, (band - before[text] - PIECE - 1) * self.band + begins[text]
 
     def align(self, chars: np.ndarray, piece: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Least edits for each region, and where the place that needs them starts and ends."""
@@ -174,9 +191,12 @@ class Pieces:
         return best >> 32, best & (step - 1), np.minimum(end, len(chars))
 
 
-    def found(self, chars: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(item, start, end, edits) of the passages that stand in chars within their budgets."""
-        piece, diagonal = self.regions(chars)
+    def found(self, chars: np.ndarray, begins: np.ndarray, own: tuple[int, int] | None = None) -> Iterator[tuple[int, int, int, int]]:
+        """(item, start, end, edits) of the passages that stand in chars within their budgets; own: of these diagonals of the text only."""
+        piece, diagonal = self.regions(chars, begins)
+        if own:
+            inside = (diagonal - begins[0] >= own[0]) & (diagonal - begins[0] < own[1])
+            piece, diagonal = piece[inside], diagonal[inside]
         for lo in range(0, len(piece), ALIGNED):
             p = piece[lo : lo + ALIGNED]
             edits, start, end = self.align(chars, p, diagonal[lo : lo + ALIGNED])
@@ -200,12 +220,12 @@ def _matches(docs: DataFrame, items: DataFrame, q: int = Q, block_chars: int = B
                 docs_, twins, found = b.column("doc_id").to_numpy(), b.column("twin").to_numpy(), set()
                 some = b.column("text").to_pylist()
                 if len(some) == 1 and len(some[0]) > size:
-                    for chars, place in stretches(some[0], size):
-                        found.update((0, i, int(place[s]), int(place[e - 1] + 1), n) for x in indexes for i, s, e, n in x.found(chars))
+                    for chars, place, begin, own in stretches(some[0], size):
+                        found.update((0, i, int(place[s]), int(place[e - 1] + 1), n) for x in indexes for i, s, e, n in x.found(chars, np.asarray([-begin]), own))
                 else:
                     chars, place, begins = folded(some)
                     for x in indexes:
-                        for i, s, e, n in x.found(chars):
+                        for i, s, e, n in x.found(chars, begins[:-1]):
                             d = int(np.searchsorted(begins, s, "right")) - 1
                             if d < len(docs_):
                                 zero = place[begins[d]]
@@ -218,7 +238,7 @@ def _matches(docs: DataFrame, items: DataFrame, q: int = Q, block_chars: int = B
 
     out = spark.createDataFrame([], schema)
     for i in range(blocks):
-        block = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i).collect()]
+        block = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).collect()]
         out = searched(block) if not i else out.unionByName(searched(block))
     return out
 

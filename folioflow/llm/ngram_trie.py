@@ -372,5 +372,5 @@ def scores(df: DataFrame, model: Model) -> DataFrame:
 def score(df: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     """Trains on the rows of df whose crc32(doc_id as text) mod 7 is not 2, and scores all."""
     arrow_limits(df.sparkSession)
-    rows = texts(df, (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2).alias("held_out"))
+    rows = texts(df, F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False)).alias("held_out"))
     return scores(rows, train(rows, fresh_dir(df.sparkSession, "ngram-trie"), min_count))

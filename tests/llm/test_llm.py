@@ -415,9 +415,41 @@ def test_op10_long_text(spark):
     bench = spark.createDataFrame([(7, passage)], "item_id long, text string")
     got = decontamination.matches(df, bench, size=1 << 16).collect()
     assert {(x.doc_id, x.item_id) for x in got} >= {(1, 7)}
+    assert sorted(map(tuple, got)) == sorted(map(tuple, decontamination.matches(df, bench, size=1 << 24).collect()))
     assert all(passage[:20] in re.sub(" +", " ", long[x.start : x.end]) or passage.strip()[-20:] in long[x.start : x.end] for x in got if x.doc_id == 1 and x.edits == 0)
 
 
+@pytest.mark.parametrize("size", [300, 1000, 4096])
+def test_op10_stretches_find_what_the_whole_has(spark, size):
+    r = random.Random(size)
+    words = [f"w{k}" for k in range(300)]
+    passage = " ".join(r.choice(words) for _ in range(90))
+    edited = lambda: "".join(r.choice("xyz") if r.random() < 0.04 else c for c in passage)
+    texts = [" ".join([" ".join(r.choices(words, k=r.randint(5, 900))) + " " * r.randint(0, 900), edited(), *r.choices(words, k=r.randint(0, 700)), edited(), "end"]) for _ in range(25)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(1, passage), (2, passage[40:200])], "item_id long, text string")
+    whole = sorted(map(tuple, decontamination.matches(df, bench, size=1 << 24).collect()))
+    assert len(whole) > 100 and sorted(map(tuple, decontamination.matches(df, bench, size=size).collect())) == whole
+    alone = [x for k in (3, 4) for x in decontamination.matches(df.filter(F.col("doc_id") == k), bench, size=1 << 24).collect()]
+    assert sorted(map(tuple, alone)) == [x for x in whole if x[0] in (3, 4)]
+
+
+def test_op10_items_without_an_id_in_many_blocks(spark):
+    items = [f"passage number {k} of a benchmark that nobody knows about {k * k}" for k in range(60)]
+    df = spark.createDataFrame([(k, f"before {x} after") for k, x in enumerate(items)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, x) for x in items], "item_id long, text string")
+    got = decontamination.matches(df, bench, block_chars=400).collect()
+    assert {x.doc_id for x in got} == set(range(60)) and {x.item_id for x in got} == {-1}
+
+
+def test_op1_trains_on_rows_without_an_id(spark):
+    df = spark.createDataFrame([(None, "alpha beta"), (None, "alpha gamma"), (4, "alpha")], "doc_id long, text string")
+    held = {4: zlib.crc32(b"4") % 7 == 2}
+    got = [tuple(r) for r in ngram_trie.score(df, min_count=1).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens").collect()]
+    n = 6 + (0 if held[4] else 2)
+    assert sorted(got) == sorted([(-1, False, 3, 3, n), (-1, False, 3, 3, n), (4, held[4], 2, 2, n)])
+
+
 NO_ID = [(None, "one line that is long enough to be a key of its own, surely\nmine alone"), (None, "another\none line that is long enough to be a key of its own, surely"), (None, "z"), (3, "short"), (3, "one line that is long enough to be a key of its own, surely\nthree"), (4, "one line that is long enough to be a key of its own, surely"), (5, "one line that is long enough to be a key of its own, surely"), (5, "one line that is long enough to be a key of its own, surely")]
 
 
