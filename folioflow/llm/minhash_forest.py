@@ -389,7 +389,9 @@ def _classed(docs: DataFrame, shingle: int, num: int, den: int, trees: int, wind
     roots = roots.join(firsts, "root").select(F.col("node").alias("rep"), "first")
     named = classes.select("fp1", "fp2", "rep", F.struct("doc_id", "twin").alias("own")).join(roots, "rep", "left")
     named = stored(named.select("fp1", "fp2", F.coalesce("first", "own").alias("first")), "named")
-    return seen.select("doc_id", "twin", "n_shingles", "fp1", "fp2").join(named, ["fp1", "fp2"], "left").select("doc_id", "twin", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("first")).alias("first"))
+    # rows without shingles have no class: they would all meet on one key
+    none = seen.filter("n_shingles = 0").select("doc_id", "twin", "n_shingles", F.lit(None).cast(named.schema["first"].dataType).alias("first"))
+    return seen.filter("n_shingles > 0").join(named, ["fp1", "fp2"], "left").select("doc_id", "twin", "n_shingles", "first").unionByName(none)
 
 
 def near_duplicates(df: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, trees: int = TREES, window: int = WINDOW, chunk: int = CHUNK) -> DataFrame:

@@ -1,12 +1,13 @@
 """Best-fit packing with large-item matching.
 
 Texts become token ids with an end id; a longer one is cut into full pieces and a rest. The plan works on the histogram of
-piece lengths, which has at most `capacity` entries however many documents there are: pieces above a third of the capacity
+piece lengths, which has at most `capacity` entries however many documents there are, and is all that the driver sees: pieces above a third of the capacity
 are matched, the longest first, each with the longest large piece that still fits (at most two large ones in a sequence);
 then smaller lengths, the longest first, go to the tightest gap that holds them, or open new sequences. All sequences with
 the same gap are interchangeable, so each step moves whole ranges of them. A plan row says: of the pieces of this length,
 those ranked lo .. lo + n - 1 go to sequences first .. first + n - 1 at this offset. Pieces find their row by their rank
-among those of their length; ranks come from counts by (length, salt), so that no task holds all pieces of one length.
+among those of their length; ranks come from counts by (length, salt), with as many salts as shuffle partitions, so that no
+task holds all pieces of one length.
 
 Defined results: a null or empty text is a piece with the end id alone; repeated rows, and rows without a doc_id (-1), are
 packed each on their own, equal ones in any order; a very long text is encoded as a whole and leaves in pieces; of lengths
@@ -26,10 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioflow.llm.coding import word_ids
-from folioflow.llm.common import stored, texts
+from folioflow.llm.common import partitions, stored, texts
 
 CAPACITY = 4096
-SALTS = 32
 
 
 def pieces(df: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
@@ -120,12 +120,11 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
 
 def pack_pieces(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """found (doc_id, piece, start, length, ids_crc32 and more columns) with sequence_id and offset; found should be a stored table."""
-    spark = found.sparkSession
-    salted = found.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    # at most capacity * SALTS rows, whatever the input
-    sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("n")).toPandas().sort_values(["length", "_salt"])
-    sizes["_before"] = sizes.groupby("length")["n"].cumsum() - sizes["n"]
-    rows = plan({int(k): int(v) for k, v in sizes.groupby("length")["n"].sum().items()}, capacity)
+    salts = partitions(found.sparkSession)
+    salted = found.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "start"), F.lit(salts)).cast("int"))
+    sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_size"))
+    totals = sizes.groupBy("length").agg(F.sum("_size").alias("n")).collect()  # at most `capacity` rows, whatever the input
+    rows = plan({r.length: r.n for r in totals}, capacity)
     order = np.lexsort((rows[:, 1], rows[:, 0]))
     rows = rows[order]
     starts = (rows[:, 0] << 44) + rows[:, 1]
@@ -138,9 +137,10 @@ def pack_pieces(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             names = [n for n in b.schema.names if n != "_rank"]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(row[:, 3] + rank - row[:, 1]), pa.array(row[:, 4])], names=[*names, "sequence_id", "offset"])
 
-    before = F.broadcast(spark.createDataFrame(sizes[["length", "_salt", "_before"]].astype({"_salt": "int32"}), "length long, _salt int, _before long"))
+    # a length has at most one row for each salt
+    before = sizes.withColumn("_before", F.sum("_size").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_size")).drop("_size")
     ranked = salted.withColumn("_n", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32")))
-    ranked = ranked.join(before, ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_n") - 1).drop("_salt", "_before", "_n")
+    ranked = ranked.join(before.hint("merge"), ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_n") - 1).drop("_salt", "_before", "_n")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema.fields if f.name != "_rank")
     return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")
 

@@ -9,8 +9,8 @@ a row of blocks; a block ends with the document that brings it to BLOCK ids or m
 Each task writes one file of an ascending range of doc ids, under a name that its partition gives, whole or not at all: a
 repeated attempt writes the same file. The driver sees one row for each file and, for the ranks, one for each id of the
 vocabulary. Writing and reading hold a block at a time; reading decodes it by a table of the 256 control bytes. Defined
-results: null counts as empty (the end id alone); rows of one doc_id, equal or not, follow each other in the order of their
-ids, those without a doc_id as -1; a very long text is one block of its own; other columns are not looked at; an empty
+results: null counts as empty (the end id alone); rows of one doc_id, equal or not, follow each other in the order of a hash
+of their ids, those without a doc_id as -1, and may lie in several files; a very long text is one block of its own; other columns are not looked at; an empty
 table writes no file.
 """
 
@@ -148,9 +148,11 @@ def write_files(ids: DataFrame, kind: str, by_rank: np.ndarray, folder: str, blo
             write_file(uri, first, rest)
             yield pa.RecordBatch.from_pydict({"part": [part], "uri": [uri], "n_docs": [counts[0]], "n_ids": [counts[1]]})
 
-    n = partitions(ids.sparkSession)
-    sorted_ids = ids.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "ids")
-    files = sorted_ids.mapInArrow(run, "part long, uri string, n_docs long, n_ids long").collect()
+    # a hash and a number beside the id: rows that share an id, or have none, fall into many files
+    order = ["doc_id", "_hash", "_n"]
+    numbered = ids.select("doc_id", "ids", F.xxhash64("ids").alias("_hash"), F.monotonically_increasing_id().alias("_n"))
+    sorted_ids = numbered.repartitionByRange(partitions(ids.sparkSession), *order).sortWithinPartitions(*order)
+    files = sorted_ids.select("doc_id", "ids").mapInArrow(run, "part long, uri string, n_docs long, n_ids long").collect()
     out, start = [], 0
     for f in sorted(files, key=lambda f: f["part"]):
         out.append(f.asDict() | {"start": start})
