@@ -11,6 +11,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.functions.text import bound
+
 # The markers that open a notes region and those that end it.
 NOTES = r'<h5 class="table-notes-title">Notes to Table[^<]+</h5>\s*\n'
 NOTES_END = [r"\[ARTICLE:", "#### Table"]
@@ -189,10 +191,14 @@ _RUN = 64
 def running_sums(lengths: Column) -> Column:
     """The sums of an array's first 1, 2, ... entries: sums of runs of entries first, then those within a run."""
     total = lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y)
-    part = lambda x, i, n: F.slice(x, i, n)
-    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _RUN).cast("int")), lambda k: total(part(lengths, k * _RUN + 1, F.lit(_RUN))))
-    heads = F.transform(runs, lambda _, k: total(part(runs, F.lit(1), k)))
-    return F.transform(lengths, lambda _, i: F.get(heads, F.floor(i / _RUN).cast("int")) + total(part(lengths, F.floor(i / _RUN).cast("int") * _RUN + 1, i % _RUN + 1)))
+    run = lambda i: F.floor(i / _RUN).cast("int")
+
+    def within(x: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), run(F.size(x) - 1)), lambda k: total(F.slice(x, k * _RUN + 1, F.lit(_RUN))))
+        heads = bound(runs, lambda r: F.transform(r, lambda _, k: total(F.slice(r, F.lit(1), k))))
+        return bound(heads, lambda h: F.transform(x, lambda _, i: F.get(h, run(i)) + total(F.slice(x, run(i) * _RUN + 1, i % _RUN + 1))))
+
+    return bound(lengths, within)
 
 
 def places(rows: DataFrame, pattern: str) -> DataFrame:
@@ -221,6 +227,15 @@ def positional_references(rows: DataFrame) -> DataFrame:
     return found.select("id", "start", "end", kind.alias("type"), target.alias("target"), "match")
 
 
+def equations_inserted(text: Column, equations: list[tuple[str, str]]) -> Column:
+    """After the first place of each anchor, on a line of its own, its formula; one after the other, in the order given."""
+    for anchor, formula in equations:
+        at = F.locate(anchor, text)
+        upto = at + len(anchor) - 1
+        text = F.when(at > 0, F.concat(F.substring(text, F.lit(1), upto), F.lit(f"\n{formula}"), F.substring(text, upto + 1, F.length(text)))).otherwise(text)
+    return text
+
+
 def pipe_table_html(block: Column) -> Column:
     """A pipe table (its lines) as HTML: the first row is the head, a second of dashes goes; '' for less than two lines."""
     lines = F.filter(F.transform(F.split(block, "\n", -1), lambda x: F.trim(x, F.lit(" \t"))), lambda x: x.startswith("|"))

@@ -6,6 +6,7 @@ The patterns are data; functions take and return columns and stay inside the eng
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,9 +31,10 @@ REFERENCES = {
     "section": r"Section\s+({P}\.\d+)",
     "subsection": r"Subsection\s+({P}\.\d+\.\d+[A-Z]?)",
 }
-# Headings and the level of each; an article's heading with its id and title.
+# Headings and the level of each; an article's heading with its id and title, and what goes from the title.
 LEVELS = [(r"^#+\s*{P}\.\d+\.\d+[A-Z]?\.\d+", "####"), (r"^#+\s*{P}\.\d+\.\d+[A-Z]?\.(?!\d)", "###"), (r"^#+\s*(?:Section\s+)?{P}\.\d+\.(?!\d)", "##")]
 ARTICLE_HEADING = r"^#{1,4}\s*({P}\.\d+\.\d+[A-Z]?\.\d+[A-Z]?)\.\s*(.+)$"
+ARTICLE_TITLE_GONE = [r"\*{1,2}", r"\s*\(See Note[^)]+\)", r"\s*\*{0,2}[er]\d+\*{0,2}$"]
 # Superscript characters.
 SUPERSCRIPT = ("0123456789+-", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻")
 # Signs of an equation, whatever their case.
@@ -41,6 +43,11 @@ EQUATION_SIGNS = [r"[=<>≤≥±]", r"\d+\s*/\s*\d+", "[²³√∑∫∏]", r"\d
 LATEX = [(r"\bsqrt\(([^)]+)\)", r"\\sqrt{$1}"), (r"<=", r"\\leq "), (r">=", r"\\geq "), (r"\*", r"\\times "), (r"m\^2", "m^{2}")]
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once for each row, however often use refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _at(pattern: str, part: str) -> str:
     return pattern.replace("{P}", part)
 
@@ -186,7 +193,7 @@ def marked_articles(line: Column, part: str = r"\d+") -> Column:
     """An article's heading (a line with 1 to 4 #) as a marker on a line of its own; emphasis, notes and revision marks go."""
     pattern = _at(ARTICLE_HEADING, part)
     title = F.trim(F.regexp_extract(line, pattern, 2))
-    for gone in (r"\*{1,2}", r"\s*\(See Note[^)]+\)", r"\s*\*{0,2}[er]\d+\*{0,2}$"):
+    for gone in ARTICLE_TITLE_GONE:
         title = F.regexp_replace(title, gone, "")
     marker = F.concat(F.lit("\n[ARTICLE:"), F.regexp_extract(line, pattern, 1), F.lit(":"), F.trim(title), F.lit("]"))
     return F.when(line.rlike(pattern), marker).otherwise(line)
@@ -206,6 +213,10 @@ def html_escaped(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
+def quotes_escaped(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit('"'), F.lit("&quot;")), F.lit("'"), F.lit("&#x27;"))
+
+
 def numbers_collapsed(text: Column) -> Column:
     """A section number that is written twice in a row stays once."""
     return F.regexp_replace(text, r"(\d+\.\d+\.\d+\.)\s+\1", "$1")

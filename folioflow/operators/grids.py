@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from folioflow.functions.text import compared, html_escaped
+from folioflow.functions.text import compared, html_escaped, quotes_escaped
+from folioflow.operators.ordered import blank_to_null
 
 
 def numeric(cell: Column) -> Column:
@@ -148,3 +150,56 @@ def spanned_html(cells: DataFrame, header: DataFrame) -> DataFrame:
     out = rows.groupBy("table_id").agg(part(F.col("head")).alias("a"), part(~F.col("head")).alias("b"))
     body = F.when(F.col("b") != "", F.concat(F.lit("<tbody>"), "b", F.lit("</tbody>"))).otherwise("")
     return out.select("table_id", F.concat(F.lit('<table class="obc-table"><thead>'), "a", F.lit("</thead>"), body, F.lit("</table>")).alias("html"))
+
+
+# Signs of a private font and what they stand for.
+GLYPHS = [("\uf0b3", ">="), ("\uf0b2", "<=")]
+
+
+def smart_cells(cells: DataFrame, header: DataFrame) -> DataFrame:
+    """table_id, row, col, cell, header_rows, rowspan, colspan with inferred spans; a cell that another one covers is left out.
+
+    In the head, and apart from it in the body, equal neighbours in the first column are one cell, and in the head the
+    blanks to the right of a cell from the second column on belong to it.
+    """
+    rows = cells.join(header, "table_id").withColumn("head", F.col("row") <= F.col("header_rows"))
+    value = blank_to_null(F.col("cell"))
+    down = Window.partitionBy("table_id", "col", "head").orderBy("row")
+    starts = F.when((F.col("col") == 1) & (value == F.lag(value).over(down)), 0).otherwise(1)
+    right = Window.partitionBy("table_id", "row").orderBy("col")
+    opens = F.when(F.col("head") & (F.col("col") > 2) & F.col("cell").isNull(), 0).otherwise(1)
+    rows = rows.withColumn("_start", starts).withColumn("_open", opens).withColumn("_run", F.sum("_start").over(down)).withColumn("_span", F.sum("_open").over(right))
+    rows = rows.withColumn("rowspan", F.count("*").over(Window.partitionBy("table_id", "col", "head", "_run"))).withColumn("colspan", F.count("*").over(Window.partitionBy("table_id", "row", "_span")))
+    return rows.filter("_start = 1 AND _open = 1").select("table_id", "row", "col", "cell", "header_rows", "rowspan", "colspan")
+
+
+def smart_html(cells: DataFrame, header: DataFrame) -> DataFrame:
+    """table_id, html of grids with inferred spans, a line for each tag of rows and cells."""
+    rows = smart_cells(cells, header)
+    head = F.col("row") <= F.col("header_rows")
+    text = quotes_escaped(html_escaped(F.coalesce("cell", F.lit(""))))
+    for sign, plain in GLYPHS:
+        text = F.replace(text, F.lit(sign), F.lit(plain))
+    tag = F.when(head | (F.col("col") == 1), "th").otherwise("td")
+    attribute = lambda name: F.when(F.col(name) > 1, F.concat(F.lit(f' {name}="'), F.col(name).cast("string"), F.lit('"'))).otherwise("")
+    cell = F.concat(F.lit("<"), tag, attribute("rowspan"), attribute("colspan"), F.lit(">"), text, F.lit("</"), tag, F.lit(">"))
+    lines = lambda k, t: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, t))), lambda x: x[t]), "\n")
+    rows = rows.withColumn("t", cell).groupBy("table_id", "row", "header_rows").agg(lines("col", "t").alias("cells"))
+    stripe = F.when(head, "<tr>").when((F.col("row") - F.col("header_rows")) % 2 == 0, '<tr class="bg-gray-50">').otherwise('<tr class="bg-white">')
+    rows = rows.withColumn("t", F.concat(stripe, F.lit("\n"), "cells", F.lit("\n</tr>")))
+    part = lambda when: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("row", "t")))), lambda x: x["t"]), "\n")
+    found = rows.groupBy("table_id").agg(part(head).alias("h"), part(~head).alias("b"))
+    opened = F.concat(F.lit('<table class="obc-table" data-table-id="Table '), F.col("table_id").cast("string"), F.lit('">'))
+    body = F.when(F.col("b") != "", F.concat(F.lit("<tbody>\n"), "b", F.lit("\n</tbody>")))
+    return found.select("table_id", F.concat_ws("\n", opened, F.lit("<thead>"), "h", F.lit("</thead>"), body, F.lit("</table>")).alias("html"))
+
+
+def column_clusters(words: DataFrame, gap: float) -> DataFrame:
+    """Page, x, text and more, with column (from 1) and centre: words of a page are one column until a gap in x.
+
+    Words in the order of x begin a new column where the next x is more than gap away; a column's centre is its mean x.
+    """
+    w = Window.partitionBy("page").orderBy("x")
+    rows = words.filter("x IS NOT NULL").withColumn("_new", F.when(F.col("x") - F.lag("x").over(w) > gap, 1).otherwise(0))
+    rows = rows.withColumn("column", (F.sum("_new").over(w.rangeBetween(Window.unboundedPreceding, 0)) + 1).cast("int")).drop("_new")
+    return rows.withColumn("centre", F.round(F.avg("x").over(Window.partitionBy("page", "column")), 6))

@@ -98,3 +98,17 @@ def nearest(rows: DataFrame, key: str, id_: str, top: str) -> DataFrame:
     """The item at or below the top edge that is nearest to it, else the nearest at all."""
     below = F.expr(f"min_by({id_}, struct({top}, {id_})) FILTER (WHERE {top} >= 0)")
     return rows.groupBy(key).agg(F.coalesce(below, F.expr(f"min_by({id_}, struct(abs({top}), {id_}))")).alias("nearest"))
+
+
+def last_seen(rows: DataFrame, group: str, block: str, order: list[str], values: dict[str, Column]) -> DataFrame:
+    """rows and, for each of values, the last one that isn't null at or before the row in its group.
+
+    block grows with the order within a group and bounds what one task sorts: each block is scanned alone, and the last
+    values of the blocks before it come from one row a block. A group may be as long as it likes; null groups are one.
+    """
+    named = rows.withColumns(values)
+    here, up = Window.partitionBy(group, block).orderBy(*order), Window.partitionBy(group).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    ends = named.groupBy(group, block).agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), F.struct(*order))).alias(n) for n in values])
+    before = ends.select(F.col(group).alias("_group"), F.col(block).alias("_block"), *[F.last(n, ignorenulls=True).over(up).alias(f"_before_{n}") for n in values])
+    found = named.join(before, F.col(group).eqNullSafe(F.col("_group")) & F.col(block).eqNullSafe(F.col("_block")))
+    return found.select(*rows.columns, *[F.coalesce(F.last(n, ignorenulls=True).over(here), F.col(f"_before_{n}")).alias(n) for n in values])

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -65,3 +69,35 @@ def overridden(tables: DataFrame, overrides: DataFrame) -> DataFrame:
 def selected(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """The rows whose key is wanted, once each."""
     return rows.join(wanted.select(key).distinct(), key, "left_semi")
+
+
+def nearest_below(titles: DataFrame, grids: DataFrame, page: str, title: str, grid: str, y: str = "y", within: float = 200.0) -> DataFrame:
+    """Page, title, grid: from the top of a page down, each title takes the nearest free grid at or below it, less than
+    `within` away.
+
+    Titles that wait stand in a queue: the next grid goes to the first of them that it is near enough to, and those that it
+    is too far from have none. So one sorted pass over a page decides, and no title meets all grids. Equal heights: titles
+    first, then by id. A task holds the titles of at most `within` of a page.
+    """
+    both = titles.select(F.col(page).alias("page"), F.col(y).cast("double").alias("y"), F.lit(0).alias("kind"), F.col(title).cast("string").alias("id"))
+    both = both.unionByName(grids.select(F.col(page).alias("page"), F.col(y).cast("double").alias("y"), F.lit(1).alias("kind"), F.col(grid).cast("string").alias("id")))
+    order = ["page", "y", "kind", "id"]
+    kind = both.schema["page"].dataType
+
+    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, waiting = None, deque()
+        for b in batches:
+            out = []
+            for p, top, k, i in zip(*(b.column(n).to_pylist() for n in order), strict=True):
+                if p != at:
+                    at, waiting = p, deque()
+                while waiting and top - waiting[0][0] >= within:
+                    waiting.popleft()
+                if not k:
+                    waiting.append((top, i))
+                elif waiting:
+                    out.append((p, waiting.popleft()[1], i))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], b.schema.field("page").type), *(pa.array([x[c] for x in out], pa.string()) for c in (1, 2))], names=["page", "title", "grid"])
+
+    rows = both.filter("y IS NOT NULL").repartition("page").sortWithinPartitions(*order)
+    return rows.mapInArrow(matched, f"page {kind.simpleString()}, title string, grid string")

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.operators.stemming import stem
+
 
 def terms_of(query: str) -> list[str]:
     return query.lower().split()
@@ -87,3 +89,71 @@ def bm25(docs: DataFrame, query: str, limit: int = 20, k1: float = 1.2, b: float
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
     total = rows.groupBy("id").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("hit")).filter(F.col("hit") == len(terms))
     return total.select("id", "score").orderBy(F.desc("score"), "id").limit(limit)
+
+
+#: Files that the postings of a part are dealt to by a hash of their term.
+BUCKETS = 32
+
+
+def words_of(docs: DataFrame) -> DataFrame:
+    """docs' columns but content, n (words) and w: the lower-cased words of [a-z0-9]."""
+    words = docs.withColumn("w", F.filter(F.split(F.lower("content"), "[^a-z0-9]+"), lambda x: x != ""))
+    return words.withColumn("n", F.size("w")).drop("content", "title")
+
+
+def stemmed_postings(docs: DataFrame) -> DataFrame:
+    """part, term (a stem), id, tf, n of docs (part, id, content). Each distinct word is stemmed once."""
+    counts = words_of(docs).select("part", "id", "n", F.explode("w").alias("word")).groupBy("part", "id", "n", "word").agg(F.count("*").alias("tf"))
+    known = counts.select("word").distinct().withColumn("term", stem(F.col("word")))
+    return counts.join(known, "word").groupBy("part", "term", "id", "n").agg(F.sum("tf").alias("tf"))
+
+
+def bucket(term: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def write_search_index(docs: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Postings by part and bucket of the term, and the documents' sizes by part, under path.
+
+    Only the parts that docs holds are written anew, with all their documents; the files of other parts stay.
+    """
+    found = stemmed_postings(docs).withColumn("bucket", bucket(F.col("term"), buckets))
+    sizes = words_of(docs).select("part", "id", "n")
+    for rows, name, keys in ((found.repartition("part", "bucket").sortWithinPartitions("part", "bucket", "term"), "postings", ["part", "bucket"]), (sizes, "sizes", ["part"])):
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(f"{path}/{name}")
+
+
+def query_terms(spark: SparkSession, query: str, buckets: int = BUCKETS) -> list[tuple[str, int]]:
+    """The stems of a query's words and their buckets."""
+    words = [(w,) for w in sorted(set(re.findall("[a-z0-9]+", query.lower())))]
+    rows = spark.createDataFrame(words, "word string").select(stem(F.col("word")).alias("stem")).select("stem", bucket(F.col("stem"), buckets).alias("b")).distinct()
+    return sorted((r.stem, r.b) for r in rows.collect()) if words else []
+
+
+def indexed_postings(spark: SparkSession, path: str, terms: list[tuple[str, int]]) -> DataFrame:
+    """The postings of the terms; only the files of their buckets are read."""
+    rows = spark.read.parquet(f"{path}/postings")
+    return rows.filter(F.col("bucket").isin(sorted({b for _, b in terms}))).filter(F.col("term").isin([t for t, _ in terms]))
+
+
+def indexed_search(spark: SparkSession, path: str, query: str, limit: int = 20, buckets: int = BUCKETS, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """Id, score of the documents of an index that hold all of a query's stems, the best first; ties by id."""
+    terms = query_terms(spark, query, buckets)
+    if not terms:
+        return spark.createDataFrame([], "id string, score double")
+    tf = indexed_postings(spark, path, terms)
+    size = spark.read.parquet(f"{path}/sizes").agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    rows = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(size))  # one row for each term of the query, and one row
+    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
+    total = rows.groupBy("part", "id").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("hit")).filter(F.col("hit") == len(terms))
+    return total.select("id", "score").orderBy(F.desc("score"), "id").limit(limit)
+
+
+def response(docs: DataFrame, query: str | None, limit: int = 50) -> DataFrame:
+    """One row (query, total, results) as the search service answers: the ranked rows (id, score) in order; a blank query has none."""
+    query = (query or "").strip()
+    rows = ranked(docs, query, limit) if query else docs.select("id", F.lit(0).cast("long").alias("score")).limit(0)
+    best = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("by"), "id", "score"))), lambda x: F.struct(x["id"].alias("id"), x["score"].alias("score")))
+    return rows.agg(best.alias("results"), F.count("*").alias("total")).select(F.lit(query).alias("query"), "total", "results")

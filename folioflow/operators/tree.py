@@ -178,3 +178,24 @@ def nested(nodes: DataFrame) -> DataFrame:
     item = F.struct("seq", "id", "title", F.coalesce("subsections", F.array().cast("array<struct<seq:bigint,id:string,title:string>>")).alias("subsections"))
     inner = sections.groupBy(F.col("parent_id").alias("_q")).agg(F.array_sort(F.collect_list(item)).alias("sections"))
     return nodes.filter("type = 'part'").join(inner, F.col("id") == F.col("_q")).select("id", "title", "sections")
+
+
+#: Types whose parent is read off the id; the others hang on the nearest open node of a higher level.
+BY_ID = ("alt_subsection", "article_suffix", "article_0a", "sub_article")
+
+
+def added(script: DataFrame) -> DataFrame:
+    """Doc, id, type, parent_id, seq, title, content, refs of the nodes that a script (doc, ord, type, id, title, content) adds.
+
+    Each adding takes the next number under its parent, also one that repeats an id; of the same id the last adding stays.
+    refs are the targets that the content refers to, in order, each once.
+    """
+    rank = level(F.col("type"))
+    w = Window.partitionBy("doc").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    rows = script.select("*", *[F.last(F.when(rank == k, F.struct("ord", "id")), ignorenulls=True).over(w).alias(f"_{k}") for k in range(LEVELS - 1)])
+    above = F.array_max(F.array_compact(F.array(*[F.when(F.lit(k) < rank, F.col(f"_{k}")) for k in range(LEVELS - 1)])))["id"]
+    rows = rows.withColumn("parent_id", F.when(F.col("type").isin(*BY_ID), prefix_parent(F.col("id"))).otherwise(above))
+    rows = rows.withColumn("seq", F.row_number().over(Window.partitionBy("doc", "parent_id").orderBy("ord")))
+    last = rows.withColumn("_back", F.row_number().over(Window.partitionBy("doc", "id").orderBy(F.desc("ord")))).filter("_back = 1")
+    refs = F.array_distinct(F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(r"(?:Table|Articles?|Subsection|Section)\s+(\d+(?:\.\d+)+[A-Z]?)"), 1))
+    return last.select("doc", "id", "type", "parent_id", "seq", "title", "content", refs.alias("refs"))

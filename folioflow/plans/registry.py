@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.plans import catalog, catalog_text, catalog_markup, catalog_sources, catalog_grids  # noqa: F401, I001  (these register their queries in catalog; grids come last, as they build on other twins)
+from folioflow.plans import catalog, catalog_text, catalog_markup, catalog_sources, catalog_grids, catalog_books  # noqa: F401, I001  (these register their queries in catalog; grids and books come last, as they build on other twins)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -122,6 +122,12 @@ FORMS = [
     "  | Joist | Load |\n  |---|---|\n  | {n} | 1.9 |\n| lone",
     '<h4 class="table-title">Table 9.{k}.3.2</h4>\n<p class="x"><em>Forming Part of Sentence 9.{k}.3.2.({n})</em></p>',
     '<h5 class="table-notes-title"><h5 class="table-notes-title">Notes to Table 9.{k}.3.3.:</h5></h5>\n({n}) R = rafter',
+    "### **Table 9.{k}.5.{n} Posts and piers** Forming Part of Sentences 9.{k}.5.{n}.(1), (2)\n| Post | Load |\n|---|---|\n| {n} | 2 |\n![](x.png)\nNotes to Table 9.{k}.5.{n}:\n- (1) first\n(2) second",
+    "### Table 9.{k}.5.{n}\n\n**Braces**\n*Forming Part of Sentence 9.{k}.5.{n}.(3)*\nBrace {n} | 4\nno pipes here",
+    "### Table 9.{k}.5.{n} (Cont'd)\n| {n} | 7 |",
+    "Table 9.6.6.1. Sizes\nForming Part of Sentence 9.6.6.1.(1)\n38 / 89\nWidth of posts\n\nNot a row\n(3) The clause ends it",
+    "<table><tr><td>{n}</td></tr></table>\nwhere\nh = height of {n}\n(A) capital",
+    "h = 3 + {n}\nThe snow load on a Wall (See Note A-9.{k}.) is 4 m² at 5 °C",
 ]
 
 
