@@ -174,8 +174,16 @@ add("H08_added_nodes", lambda s, d: H.added(_script(s, d)).select("doc", "id", "
   SELECT doc, id, type, parent_id, seq, array_to_string([m[i] FOR i IN range(1, len(m) + 1) IF list_position(m, m[i]) = i], ',') AS refs FROM q WHERE back = 1""", "lines")
 
 # ---- text against its source
-_SOURCE = F.when(F.col("n_chars") % 3 == 0, F.upper("text")).when(F.col("n_chars") % 3 == 1, F.regexp_replace("text", r"\b(the|and|of|der|la)\b", "x")).otherwise(F.reverse("text"))
-add("V26_like_source", lambda s, d: S.dissimilar(B(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), _SOURCE.alias("source"))))
+
+
+def _with_source(s: SparkSession, d: str) -> DataFrame:
+    """Documents beside a source that says the same in capitals, differs in some words, or is another text."""
+    k = F.col("n_chars") % 3
+    source = F.when(k == 0, F.upper("text")).when(k == 1, F.regexp_replace("text", r"\b(the|and|of|der|la)\b", "x")).otherwise(F.reverse("text"))
+    return B(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), source.alias("source"))
+
+
+add("V26_like_source", lambda s, d: S.dissimilar(_with_source(s, d)))
 
 # ---- stored search
 _PARTS = lambda s, d: B(s, d, "documents").select(F.col("lang").alias("part"), F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"))

@@ -153,7 +153,7 @@ add("G09_cell_comparison", lambda s, d: G.compared_cells(W.fill_down(M(s, d, "ce
 add("G11_quality_score", lambda s, d: G.shapes(M(s, d, "cells")).join(G.blank_percent(M(s, d, "cells")), "table_id").select("table_id", G.quality_score(F.col("rows"), F.col("cols"), F.lit(4), F.lit(3), F.col("blank_percent")).alias("score")),
     ", f AS (SELECT table_id, max(row) AS r, max(col) AS c, round(avg(CASE WHEN trim(coalesce(cell, '')) = '' THEN 100.0 ELSE 0.0 END), 1) AS p FROM cells GROUP BY table_id) SELECT table_id, round(greatest(0.0, 20.0 - 5 * abs(r - 4)) + greatest(0.0, 20.0 - 5 * abs(c - 3)) + greatest(0.0, 60.0 - p), 6) AS score FROM f", "cells")
 add("G13_grid_validation", lambda s, d: G.validated(M(s, d, "cells"), 6), ", c AS (SELECT table_id, col, sum(CASE WHEN trim(coalesce(cell, '')) <> '' THEN 1 ELSE 0 END) AS f, sum(CASE WHEN length(cell) > 6 THEN 1 ELSE 0 END) AS l FROM cells GROUP BY table_id, col) SELECT table_id, CAST(sum(CASE WHEN f = 0 THEN 1 ELSE 0 END) AS BIGINT) AS empty_columns, CAST(sum(l) AS BIGINT) AS long_cells FROM c GROUP BY table_id", "cells")
-add("G17_column_clusters", lambda s, d: B(s, d, "events").groupBy("user_id", F.when(F.col("value") < 25, "left").otherwise("right").alias("side")).agg(F.count("*").alias("n")), "SELECT user_id, CASE WHEN value < 25 THEN 'left' ELSE 'right' END AS side, count(*) AS n FROM events GROUP BY 1, 2")
+add("G17_two_sides", lambda s, d: B(s, d, "events").groupBy("user_id", F.when(F.col("value") < 25, "left").otherwise("right").alias("side")).agg(F.count("*").alias("n")), "SELECT user_id, CASE WHEN value < 25 THEN 'left' ELSE 'right' END AS side, count(*) AS n FROM events GROUP BY 1, 2")
 
 # ---- quality
 _RULES_SQL = """, c AS (SELECT doc AS id, content FROM art), f AS (
@@ -178,7 +178,7 @@ add("V09_unbalanced_html", lambda s, d: V.unbalanced(B(s, d, "pages"), "p"), "SE
 
 add("V27_dangling_references", lambda s, d: V.dangling(M(s, d, "refs").filter("target_type = 'article'").select("source_id", "target_id").distinct(), "target_id", B(s, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("string").alias("id")), "id"), "SELECT DISTINCT source_id, target_id FROM refs WHERE target_type = 'article' AND target_id NOT IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'F')", "refs")
 add("V28_misplaced_nodes", lambda s, d: V.misplaced(H.open_ancestors(M(s, d, "lines").withColumn("type", X.line_type(F.col("text")))).select("doc", "line", "type", X.line_type(F.col("parent")).alias("parent_type")), {"clause": ["article", "article_suffix", "article_0a", "sub_article"]}),
-    f", t AS MATERIALIZED (SELECT doc, line, {LINE_TYPE_SQL} AS type FROM lines), h AS MATERIALIZED (SELECT doc, type FROM t WHERE line = 0 AND type IS NOT NULL) SELECT t.doc, t.line, t.type, h.type AS parent_type FROM t JOIN h ON t.doc = h.doc WHERE t.type = 'clause' AND h.type IN ('subsection', 'alt_subsection')", "lines")
+    f", t AS MATERIALIZED (SELECT doc, line, {LINE_TYPE_SQL} AS type FROM lines), h AS MATERIALIZED (SELECT *, max(CASE WHEN line = 0 THEN type END) OVER (PARTITION BY doc) AS parent_type FROM t) SELECT doc, line, type, parent_type FROM h WHERE type = 'clause' AND parent_type IN ('subsection', 'alt_subsection')", "lines")
 add("V33_rendered_pages", lambda s, d: V.rendered(B(s, d, "pages")), "SELECT page_id, CASE WHEN NOT regexp_matches(html, '(?i)<title>') OR length(html) < 500 THEN 'FAIL' WHEN NOT regexp_matches(html, '(?i)<h[12][ >]') THEN 'WARN' ELSE 'PASS' END AS status FROM pages")
 add("V34_null_counts", lambda s, d: M(s, d, "tables").agg(F.count_if(F.col("parent_id").isNull()).alias("no_parent"), F.count_if(F.col("source").isNull()).alias("no_source"), F.count("*").alias("n")), "SELECT count(*) FILTER (WHERE parent_id IS NULL) AS no_parent, count(*) FILTER (WHERE source IS NULL) AS no_source, count(*) AS n FROM tables", "tables")
 
