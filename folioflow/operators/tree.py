@@ -52,9 +52,9 @@ def prefix_parent(id_: Column) -> Column:
 
 def breadcrumbs(nodes: DataFrame) -> DataFrame:
     """id, path (root / ... / node), depth for every node: an id holds the ids of its ancestors, so no join is needed."""
-    parts = F.split("id", r"\.")
-    ids = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
-    return nodes.select("id", F.array_join(ids, "/").alias("path"), F.size(parts).alias("depth"))
+    depth = F.length("id") - F.length(F.replace("id", F.lit("."))) + 1
+    ids = F.expr("transform(sequence(1, depth), n -> substring_index(id, '.', n))")
+    return nodes.select("id", depth.cast("int").alias("depth")).select("id", F.array_join(ids, "/").alias("path"), "depth")
 
 
 def breadcrumbs_by_parent(nodes: DataFrame) -> DataFrame:
@@ -97,16 +97,18 @@ def toc(nodes: DataFrame) -> DataFrame:
     return nodes.filter("type = 'section'").join(sub.withColumnRenamed("parent_id", "_p"), F.col("id") == F.col("_p"), "left").select("part", "id", "title", F.coalesce("children", F.lit("")).alias("children"))
 
 
-def part_roll_up(nodes: DataFrame) -> DataFrame:
-    """part, k, block: the blocks of all parts in natural order (k), sorted by part and k within range partitions.
+def part_roll_up(nodes: DataFrame, ordered: bool = False) -> DataFrame:
+    """part, k, block: the blocks of all parts; k is their natural order in a part.
 
     A section or subsection is its marker, a blank line and its content, if it has any; a part's text is its blocks in order
-    with blank lines between. It is never gathered in one row: write the rows as text, in order, to have it.
+    with blank lines between. It is never gathered in one row: with `ordered`, rows are sorted by part and k over range
+    partitions, to be written as text.
     """
     rows = nodes.filter("type IN ('section', 'subsection')")
     marker = F.concat(F.lit("["), F.upper("type"), F.lit(":"), "id", F.lit(":"), F.coalesce("title", F.lit("")), F.lit("]"))
     block = F.concat_ws("\n\n", marker, F.when((F.col("content") != "") & (F.col("type") == "subsection"), F.col("content")))
-    return rows.select("part", natural_key(F.col("id")).alias("k"), block.alias("block")).repartitionByRange("part", "k").sortWithinPartitions("part", "k")
+    rows = rows.select("part", natural_key(F.col("id")).alias("k"), block.alias("block"))
+    return rows.repartitionByRange("part", "k").sortWithinPartitions("part", "k") if ordered else rows
 
 
 def clause_roll_up(nodes: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from folioflow.operators import quality as V
 from folioflow.operators import relational as R
 from folioflow.operators import tree as H
 from folioflow.sources.relations import ARTICLES_SQL
-from folioflow.plans.catalog import B, DOC_LINES, LINE_TYPE_SQL, M, add, art, doc_lines
+from folioflow.plans.catalog import B, DOC_LINES, LINE_TYPE_SQL, M, add, art, doc_lines, mart
 
 # ---- ordered rows
 _DOWN = "last_value(CASE WHEN trim(cell) <> '' THEN cell END IGNORE NULLS) OVER (PARTITION BY table_id, col ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -169,6 +169,18 @@ _RULES_SQL = """, c AS (SELECT doc AS id, content FROM art), f AS (
   SELECT id, 'ERROR', 'ESCAPED_PAREN' FROM c WHERE contains(content, chr(92) || '(x'))"""
 _found = lambda s, d: V.findings(art(s, d).select(F.col("doc").alias("id"), "content"))
 add("V02_findings", _found, _RULES_SQL + " SELECT id, level, rule FROM f", "art")
+_MARKED_RULES = [
+    ("RAW_MARKDOWN_HEADING", "ERROR", "len([x FOR x IN l IF regexp_matches(x, '^#{2,4}\\s+') AND NOT regexp_matches(x, '^#{2,4}\\s+Table\\s+[0-9]')]) > 0"),
+    ("RAW_ITALIC", "WARN", "len([x FOR x IN l IF starts_with(x, '*Italic') OR starts_with(x, '*Forming')]) > 0 AND len([x FOR x IN l IF starts_with(x, '**')]) = 0"),
+    ("FLAT_TABLE", "ERROR", "contains(content, 'C.A. Number') AND NOT contains(content, '<table>')"),
+    ("FLAT_HI_TABLE", "WARN", "contains(content, 'Small Medium ') AND NOT contains(content, '<table>')"),
+    ("TABLE_MISMATCH", "WARN", "len(regexp_extract_all(content, 'Table 9\\.[0-9]+\\.[0-9]+-[A-C]')) > 2 + len(string_split(content, '<table')) - 1"),
+    ("DASH_SEE_NOTE", "ERROR", "len([x FOR x IN l IF starts_with(x, '- (See Note')]) > 0"),
+    ("ORPHAN_DASH_LINE", "WARN", "len([x FOR x IN l IF starts_with(x, '- ') AND NOT regexp_matches(x[3], '[(A-Za-z]')]) > 0"),
+    ("INLINE_BOLD", "ERROR", "contains(content, 'but see (**')"),
+]
+add("V02_marked_findings", lambda s, d: V.findings(mart(s, d).select(F.col("doc").alias("id"), "content")).filter(F.col("rule").isin([r for r, _, _ in _MARKED_RULES])),
+    ", c AS (SELECT doc AS id, content, string_split(content, chr(10)) AS l FROM mart) " + " UNION ALL ".join(f"SELECT id, '{level}' AS level, '{rule}' AS rule FROM c WHERE {test}" for rule, level, test in _MARKED_RULES), "mart")
 add("V21_summary", lambda s, d: V.summary(_found(s, d)), _RULES_SQL + " SELECT rule, level, count(*) AS n, count(DISTINCT id) AS ids FROM f GROUP BY rule, level", "art")
 _SQL["O04_most_issues"] = f"WITH art AS ({ARTICLES_SQL}) {_RULES_SQL} SELECT id, count(*) AS n FROM f GROUP BY id ORDER BY n DESC, id LIMIT 30"
 add("V22_passes", lambda s, d: V.passes(_found(s, d)), _RULES_SQL + " SELECT id, bool_and(level <> 'ERROR') AS passes FROM f GROUP BY id", "art")

@@ -48,26 +48,37 @@ SELECT concat('Table ', CAST(p_partkey % 9 + 1 AS STRING), '.', CAST(p_partkey %
 FROM part
 """
 
-#: code lines (doc, page, line, text): an article's heading and its clauses, with every kind of line and of blemish
-LINES = """
-WITH heads AS (
-  SELECT o_orderkey AS doc, concat(CAST(o_custkey % 9 + 1 AS STRING), '.', CAST(o_custkey % 7 + 1 AS STRING), '.', CAST(o_custkey % 11 + 1 AS STRING)) AS u,
-    CAST(o_orderkey % 23 + 1 AS STRING) AS a, o_orderpriority AS p FROM orders),
-items AS (
-  SELECT l_orderkey AS doc, l_partkey, l_suppkey, l_quantity, l_returnflag,
-    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n
-  FROM lineitem)
-SELECT doc, doc % 900 + 1 AS page, CAST(0 AS BIGINT) AS line, concat(u,
-    CASE doc % 8 WHEN 0 THEN concat('.', a, 'A. ') WHEN 1 THEN 'A. ' WHEN 2 THEN '. ' WHEN 3 THEN '. 0A. ' WHEN 4 THEN concat('A.', a, '. ') ELSE concat('.', a, '. ') END,
-    CASE WHEN doc % 13 = 0 THEN 'lower case title' ELSE concat('Rules of ', p) END) AS text FROM heads
-UNION ALL SELECT doc, doc % 900 + 1 + CAST(n > 4 AS INT), n * 3, concat('(', CAST(n + CAST(l_partkey % 29 = 0 AS INT) AS STRING), ') The work ', l_returnflag, ' conforms to ',
+# The lines of an item: where each stands, when it is there, and its text.
+_ITEM_LINES = [
+    ("n * 3", None, """concat('(', CAST(n + CAST(l_partkey % 29 = 0 AS INT) AS STRING), ') The work ', l_returnflag, ' conforms to ',
     CASE l_partkey % 7 WHEN 0 THEN concat('Table 9.', CAST(l_suppkey % 30 + 1 AS STRING), '.3.', CAST(n AS STRING), '.') WHEN 1 THEN concat('Article 9.', CAST(l_suppkey % 30 + 1 AS STRING), '.2.', CAST(n AS STRING), 'A')
       WHEN 2 THEN 'Sentence (2) and Clause (3)' WHEN 3 THEN concat('Section 9.', CAST(l_suppkey % 30 + 1 AS STRING)) WHEN 4 THEN concat('Subsection 9.', CAST(l_suppkey % 30 + 1 AS STRING), '.4A')
       WHEN 5 THEN concat('[the rule](#page-12-3) and ', chr(92), '(x', chr(92), ')') ELSE 'the *old* rule and m<sup>2</sup>' END,
-    CASE WHEN l_suppkey % 9 = 0 THEN '' WHEN l_suppkey % 9 = 1 THEN ' and' ELSE '.' END) FROM items
-UNION ALL SELECT doc, doc % 900 + 1 + CAST(n > 4 AS INT), n * 3 + 1, CASE l_partkey % 8 WHEN 0 THEN '(a) first case,' WHEN 1 THEN '(iv) fourth case' WHEN 2 THEN '**Bold heading**' WHEN 3 THEN '2012 Building Code'
-      WHEN 4 THEN '17' WHEN 5 THEN '(See Note A-9.1.)' WHEN 6 THEN '| A | B | C |' ELSE 'more of the same text' END FROM items WHERE CAST(l_quantity AS INT) % 2 = 0
-UNION ALL SELECT doc, doc % 900 + 1 + CAST(n > 4 AS INT), n * 3 + 2, CASE WHEN l_partkey % 3 = 0 THEN 'Notes to Table 9.1.1.1.' ELSE '- (1.2) note item' END FROM items WHERE CAST(l_quantity AS INT) % 10 = 1
+    CASE WHEN l_suppkey % 9 = 0 THEN '' WHEN l_suppkey % 9 = 1 THEN ' and' ELSE '.' END)"""),
+    ("n * 3 + 1", "CAST(l_quantity AS INT) % 2 = 0", """CASE l_partkey % 8 WHEN 0 THEN '(a) first case,' WHEN 1 THEN '(iv) fourth case' WHEN 2 THEN '**Bold heading**' WHEN 3 THEN '2012 Building Code'
+      WHEN 4 THEN '17' WHEN 5 THEN '(See Note A-9.1.)' WHEN 6 THEN '| A | B | C |' ELSE 'more of the same text' END"""),
+    ("n * 3 + 2", "CAST(l_quantity AS INT) % 10 = 1", "CASE WHEN l_partkey % 3 = 0 THEN 'Notes to Table 9.1.1.1.' ELSE '- (1.2) note item' END"),
+]
+_HEADS = """SELECT o_orderkey AS doc, o_orderkey % 900 + 1 AS page, CAST(0 AS BIGINT) AS line, concat(CAST(o_custkey % 9 + 1 AS STRING), '.', CAST(o_custkey % 7 + 1 AS STRING), '.', CAST(o_custkey % 11 + 1 AS STRING),
+    CASE o_orderkey % 8 WHEN 0 THEN concat('.', CAST(o_orderkey % 23 + 1 AS STRING), 'A. ') WHEN 1 THEN 'A. ' WHEN 2 THEN '. ' WHEN 3 THEN '. 0A. ' WHEN 4 THEN concat('A.', CAST(o_orderkey % 23 + 1 AS STRING), '. ') ELSE concat('.', CAST(o_orderkey % 23 + 1 AS STRING), '. ') END,
+    CASE WHEN o_orderkey % 13 = 0 THEN 'lower case title' ELSE concat('Rules of ', o_orderpriority) END) AS text FROM orders"""
+_ITEMS = """SELECT l_orderkey AS doc, l_partkey, l_suppkey, l_quantity, l_returnflag,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n
+  FROM lineitem"""
+_ITEM_PAGE = "doc % 900 + 1 + CAST(n > 4 AS INT)"
+
+#: code lines (doc, page, line, text): an article's heading and its clauses, with every kind of line and of blemish
+LINES = f"""
+WITH items AS ({_ITEMS})
+{_HEADS}
+{" ".join(f"UNION ALL SELECT doc, {_ITEM_PAGE}, {at}, {text} FROM items{f' WHERE {when}' if when else ''}" for at, when, text in _ITEM_LINES)}
+"""
+
+#: the same as Spark reads it: items are scanned and numbered once, and each is exploded into its lines
+_LINES_IN_ONE_PASS = f"""
+WITH items AS ({_ITEMS})
+{_HEADS}
+UNION ALL SELECT doc, page, at, text FROM (SELECT doc, {_ITEM_PAGE} AS page, inline(filter(array({", ".join(f"named_struct('at', CAST({at} AS BIGINT), 'text', CASE WHEN {when or 'true'} THEN {text} END)" for at, when, text in _ITEM_LINES)}), x -> x.text IS NOT NULL)) AS (at, text) FROM items)
 """
 
 #: cross references of the model: (source_id, target_id, target_type)
@@ -128,6 +139,8 @@ FORMS = [
     "Table 9.6.6.1. Sizes\nForming Part of Sentence 9.6.6.1.(1)\n38 / 89\nWidth of posts\n\nNot a row\n(3) The clause ends it",
     "<table><tr><td>{n}</td></tr></table>\nwhere\nh = height of {n}\n(A) capital",
     "h = 3 + {n}\nThe snow load on a Wall (See Note A-9.{k}.) is 4 m² at 5 °C",
+    "*Italic line of the rule*\nC.A. Number {n} Division B Compliance\nSmall Medium {n} rooms",
+    "Table 9.{k}.7-A, Table 9.{k}.8-B and Table 9.{k}.9-C but see (**{n})** of them",
 ]
 
 
@@ -155,6 +168,8 @@ SELECT o_orderkey AS doc, o_orderkey % 900 + 1 AS page, CAST(0 AS BIGINT) AS lin
 UNION ALL SELECT doc, doc % 900 + 1, n, CASE l_partkey % {len(FORMS)} {" ".join(f"WHEN {i} THEN {_form(x)}" for i, x in enumerate(FORMS))} END FROM items
 """
 
+#: Relations that Spark makes by a statement of its own.
+IN_SPARK = {"lines": _LINES_IN_ONE_PASS}
 MODEL = {"marked": MARKED, "nodes": NODES, "tables": TABLES, "lines": LINES, "refs": REFS, "cells": CELLS}
 
 
@@ -164,7 +179,7 @@ def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def model(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A relation of the document model; base tables are seen by this statement alone."""
-    text = MODEL[name]
+    text = IN_SPARK.get(name) or MODEL[name]
     tables = {t: base(spark, sf_dir, t) for t in BASE if f" {t} " in text.replace("\n", " ").replace(")", " ").replace(",", " ") + " "}
     for t, df in tables.items():
         df.createOrReplaceTempView(f"_ff_{t}")

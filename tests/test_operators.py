@@ -135,7 +135,7 @@ def test_tree(spark):
     nodes = spark.createDataFrame(rows, "id string, type string, part int, parent_id string, title string, content string, page int, seq bigint")
     assert values(tree.breadcrumbs(nodes), "id", "path")[-1] == ("1.2.9", "1/1.2/1.2.9")
     assert values(tree.subtree(nodes, "1.2"), "id", "depth") == [("1.2", 0), ("1.2.10", 1), ("1.2.9", 1)]
-    assert [r.block for r in tree.part_roll_up(nodes).collect()] == ["[SECTION:1.2:S]", "[SUBSECTION:1.2.9:T]\n\nx", "[SUBSECTION:1.2.10:U]"]
+    assert [r.block for r in tree.part_roll_up(nodes, ordered=True).collect()] == ["[SECTION:1.2:S]", "[SUBSECTION:1.2.9:T]\n\nx", "[SUBSECTION:1.2.10:U]"]
     assert values(tree.printed(nodes), "line") == [("    1.2.10 [subsection] U",), ("    1.2.9 [subsection] T",), ("  1.2 [section] S",), ("1 [part] P",)]
     assert values(tree.breadcrumbs_by_parent(nodes), "id", "path", "depth") == values(tree.breadcrumbs(nodes), "id", "path", "depth")
     assert tree.node_by_id(nodes, "x").count() == 0
