@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.common import stored
 
+#: Edges that a task handles at least: rounds on few edges are not spread over all partitions.
+TASK_ROWS = 100_000
+
 
 def _sum(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -23,14 +26,16 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(edges, "edges")
     before = _sum(edges)
     while before[0]:
+        tasks = -(-2 * before[0] // TASK_ROWS)  # no table of a round has more than both directions of the edges
+        kept = lambda df, name, n=tasks: stored(df.coalesce(n), name)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "large-min")
+        least = kept(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "large-min")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = stored(large, "large-star")
-        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "small-min")
+        large = kept(large, "large-star")
+        least = kept(large.groupBy("u").agg(F.min("v").alias("m")), "small-min")
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        edges = stored(small.filter("u <> v").distinct(), "small-star")
+        edges = kept(small.filter("u <> v").distinct(), "small-star")
         after = _sum(edges)
         if after == before:
             break
