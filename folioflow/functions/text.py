@@ -35,6 +35,12 @@ REFERENCES = {
 LEVELS = [(r"^#+\s*{P}\.\d+\.\d+[A-Z]?\.\d+", "####"), (r"^#+\s*{P}\.\d+\.\d+[A-Z]?\.(?!\d)", "###"), (r"^#+\s*(?:Section\s+)?{P}\.\d+\.(?!\d)", "##")]
 ARTICLE_HEADING = r"^#{1,4}\s*({P}\.\d+\.\d+[A-Z]?\.\d+[A-Z]?)\.\s*(.+)$"
 ARTICLE_TITLE_GONE = [r"\*{1,2}", r"\s*\(See Note[^)]+\)", r"\s*\*{0,2}[er]\d+\*{0,2}$"]
+# Page numbers, headers and footers; the mark of a division; an id alone on a line before it.
+PAGE_RULES = [r"(?m)^\d+\s*$", r"(?m)^\d{4}\s+Building Code.*$", r"(?m)^Division [ABC]\s*[-–?]\s*Part\s*\d+.*$", r"(?m)^Part 9\s*$", r"(?m)^\d+\s+Division [ABC].*Part\s*\d+.*$"]
+DIVISION, RUNNING_ID = r"Division [ABC]\s*[-–]\s*Part", r"(?m)^9\.\d+\.\d+\.\d+[A-Z]?\.\s*$"
+# A section's heading at the end of a content; a line with the code of an objective.
+SECTION_TAIL = r"\s*Section\s+9\.\d+\.?\s+[A-Z].*$"
+OBJECTIVE = r"^#{2,4}\s+\*?\*?([A-Z]{2,3}\d*)\s+(.+?)\*?\*?\s*$"
 # Superscript characters.
 SUPERSCRIPT = ("0123456789+-", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻")
 # Signs of an equation, whatever their case.
@@ -244,3 +250,27 @@ def fixed(text: Column) -> Column:
     for f in (links_unwrapped, parens_unescaped, see_notes_joined, superscripts, emphasis_removed, newlines_collapsed):
         text = f(text)
     return text
+
+
+def page_cleaned(text: Column) -> Column:
+    """A page without its number, headers and footers, and without ids alone on a line before the mark of a division."""
+    for rule in PAGE_RULES:
+        text = F.regexp_replace(text, rule, "")
+
+    def split(t: Column) -> Column:
+        at, mark = F.regexp_instr(t, F.lit(DIVISION)), F.regexp_extract(t, DIVISION, 0)
+        before = F.regexp_replace(F.substring(t, F.lit(1), at - 1), RUNNING_ID, "")
+        return F.when(at > 0, F.concat(before, F.substring(t, at + F.length(mark), F.length(t)))).otherwise(t)
+
+    return F.regexp_replace(F.regexp_replace(bound(text, split), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+
+
+def section_tail_trimmed(text: Column) -> Column:
+    """A content without the heading of the next section in its last line."""
+    return F.regexp_replace(text, SECTION_TAIL, "")
+
+
+def objective_line(line: Column) -> Column:
+    """A heading with an objective's code as a bold line after a blank one; other lines as they are."""
+    code, title = F.regexp_extract(line, OBJECTIVE, 1), F.regexp_replace(F.trim(F.regexp_extract(line, OBJECTIVE, 2)), r"\*+$", "")
+    return F.when(line.rlike(OBJECTIVE), F.concat(F.lit("\n**"), code, F.lit(" "), title, F.lit("**"))).otherwise(line)

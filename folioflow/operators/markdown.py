@@ -260,3 +260,39 @@ def repeated_tables_dropped(lines: DataFrame) -> DataFrame:
     rows = lines.join(again, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("at") == F.col("_at")), "left").select(*lines.columns, "_again")
     opens = F.when(text.rlike(BLOCK_TABLE) | text.rlike(BLOCK_ARTICLE), F.coalesce("_again", F.lit(False)))
     return last_seen(rows, "doc", "block", ["at"], {"_drop": opens}).filter(~F.coalesce("_drop", F.lit(False))).drop("_again", "_drop")
+
+
+# What begins a sentence and a clause.
+SENTENCE, CLAUSE = r"^\((\d+)\)\s+(.+)$", r"^\(([a-z])\)\s+(.+)$"
+
+
+def sentences(lines: DataFrame) -> DataFrame:
+    """Doc, place, number, letter, text: the sentences (1), (2) ... of lines and their clauses (a), (b) ... (letter not null).
+
+    A line that begins neither goes on with the clause or sentence before it; blank lines, and what comes before the first
+    sentence, are left out. place orders the rows of a doc.
+    """
+    line = F.trim("text")
+    rows = lines.withColumn("text", line).filter("text <> ''")
+    opened = {"_s": F.when(F.col("text").rlike(SENTENCE), F.struct("at", F.regexp_extract("text", SENTENCE, 1).alias("mark"))), "_c": F.when(F.col("text").rlike(CLAUSE), F.struct("at", F.regexp_extract("text", CLAUSE, 1).alias("mark")))}
+    rows = last_seen(rows, "doc", "block", ["at"], opened).filter("_s IS NOT NULL")
+    inside = F.coalesce(F.col("_c.at") > F.col("_s.at"), F.lit(False))
+    rows = rows.withColumn("place", F.when(inside, F.col("_c.at")).otherwise(F.col("_s.at"))).withColumn("letter", F.when(inside, F.col("_c.mark")))
+    first = F.col("at") == F.col("place")
+    own = F.when(first & F.col("letter").isNull(), F.regexp_extract("text", SENTENCE, 2)).when(first, F.regexp_extract("text", CLAUSE, 2)).otherwise(F.col("text"))
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", own.alias("t")))), lambda x: x["t"]), " ")
+    return rows.groupBy("doc", "place").agg(F.first("_s.mark").cast("decimal(38,0)").cast("long").alias("number"), F.first("letter").alias("letter"), texts.alias("text"))
+
+
+def sliced(text: Column, id_: Column, next_id: Column) -> Column:
+    """The part of a text from an id up to the next one at a line's begin (or after wide space); '' where the id isn't there.
+
+    The id stands at a line's end, or else before white space; the next one is looked for from ten characters on.
+    """
+    quoted = lambda x: F.concat(F.lit("\\Q"), x, F.lit("\\E\\."))
+    alone, before = F.regexp_instr(text, F.concat(quoted(id_), F.lit(r"\s*\n"))), F.regexp_instr(text, F.concat(quoted(id_), F.lit(r"\s+")))
+    at = F.when(alone > 0, alone).otherwise(before)
+    rest = F.substring(text, at + 10, F.length(text))
+    stop = F.when(next_id.isNotNull(), F.regexp_instr(rest, F.concat(F.lit(r"(?:\n|\s{2,})"), quoted(next_id), F.lit(r"\s+")))).otherwise(F.lit(0))
+    part = F.when(stop > 0, F.substring(text, at, stop + 9)).otherwise(F.substring(text, at, F.length(text)))
+    return F.when(at > 0, F.regexp_replace(part, r"^\s+|\s+$", "")).otherwise(F.when(text.isNotNull(), F.lit("")))

@@ -158,3 +158,25 @@ def left_over(rows: DataFrame) -> DataFrame:
 def left_over_markup(rows: DataFrame, part: str = r"\d+") -> DataFrame:
     """id, issue for each kind of markup that a text still has."""
     return _issues(rows, [(name, F.col("content").rlike(pattern.replace("{P}", part))) for name, pattern in MARKUP_LEFT])
+
+
+def report(rows: DataFrame) -> DataFrame:
+    """Issues (how many), id, text: the report's block of each row (id, title, page, content, issues).
+
+    The report lists rows with most issues first, those with equally many by id; write it sorted so.
+    """
+    text = F.concat(F.col("id").cast("string"), F.lit("\n  Title: "), F.coalesce("title", F.lit("")), F.lit("\n  Page: "), F.coalesce(F.col("page").cast("string"), F.lit("")), F.lit("\n  Content Length: "), F.length(F.coalesce("content", F.lit(""))).cast("string"), F.lit("\n  Issues: "), F.array_join("issues", ", "), F.lit("\n\n"))
+    return rows.select(F.size("issues").alias("issues"), "id", text.alias("text"))
+
+
+def unexpected(sections: DataFrame, expected: DataFrame, tables: DataFrame, least: int = 100, least_html: int = 50) -> DataFrame:
+    """Id, issue of sections (id, title, content, articles) against expected (id, title, min_articles, tables).
+
+    A title that doesn't hold the expected one, little content, too few articles, a table that isn't there or has little html.
+    """
+    rows = expected.select("id", F.col("title").alias("_title"), "min_articles", F.col("tables").alias("_tables")).join(sections, "id")
+    own = _issues(rows, [("TITLE", ~F.contains(F.lower(F.coalesce("title", F.lit(""))), F.lower("_title"))), ("CONTENT", F.length(F.coalesce("content", F.lit(""))) < least), ("ARTICLES", F.col("articles") < F.col("min_articles"))])
+    wanted = expected.join(sections.select("id"), "id", "left_semi").select("id", F.explode("tables").alias("table"))
+    found = wanted.join(tables.select(F.col("id").alias("table"), F.lit(True).alias("there"), F.length(F.coalesce("html", F.lit(""))).alias("n")), "table", "left")
+    issue = F.when(F.col("there").isNull(), F.concat(F.lit("NO_TABLE "), "table")).when(F.col("n") < least_html, F.concat(F.lit("LITTLE_HTML "), "table"))
+    return own.unionByName(found.select("id", issue.alias("issue")).filter("issue IS NOT NULL"))

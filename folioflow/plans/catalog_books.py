@@ -12,13 +12,15 @@ from folioflow.functions import text as X
 from folioflow.operators import annotate as A
 from folioflow.operators import grids as G
 from folioflow.operators import markdown as D
+from folioflow.operators import quality as V
 from folioflow.operators import relational as R
 from folioflow.operators import search as K
 from folioflow.operators import similarity as S
 from folioflow.operators import tree as H
-from folioflow.plans.catalog import DOCS, LINE_TYPE_SQL, B, M, add, docs, mart
+from folioflow.plans.catalog import DOCS, LINE_TYPE_SQL, B, M, add, art, docs, mart
 from folioflow.plans.catalog_grids import _of
 from folioflow.sources.chunks import convert_pages
+from folioflow.sources.relations import ARTICLES_SQL
 from folioflow.sources.shared import fresh_folder
 
 
@@ -225,3 +227,59 @@ def _converted(s: SparkSession, d: str) -> DataFrame:
 
 
 add("S17_chunks", _converted, "SELECT page_id // 100 AS chunk, page_id AS page, sha256(regexp_replace(coalesce(html, ''), '<[^>]*>', '', 'g')) AS sha FROM pages")
+
+# ---- sentences, slices, pages, reports
+add("T11_sentences", lambda s, d: D.sentences(_marked_lines(s, d)).select("doc", "number", "letter", "text"),
+    rf"""{_L}, t AS (SELECT doc, i, trim(x) AS x FROM l WHERE trim(x) <> ''), k AS (SELECT *, regexp_matches(x, '^\([0-9]+\)\s+.') AS s, regexp_matches(x, '^\([a-z]\)\s+.') AS c FROM t),
+  g AS (SELECT *, count(*) FILTER (s) OVER w AS gs, count(*) FILTER (s OR c) OVER w AS g FROM k WINDOW w AS (PARTITION BY doc ORDER BY i)),
+  f AS (SELECT doc, g, gs, arg_min(x, i) AS head, string_agg(CASE WHEN s OR c THEN regexp_replace(x, '^\([0-9a-z]+\)\s+', '') ELSE x END, ' ' ORDER BY i) AS text FROM g WHERE gs > 0 GROUP BY doc, g, gs),
+  n AS (SELECT *, regexp_extract(head, '^\(([0-9]+)\)', 1) AS num, regexp_extract(head, '^\(([a-z])\)', 1) AS let FROM f)
+  SELECT doc, CAST(first_value(num) OVER (PARTITION BY doc, gs ORDER BY g) AS BIGINT) AS number, nullif(let, '') AS letter, text FROM n""", "mart")
+_SUBS = lambda s, d: M(s, d, "nodes").filter("type = 'subsection'")
+
+
+def _slices(s: SparkSession, d: str) -> DataFrame:
+    """Each subsection cut out of its section's text by its own and the next one's id."""
+    line = F.concat("id", F.lit(". "), "title", F.when(F.col("content") != "", F.concat(F.lit("\n"), "content")).otherwise(""))
+    whole = _SUBS(s, d).groupBy(F.col("parent_id").alias("_p")).agg(H.joined(F.collect_list(F.struct("seq", line.alias("text"))), "\n").alias("whole"))
+    ids = _SUBS(s, d).select("id", "parent_id").join(H.next_sibling(M(s, d, "nodes")), "id")
+    return ids.join(whole, F.col("parent_id") == F.col("_p")).select("id", D.sliced(F.col("whole"), F.col("id"), F.col("next_id")).alias("part"))
+
+
+add("T14_slices", _slices, "SELECT id, concat(id, '. ', title, CASE WHEN content <> '' THEN chr(10) || content ELSE '' END) AS part FROM nodes WHERE type = 'subsection'", "nodes")
+_PAGE = lambda: F.concat(F.lit("9."), (F.col("doc") % 30).cast("string"), F.lit(".1.2.\nDivision B - Part 9 of it\n12\n"), F.when(F.col("doc") % 2 == 0, F.lit("of Division B – Part 9\n9.1.1.1.\n")).otherwise(""), "content", F.lit("\n20 Division B ? Part 9\n\n\nPart 9\nend"))
+add("N01_pages_cleaned", lambda s, d: art(s, d).select("doc", F.sha2(X.page_cleaned(_PAGE()), 256).alias("sha")),
+    r""", p AS (SELECT doc, concat('9.', doc % 30, '.1.2.', chr(10), chr(10), CASE WHEN doc % 2 = 0 THEN 'of Division B – Part 9' || chr(10) || '9.1.1.1.' || chr(10) ELSE '' END, content, chr(10), chr(10), chr(10), chr(10), 'end') AS t FROM art),
+    q AS (SELECT doc, array_to_string([CASE WHEN regexp_matches(x, '^([0-9]+\s*|[0-9]{4}\s+Building Code.*)$') THEN '' ELSE x END FOR x IN string_split(t, chr(10))], chr(10)) AS t FROM p),
+    r AS (SELECT doc, CASE WHEN doc % 2 = 0 THEN replace(replace(t, 'of Division B – Part', 'of '), concat('9.', doc % 30, '.1.2.', chr(10)), chr(10)) ELSE t END AS t FROM q)
+    SELECT doc, sha256(trim(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), chr(10) || ' ')) AS sha FROM r""", "art")
+add("N30_section_tails", lambda s, d: mart(s, d).select("doc", F.concat("content", F.lit(" Section 9."), (F.col("doc") % 40).cast("string"), F.lit(". Stairs of (1) x")).alias("c"), "content").select("doc", X.section_tail_trimmed(F.col("c")).alias("x"), "content").select("doc", (F.length("content") - F.length("x")).alias("cut"), F.sha2("x", 256).alias("sha")),
+    r", x AS (SELECT doc, content, rtrim(regexp_replace(content, '\s*Section\s+9\.[0-9]+\.?\s+[A-Z][^\n]*$', ''), chr(10) || ' ' || chr(9)) AS x FROM mart) SELECT doc, CAST(length(content) - length(x) AS INT) AS cut, sha256(x) AS sha FROM x", "mart")
+add("S27_report", lambda s, d: V.report(V.screened(_titled(s, d)).join(_titled(s, d), "id")).select("issues", "id", F.sha2("text", 256).alias("sha")),
+    f"""SELECT CAST(len(string_split(i.issues, ',')) AS INT) AS issues, i.id, sha256(concat(i.id, chr(10), '  Title: ', coalesce(o_orderpriority, ''), chr(10), '  Page: ', a.page, chr(10), '  Content Length: ', length(a.content), chr(10), '  Issues: ', replace(i.issues, ',', ', '), chr(10), chr(10))) AS sha
+    FROM {_of('V23_screened_articles')} i JOIN ({ARTICLES_SQL}) a ON a.doc = i.id JOIN orders ON o_orderkey = i.id""")
+
+
+def _titled(s: SparkSession, d: str) -> DataFrame:
+    titles = B(s, d, "orders").select(F.col("o_orderkey").alias("_k"), F.col("o_orderpriority").alias("title"))
+    return art(s, d).join(titles, F.col("doc") == F.col("_k")).select(F.col("doc").alias("id"), "title", "page", "content")
+
+
+def _expected(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("seq")
+    number = lambda n: (k % n + 1).cast("string")
+    table = F.concat(F.lit("Table "), number(9), F.lit("."), number(13), F.lit("."), number(17), F.lit("."), k.cast("string"), F.when(k % 5 == 0, ".-A").when(k % 5 == 1, "B").otherwise(""))
+    return _SUBS(s, d).select("id", F.when(k % 10 == 0, "Builder").otherwise("CUSTOMER").alias("title"), (k % 15).alias("min_articles"), F.array(table).alias("tables"))
+
+
+def _sections(s: SparkSession, d: str) -> DataFrame:
+    n = M(s, d, "nodes").filter("type = 'article'").groupBy(F.col("parent_id").alias("_p")).agg(F.count("*").alias("n"))
+    return _SUBS(s, d).join(n, F.col("id") == F.col("_p"), "left").select("id", "title", "content", F.coalesce("n", F.lit(0)).alias("articles"))
+
+
+add("V30_unexpected", lambda s, d: V.unexpected(_sections(s, d), _expected(s, d), M(s, d, "tables"), 12),
+    """, n AS (SELECT parent_id, count(*) AS n FROM nodes WHERE type = 'article' GROUP BY parent_id), u AS (SELECT id, seq AS k, content, coalesce(n, 0) AS n FROM nodes LEFT JOIN n ON n.parent_id = id WHERE type = 'subsection'),
+    t AS (SELECT u.id, CAST(regexp_extract(t.id, '^Table [0-9]+[.][0-9]+[.][0-9]+[.]([0-9]+)', 1) AS BIGINT) AS p, t.id AS tid, html, k FROM u LEFT JOIN tables t ON CAST(regexp_extract(t.id, '^Table [0-9]+[.][0-9]+[.][0-9]+[.]([0-9]+)', 1) AS BIGINT) = k)
+    SELECT id, 'TITLE' AS issue FROM u WHERE k % 10 = 0 UNION ALL SELECT id, 'CONTENT' FROM u WHERE length(coalesce(content, '')) < 12 UNION ALL SELECT id, 'ARTICLES' FROM u WHERE n < k % 15
+    UNION ALL SELECT id, 'LITTLE_HTML ' || tid FROM t WHERE length(coalesce(html, '')) < 50 AND tid IS NOT NULL
+    UNION ALL SELECT id, concat('NO_TABLE Table ', k % 9 + 1, '.', k % 13 + 1, '.', k % 17 + 1, '.', k, CASE k % 5 WHEN 0 THEN '.-A' WHEN 1 THEN 'B' ELSE '' END) FROM t WHERE tid IS NULL""", "nodes", "tables")

@@ -7,7 +7,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.operators import annotate, grids, markdown, ordered, relational, search, similarity, stemming, tree
+from folioflow.functions import text
+from folioflow.operators import annotate, grids, markdown, ordered, quality, relational, search, similarity, stemming, tree
 from folioflow.plans.catalog import B, M
 from folioflow.sources.chunks import convert_pages, done_chunks
 
@@ -275,3 +276,46 @@ def test_chunks_go_on_after_a_break(spark, tmp_path):
     assert not done & set().union(*seen)
     assert sorted((r.page, r.text) for r in out.filter("page IS NOT NULL").collect()) == [(i, f"p{i}") for i in range(95)] and out.count() == 96
     assert convert_pages(pages, path, convert, 10, 4).count() == 96 and len(calls) == 3
+
+
+def test_sentences(spark):
+    text = "lost\n(1) First\n goes on\n\n(a) one,\nmore\n  (b) two\n(2) Second\n(x) odd"
+    got = [(r.number, r.letter, r.text) for r in markdown.sentences(lines(spark, {"d": text, "e": "(a) no sentence", "n": None}, 2)).orderBy("place").collect()]
+    assert got == [(1, None, "First goes on"), (1, "a", "one, more"), (1, "b", "two"), (2, None, "Second"), (2, "x", "odd")]
+
+
+def test_slices(spark):
+    text = "see 9.1.2. above\n9.1.1. \n  body 9.1.2. inside\n9.1.2. Next"
+    rows = [(text, "9.1.1", "9.1.2"), (text, "9.1.2", None), (text, "9.9.9", "9.1.2"), (None, "9.1.1", None), ("9.1.1. a  9.1.2. b", "9.1.1", "9.1.2")]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string, a string, b string").coalesce(1).select(markdown.sliced(F.col("t"), F.col("a"), F.col("b"))).collect()]
+    assert got == ["9.1.1. \n  body 9.1.2. inside", text[4:], "", None, "9.1.1. a  9.1.2. b"]
+
+
+@pytest.mark.parametrize(
+    ("f", "given", "want"),
+    [
+        (text.page_cleaned, "12\n9.1.2.3.\nTitle Division B - Part 9\n9.1.2.4.\n2012 Building Code x\n\n\n\nend\nPart 9\n", "Title  9\n9.1.2.4.\n\nend"),
+        (text.page_cleaned, "Division B - Part 9\n9.1.2.3.\nno mark", "9.1.2.3.\nno mark"),
+        (text.section_tail_trimmed, "a.\nb. Section 9.8. Stairs, Ramps", "a.\nb."),
+        (text.section_tail_trimmed, "Section 9.8. Stairs\nb", "Section 9.8. Stairs\nb"),
+        (text.objective_line, "## **OS1 Fire Safety**", "\n**OS1 Fire Safety**"),
+        (text.objective_line, "## Other", "## Other"),
+    ],
+)
+def test_page_functions(spark, f, given, want):
+    got = spark.createDataFrame([(given,), (None,)], "t string").coalesce(1).select(f(F.col("t"))).collect()
+    assert [r[0] for r in got] == [want, None]
+
+
+def test_report(spark):
+    rows = spark.createDataFrame([("9.1.1.1", "Scope", 7, "abc", ["A", "B_1"]), ("9.1.1.2", None, None, None, ["C"])], "id string, title string, page int, content string, issues array<string>")
+    got = [r.text for r in quality.report(rows).orderBy(F.desc("issues"), "id").collect()]
+    assert got == ["9.1.1.1\n  Title: Scope\n  Page: 7\n  Content Length: 3\n  Issues: A, B_1\n\n", "9.1.1.2\n  Title: \n  Page: \n  Content Length: 0\n  Issues: C\n\n"]
+
+
+def test_unexpected(spark):
+    sections = spark.createDataFrame([("9.1", "General Rules", "x" * 100, 3), ("9.2", None, None, 0)], "id string, title string, content string, articles int")
+    expected = spark.createDataFrame([("9.1", "general", 3, ["Table 1", "Table 2", "Table 3"]), ("9.2", "Loads", 1, []), ("9.3", "None", 1, ["Table 9"])], "id string, title string, min_articles int, tables array<string>")
+    tables = spark.createDataFrame([("Table 1", "h" * 50), ("Table 2", None)], "id string, html string")
+    got = sorted(map(tuple, quality.unexpected(sections, expected, tables).collect()))
+    assert got == [("9.1", "LITTLE_HTML Table 2"), ("9.1", "NO_TABLE Table 3"), ("9.2", "ARTICLES"), ("9.2", "CONTENT"), ("9.2", "TITLE")]
