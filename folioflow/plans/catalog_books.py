@@ -19,6 +19,7 @@ from folioflow.operators import similarity as S
 from folioflow.operators import tree as H
 from folioflow.plans.catalog import DOCS, LINE_TYPE_SQL, B, M, add, art, docs, mart
 from folioflow.plans.catalog_grids import _of
+from folioflow.sources import files
 from folioflow.sources.chunks import convert_pages
 from folioflow.sources.relations import ARTICLES_SQL
 from folioflow.sources.shared import fresh_folder
@@ -283,3 +284,30 @@ add("V30_unexpected", lambda s, d: V.unexpected(_sections(s, d), _expected(s, d)
     SELECT id, 'TITLE' AS issue FROM u WHERE k % 10 = 0 UNION ALL SELECT id, 'CONTENT' FROM u WHERE length(coalesce(content, '')) < 12 UNION ALL SELECT id, 'ARTICLES' FROM u WHERE n < k % 15
     UNION ALL SELECT id, 'LITTLE_HTML ' || tid FROM t WHERE length(coalesce(html, '')) < 50 AND tid IS NOT NULL
     UNION ALL SELECT id, concat('NO_TABLE Table ', k % 9 + 1, '.', k % 13 + 1, '.', k % 17 + 1, '.', k, CASE k % 5 WHEN 0 THEN '.-A' WHEN 1 THEN 'B' ELSE '' END) FROM t WHERE tid IS NULL""", "nodes", "tables")
+
+
+# ---- sinks
+def _json_written(s: SparkSession, d: str) -> DataFrame:
+    path, rows = fresh_folder(s, "tables-json"), M(s, d, "tables")
+    files.write_json(rows, path)
+    return s.read.schema(rows.schema).json(path)
+
+
+def _parts_written(s: SparkSession, d: str) -> DataFrame:
+    """Nodes are stored by part, then one part anew without its articles and clauses."""
+    path, nodes = fresh_folder(s, "nodes"), M(s, d, "nodes")
+    files.write_parts(nodes, path)
+    files.write_parts(nodes.filter("part = 2 AND type IN ('part', 'section', 'subsection')"), path)
+    return s.read.parquet(path).groupBy("part", "type").agg(F.count("*").alias("n"), F.max("seq").alias("last"))
+
+
+add("S18_json_written", _json_written, "SELECT * FROM tables", "tables")
+add("S19_parts_written", _parts_written, "SELECT part, type, count(*) AS n, max(seq) AS last FROM nodes WHERE part <> 2 OR type IN ('part', 'section', 'subsection') GROUP BY part, type", "nodes")
+add("F02_stored_part", lambda s, d: _stored_part(s, d).select("id", "type", "title"), "SELECT id, type, title FROM nodes WHERE part = 3 AND type <> 'clause'", "nodes")
+
+
+def _stored_part(s: SparkSession, d: str) -> DataFrame:
+    """One part's rows of stored nodes: only that part's files are read."""
+    path = fresh_folder(s, "nodes")
+    files.write_parts(M(s, d, "nodes"), path)
+    return s.read.parquet(path).filter("part = 3 AND type <> 'clause'")

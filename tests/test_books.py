@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import text
 from folioflow.operators import annotate, grids, markdown, ordered, quality, relational, search, similarity, stemming, tree
+from folioflow.plans import registry
 from folioflow.plans.catalog import B, M
 from folioflow.sources.chunks import convert_pages, done_chunks
 
@@ -319,3 +320,8 @@ def test_unexpected(spark):
     tables = spark.createDataFrame([("Table 1", "h" * 50), ("Table 2", None)], "id string, html string")
     got = sorted(map(tuple, quality.unexpected(sections, expected, tables).collect()))
     assert got == [("9.1", "LITTLE_HTML Table 2"), ("9.1", "NO_TABLE Table 3"), ("9.2", "ARTICLES"), ("9.2", "CONTENT"), ("9.2", "TITLE")]
+
+
+def test_a_stored_part_is_read_alone(spark):
+    plan = registry.queries()["F02_stored_part"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*part#\d+ = 3", plan)
