@@ -182,7 +182,7 @@ add("H02_breadcrumb_by_parent", lambda s, d: H.breadcrumbs_by_parent(M(s, d, "no
 _BELOW = f"WITH RECURSIVE nodes AS MATERIALIZED ({MODEL['nodes']}), t AS (SELECT id, type, 0 AS depth FROM nodes WHERE id = '1.1' UNION ALL SELECT n.id, n.type, t.depth + 1 FROM nodes n JOIN t ON n.parent_id = t.id)"
 add("H03_subtree", lambda s, d: H.subtree_by_prefix(M(s, d, "nodes"), "1.1").select("id", "type"), f"{_BELOW} SELECT id, type FROM t")
 add("H04_depth_tagged", lambda s, d: H.subtree(M(s, d, "nodes"), "1.1"), f"{_BELOW} SELECT id, depth FROM t")
-add("H05_parent_from_id", lambda s, d: M(s, d, "nodes").filter("type <> 'clause'").select("id", H.prefix_parent(F.col("id")).alias("parent")), "SELECT id, CASE WHEN contains(id, '.') THEN regexp_replace(id, '[.][^.]*$', '') END AS parent FROM nodes WHERE type <> 'clause'", "nodes")
+add("H05_parent_from_id", lambda s, d: M(s, d, "nodes").select("id", H.prefix_parent(F.col("id")).alias("parent")), "SELECT id, CASE WHEN contains(id, '.') THEN regexp_replace(id, '[.][^.]*$', '') END AS parent FROM nodes", "nodes")
 add("H06_open_ancestor", lambda s, d: H.open_ancestors(M(s, d, "lines").withColumn("type", X.line_type(F.col("text")))).filter("type IS NOT NULL"),
     f", t AS MATERIALIZED (SELECT doc, page, line, text, {LINE_TYPE_SQL} AS type FROM lines), h AS MATERIALIZED (SELECT doc, text, type FROM t WHERE line = 0) SELECT t.doc, t.line, t.type, CASE WHEN t.line > 0 AND h.type IS NOT NULL THEN h.text END AS parent FROM t LEFT JOIN h ON t.doc = h.doc WHERE t.type IS NOT NULL", "lines")
 add("H07_child_sequence", lambda s, d: H.sequence_numbers(M(s, d, "nodes")), "SELECT id, parent_id, row_number() OVER (PARTITION BY coalesce(parent_id, '__root__') ORDER BY seq, id) AS seq FROM nodes", "nodes")
@@ -196,7 +196,7 @@ add("H14_clause_roll_up", lambda s, d: H.clause_roll_up(M(s, d, "nodes")), "SELE
 add("H14_conversation_roll_up", lambda s, d: B(s, d, "conversations").groupBy("conv_id").agg(F.sha2(H.joined(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", "text").alias("text"))), "\n"), 256).alias("sha")), "SELECT conv_id, sha256(string_agg(concat_ws(': ', role, text), chr(10) ORDER BY turn, concat_ws(': ', role, text))) AS sha FROM conversations GROUP BY conv_id")
 add("H15_node_walk", lambda s, d: V.findings(M(s, d, "nodes").filter("type IN ('section', 'subsection', 'article')").select("id", "content")).groupBy("rule").agg(F.count("*").alias("n")), "SELECT 'EMPTY' AS rule, count(*) AS n FROM nodes WHERE type IN ('section', 'subsection', 'article') AND coalesce(content, '') = ''", "nodes")
 add("H17_printed_tree", lambda s, d: H.printed(M(s, d, "nodes")), "SELECT id, repeat('  ', len(string_split(id, '.')) - 1) || id || ' [' || type || '] ' || CASE WHEN title <> '' THEN title WHEN content <> '' THEN left(content, 30) || '...' ELSE '' END AS line FROM nodes", "nodes")
-add("H18_prefix_hierarchy", lambda s, d: M(s, d, "nodes").filter("type <> 'clause'").groupBy(H.prefix_parent(F.col("id")).alias("parent")).agg(F.count("*").alias("n")), "SELECT CASE WHEN contains(id, '.') THEN regexp_replace(id, '[.][^.]*$', '') END AS parent, count(*) AS n FROM nodes WHERE type <> 'clause' GROUP BY 1", "nodes")
+add("H18_prefix_hierarchy", lambda s, d: M(s, d, "nodes").groupBy(H.prefix_parent(F.col("id")).alias("parent")).agg(F.count("*").alias("n")), "SELECT CASE WHEN contains(id, '.') THEN regexp_replace(id, '[.][^.]*$', '') END AS parent, count(*) AS n FROM nodes GROUP BY 1", "nodes")
 add("H19_section_response", lambda s, d: H.section_view(M(s, d, "nodes"), M(s, d, "tables")), "SELECT a.id, a.type, a.title, coalesce(k.n, 0) AS n_children, k.f AS first_child, coalesce(t.n, 0) AS n_tables, replace(a.id, '.', '/') AS breadcrumb FROM nodes a LEFT JOIN (SELECT parent_id, count(*) AS n, min(id) AS f FROM nodes GROUP BY parent_id) k ON k.parent_id = a.id LEFT JOIN (SELECT parent_id, count(*) AS n FROM tables GROUP BY parent_id) t ON t.parent_id = a.id WHERE a.type IN ('section', 'subsection')", "nodes", "tables")
 add("H20_next_sibling", lambda s, d: H.next_sibling(M(s, d, "nodes")), "SELECT id, lead(id) OVER (PARTITION BY parent_id ORDER BY seq) AS next_id FROM nodes WHERE type = 'subsection'", "nodes")
 
@@ -246,4 +246,4 @@ add("A18_blank_percent", lambda s, d: G.blank_percent(M(s, d, "cells")), "SELECT
 add("A19_fill_and_keywords", lambda s, d: M(s, d, "cells").groupBy("table_id").agg(F.count_if(F.trim(F.coalesce("cell", F.lit(""))) != "").alias("filled"), F.count("*").alias("n"), F.bool_or(F.coalesce(F.col("cell").contains("Item"), F.lit(False))).alias("keyword")), "SELECT table_id, CAST(sum(CASE WHEN trim(coalesce(cell, '')) <> '' THEN 1 ELSE 0 END) AS BIGINT) AS filled, count(*) AS n, bool_or(coalesce(contains(cell, 'Item'), false)) AS keyword FROM cells GROUP BY table_id", "cells")
 add("A20_highest_clause", lambda s, d: art(s, d).select("doc", F.coalesce(F.array_max(F.transform(F.regexp_extract_all("content", F.lit(r"(?m)^\((\d+)\)"), 1), lambda x: x.cast("int"))), F.lit(0)).alias("n")), "SELECT doc, CAST(max(CASE WHEN regexp_matches(text, '^[(][0-9]+[)]') THEN CAST(regexp_extract(text, '^[(]([0-9]+)[)]', 1) AS INT) ELSE 0 END) AS INT) AS n FROM lines GROUP BY doc", "lines")
 add("A21_status_summary", lambda s, d: V.rendered(B(s, d, "pages")).groupBy("status").agg(F.count("*").alias("n")), "SELECT CASE WHEN NOT regexp_matches(html, '(?i)<title>') OR length(html) < 500 THEN 'FAIL' WHEN NOT regexp_matches(html, '(?i)<h[12][ >]') THEN 'WARN' ELSE 'PASS' END AS status, count(*) AS n FROM pages GROUP BY 1")
-add("A22_changed_lines", lambda s, d: M(s, d, "lines").withColumn("new", X.emphasis_removed(X.links_unwrapped(F.col("text")))).filter("new <> text").groupBy("doc").agg(F.count("*").alias("changed"), F.min("new").alias("example")), "SELECT doc, count(*) AS changed, min(x) AS example FROM (SELECT doc, text, regexp_replace(regexp_replace(regexp_replace(text, '\\[([^\\]]+)\\]\\(#page-[0-9]+[^)]*\\)', '\\1', 'g'), '\\*\\*([^*\\n]+)\\*\\*', '\\1', 'g'), '\\*([^*\\n]+)\\*', '\\1', 'g') AS x FROM lines) WHERE x <> text GROUP BY doc", "lines")
+add("A22_changed_lines", lambda s, d: M(s, d, "lines").withColumn("new", X.emphasis_removed(X.links_unwrapped(F.col("text")))).filter("new <> text").groupBy("doc").agg(F.count("*").alias("changed"), F.array_join(F.slice(F.array_sort(F.collect_set("new")), 1, 10), "|").alias("examples")), "SELECT doc, count(*) AS changed, array_to_string(list_sort(list(DISTINCT x))[1:10], '|') AS examples FROM (SELECT doc, text, regexp_replace(regexp_replace(regexp_replace(text, '\\[([^\\]]+)\\]\\(#page-[0-9]+[^)]*\\)', '\\1', 'g'), '\\*\\*([^*\\n]+)\\*\\*', '\\1', 'g'), '\\*([^*\\n]+)\\*', '\\1', 'g') AS x FROM lines) WHERE x <> text GROUP BY doc", "lines")
