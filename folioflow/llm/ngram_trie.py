@@ -169,14 +169,14 @@ class Model:
     def word_shard(self, h: np.ndarray) -> np.ndarray:
         return ((h >> np.uint64(32)) * np.uint64(self.shards) >> np.uint64(32)).astype(np.int64)
 
-    def word_ids(self, h: np.ndarray) -> np.ndarray:
-        """Ids of word hashes, -1 for unknown ones."""
+    def word_ids(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the distinct word hashes, -1 for unknown ones, and which of them each entry of h is."""
         words, inverse = np.unique(h, return_inverse=True)
         level, out = self.levels[1], np.full(len(words), -1, np.int64)
         for f, q in level.split(level.slot[self.word_shard(words)]):
             got = shard(level.files[f]["uri"]).ids.find(words[q])
             out[q] = np.where(got >= 0, got + level.start[f], -1)
-        return out[inverse.ravel()]
+        return out, inverse.ravel()
 
     def word_counts(self, ids: np.ndarray) -> np.ndarray:
         level, out = self.levels[1], np.zeros(len(ids), np.int64)
@@ -196,11 +196,12 @@ class Model:
     def first_context(self, order: int, s: int) -> int:
         return s * max(1, -(-self.levels[order - 1].n // self.shards))
 
-    def find(self, order: int, context: np.ndarray, follower: np.ndarray) -> np.ndarray:
-        """Places in the level of (context, follower), -1 where it isn't there."""
-        level, out = self.levels[order], np.full(len(context), -1, np.int64)
+    def find(self, order: int, context: np.ndarray, follower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in the level of the distinct (context, follower), -1 where one isn't there, in the level's order; the
+        queries without an unknown word, and which of the distinct ones each of these is."""
+        level = self.levels[order]
         ok = np.flatnonzero((context >= 0) & (follower >= 0))
-        pairs, inverse = np.unique(context[ok] << 32 | follower[ok], return_inverse=True)  # each once, and in the level's order
+        pairs, inverse = np.unique(context[ok] << 32 | follower[ok], return_inverse=True)
         c, w = pairs >> 32, pairs & 0xFFFFFFFF
         found = np.full(len(pairs), -1, np.int64)
         for f, q in level.split(level.slot[self.context_shard(order, c)]):
@@ -208,18 +209,19 @@ class Model:
             local = (c[q] - self.first_context(order, level.files[f]["shard"])).astype(np.uint64)
             got = s.ids.find(local * s.arrays["bound"][0] + w[q].astype(np.uint64))
             found[q] = np.where((got >= 0) & (w[q] < s.arrays["bound"][0].astype(np.int64)), got + level.start[f], -1)
-        out[ok] = found[inverse.ravel()]
-        return out
+        return found, ok, inverse.ravel()
 
     def begins(self, order: int, context: np.ndarray) -> np.ndarray:
-        """Where the followers of contexts begin in the level; contexts must have followers."""
+        """Where the followers of contexts begin in the level; 0 for unknown contexts."""
         level, out = self.levels[order], np.zeros(len(context), np.int64)
-        for f, q in level.split(level.slot[self.context_shard(order, context)]):
+        ok = np.flatnonzero(context >= 0)
+        for f, q in level.split(level.slot[self.context_shard(order, context[ok])]):
             s = shard(level.files[f]["uri"])
-            out[q] = s.pointers[context[q] - self.first_context(order, level.files[f]["shard"])].astype(np.int64) + level.start[f]
+            out[ok[q]] = s.pointers[context[ok[q]] - self.first_context(order, level.files[f]["shard"])].astype(np.int64) + level.start[f]
         return out
 
     def log_probability(self, order: int, place: np.ndarray) -> np.ndarray:
+        """0 where there is no place."""
         level, out = self.levels[order], np.zeros(len(place))
         for f, q in level.split(level.of_place(place)):
             out[q] = shard(level.files[f]["uri"]).value("p", place[q] - level.start[f])
@@ -233,31 +235,39 @@ class Model:
             out[ok[q]] = shard(level.files[f]["uri"]).value("w", context[ok[q]] - self.first_context(order, level.files[f]["shard"]))
         return out
 
-    def log_bigram(self, b: np.ndarray, c: np.ndarray, place: np.ndarray, log_unigram: np.ndarray) -> np.ndarray:
-        out = self.log_weight(2, np.where(place >= 0, -1, b)) + log_unigram
-        has = np.flatnonzero(place >= 0)
-        out[has] = self.log_probability(2, place[has])
-        return out
-
-    def relative(self, ids: np.ndarray, place: np.ndarray, need: np.ndarray) -> np.ndarray:
-        """For the positions in need: the place of a bigram's last word among the followers of its first."""
-        out = np.full(len(ids), -1, np.int64)
-        out[need] = place[need] - self.begins(2, ids[need - 1])
-        return out
-
 
-def sequences(model: Model, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word ids of all texts, each between two end tokens; where each begins; which positions are scored."""
-    h, counts = word_hashes(*string_bytes(b.column("text")))
-    begin = np.concatenate([[0], np.cumsum(counts + 2)])
-    full = np.full(begin[-1], END, np.uint64)
-    real = np.ones(len(full), bool)
-    real[begin[:-1]] = False
-    real[begin[1:] - 1] = False
-    full[real] = h
-    scored = np.ones(len(full), bool)
-    scored[begin[:-1]] = False
-    return model.word_ids(full), begin, scored
+class Sequences:
+    """All texts of a batch, each between two end tokens.
+
+    words: ids of the distinct words; word: which of them stands at each position; begin: where each text begins; at: the
+    positions that are scored. What a word or a pair of words says is looked up once and dealt to its positions.
+    """
+
+    def __init__(self, model: Model, b: pa.RecordBatch):
+        h, counts = word_hashes(*string_bytes(b.column("text")))
+        self.model, self.begin = model, np.concatenate([[0], np.cumsum(counts + 2)])
+        full = np.full(self.begin[-1], END, np.uint64)
+        real = np.ones(len(full), bool)
+        real[self.begin[:-1]] = False
+        real[self.begin[1:] - 1] = False
+        full[real] = h
+        scored = np.ones(len(full), bool)
+        scored[self.begin[:-1]] = False
+        self.at = np.flatnonzero(scored)
+        self.words, self.word = model.word_ids(full)
+        self.ids = self.words[self.word]
+
+    def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The places in level 2 of the distinct bigrams, the positions that end one, and which one it is."""
+        found, ok, inverse = self.model.find(2, self.ids[self.at - 1], self.ids[self.at])
+        return found, self.at[ok], inverse
+
+    def trigrams(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The positions that end two bigrams with a place, the place of the first, and where the last word stands among the
+        followers of the second's first word."""
+        need = self.at[(place[self.at] >= 0) & (place[self.at - 1] >= 0)]
+        follow = self.model.begins(2, self.words)[self.word]
+        return need, place[need - 1], place[need] - follow[need - 1]
 
 
 def _level(level: int, order_shards: int, model: Model, min_count: int):
@@ -322,9 +332,8 @@ def train(df: DataFrame, folder: str, min_count: int = MIN_COUNT) -> Model:
         raise ValueError("word ids need more than 32 bits")
 
     def bigrams(b: pa.RecordBatch) -> np.ndarray:
-        ids, _, scored = sequences(model, b)
-        at = np.flatnonzero(scored)
-        return ids[at - 1].astype(np.uint64) << np.uint64(32) | ids[at].astype(np.uint64)
+        some = Sequences(model, b)
+        return some.ids[some.at - 1].astype(np.uint64) << np.uint64(32) | some.ids[some.at].astype(np.uint64)
 
     by_context = lambda order: lambda k: model.context_shard(order, (k >> np.uint64(32)).astype(np.int64))
     model.levels[2] = Level(_built(_counted(df, bigrams, by_context(2)), folder, 2, _level(2, model.shards, model, min_count)), model.shards)
@@ -332,12 +341,12 @@ def train(df: DataFrame, folder: str, min_count: int = MIN_COUNT) -> Model:
         raise ValueError("bigram places need more than 32 bits")
 
     def trigrams(b: pa.RecordBatch) -> np.ndarray:
-        ids, _, scored = sequences(model, b)
-        at = np.flatnonzero(scored)
-        place = np.full(len(ids), -1, np.int64)
-        place[at] = model.find(2, ids[at - 1], ids[at])
-        need = at[(place[at] >= 0) & (place[at - 1] >= 0)]
-        return place[need - 1].astype(np.uint64) << np.uint64(32) | model.relative(ids, place, need)[need].astype(np.uint64)
+        some = Sequences(model, b)
+        found, at, which = some.bigrams()
+        place = np.full(len(some.ids), -1, np.int64)
+        place[at] = found[which]
+        _, context, follower = some.trigrams(place)
+        return context.astype(np.uint64) << np.uint64(32) | follower.astype(np.uint64)
 
     model.levels[3] = Level(_built(_counted(df, trigrams, by_context(3)), folder, 3, _level(3, model.shards, model, min_count)), model.shards)
     return model
@@ -348,22 +357,26 @@ def scores(df: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            ids, begin, scored = sequences(model, b)
-            counts = model.word_counts(ids)
-            base = np.where(scored, model.log_unigram(counts), 0)
-            at = np.flatnonzero(scored)
-            place = np.full(len(ids), -1, np.int64)
-            place[at] = model.find(2, ids[at - 1], ids[at])
-            log2 = model.log_bigram(ids[at - 1], ids[at], place[at], base[at])
-            need = at[(place[at] >= 0) & (place[at - 1] >= 0)]
-            third = np.full(len(ids), -1, np.int64)
-            third[need] = model.find(3, place[need - 1], model.relative(ids, place, need)[need])
-            whole = np.zeros(len(ids))
-            whole[at] = log2 + model.log_weight(3, place[at - 1])
-            has = np.flatnonzero(third >= 0)
-            whole[has] = model.log_probability(3, third[has])
-            sums = lambda x: np.add.reduceat(x, begin[:-1])
-            cols = [sums(scored.astype(np.int64)), sums((scored & (counts > 0)).astype(np.int64)), np.full(b.num_rows, model.levels[1].total), sums(base), sums(whole)]
+            some = Sequences(model, b)
+            counts = model.word_counts(some.words)
+            base, n = np.zeros(len(some.ids)), len(some.ids)
+            base[some.at] = model.log_unigram(counts)[some.word[some.at]]
+            scored = np.zeros(n, bool)
+            scored[some.at] = True
+            known = scored & (counts > 0)[some.word]
+            found, at, which = some.bigrams()
+            place, log2, weight3 = np.full(n, -1, np.int64), np.zeros(n), np.zeros(n)
+            place[at], log2[at], weight3[at] = found[which], model.log_probability(2, found)[which], model.log_weight(3, found)[which]
+            rest = some.at[place[some.at] < 0]
+            log2[rest] = model.log_weight(2, some.words)[some.word[rest - 1]] + base[rest]
+            need, context, follower = some.trigrams(place)
+            whole = np.zeros(n)
+            whole[some.at] = log2[some.at] + weight3[some.at - 1]
+            found, ok, which = model.find(3, context, follower)
+            has = np.flatnonzero(found[which] >= 0)
+            whole[need[ok[has]]] = model.log_probability(3, found)[which[has]]
+            sums = lambda x: np.add.reduceat(x, some.begin[:-1])
+            cols = [sums(scored.astype(np.int64)), sums(known.astype(np.int64)), np.full(b.num_rows, model.levels[1].total), sums(base), sums(whole)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), *map(pa.array, cols)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return df.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
