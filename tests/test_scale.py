@@ -1,6 +1,11 @@
 """Queries whose work must grow no faster than their input: what the plans hold once, and results on odd rows."""
 
-from folioflow.operators import similarity
+from pyspark.sql import functions as F
+
+from folioflow.functions import markup
+from folioflow.operators import annotate, markdown, ordered, similarity
+from folioflow.plans import registry
+from folioflow.plans.catalog import M
 
 
 def plan(df):
@@ -12,3 +17,32 @@ def test_likeness_reads_each_text_once(spark):
     found = similarity.dissimilar(rows.repartition(2))
     assert plan(found).count("split(") == 2
     assert sorted(map(tuple, found.collect())) == [(1, 1.0, True), (2, None, False), (3, 1.0, True)]
+
+
+def test_lines_of_short_texts_meet_no_join(spark, sf):
+    rows = spark.createDataFrame([(1, "Notes to Table 9.1.1.1.\n- a\n(1) b"), (2, "\n".join(["Notes to Table 9.1.1.1."] + ["- a"] * 5))], "doc int, content string")
+    short = markdown.text_lines(rows, "doc", "content").filter("last_block = 0")
+    assert [(r.doc, r.at, r.label) for r in markdown.labelled(short).orderBy("doc", "at").collect()][:3] == [(1, 0, "notes"), (1, 1, "note_item"), (1, 2, "clause")]
+    one = sorted(map(tuple, markdown.labelled(markdown.text_lines(rows, "doc", "content", 2)).select("doc", "at", "label").collect()))
+    assert one == sorted(map(tuple, markdown.labelled(markdown.text_lines(rows, "doc", "content")).select("doc", "at", "label").collect()))
+    assert "Union" in plan(markdown.labelled(short))  # short texts on one side, without the join that long ones need
+
+
+def test_import_reads_its_lines_once(spark, sf):
+    lines = markdown.rendered_lines(M(spark, sf, "nodes"))
+    assert "lineitem" not in plan(markdown.imported(lines)) and plan(markdown.imported(lines)).count("Relation") <= 4
+
+
+def test_patterns_are_tried_once(spark, sf):
+    found = {n: plan(registry.queries()[n](spark, sf)) for n in ("T21_linked_references", "N24_units_prettified", "N10_table_headings", "V23_screened_articles")}
+    assert found["T21_linked_references"].count("RLIKE") == 7
+    assert found["N24_units_prettified"].count("RLIKE") == 1
+    assert "Filter" not in found["N10_table_headings"].split("Aggregate")[0]
+    assert found["V23_screened_articles"].count("NO_CONTENT") == 1
+
+
+def test_signs_in_texts_and_between_matches(spark):
+    rows = spark.createDataFrame([(1, "a\u0003b Part 9 c"), (2, "Part 9Part 9"), (3, "none"), (4, ""), (5, None)], "id int, content string")
+    assert sorted((r.id, r.start, r.end, r.type) for r in markup.positional_references(rows).collect()) == [(1, 4, 10, "part"), (2, 6, 12, "part")]
+    view = annotate.annotations(rows.withColumnRenamed("id", "doc"), annotate.reading_layers(["none"]))
+    assert sorted((r.doc, r.start, r.kind) for r in view.collect()) == [(1, 4, "reference"), (2, 6, "reference"), (3, 0, "definition")]
