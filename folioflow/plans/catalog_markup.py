@@ -15,7 +15,7 @@ from folioflow.plans.catalog import DOCS, M, add, docs, mart
 
 def _changed(name: str, f: Callable[[Column], Column], sql: str) -> None:
     """The texts that a normaliser changes, with what comes out; sql is its twin on content."""
-    add(name, lambda s, d: mart(s, d).select("doc", "content", f(F.col("content")).alias("new")).filter("new <> content").select("doc", "new"), f"SELECT doc, new FROM (SELECT doc, content, {sql} AS new FROM mart) WHERE new <> content", "mart")
+    add(name, lambda s, d: mart(s, d).select("doc", F.explode(F.filter(F.array(f(F.col("content"))), lambda new: new != F.col("content"))).alias("new")), f"SELECT doc, new FROM (SELECT doc, content, {sql} AS new FROM mart) WHERE new <> content", "mart")
 
 
 def _chain(expression: str, *rules: tuple[str, str]) -> str:
