@@ -46,3 +46,15 @@ def test_signs_in_texts_and_between_matches(spark):
     assert sorted((r.id, r.start, r.end, r.type) for r in markup.positional_references(rows).collect()) == [(1, 4, 10, "part"), (2, 6, 12, "part")]
     view = annotate.annotations(rows.withColumnRenamed("id", "doc"), annotate.reading_layers(["none"]))
     assert sorted((r.doc, r.start, r.kind) for r in view.collect()) == [(1, 4, "reference"), (2, 6, "reference"), (3, 0, "definition")]
+
+
+def test_slices_of_lines(spark):
+    texts = {"a": "head\n1.1. One\n x\n1.2. Two\n1.1. again\n1.9. no id\n\n1.3.\nThree ", "b": "1.2. Other", None: "1.1. Null"}
+    lines = markdown.text_lines(spark.createDataFrame(list(texts.items()), "doc string, content string"), "doc", "content", 2).drop("last_block")
+    ids = spark.createDataFrame([("a", "1.1"), ("a", "1.2"), ("a", "1.2"), ("a", "1.3"), ("a", "7"), ("b", "1.2"), (None, "1.1")], "doc string, id string")
+    got = {(r.doc, r.id): r.part for r in markdown.slices(lines, ids).collect()}
+    assert got == {("a", "1.1"): "1.1. One\n x", ("a", "1.2"): "1.2. Two\n1.1. again\n1.9. no id", ("a", "1.3"): "1.3.\nThree", ("a", "7"): "", ("b", "1.2"): "1.2. Other", (None, "1.1"): "1.1. Null"}
+
+
+def test_slices_gather_no_section(spark, sf):
+    assert "regexp_instr" not in plan(registry.queries()["T14_slices"](spark, sf))
