@@ -207,6 +207,11 @@ def _met(block: int, doc: np.ndarray, others: list[bytes | None]) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), block, np.int64)), pa.array(doc), pa.array(others, pa.binary())], names=["block", "doc_id", "others"])
 
 
+def regions_of(crowded: DataFrame) -> DataFrame:
+    """rep, regions (tree, crowd) of rows (tree, k1, rep), some of them repeated: one row for each rep, with a region for each tree at most."""
+    return crowded.groupBy("rep").agg(F.collect_set(F.struct("tree", F.xxhash64("tree", "k1").alias("crowd"))).alias("regions"))
+
+
 def across_components(crowded: DataFrame, roots: DataFrame, reps: DataFrame, num: int, den: int, chunk: int) -> DataFrame:
     """block, doc_id, others of the rows of crowded regions (tree, k1, rep) that roots (node, root) doesn't join: in each
     block the rows that have a partner there (others: null), and then each row with those partners (others: their numbers)
@@ -264,9 +269,9 @@ def across_components(crowded: DataFrame, roots: DataFrame, reps: DataFrame, num
         if held:
             yield from done(key, *(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    rows = crowded.select("rep", "tree", F.xxhash64("tree", "k1").alias("crowd")).distinct()
-    rows = rows.join(roots.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").join(reps.select("rep", "size").hint("merge"), "rep")
-    rows = rows.select("crowd", "tree", F.coalesce("root", "rep").alias("root"), "rep", "size").repartitionByRange(n, *names).sortWithinPartitions(*names)
+    rows = regions_of(crowded).join(roots.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").join(reps.select("rep", "size").hint("merge"), "rep")
+    rows = rows.select(F.coalesce("root", "rep").alias("root"), "rep", "size", F.explode("regions").alias("x"))
+    rows = rows.select("x.crowd", "x.tree", "root", "rep", "size").repartitionByRange(n, *names).sortWithinPartitions(*names)
     rows = stored(rows.mapInArrow(numbered, "crowd long, tree int, root long, rep long, size long, chunk long"), "crowded")
     spans = stored(rows.groupBy("crowd", "chunk").agg(F.min("root").alias("lo"), F.max("root").alias("hi")), "chunks")
     one, two = (spans.select("crowd", *(F.col(x).alias(f"{x}{i}") for x in ("chunk", "lo", "hi"))) for i in (1, 2))
