@@ -41,7 +41,7 @@ class ByteIds(ByteRuns):
 class WordIds(ByteIds):
     """For a vocabulary that drops white space and case and marks the ends of words."""
 
-    glue = " "
+    glue, remembered = " ", 400_000
 
     @staticmethod
     def marks(token: str) -> bool:

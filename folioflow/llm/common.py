@@ -6,7 +6,6 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -147,20 +146,27 @@ def mixed(h: np.ndarray) -> np.ndarray:
 _MUL = 0x9E3779B97F4A7C15
 
 
-@cache
-def _kept_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+#: The powers that a worker keeps: one pair of arrays, from which shorter ones are cut.
+_kept: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
     out = []
     for m in (_MUL, pow(_MUL, -1, 1 << 64)):
         x = np.full(n, m, np.uint64)
         x[0] = 1
         out.append(np.multiply.accumulate(x))
-    return out[0], out[1]
+    return out
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse, n of each at least; kept for the next call unless they are many."""
+    global _kept
     size = 1 << max(16, n.bit_length())
-    return (_kept_powers if size <= 1 << 22 else _kept_powers.__wrapped__)(size)
+    found = _kept if _kept and len(_kept[0]) >= size else _powers(size)
+    if found is not _kept and size <= 1 << 22:
+        _kept = found
+    return found[0][:size], found[1][:size]
 
 
 class Names:

@@ -266,5 +266,5 @@ def contamination(df: DataFrame, items: DataFrame, q: int = Q, size: int = SLICE
 def clean(df: DataFrame, items: DataFrame, q: int = Q) -> DataFrame:
     """The rows of df, with df's columns, in which no item was found."""
     docs = keyed(df, whole_row(df))
-    found = stored(_matches(docs, items, q).select("doc_id", "twin").distinct(), "leaks")
+    found = stored(_matches(docs, items, q, size=SLICE_BYTES // 2).select("doc_id", "twin").distinct(), "leaks")
     return docs.drop("text").join(found.hint("merge"), ["doc_id", "twin"], "left_anti").select("_row.*")

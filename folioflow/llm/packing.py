@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioflow.llm.coding import word_ids
-from folioflow.llm.common import partitions, stored, texts
+from folioflow.llm.common import SLICE_BYTES, partitions, slices, stored, texts
 
 CAPACITY = 4096
+#: Bytes of text whose runs are in a worker's memory at once (no effect on results).
+READ_BYTES = SLICE_BYTES // 2
 
 
 def pieces(df: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
@@ -37,7 +39,7 @@ def pieces(df: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CAPA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end, step = word_ids(vocabulary), np.asarray([end_id], "<u4").tobytes(), 4 * capacity
-        for b in batches:
+        for b in slices(batches, READ_BYTES):
             doc, piece, start, length, crc, kept = [], [], [], [], [], []
             for d, ids in zip(b.column("doc_id").to_pylist(), coder.ids(b.column("text").to_pylist()), strict=True):
                 ids += end

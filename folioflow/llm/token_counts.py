@@ -62,7 +62,7 @@ def added_tokens(path: str) -> re.Pattern:
 class ByteRuns:
     """Token ids of texts by remembered runs, for a byte-level vocabulary that keeps white space."""
 
-    pattern, glue = _RUN, ""
+    pattern, glue, remembered = _RUN, "", REMEMBERED
 
     def __init__(self, path: str):
         self.tok, self.added, self.known = tokenizer(path), added_tokens(path), {}
@@ -92,8 +92,8 @@ class ByteRuns:
 
     def forget(self) -> None:
         """Keeps the runs that were met first, among which are the common ones."""
-        if len(self.known) > REMEMBERED:
-            for run in list(itertools.islice(self.known, REMEMBERED, None)):
+        if len(self.known) > self.remembered:
+            for run in list(itertools.islice(self.known, self.remembered, None)):
                 del self.known[run]
 
     @staticmethod
